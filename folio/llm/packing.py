@@ -94,6 +94,12 @@ class UnitIds(dict):
         return out
 
 
+def _known(path: str) -> UnitIds:
+    if path not in _KNOWN:
+        _KNOWN[path] = UnitIds(load_tokenizer(path))
+    return _KNOWN[path]
+
+
 def load_tokenizer(path: str):
     """A tokenizer file as the public ``tokenizers`` library reads it; special strings in a text are text."""
     import os
@@ -109,9 +115,13 @@ def load_tokenizer(path: str):
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: One for each tokenizer in a Python worker, which serves many tasks.
+_KNOWN: dict[str, UnitIds] = {}
+
+
 def _pieces(path: str, size: int, end_id: int):
     def run(batches):
-        known, end = UnitIds(load_tokenizer(path)), np.asarray([end_id], "<u4").tobytes()
+        known, end = _known(path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             texts = [t.decode() for t in bytes_of(batch.column("text"))]
