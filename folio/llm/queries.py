@@ -5,12 +5,14 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op5_best_fit_packing
+from .substring_dedup import op8_substring_dedup
 from .quality import op10_quality_classifier
 
 QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
