@@ -1,21 +1,32 @@
-"""The queries opN_<name> of this subpackage, their SQL, and the pipeline's name."""
+"""The queries opN_<name> of this subpackage and their SQL."""
 
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .mixing import op3_source_mixing
+from .nearest import OP1_SQL, op1_nearest_neighbours
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op5_best_fit_packing
-from .substring_dedup import op8_substring_dedup
+from .pseudonyms import op4_pii_pseudonyms
 from .quality import op10_quality_classifier
+from .substring_dedup import op8_substring_dedup
+from .url_filter import op9_url_filter
+from .warc import op2_warc
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_warc": op2_warc,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
+    "op1_nearest_neighbours": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
