@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashedWords, Scratch, bytes_of, rolled
+from .common import Scratch, bytes_of, in_slices, rolled, word_hashes
 
 #: Words of cut-out text that a shard's task takes; owners with more are dealt over several shards.
 SHARD_WORDS = 200_000
@@ -104,16 +104,16 @@ def _anchors(run: int, width: int):
     """Distinct (anchor, doc_id, place) of every document."""
 
     def go(batches):
-        words = HashedWords()
         for batch in batches:
             codes, ids, places = [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))):
-                h = words.of(text.split())
-                at = _least(h, run, width)
-                if len(at):
-                    codes.append(rolled(h, run)[at])
-                    places.append(at)
-                    ids.append(np.full(len(at), i, np.int64))
+            docs = batch.column("doc_id").to_pylist()
+            for first, texts in in_slices(bytes_of(batch.column("text"))):
+                for i, h in zip(docs[first:], word_hashes(texts)):
+                    at = _least(h, run, width)
+                    if len(at):
+                        codes.append(rolled(h, run)[at])
+                        places.append(at)
+                        ids.append(np.full(len(at), i, np.int64))
             if codes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], names=["anchor", "doc_id", "place"])
 
@@ -124,11 +124,10 @@ def _cut(run: int, width: int):
     """Passages of each document around its anchors, joined where they touch and have one shard."""
 
     def go(batches):
-        words = HashedWords()
         for batch in batches:
             out = []
-            for i, text, hits in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text")), batch.column("hits").to_pylist()):
-                h = words.of(text.split())
+            hashes = (h for _, texts in in_slices(bytes_of(batch.column("text"))) for h in word_hashes(texts))
+            for i, h, hits in zip(batch.column("doc_id").to_pylist(), hashes, batch.column("hits").to_pylist()):
                 by: dict[tuple, list] = {}
                 for hit in sorted(hits, key=lambda x: x["place"]):
                     a, b = max(0, hit["place"] + run - width), min(len(h), hit["place"] + width)
