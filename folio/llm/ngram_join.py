@@ -11,6 +11,10 @@ Three relations between sets save work without losing a link:
   position: two blocks whose positions leave too little room for the needed overlap are skipped,
   and within a block only the sizes in reach are read.
 
+Lists are read twice: first each leader is held against its list's first one only, then leaders
+that are still not connected against each other. A group of near copies, however large, is
+connected after the first look.
+
 Prefixes take the rarest shingles first, by a sketch of fixed size that counts all documents, so
 that common passages fall out of prefixes. Candidate pairs of leaders are dealt to blocks of
 bounded size together with the texts they need, and verified exactly there.
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashedWords, Scratch, ascii_lower_words, bloom_of, bytes_of, components, maybe_in, shingles
+from .common import Scratch, bloom_of, bytes_of, components, in_slices, maybe_in, mixed, shingles, word_hashes
 
 SKETCH_SLOTS = 1 << 19
 SKETCH_CHUNKS = 64
@@ -54,21 +58,16 @@ def _measure(width: int):
     """Each document's set size and set id; then the task's sketch of shingle counts."""
 
     def run(batches):
-        words, counts = HashedWords(), np.zeros(SKETCH_SLOTS, np.int64)
+        counts = np.zeros(SKETCH_SLOTS, np.int64)
         names = ["doc_id", "n", "sid", "chunk", "counts"]
         for batch in batches:
-            sizes, sids, held, size = [], [], [], 0
-            texts = bytes_of(batch.column("text"))
-            for i, text in enumerate(texts):
-                s = shingles(words.of(ascii_lower_words(text)), width)
-                sizes.append(len(s))
-                sids.append(_set_id(s))
-                held.append(s)
-                size += len(s)
-                if size > 1_000_000 or i + 1 == len(texts):
-                    counts += np.bincount((np.concatenate(held) & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), minlength=SKETCH_SLOTS)
-                    held, size = [], 0
-            k = len(texts)
+            sizes, sids = [], []
+            for _, texts in in_slices(bytes_of(batch.column("text")), 4 << 20):
+                held = [shingles(h, width) for h in word_hashes(texts, lower=True)]
+                sizes += map(len, held)
+                sids += map(_set_id, held)
+                counts += np.bincount((np.concatenate(held) & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), minlength=SKETCH_SLOTS)
+            k = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if counts.any():
             parts = np.split(np.minimum(counts, 2**32 - 1).astype(np.uint32), SKETCH_CHUNKS)
@@ -129,29 +128,30 @@ class Leaders:
         return sid, 0.0
 
 
-#: One index entry, or (with radius) the attachment of a set to a leader.
-ENTRY = "token long, leader long, sid long, low int, high int, place int, radius double"
+#: One index entry (value: sizes and place), or, with a radius, the attachment of a set (value: its id) to a leader.
+ENTRY = "token long, leader long, value long, radius double"
 
 
 def _index(held, width: int, percent: int):
     def run(batches):
-        ranks, words, leaders, seen = held.value, HashedWords(), Leaders(percent), set()
+        ranks, leaders, seen = held.value, Leaders(percent), set()
         for batch in batches:
             rows, stars = [], []
-            for text in bytes_of(batch.column("text")):
-                s = shingles(words.of(ascii_lower_words(text)), width)
-                if not len(s):
-                    continue
-                sid = _set_id(s)
-                if sid in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(sid)
-                leader, distance = leaders.attach(sid, s)
-                if leader != sid:
-                    stars.append((leader, leader, sid, len(s), len(s), 0, distance))
-                rows.append((_prefix(s, ranks, percent), leader, len(s)))
+            for _, texts in in_slices(bytes_of(batch.column("text"))):
+                for h in word_hashes(texts, lower=True):
+                    s = shingles(h, width)
+                    if not len(s):
+                        continue
+                    sid = _set_id(s)
+                    if sid in seen:
+                        continue
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(sid)
+                    leader, distance = leaders.attach(sid, s)
+                    if leader != sid:
+                        stars.append((leader, leader, sid, distance))
+                    rows.append((_prefix(s, ranks, percent), leader, len(s)))
             if rows:
                 counts = np.array([len(p) for p, _, _ in rows])
                 token = np.concatenate([p for p, _, _ in rows]).view(np.int64)
@@ -162,99 +162,155 @@ def _index(held, width: int, percent: int):
                 by = np.lexsort((leader, token))
                 token, leader, n, place = token[by], leader[by], n[by], place[by]
                 at = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (leader[1:] != leader[:-1])])
-                k = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[at]), pa.array(leader[at]), pa.array(leader[at]), pa.array(np.minimum.reduceat(n, at)), pa.array(np.maximum.reduceat(n, at)), pa.array(np.minimum.reduceat(place, at)), pa.nulls(k, pa.float64())],
-                    names=["token", "leader", "sid", "low", "high", "place", "radius"],
-                )
+                yield _entries(token[at], leader[at], _packed(np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.minimum.reduceat(place, at)))
             if stars:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*stars), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["token", "leader", "sid", "low", "high", "place", "radius"])
+                token, leader, sid, distance = zip(*stars)
+                yield _entries(token, leader, sid, distance)
 
     return run
 
 
+def _entries(token, leader, value, radius=None) -> pa.RecordBatch:
+    radius = pa.nulls(len(token), pa.float64()) if radius is None else pa.array(radius, pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(leader, pa.int64()), pa.array(value, pa.int64()), radius], names=["token", "leader", "value", "radius"])
+
+
+def _packed(low, high, place) -> np.ndarray:
+    """Smallest and largest size of a leader's sets and their first place, in one number (sizes up to 2**22 exactly)."""
+    most = (1 << 22) - 1
+    # a size beyond is as good as this one for the bounds below: the low end falls, the high end is open
+    return (np.minimum(low, most).astype(np.int64) << 41) | (np.minimum(high, most).astype(np.int64) << 19) | np.minimum(place, (1 << 19) - 1).astype(np.int64)
+
+
+def _unpacked(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    most = (1 << 22) - 1
+    high = (value >> 19) & most
+    return value >> 41, np.where(high == most, np.int64(1) << 40, high), value & ((1 << 19) - 1)
+
+
 def _room(low_a, high_a, place_a, low_b, high_b, place_b, percent: int):
     """Can sets of these sizes that first share a shingle at these places be linked."""
     needed = percent * (low_a + low_b) / (100 + percent)
     return (100 * np.minimum(high_a, high_b) >= percent * np.maximum(low_a, low_b)) & (np.minimum(high_a - place_a, high_b - place_b) >= needed - 1e-9)
 
 
-def _candidates(percent: int):
-    """Pairs of leaders from index lists, which come sorted by shingle; attachments pass."""
+FOUND = "token long, a long, b long, value long, radius double"
+
+
+def _found(token, a, b, value=None, radius=None) -> pa.RecordBatch:
+    n = len(a)
+    part = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+    return pa.RecordBatch.from_arrays([part(token, pa.int64()), pa.array(a, pa.int64()), part(b, pa.int64()), part(value, pa.int64()), part(radius, pa.float64())], names=["token", "a", "b", "value", "radius"])
 
-    def pairs(leader, low, high, place, starts, ends):
-        sizes = ends - starts
-        for size in np.unique(sizes):
-            if size < 2:
+
+def _whole_lists(batches, key: str):
+    """Tables of whole lists out of batches that are sorted by ``key``."""
+    left = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if left is not None:
+            table = pa.concat_tables([left, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        keys = table.column(key).to_numpy()
+        edge = int(np.searchsorted(keys, keys[-1], "left"))
+        if edge:
+            yield table.slice(0, edge)
+        left = table.slice(edge)
+    if left is not None and left.num_rows:
+        yield left
+
+
+def _first_pairs(percent: int):
+    """First look at the lists: each entry with the list's first leader (in a hashed order), and lists of several leaders.
+
+    What is linked through first leaders needs no other pair.
+    """
+
+    def run(batches):
+        for table in _whole_lists(batches, "token"):
+            star = np.asarray(table.column("radius").combine_chunks().is_valid())
+            token, leader, value = (table.column(c).to_numpy() for c in ("token", "leader", "value"))
+            if star.any():
+                yield _found(None, leader[star], value[star], radius=table.column("radius").to_numpy()[star])
+                token, leader, value = token[~star], leader[~star], value[~star]
+            order = mixed(leader.view(np.uint64))
+            by = np.lexsort((order, token))
+            token, leader, value = token[by], leader[by], value[by]
+            first = np.r_[True, token[1:] != token[:-1]][: len(token)]
+            head = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
+            more = leader != leader[head]
+            if not more.any():
                 continue
-            lists = starts[sizes == size]
-            if size <= 32:
-                i, j = np.triu_indices(size, 1)
-                step = max(1, 200_000 // len(i))
-                for at in range(0, len(lists), step):
-                    a = (lists[at : at + step, None] + i).ravel()
-                    b = (lists[at : at + step, None] + j).ravel()
-                    ok = (leader[a] != leader[b]) & _room(low[a], high[a], place[a], low[b], high[b], place[b], percent)
-                    yield leader[a[ok]], leader[b[ok]]
-            else:
-                for start in lists:
-                    yield from blocks(leader, low, high, place, np.arange(start, start + size))
-
-    def blocks(leader, low, high, place, rows):
-        """A long list: blocks of equal place, each sorted by size."""
-        rows = rows[np.lexsort((low[rows], place[rows]))]
-        cuts = np.flatnonzero(np.r_[True, np.diff(place[rows]) != 0])
-        parts = np.split(rows, cuts[1:])
-        for x, a in enumerate(parts):
-            most_a, least_a = high[a].max(), low[a].min()
-            for b in parts[x:]:
-                most_b, least_b = high[b].max(), low[b].min()
-                if not _room(least_a, most_a, place[a[0]], least_b, most_b, place[b[0]], percent):
-                    continue  # the whole block is out of reach
-                first = np.searchsorted(low[b], percent * low[a] / 100 - (most_b - least_b), "left")
-                for row, f in zip(a, first):
-                    c = b[f:]
-                    ok = (leader[c] != leader[row]) & _room(low[row], high[row], place[row], low[c], high[c], place[c], percent)
-                    if ok.any():
-                        yield np.full(int(ok.sum()), leader[row]), leader[c[ok]]
+            several = np.zeros(len(token), bool)
+            several[head[more]] = True
+            several = several[head]
+            at, to = np.flatnonzero(more), head[more]
+            x, y = _unpacked(value[at]), _unpacked(value[to])
+            ok = _room(*x, *y, percent)
+            a, b = leader[at[ok]], leader[to[ok]]
+            if len(a):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield _found(None, both[0], both[1])
+            yield _found(token[several], leader[several], None, value[several])
+
+    return run
+
+
+def _pairs(leader, root, low, high, place, starts, ends, percent):
+    """Pairs of leaders of different roots that may be linked, list by list."""
+    sizes = ends - starts
+    for size in np.unique(sizes):
+        if size < 2:
+            continue
+        lists = starts[sizes == size]
+        if size <= 32:
+            i, j = np.triu_indices(size, 1)
+            step = max(1, 200_000 // len(i))
+            for at in range(0, len(lists), step):
+                a = (lists[at : at + step, None] + i).ravel()
+                b = (lists[at : at + step, None] + j).ravel()
+                ok = (root[a] != root[b]) & _room(low[a], high[a], place[a], low[b], high[b], place[b], percent)
+                yield leader[a[ok]], leader[b[ok]]
+        else:
+            for start in lists:
+                rows = np.arange(start, start + size)
+                if (root[rows] != root[start]).any():
+                    yield from _blocks(leader, root, low, high, place, rows, percent)
+
+
+def _blocks(leader, root, low, high, place, rows, percent):
+    """A long list: blocks of equal place, each sorted by size; whole blocks out of reach are skipped."""
+    rows = rows[np.lexsort((low[rows], place[rows]))]
+    parts = np.split(rows, np.flatnonzero(np.diff(place[rows]) != 0) + 1)
+    for x, a in enumerate(parts):
+        most_a, least_a = high[a].max(), low[a].min()
+        for b in parts[x:]:
+            if not _room(least_a, most_a, place[a[0]], low[b].min(), high[b].max(), place[b[0]], percent):
+                continue
+            widest = (high[b] - low[b]).max()
+            first = np.searchsorted(low[b], percent * low[a] / 100 - widest - 1, "left")
+            for row, f in zip(a, first):
+                c = b[f:]
+                ok = (root[c] != root[row]) & _room(low[row], high[row], place[row], low[c], high[c], place[c], percent)
+                if ok.any():
+                    yield np.full(int(ok.sum()), leader[row]), leader[c[ok]]
+
+
+def _other_pairs(percent: int):
+    """Second look at the lists: pairs of leaders that are not linked yet."""
 
     def run(batches):
-        left = None
-        names = ["a", "b", "radius"]
-
-        def found(table, last):
-            """Pairs of whole lists; the rows of the last list when more may follow."""
-            token = table.column("token").to_numpy()
-            edge = len(token) if last else int(np.searchsorted(token, token[-1], "left"))
-            rest = table.slice(edge)
-            leader, low, high, place = (table.column(c).to_numpy()[:edge].astype(np.int64) for c in ("leader", "low", "high", "place"))
-            starts = np.flatnonzero(np.r_[True, token[1:edge] != token[: edge - 1]]) if edge else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], edge)
-            got = [(np.minimum(a, b), np.maximum(a, b)) for a, b in pairs(leader, low, high, place, starts, ends)]
-            out = None
+        for table in _whole_lists(batches, "token"):
+            token, leader, root = (table.column(c).to_numpy() for c in ("token", "a", "root"))
+            low, high, place = _unpacked(table.column("value").to_numpy())
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            got = list(_pairs(leader, root, low, high, place, starts, np.append(starts[1:], len(token)), percent))
             if got:
-                both = np.unique(np.stack([np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])]), axis=1)
+                a, b = (np.concatenate(x) for x in zip(*got))
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 if both.shape[1]:
-                    out = pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.float64())], names=names)
-            return out, rest
-
-        for batch in batches:
-            star = np.asarray(batch.column("radius").is_valid())
-            if star.any():
-                s = batch.filter(pa.array(star))
-                yield pa.RecordBatch.from_arrays([s.column("leader"), s.column("sid"), s.column("radius")], names=names)
-            table = pa.Table.from_batches([batch.filter(pa.array(~star))])
-            if left is not None:
-                table = pa.concat_tables([left, table]).combine_chunks()
-            if not table.num_rows:
-                continue
-            out, left = found(table, False)
-            if out is not None:
-                yield out
-        if left is not None and left.num_rows:
-            out, _ = found(left, True)
-            if out is not None:
-                yield out
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     return run
 
@@ -263,9 +319,11 @@ def _verify(width: int, percent: int):
     """A block's pairs, with the texts of their sets: links found, and pairs whose members may be linked."""
 
     def run(key, left, right):
-        words, sets, root = HashedWords(), {}, {}
-        for sid, text in zip(right.column("sid").to_pylist(), bytes_of(right.column("text"))):
-            sets[sid] = shingles(words.of(ascii_lower_words(text)), width)
+        sets, root = {}, {}
+        sids = right.column("sid").to_pylist()
+        for at, texts in in_slices(bytes_of(right.column("text"))):
+            for i, h in enumerate(word_hashes(texts, lower=True)):
+                sets[sids[at + i]] = shingles(h, width)
 
         def find(x):
             while root.setdefault(x, x) != x:
@@ -280,9 +338,10 @@ def _verify(width: int, percent: int):
             common = len(np.intersect1d(x, y, assume_unique=True))
             if _linked(common, len(x), len(y), percent):
                 root[find(a)] = find(b)
-                out.append((a, b, True, None))
             elif reach > 0 and (d := 1 - common / (len(x) + len(y) - common)) <= 1 - percent / 100 + reach + 1e-9:
                 out.append((a, b, False, d))
+        # the block's links as stars, which components() likes best
+        out += [(find(x), x, True, None) for x in list(root) if find(x) != x]
         cols = list(zip(*out)) or [[], [], [], []]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "linked": pa.array(cols[2], pa.bool_()), "distance": pa.array(cols[3], pa.float64())})
 
@@ -333,21 +392,32 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
 
     entries = rows.mapInArrow(_index(ranks, width, percent), ENTRY)
     lists = entries.repartition("token").sortWithinPartitions("token")
-    found = scratch.save(lists.mapInArrow(_candidates(percent), "a long, b long, radius double"), "found")
+    found = scratch.save(lists.mapInArrow(_first_pairs(percent), FOUND), "found")
     stars = scratch.save(found.where("radius is not null").groupBy(F.col("a").alias("leader"), F.col("b").alias("sid")).agg(F.min("radius").alias("radius")), "stars")
     radii = stars.groupBy("leader").agg(F.max("radius").alias("r"))
-    pairs = found.where("radius is null").select("a", "b").distinct()
-    pairs = (
-        pairs.join(radii.select(F.col("leader").alias("a"), F.col("r").alias("ra")), "a", "left")
-        .join(radii.select(F.col("leader").alias("b"), F.col("r").alias("rb")), "b", "left")
-        .select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("reach"))
-    )
-    pairs = scratch.save(pairs, "pairs")
-    checked = _checked(pairs, sizes, rows, scratch, "leaders", width, percent)
-    links = checked.where("linked").select("a", "b").unionAll(stars.select(F.col("leader").alias("a"), F.col("sid").alias("b")))
-    roots = components(links, scratch, "first")
 
-    open_ = checked.where("not linked").select("a", "b", "distance")
+    def checked(pairs, name):
+        """Pairs of leaders, verified; reach is how far linked members may be from unlinked leaders."""
+        reach = (
+            pairs.join(radii.select(F.col("leader").alias("a"), F.col("r").alias("ra")), "a", "left")
+            .join(radii.select(F.col("leader").alias("b"), F.col("r").alias("rb")), "b", "left")
+            .select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("reach"))
+        )
+        return _checked(scratch.save(reach, name), sizes, rows, scratch, name, width, percent)
+
+    first = found.where("radius is null and b is not null").select("a", "b").distinct()
+    links_1 = checked(first, "first")
+    links = links_1.where("linked").select("a", "b").unionAll(stars.select(F.col("leader").alias("a"), F.col("sid").alias("b")))
+    roots = components(links, scratch, "roots1")
+
+    open_lists = found.where("b is null").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("token", "a", "value", F.coalesce("root", "a").alias("root"))
+    other = open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_other_pairs(percent), "a long, b long").distinct()
+    other = other.join(found.where("radius is null and b is not null").select("a", "b").distinct(), ["a", "b"], "left_anti")
+    links_2 = checked(scratch.save(other, "other"), "second")
+    links = scratch.save(links.unionAll(links_2.where("linked").select("a", "b")), "links")
+    roots = components(links, scratch, "roots2")
+
+    open_ = links_1.unionByName(links_2).where("not linked").select("a", "b", "distance")
     open_ = (
         open_.join(roots.select(F.col("node").alias("a"), F.col("root").alias("xa")), "a", "left")
         .join(roots.select(F.col("node").alias("b"), F.col("root").alias("xb")), "b", "left")
@@ -370,7 +440,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
         )
         more = scratch.save(more, "member-pairs")
         links = links.unionAll(_checked(more, sizes, rows, scratch, "members", width, percent).where("linked").select("a", "b"))
-        roots = components(links, scratch, "second")
+        roots = components(links, scratch, "roots3")
 
     named = sizes.select("sid", "doc_id").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
