@@ -26,6 +26,13 @@ TOKENS_PER_TASK = 1 << 25  # 16,384 sequences of 2048: what stays open at a task
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary, keyed by the byte."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 173)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class UnitIds(dict):
     """Ids of the units of a text (unsigned little-endian 32 bit), kept from text to text.
 
@@ -40,6 +47,7 @@ class UnitIds(dict):
         self.tokenizer, self.most = tokenizer, most
         self.line_feed = tokenizer.encode("\n", add_special_tokens=False).ids
         assert len(self.line_feed) == 1
+        self.letters = _byte_letters()
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,6 +64,11 @@ class UnitIds(dict):
                 self[u] = (feed if u[0] == "\n" else b"") + code[4 * start : 4 * end]
                 start = end + 1
 
+    def _word(self, text: str) -> bytes:
+        """The ids of a run that the split pattern leaves whole (letters, maybe behind a space), by the model alone."""
+        found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return np.fromiter((t.id for t in found), "<u4", len(found)).tobytes()
+
     def _missing(self, new: set[str]) -> None:
         """Adds units; those with punctuation behind a known word need no new encoding."""
         split, learn = [], set()
@@ -67,7 +80,11 @@ class UnitIds(dict):
                 learn.update(x for x in (base, tail) if x not in self)
             else:
                 learn.add(u)
-        self._learn(list(learn))
+        feed = np.asarray(self.line_feed, "<u4").tobytes()
+        words = [u for u in learn if u.removeprefix("\n").isalpha()]
+        for u in words:
+            self[u] = feed + self._word(u[1:]) if u[0] == "\n" else self._word(" " + u)
+        self._learn(list(learn.difference(words)))
         for u, base, tail in split:
             self[u] = self[base] + self[tail][4:]
 
