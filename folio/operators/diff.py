@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("array<struct<kind:string,text:string>>")
-def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Runs of kept, removed and added words (a white space run is one token); joined again they are the texts."""
+def _word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     token = re.compile(r"\s+|\S+")
 
     def of(a: str | None, b: str | None) -> list[dict[str, str]]:
@@ -31,6 +29,11 @@ def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([of(a, b) for a, b in zip(old, new)])
 
 
+def word_diff():
+    """The function of two text columns: runs of kept, removed and added words (a white space run is one token); joined again they are the texts."""
+    return F.pandas_udf(_word_diff, "array<struct<kind:string,text:string>>")
+
+
 def revisions(turns: DataFrame) -> DataFrame:
     """(doc, revision, old, new): each revision beside the one before."""
     w = Window.partitionBy("doc").orderBy("revision")
@@ -39,7 +42,7 @@ def revisions(turns: DataFrame) -> DataFrame:
 
 def diff_counts(pairs: DataFrame) -> DataFrame:
     """(doc, revision, same, removed, added): characters of each kind."""
-    d = pairs.withColumn("d", word_diff("old", "new"))
+    d = pairs.withColumn("d", word_diff()("old", "new"))
     size = lambda kind: F.aggregate(F.filter("d", lambda x: x["kind"] == kind), F.lit(0), lambda n, x: n + F.length(x["text"]))
     return d.select("doc", "revision", size("same").alias("same"), size("removed").alias("removed"), size("added").alias("added"))
 

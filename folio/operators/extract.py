@@ -15,8 +15,7 @@ def requirements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return s.withColumn("found", keywords(F.col("sentence"), words)).where(F.size("found") > 0)
 
 
-@F.pandas_udf("array<struct<short:string,long:string>>")
-def expansions(texts: pd.Series) -> pd.Series:
+def _expansions(texts: pd.Series) -> pd.Series:
     """Abbreviations in parentheses behind their expansions: every letter of the short form is found
     in order, from the right, in at most min(n + 5, 2n) words before it, the first at a word's start."""
     import re
@@ -50,9 +49,14 @@ def expansions(texts: pd.Series) -> pd.Series:
     return texts.map(of)
 
 
+def expansions():
+    """The function of a text column: its abbreviations with their expansions, in order."""
+    return F.pandas_udf(_expansions, "array<struct<short:string,long:string>>")
+
+
 def abbreviations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, short, long): the first expansion of each short form; one in capitals gives way to a later one in mixed case."""
-    rows = docs.select(id_col, F.posexplode(expansions(F.col(text_col))).alias("pos", "e")).select(id_col, "pos", "e.short", "e.long")
+    rows = docs.select(id_col, F.posexplode(expansions()(F.col(text_col))).alias("pos", "e")).select(id_col, "pos", "e.short", "e.long")
     shouted = F.col("long") == F.upper("long")
     w = Window.partitionBy(id_col, "short").orderBy(shouted, "pos")
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(id_col, "short", "long")
