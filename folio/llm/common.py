@@ -244,3 +244,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     for nxt in maps[1:]:
         out = out.join(nxt.select(F.col("node").alias("root"), F.col("to").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return scratch.save(out, f"{name}-out")
+
+
+def joined_components(roots: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, root) after more ``edges(a, b)``: only those between different roots are worked on."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    moved = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = components(moved, scratch, name)
+    new = more.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti")
+    both = roots.unionByName(new).join(more.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+    return scratch.save(both.select("node", F.coalesce("next", "root").alias("root")), f"{name}-joined")

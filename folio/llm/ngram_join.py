@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_of, bytes_of, components, in_slices, maybe_in, mixed, shingles, word_hashes
+from .common import Scratch, bloom_of, bytes_of, components, in_slices, joined_components, maybe_in, mixed, shingles, word_hashes
 
 SKETCH_SLOTS = 1 << 19
 SKETCH_CHUNKS = 64
@@ -222,7 +222,7 @@ def _whole_lists(batches, key: str):
 
 
 def _first_pairs(percent: int):
-    """First look at the lists: each entry with the list's first leader (in a hashed order), and lists of several leaders.
+    """First look at the lists: each entry with the list's first leader (by place, then a hashed order), and lists of several leaders.
 
     What is linked through first leaders needs no other pair.
     """
@@ -234,8 +234,8 @@ def _first_pairs(percent: int):
             if star.any():
                 yield _found(None, leader[star], value[star], radius=table.column("radius").to_numpy()[star])
                 token, leader, value = token[~star], leader[~star], value[~star]
-            order = mixed(leader.view(np.uint64))
-            by = np.lexsort((order, token))
+            # the one with the fewest rarer shingles has the fewest changes of its own: most others are near it
+            by = np.lexsort((mixed(leader.view(np.uint64)), _unpacked(value)[2], token))
             token, leader, value = token[by], leader[by], value[by]
             first = np.r_[True, token[1:] != token[:-1]][: len(token)]
             head = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
@@ -414,8 +414,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     other = open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_other_pairs(percent), "a long, b long").distinct()
     other = other.join(found.where("radius is null and b is not null").select("a", "b").distinct(), ["a", "b"], "left_anti")
     links_2 = checked(scratch.save(other, "other"), "second")
-    links = scratch.save(links.unionAll(links_2.where("linked").select("a", "b")), "links")
-    roots = components(links, scratch, "roots2")
+    roots = joined_components(roots, links_2.where("linked").select("a", "b"), scratch, "roots2")
 
     open_ = links_1.unionByName(links_2).where("not linked").select("a", "b", "distance")
     open_ = (
@@ -439,8 +438,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
             .distinct()
         )
         more = scratch.save(more, "member-pairs")
-        links = links.unionAll(_checked(more, sizes, rows, scratch, "members", width, percent).where("linked").select("a", "b"))
-        roots = components(links, scratch, "roots3")
+        roots = joined_components(roots, _checked(more, sizes, rows, scratch, "members", width, percent).where("linked").select("a", "b"), scratch, "roots3")
 
     named = sizes.select("sid", "doc_id").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
