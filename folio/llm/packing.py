@@ -9,6 +9,7 @@ a hashed order, which mixes long and short ones in every task.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -64,10 +65,16 @@ class UnitIds(dict):
                 self[u] = (feed if u[0] == "\n" else b"") + code[4 * start : 4 * end]
                 start = end + 1
 
-    def _word(self, text: str) -> bytes:
-        """The ids of a run that the split pattern leaves whole (letters, maybe behind a space), by the model alone."""
-        found = self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-        return np.fromiter((t.id for t in found), "<u4", len(found)).tobytes()
+    def _words(self, units: list[str], lead: str, feed: bytes) -> None:
+        """Ids of new units that the split pattern leaves whole (letters behind ``lead``), by the model alone."""
+        if not units:
+            return
+        # the bytes' printable characters, for all units in one go
+        shown = "\n".join(lead + u.removeprefix("\n") for u in units).encode().decode("latin-1").translate(self.letters)
+        tokenize, pack_ids = self.tokenizer.model.tokenize, struct.pack
+        for u, text in zip(units, shown.split(self.letters[10])):
+            ids = [t.id for t in tokenize(text)]
+            self[u] = feed + pack_ids(f"<{len(ids)}I", *ids)
 
     def _missing(self, new: set[str]) -> None:
         """Adds units; those with punctuation behind a known word need no new encoding."""
@@ -77,14 +84,17 @@ class UnitIds(dict):
             if base and base != u and base[-1].isalpha():
                 tail = "\n" + u[len(base) :]
                 split.append((u, base, tail))
-                learn.update(x for x in (base, tail) if x not in self)
+                if base not in self:
+                    learn.add(base)
+                if tail not in self:
+                    learn.add(tail)
             else:
                 learn.add(u)
-        feed = np.asarray(self.line_feed, "<u4").tobytes()
-        words = [u for u in learn if u.removeprefix("\n").isalpha()]
-        for u in words:
-            self[u] = feed + self._word(u[1:]) if u[0] == "\n" else self._word(" " + u)
-        self._learn(list(learn.difference(words)))
+        words = [u for u in learn if u.isalpha()]
+        starts = [u for u in learn if u[0] == "\n" and u[1:].isalpha()]
+        self._words(words, " ", b"")
+        self._words(starts, "", np.asarray(self.line_feed, "<u4").tobytes())
+        self._learn(list(learn.difference(words, starts)))
         for u, base, tail in split:
             self[u] = self[base] + self[tail][4:]
 
