@@ -39,6 +39,8 @@ LEADER_BYTES = 48 << 20
 #: Words of the texts that one block of pairs brings together (about 20 MB of hashes).
 BLOCK_WORDS = 2_500_000
 MOST_PARTNERS = 2_000
+#: Most (block, document) rows, of 16 bytes, that are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_PLACES = 1_000_000
 
 
 def _need(n: int, percent: int) -> int:
@@ -62,7 +64,7 @@ def _measure(width: int):
         names = ["doc_id", "n", "sid", "chunk", "counts"]
         for batch in batches:
             sizes, sids = [], []
-            for _, texts in in_slices(bytes_of(batch.column("text")), 4 << 20):
+            for _, texts in in_slices(bytes_of(batch.column("text"))):
                 held = [shingles(h, width) for h in word_hashes(texts, lower=True)]
                 sizes += map(len, held)
                 sids += map(_set_id, held)
@@ -320,10 +322,10 @@ def _verify(width: int, percent: int):
 
     def run(key, left, right):
         sets, root = {}, {}
-        sids = right.column("sid").to_pylist()
-        for at, texts in in_slices(bytes_of(right.column("text"))):
-            for i, h in enumerate(word_hashes(texts, lower=True)):
-                sets[sids[at + i]] = shingles(h, width)
+        for _, texts in in_slices(bytes_of(right.column("text"))):
+            for h in word_hashes(texts, lower=True):
+                s = shingles(h, width)
+                sets[_set_id(s)] = s
 
         def find(x):
             while root.setdefault(x, x) != x:
@@ -361,9 +363,14 @@ def _checked(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, scratch: Scrat
     split = F.when(F.col("m") > MOST_PARTNERS, F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / MOST_PARTNERS))).otherwise(F.lit(0))
     dealt = pairs.join(many, "a").select("a", "b", "reach", F.pmod(F.xxhash64("a", split), F.lit(blocks)).alias("block"))
     dealt = scratch.save(dealt, f"{name}-dealt")
+    # blocks by document first, so that texts move once, to the blocks, or twice where the list is long
     where = dealt.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("sid")).distinct()
-    texts = maybe_in(rows, "doc_id", bloom_of(needed.select("doc_id"))).join(needed.select(F.col("doc_id").alias("__id"), "sid"), F.col("doc_id") == F.col("__id")).dropDuplicates(["sid"]).select("sid", "text")
-    brought = where.join(texts, "sid")
+    where = scratch.save(where.join(needed.select("sid", F.col("doc_id").alias("__id")), "sid").select("at", "__id").distinct(), f"{name}-where")
+    if where.count() <= BROADCAST_PLACES:
+        asked, where = rows, F.broadcast(where)
+    else:
+        asked = maybe_in(rows, "doc_id", bloom_of(needed.select("doc_id")))
+    brought = asked.join(where, F.col("doc_id") == F.col("__id")).select("at", "text")
     out = dealt.groupBy("block").cogroup(brought.groupBy("at")).applyInArrow(_verify(width, percent), "a long, b long, linked boolean, distance double")
     return scratch.save(out, f"{name}-checked")
 

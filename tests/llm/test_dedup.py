@@ -118,6 +118,7 @@ def test_similar_where_only_members_link(spark):
 def test_similar_block_limits(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_WORDS", 500)
     monkeypatch.setattr(ngram_join, "MOST_PARTNERS", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_PLACES", 0)
     rows = corpus(2)
     got = ngram_join.similar_groups(table(spark, rows).repartition(5), 3, 90)
     assert sorted(map(tuple, got.collect())) == brute_similar(rows, 3, 90)
