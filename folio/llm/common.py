@@ -186,8 +186,8 @@ def bloom_of(ids: DataFrame, bits_per_id: int = 12) -> np.ndarray:
     return out
 
 
-def maybe_in(df: DataFrame, id_col: str, bloom: np.ndarray) -> DataFrame:
-    """Rows whose id may be among those of the filter (never loses one that is), and rows without id.
+def maybe_in(df: DataFrame, id_col: str, bloom: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows whose id may be among those of the filter (never loses one that is), and rows without id; or all others.
 
     The probes are computed in the JVM; only they and the id column's row go through Arrow.
     """
@@ -201,7 +201,7 @@ def maybe_in(df: DataFrame, id_col: str, bloom: np.ndarray) -> DataFrame:
             at = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).astype(np.uint64).reshape(-1, BLOOM_PROBES)
             found = ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
             found |= np.asarray(batch.column(columns.index(id_col)).is_null())
-            kept = batch.filter(pa.array(found))
+            kept = batch.filter(pa.array(found if inside else ~found))
             if kept.num_rows:
                 yield kept.select(range(kept.num_columns - 1))
 

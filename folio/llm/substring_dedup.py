@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_of, in_slices, rolled, word_hashes
+from .common import Scratch, bloom_of, bytes_of, in_slices, maybe_in, rolled, word_hashes
 
 #: Words of cut-out text that a shard's task takes; owners with more are dealt over several shards.
 SHARD_WORDS = 200_000
@@ -245,6 +245,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, shard_words: int = SHARD_WO
     owners = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "owner")
     hits = scratch.save(anchors.join(owners, "anchor").select("doc_id", "place", "owner"), "hits")
     scratch.drop("anchors")
+    # only texts with hits move
+    known = maybe_in(known, "doc_id", bloom_of(hits.select("doc_id").distinct()))
     # about how many words each owner's shard gets; the largest are dealt by document
     loads = hits.groupBy("owner").agg(F.count(F.lit(1)).alias("m"))
     deals = F.ceil(F.col("m") * width / shard_words)
@@ -277,8 +279,11 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spans = repeated_spans(rows, width, shard_words)
     by_doc = spans.distinct().groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(by_doc, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_judged, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    # texts that lose nothing are judged where they are
+    bloom = bloom_of(spans.select("doc_id").distinct())
+    joined = maybe_in(rows, "doc_id", bloom).join(by_doc, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
+    whole = maybe_in(rows, "doc_id", bloom, inside=False).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
+    return joined.unionByName(whole).mapInArrow(_judged, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
