@@ -9,7 +9,8 @@ Three relations between sets save work without losing a link:
   have no linked members, and leaders that are linked need no look at their members.
 * Index lists (one a shingle, holding sets whose prefix has it) are read by blocks of equal
   position: two blocks whose positions leave too little room for the needed overlap are skipped,
-  and within a block only the sizes in reach are read.
+  and within a block only the sizes in reach are read. Of what is left, pairs whose signatures
+  (parities of hashed slots) differ in more bits than linked sets can are never sent on.
 
 Lists are read twice: first each leader is held against its list's first one only, then leaders
 that are still not connected against each other. A group of near copies, however large, is
@@ -41,6 +42,8 @@ BLOCK_WORDS = 2_500_000
 MOST_PARTNERS = 2_000
 #: Most (block, document) rows, of 16 bytes, that are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_PLACES = 1_000_000
+#: Bits of a set's signature: the parities of its shingles by hashed slot.
+SIGNATURE_BITS = 512
 
 
 def _need(n: int, percent: int) -> int:
@@ -56,25 +59,43 @@ def _set_id(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """A set's parities. Two sets' signatures differ in no more bits than the sets differ in shingles."""
+    slots = ((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(SIGNATURE_BITS)
+    return np.packbits(np.bincount(slots.astype(np.int64), minlength=SIGNATURE_BITS) & 1).tobytes()
+
+
+def _may_link(sig, n, radius, x, y, percent: int):
+    """Of pairs of leaders (rows ``x``, ``y``): can members of both be linked, by their signatures.
+
+    Linked members are at most 1 - percent / 100 apart, their leaders the radii more; a distance d
+    of sets with n and m shingles is a difference of d (n + m) / (2 - d) shingles.
+    """
+    far = np.minimum(1.0, 1 - percent / 100 + radius[x] + radius[y])
+    differ = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
+    return differ <= far * (n[x] + n[y]) / (2 - far) + 1e-6
+
+
 def _measure(width: int):
-    """Each document's set size and set id; then the task's sketch of shingle counts."""
+    """Each document's set size, set id and signature; then the task's sketch of shingle counts."""
 
     def run(batches):
         counts = np.zeros(SKETCH_SLOTS, np.int64)
-        names = ["doc_id", "n", "sid", "chunk", "counts"]
+        names = ["doc_id", "n", "sid", "signature", "chunk", "counts"]
         for batch in batches:
-            sizes, sids = [], []
+            sizes, sids, signatures = [], [], []
             for _, texts in in_slices(bytes_of(batch.column("text"))):
                 held = [shingles(h, width) for h in word_hashes(texts, lower=True)]
                 sizes += map(len, held)
                 sids += map(_set_id, held)
+                signatures += map(_signature, held)
                 counts += np.bincount((np.concatenate(held) & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), minlength=SKETCH_SLOTS)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if counts.any():
             parts = np.split(np.minimum(counts, 2**32 - 1).astype(np.uint32), SKETCH_CHUNKS)
             k = SKETCH_CHUNKS
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return run
 
@@ -306,8 +327,14 @@ def _other_pairs(percent: int):
         for table in _whole_lists(batches, "token"):
             token, leader, root = (table.column(c).to_numpy() for c in ("token", "a", "root"))
             low, high, place = _unpacked(table.column("value").to_numpy())
+            n, radius = (table.column(c).to_numpy() for c in ("n", "radius"))
+            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(token), -1)
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            got = list(_pairs(leader, root, low, high, place, starts, np.append(starts[1:], len(token)), percent))
+            rows = np.arange(len(token))
+            got = []
+            for x, y in _pairs(rows, root, low, high, place, starts, np.append(starts[1:], len(token)), percent):
+                ok = _may_link(sig, n, radius, x, y, percent)
+                got.append((leader[x[ok]], leader[y[ok]]))
             if got:
                 a, b = (np.concatenate(x) for x in zip(*got))
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -389,9 +416,10 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    measured = scratch.save(rows.mapInArrow(_measure(width), "doc_id long, n long, sid long, chunk int, counts binary"), "measured")
+    measured = scratch.save(rows.mapInArrow(_measure(width), "doc_id long, n long, sid long, signature binary, chunk int, counts binary"), "measured")
     documents = measured.where("chunk is null").select("doc_id", "n", "sid")
-    sizes = scratch.save(documents.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "sizes")
+    sets = measured.where("n > 0 and doc_id is not null").groupBy("sid")
+    sizes = scratch.save(sets.agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "sizes")
 
     chunks = measured.where("chunk is not null").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").toArrow().sort_by("chunk")
     total = np.frombuffer(b"".join(chunks.column("counts").to_pylist()), np.int64) if chunks.num_rows else np.zeros(SKETCH_SLOTS, np.int64)
@@ -417,7 +445,13 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     links = links_1.where("linked").select("a", "b").unionAll(stars.select(F.col("leader").alias("a"), F.col("sid").alias("b")))
     roots = components(links, scratch, "roots1")
 
-    open_lists = found.where("b is null").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("token", "a", "value", F.coalesce("root", "a").alias("root"))
+    # a set of null ids alone has no row in sizes: a radius of 1 keeps all its pairs
+    facts = sizes.select(F.col("sid").alias("a"), "n", "signature").join(roots.select(F.col("node").alias("a"), "root"), "a", "full").join(radii.select(F.col("leader").alias("a"), "r"), "a", "left")
+    open_lists = found.where("b is null").select("token", "a", "value").join(facts, "a", "left").select(
+        "token", "a", "value", F.coalesce("root", "a").alias("root"), F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("signature", F.lit(bytes(SIGNATURE_BITS // 8))).alias("signature"),
+        F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("radius"),
+    )
     other = open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_other_pairs(percent), "a long, b long").distinct()
     other = other.join(found.where("radius is null and b is not null").select("a", "b").distinct(), ["a", "b"], "left_anti")
     links_2 = checked(scratch.save(other, "other"), "second")

@@ -140,6 +140,20 @@ def test_long_lists_are_read_by_blocks():
     assert {p for p in got if p[0] != p[1]} == want
 
 
+def test_signatures_never_lose_a_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 60, 900):
+        for changes in (0, 1, n // 20, n // 9, n // 4):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.r_[a[changes:], rng.integers(0, 2**63, changes).astype(np.uint64)])
+            sig = np.frombuffer(ngram_join._signature(a) + ngram_join._signature(b), np.uint64).reshape(2, -1)
+            common = len(np.intersect1d(a, b))
+            ok = ngram_join._may_link(sig, np.array([len(a), len(b)]), np.zeros(2), np.array([0]), np.array([1]), 90)
+            assert ok[0] or not ngram_join._linked(common, len(a), len(b), 90)
+            far = ngram_join._may_link(sig, np.array([len(a), len(b)]), np.array([1.0, 0]), np.array([0]), np.array([1]), 90)
+            assert far[0]
+
+
 def test_components_of_a_path(spark):
     scratch = common.Scratch(spark, "test")
     edges = spark.range(60).selectExpr("id as a", "id + 1 as b").unionAll(spark.createDataFrame([(100, 101), (5, 5)], "a long, b long"))
