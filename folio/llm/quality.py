@@ -8,24 +8,28 @@ that repeats the one before it costs what such repeats cost in trusted text, if
 that says one word over and over becomes far too easy. A document's perplexity is held against a
 high and a low quantile of its language's trusted documents.
 
-As n-grams stay within words, a distinct word needs scoring once a task.
+As n-grams stay within words, a distinct word needs scoring once a unit of documents. Documents
+become places in their unit's word list; the distinct n-grams of all units meet the model shard by
+shard, and each unit gets back the scores of its own. Nothing grows with the model but tables.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bytes_of
 
 ORDER = 5
-#: Most n-grams a model holds (16 bytes each); beyond it, the rarest longest ones back off instead.
-MODEL_ROWS = 4_000_000
+#: A unit of documents ends at so many bytes of text or distinct words; its group is scored in one task.
+UNIT_BYTES, UNIT_WORDS = 32 << 20, 500_000
 #: Above this many label rows they are joined by a shuffle, not a broadcast.
 BROADCAST_LABELS = 4_000_000
 #: Bytes of trusted average that each document's own average is drawn towards: short texts vary widely.
@@ -108,11 +112,12 @@ def _suffix():
     return F.expr("shiftleft(shiftright(gram, 40) - 1, 40) + (gram & (shiftleft(1L, cast((shiftright(gram, 40) - 1) * 8 as int)) - 1))")
 
 
-def trained(trusted: DataFrame, scratch: Scratch, model_rows: int = MODEL_ROWS) -> DataFrame:
+def trained(trusted: DataFrame, scratch: Scratch, model_rows: int | None = None) -> DataFrame:
     """The model of ``trusted(text)`` as a table: gram, logp (base 2), backoff (base 2; 0 unless it is a context).
 
     Orders above the first come from counts, or from the number of distinct bytes before where
-    more could stand before. Three discounts an order follow from its counts of counts.
+    more could stand before. Three discounts an order follow from its counts of counts. A caller may
+    ask for at most ``model_rows``; by default every n-gram counted is in the model.
     """
     counted = scratch.save(trusted.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "raw")
     seen = {r["gram"]: r["n"] for r in counted.where("gram < 0").collect()}
@@ -154,8 +159,8 @@ def trained(trusted: DataFrame, scratch: Scratch, model_rows: int = MODEL_ROWS)
         probabilities, weights = probabilities.unionByName(p), weights.unionByName(w)
     table = probabilities.join(weights, "gram", "full").select("gram", F.coalesce("n", F.lit(1 << 60)).alias("n"), F.log2("p").cast("float").alias("logp"), F.coalesce("backoff", F.lit(0.0)).cast("float").alias("backoff"))
     table = scratch.save(table, "model")
-    rows = table.count()
-    if rows > model_rows:
+    rows = table.count() if model_rows is not None else 0
+    if model_rows is not None and rows > model_rows:
         # the longest n-grams with the fewest counts go until the rest fits
         longest = _order(F.col("gram")) == ORDER
         counts = table.where(longest).groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy("n").collect()
@@ -169,81 +174,170 @@ def trained(trusted: DataFrame, scratch: Scratch, model_rows: int = MODEL_ROWS)
 
 
 class Model:
-    """The model's table in a task."""
+    """A model's table, or a shard of it, in a task."""
 
     def __init__(self, grams: np.ndarray, logp: np.ndarray, backoff: np.ndarray):
         by = np.argsort(grams)
         self.grams, self.logp, self.backoff = grams[by], logp[by], backoff[by]
-        self.known: dict[bytes, float] = {}
-        self.repeat = -float(self.logp[self.grams == REPEATS][0])
 
     def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.grams, codes), max(len(self.grams) - 1, 0))
         return at, (self.grams[at] == codes) if len(self.grams) else np.zeros(len(codes), bool)
 
-    def bits(self, words: list[bytes]) -> np.ndarray:
-        """Minus the base-2 logarithm of each word's probability."""
-        text, place, word = _positions(words)
-        scored = place > 0  # the space before a word is given
-        total = np.zeros(len(text))
-        open_ = np.flatnonzero(scored)
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Minus the base-2 logarithm of the last byte's probability after the others, for each n-gram."""
+        orders, low = codes >> 40, codes & ((1 << 40) - 1)
+        total = np.zeros(len(codes))
+        open_ = np.arange(len(codes))
         for order in range(ORDER, 0, -1):
-            here = open_[place[open_] >= order - 1]
-            at, found = self._find(_grams(text, order).view(np.int64)[here])
+            here = open_[orders[open_] >= order]
+            gram = low[here] & ((1 << 8 * order) - 1)
+            at, found = self._find(gram | (order << 40))
             found &= ~np.isnan(self.logp[at]) if len(self.logp) else False
             total[here[found]] -= self.logp[at[found]]
-            done = np.zeros(len(text), bool)
+            # the context of a single byte is the empty n-gram, 0
+            at, known = self._find((gram[~found] >> 8) | ((order - 1) << 40))
+            total[here[~found][known]] -= self.backoff[at[known]]
+            done = np.zeros(len(codes), bool)
             done[here[found]] = True
-            missed = here[~found]
-            if len(missed):
-                # the context of a single byte is the empty n-gram, 0
-                context = _grams(text, order - 1)[missed - 1].view(np.int64) if order > 1 else np.zeros(len(missed), np.int64)
-                at, known = self._find(context)
-                total[missed[known]] -= self.backoff[at[known]]
             open_ = open_[~done[open_]]
         total[open_] += 8.0  # a byte never seen
-        return np.bincount(word, total, len(words))
-
-    def of(self, words: list[bytes]) -> float:
-        """Bits of a text's words, all of which must have been learned."""
-        return sum(map(self.known.__getitem__, words)) - sum(max(0.0, self.known[w] - self.repeat) for w in repeats(words))
-
-    def learn(self, words: set[bytes], most: int = 600_000) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > most:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            self.known.update(zip(part, self.bits(part).tolist()))
-
-
-def _scored(held):
-    def run(batches):
-        grams, logp, backoff = held.value
-        model = Model(grams, logp, backoff)
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), bytes_of(batch.column("text"))
-            bits, sizes = [], []
-            for at in range(0, len(texts), 500):
-                words = [split(t) for t in texts[at : at + 500]]
-                model.learn(set().union(*words))
-                bits += [model.of(ws) for ws in words]
-                sizes += [sum(map(len, ws)) + len(ws) for ws in words]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), batch.column("lang"), pa.array(bits, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "lang", "bits", "n_bytes"])
+        return total
+
+    def bits(self, words: list[bytes]) -> np.ndarray:
+        """Minus the base-2 logarithm of each word's probability."""
+        codes, word = _longest(words)
+        return np.bincount(word, self.of(codes), len(words))
+
+
+def _longest(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The longest n-gram that ends at each byte of the words, and its word; the space before a word is given."""
+    text, place, word = _positions(words)
+    codes = _grams(text, ORDER).view(np.int64)
+    for order in range(2, ORDER):
+        short = place == order - 1
+        codes[short] = _grams(text, order).view(np.int64)[short]
+    return codes[place > 0], word[place > 0]
+
+
+_UNITS = "unit long, doc_id long, lang string, n_bytes long, places binary, words array<binary>, first int, grams array<long>"
+
+
+def _units(batches):
+    """Documents as places in their unit's word list; the lists in parts; the distinct n-grams of the words in parts."""
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.int64())]
+    schema = pa.schema([(field.split(" ")[0], t) for field, t in zip(_UNITS.split(", "), types)])
+    unit, known, size = uuid.uuid4().int >> 65, {}, 0
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
+
+    def words():
+        names = list(known)
+        grams = []
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
+            yield table([(unit, None, None, None, None, part[k : k + 5000], at + k, None) for k in range(0, len(part), 5000)])
+            grams.append(np.unique(_longest(part)[0]))
+        codes = np.unique(np.concatenate(grams))
+        for at in range(0, len(codes), 50_000):
+            yield table([(unit, None, None, None, None, None, None, codes[at : at + 50_000])])
+
+    for batch in batches:
+        texts = bytes_of(batch.column("text"))
+        ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
+        rows = []
+        for i, text in enumerate(texts):
+            ws = split(text)
+            places = np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int32, len(ws))
+            rows.append((unit, ids[i], langs[i], sum(map(len, ws)) + len(ws), places.tobytes(), None, None, None))
+            size += len(text)
+            full = size >= UNIT_BYTES or len(known) >= UNIT_WORDS
+            if full or len(rows) >= 1000 or i + 1 == len(texts):
+                yield table(rows)
+                rows = []
+            if full:
+                if known:
+                    yield from words()
+                unit, known, size = uuid.uuid4().int >> 65, {}, 0
+    if known:
+        yield from words()
+
+
+def _shard(gram, last: int):
+    """Of n-grams of three bytes or more, the two bytes of which the second is ``last`` bytes from the end."""
+    return F.shiftright(gram, 8 * last).bitwiseAND(F.lit(0xFFFF))
+
+
+def _shard_scores(short):
+    """Scores of a shard's n-grams: all longer n-grams and contexts that they can back off to are in the shard, the rest in ``short``."""
+
+    def run(key, left, right):
+        grams, logp, backoff = (np.concatenate([a, right.column(n).to_numpy()]) for a, n in zip(short.value, ("gram", "logp", "backoff")))
+        codes = left.column("gram").to_numpy()
+        return pa.table({"gram": pa.array(codes), "bits": pa.array(Model(grams, logp, backoff).of(codes))})
+
+    return run
+
+
+def gram_scores(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(gram, bits) of distinct ``grams(gram)`` under ``model``.
+
+    An n-gram of three bytes or more and all that it can back off to share the two bytes before
+    its last one, or are contexts that end in them, or have at most two bytes. Of the last there
+    are no more than 256 * 257 + 1, whatever the input: only they are broadcast.
+    """
+    at = F.col("gram")
+    few = model.where((at >= 0) & (_order(at) <= 2)).toArrow()
+    short = grams.sparkSession.sparkContext.broadcast(tuple(few[n].to_numpy() for n in ("gram", "logp", "backoff")))
+    longer = model.where(_order(at) >= 3)
+    sides = F.explode(F.array_distinct(F.array(_shard(at, 1), _shard(at, 0))))
+    held = longer.withColumn("held", sides).select("held", "gram", "logp", "backoff")
+    # those of two bytes have a shard too, in which the broadcast part is all they need
+    asked = grams.select(_shard(at, 1).alias("asked"), "gram")
+    return asked.groupBy("asked").cogroup(held.groupBy("held")).applyInArrow(_shard_scores(short), "gram long, bits double")
+
+
+def _sums(repeat: float):
+    """Bits of a unit's documents; a word that repeats the one before it costs ``repeat`` at most."""
+
+    def run(key, left, right):
+        is_doc = pc.is_valid(left.column("places"))
+        docs, lists = left.filter(is_doc), left.filter(pc.invert(is_doc)).sort_by("first")
+        names = [w for part in lists.column("words").to_pylist() for w in part]
+        grams, scores = right.column("gram").to_numpy(), right.column("bits").to_numpy()
+        by = np.argsort(grams)
+        grams, scores = grams[by], scores[by]
+        held = [np.zeros(0)]
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
+            codes, word = _longest(part)
+            held.append(np.bincount(word, scores[np.searchsorted(grams, codes)], len(part)))
+        held = np.concatenate(held)
+        bits = []
+        for raw in docs.column("places").to_pylist():
+            places = np.frombuffer(raw, np.int32)
+            each = held[places]
+            again = each[1:][places[1:] == places[:-1]]
+            bits.append(float(each.sum() - np.maximum(0.0, again - repeat).sum()))
+        return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "bits": pa.array(bits, pa.float64()), "n_bytes": docs.column("n_bytes")})
 
     return run
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
+def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, lang, bits, n_bytes (of words, with a space each) of ``docs(doc_id, lang, text)``."""
-    table = model.toArrow()
-    held = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(), table["logp"].to_numpy(), table["backoff"].to_numpy()))
-    return docs.select("doc_id", "lang", "text").mapInArrow(_scored(held), "doc_id long, lang string, bits double, n_bytes long")
+    units = scratch.save(docs.select("doc_id", "lang", "text").mapInArrow(_units, _UNITS), "units")
+    asked = units.where("grams is not null").select(F.col("unit").alias("of"), F.explode("grams").alias("gram"))
+    scored = scratch.save(gram_scores(asked.select("gram").distinct(), model), "grams")
+    own = asked.join(scored, "gram").select("of", "gram", "bits")
+    repeat = -float(model.where(F.col("gram") == REPEATS).first()["logp"])
+    texts = units.where("grams is null").select("unit", "doc_id", "lang", "n_bytes", "places", "words", "first")
+    return texts.groupBy("unit").cogroup(own.groupBy("of")).applyInArrow(_sums(repeat), "doc_id long, lang string, bits double, n_bytes long")
 
 
 def classified(
-    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin_bits: float = MARGIN_BITS, prior_bytes: int = PRIOR_BYTES, model_rows: int = MODEL_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin_bits: float = MARGIN_BITS, prior_bytes: int = PRIOR_BYTES, model_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (a byte), lowest, highest, kept.
 
@@ -260,7 +354,7 @@ def classified(
     good = F.broadcast(good) if good.count() <= BROADCAST_LABELS else good
     trusted = rows.join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
     model = trained(trusted.select("text"), scratch, model_rows)
-    scores = scratch.save(perplexities(rows, model), "scores")
+    scores = scratch.save(perplexities(rows, model, scratch), "scores")
 
     lang = F.coalesce("lang", F.lit("\0"))
     marked = scores.withColumn("l", lang)

@@ -343,6 +343,34 @@ def test_model_equals_plain_one(spark):
         assert x == pytest.approx(bits(w), rel=1e-4), w
 
 
+def test_every_ngram_is_used(spark):
+    """Sums by document over the sharded table equal the plain model, with units of any size; no n-gram is cut by default."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice(["th", "er", "a", "on", "é", "7"]) for _ in range(rng.randrange(1, 5))) for _ in range(60)) for _ in range(20)]
+    scratch = Scratch(spark, "test")
+    model = quality.trained(spark.createDataFrame([(t,) for t in texts], "text string"), scratch)
+    bits, rate = brute_model(texts), -model.where(f"gram = {quality.REPEATS}").first()["logp"]
+    asked = [*texts[:8], "zzz zzz thq", "", "x" * 3000, "the the the a"]
+    docs = spark.createDataFrame([(i, "l", t) for i, t in enumerate(asked)], "doc_id long, lang string, text string").repartition(3)
+    got = {r["doc_id"]: r["bits"] for r in quality.perplexities(docs, model, scratch).collect()}
+    for i, t in enumerate(asked):
+        ws = quality.split(t.encode())
+        want = sum(map(bits, ws)) - sum(max(0.0, bits(w) - rate) for w in quality.repeats(ws))
+        assert got[i] == pytest.approx(want, rel=1e-4), t
+
+
+def test_units_end_and_start_anew(monkeypatch):
+    monkeypatch.setattr(quality, "UNIT_WORDS", 3)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, None], "lang": ["a", None, "b", "c"], "text": ["u v w x", "u y", "", None]})
+    out = [r for b in quality._units([batch]) for r in b.to_pylist()]
+    lists = {(r["unit"], r["first"] + i): w for r in out if r["words"] for i, w in enumerate(r["words"])}
+    docs = [(r["doc_id"], [lists[r["unit"], p] for p in np.frombuffer(r["places"], np.int32).tolist()]) for r in out if r["places"] is not None]
+    assert docs == [(1, [b"u", b"v", b"w", b"x"]), (2, [b"u", b"y"]), (3, []), (None, [])]
+    assert len({r["unit"] for r in out}) == 2
+
+
 def test_quality_held_out(spark):
     """Half of the labels train; the other half must agree."""
     data = "/root/testdata/sf0.01"
