@@ -128,9 +128,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     vector = F.col(f"`{vector_col}`").cast("array<double>")
 
     def usable(df):
+        """Rows that take part, once each: a repeated one would fill a tile's places and heaps."""
         v = F.col("vector")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-        return df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("vector")).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
+        return df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("vector")).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine).distinct()
 
     candidates = usable(vectors)
     lengths = candidates.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -146,8 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     q = grid(asked, down, across).select((F.col("mine") * across + F.col("theirs")).alias("tile"), "vec_id", "vector")
     c = grid(candidates, across, down).select((F.col("theirs") * across + F.col("mine")).alias("tile_of"), "vec_id", "vector")
-    # a repeated row would fill the heaps
-    best = q.groupBy("tile").cogroup(c.groupBy("tile_of")).applyInArrow(_tile(k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"])
+    best = q.groupBy("tile").cogroup(c.groupBy("tile_of")).applyInArrow(_tile(k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"])  # an id of several vectors may meet one of equal score twice
     best = scratch.save(best, "best")
     return best.repartition("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 

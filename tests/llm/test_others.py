@@ -54,6 +54,18 @@ def test_nearest_few_and_none(spark):
     assert nearest.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_nearest_repeated_rows(spark):
+    """A row repeated more than k times takes one place, as a candidate and as a query."""
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=8).tolist() for i in range(30)}
+    vectors[1] = [x * 1.001 for x in vectors[0][:4]] + vectors[0][4:]  # the nearest of 0
+    vectors[2] = vectors[1]
+    rows = [(i, v) for i, v in vectors.items() for _ in range(9 if i in (0, 1) else 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = nearest.nearest(df, df.where("vec_id in (0, 3)"))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == brute_nearest(vectors, [0, 3], 5)
+
+
 def test_quantised_bound():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(50, 32)), rng.normal(size=(60, 32)) ** 5
