@@ -7,6 +7,7 @@ read, so that a lost executor costs one task and never the lineage before the ta
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,20 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 
 
+#: Bytes of a batch that goes to a Python worker or comes from one, where the session doesn't say: long texts come few at a time.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one is set only where none is."""
+    """The folder the cluster shares; on one machine (tests), a temporary one is set where none is."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         path = "file://" + tempfile.mkdtemp(prefix="folio-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -42,6 +50,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
+        if spark.conf.get(_BATCH_CONF, "64MB") == "64MB":  # the default
+            spark.conf.set(_BATCH_CONF, BATCH_BYTES)
         atexit.register(self.clear)
 
     def path(self, name: str) -> str:
@@ -158,6 +168,30 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(rolled(hashes, min(width, len(hashes))))
 
 
+# --- decisions by row ---------------------------------------------------------------------
+
+
+def row_key(*columns: Column) -> Column:
+    """A 64-bit hash of what a decision about a row rests on; held together with the row's id."""
+    return F.xxhash64(F.lit(len(columns)), *[F.coalesce(c.cast("string"), F.lit("\0")) for c in columns])
+
+
+def decided(docs: DataFrame, decisions: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` with all its columns after ``decisions(doc_id, row_key, keep, n)``, one row a (doc_id, row_key).
+
+    Rows that no decision names stay, all of them. Of the ``n`` rows that a decision names, keep leaves
+    one and its opposite none. Ids may be null.
+    """
+    named = decisions.select(F.col("doc_id").alias("__d_id"), F.col("row_key").alias("__d_key"), F.col("keep").alias("__d_keep"))
+    own = F.col(f"`{id_col}`").cast("long")
+    met = docs.withColumn("__key", key).join(named, (F.col("__key") == F.col("__d_key")) & own.eqNullSafe(F.col("__d_id")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if decisions.where("keep and n > 1").isEmpty():
+        return met.where(F.coalesce("__d_keep", F.lit(True))).select(columns)
+    one = met.where("__d_keep").withColumn("__id", own).dropDuplicates(["__id", "__key"]).select(columns)
+    return met.where("__d_keep is null").select(columns).unionByName(one)
+
+
 # --- pruning rows by a set of ids ---------------------------------------------------------
 
 BLOOM_PROBES = 4

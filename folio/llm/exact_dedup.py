@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_of, bytes_of, maybe_in
+from .common import Scratch, bloom_of, bytes_of, decided, maybe_in, row_key
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HASHES_PER_OWNER = 1 << 23  # 64 MB of raw fingerprints in an owner's task
 
 
@@ -38,9 +39,10 @@ def rice_encode(sorted_distinct: np.ndarray, start: int, span_bits: int) -> byte
     unary = np.ones(int(ends[-1]) + 1 if n else 0, np.uint8)
     unary[ends] = 0
     shifts = np.arange(width - 1, -1, -1, dtype=np.uint64)
-    low = ((gaps[:, None] >> shifts[None, :]) & np.uint64(1)).astype(np.uint8)
-    head, tail = np.packbits(unary), np.packbits(low.ravel())
-    return bytes([width]) + len(head).to_bytes(8, "little") + head.tobytes() + tail.tobytes()
+    # a multiple of eight values at a time, so that every part ends with a whole byte
+    parts = [np.packbits(((gaps[at : at + 8192, None] >> shifts[None, :]) & np.uint64(1)).astype(np.uint8).ravel()) for at in range(0, n, 8192)]
+    head = np.packbits(unary)
+    return bytes([width]) + len(head).to_bytes(8, "little") + head.tobytes() + b"".join(p.tobytes() for p in parts)
 
 
 def rice_decode(code: bytes, n: int, start: int) -> np.ndarray:
@@ -189,9 +191,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one_per_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows whose text another row of larger id has."""
-    dropped = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    """``docs`` with all its columns; of the rows with equal texts, one stays: one with the largest id.
+
+    The decision is by row: equal ids with unlike texts don't touch each other, of equal rows with
+    the winning id one stays, and a row without id stays only where its text has no row with one.
+    """
+    scratch = Scratch(docs.sparkSession, "exact-stage")
+    found = exact_duplicates(docs, id_col, text_col).where("group_size > 1").groupBy("doc_id", "text_sha256")
+    known = scratch.save(found.agg(F.first("kept").alias("keep"), F.count(F.lit(1)).alias("n")), "groups")
+    key = row_key(F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), UPPER, UPPER.lower()), 256))
+    return decided(docs, known.select("doc_id", row_key(F.col("text_sha256")).alias("row_key"), "keep", "n"), id_col, key)
 
 
 OP7_SQL = """

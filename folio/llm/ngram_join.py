@@ -2,7 +2,7 @@
 
 Three relations between sets save work without losing a link:
 
-* Equal sets are one set.
+* Equal sets are one set (by a 64-bit id; where two unlike sets have one id, as their second ids show, both take those).
 * A set very close to one the task has seen (its leader) is attached to it with its exact
   distance; its index entries become its leader's. As 1 - Jaccard is a metric, answers of the leader
   give most answers of the attached set: leaders farther apart than the threshold plus both radii
@@ -31,15 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_of, bytes_of, components, in_slices, joined_components, maybe_in, mixed, shingles, word_hashes
+from .common import Scratch, bloom_of, bytes_of, components, decided, in_slices, joined_components, maybe_in, row_key, shingles, word_hashes
 
 SKETCH_SLOTS = 1 << 19
 SKETCH_CHUNKS = 64
 #: Bytes of leaders' sets that a task remembers; a leader that it forgot only costs work.
 LEADER_BYTES = 48 << 20
 #: Words of the texts that one block of pairs brings together (about 20 MB of hashes).
-BLOCK_WORDS = 2_500_000
-MOST_PARTNERS = 2_000
+BLOCK_WORDS = 1_000_000
 #: Most (block, document) rows, of 16 bytes, that are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_PLACES = 1_000_000
 #: Bits of a set's signature: the parities of its shingles by hashed slot.
@@ -55,8 +54,14 @@ def _linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def _set_id(values: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
+def _set_id(values: np.ndarray, odd: frozenset = frozenset(), seed: int = 0) -> int:
+    """A set's id; one of the few ids of ``odd``, which unlike sets have, gives way to the second id."""
+    first = xxhash.xxh3_64_intdigest(values.tobytes(), seed) - (1 << 63)
+    return _set_id(values, seed=1) if first in odd else first
+
+
+#: Most ids of unlike sets: some 10 are expected of 2 * 10^10 sets. They are sent with the code.
+MOST_ODD = 10_000
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -81,28 +86,43 @@ def _measure(width: int):
 
     def run(batches):
         counts = np.zeros(SKETCH_SLOTS, np.int64)
-        names = ["doc_id", "n", "sid", "signature", "chunk", "counts"]
+        names = ["doc_id", "row_key", "n", "sid", "second", "signature", "chunk", "counts"]
         for batch in batches:
-            sizes, sids, signatures = [], [], []
+            sizes, sids, seconds, signatures = [], [], [], []
             for _, texts in in_slices(bytes_of(batch.column("text"))):
                 held = [shingles(h, width) for h in word_hashes(texts, lower=True)]
                 sizes += map(len, held)
                 sids += map(_set_id, held)
+                seconds += (_set_id(h, seed=1) for h in held)
                 signatures += map(_signature, held)
                 counts += np.bincount((np.concatenate(held) & np.uint64(SKETCH_SLOTS - 1)).astype(np.int64), minlength=SKETCH_SLOTS)
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(seconds, pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if counts.any():
             parts = np.split(np.minimum(counts, 2**32 - 1).astype(np.uint32), SKETCH_CHUNKS)
             k = SKETCH_CHUNKS
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 5, pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return run
 
 
-def _add(key, table):
-    total = sum(np.frombuffer(b, np.uint32).astype(np.int64) for b in table.column("counts").to_pylist())
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _add(batches):
+    """Sums of counts by chunk, of rows that come sorted by chunk: one chunk is held at a time."""
+    held, total = None, None
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+            counts = np.frombuffer(counts, np.uint32 if len(counts) == 4 * SKETCH_SLOTS // SKETCH_CHUNKS else np.int64)
+            if chunk != held:
+                if held is not None:
+                    yield _chunk(held, total)
+                held, total = chunk, np.zeros(len(counts), np.int64)
+            total += counts
+    if held is not None:
+        yield _chunk(held, total)
+
+
+def _chunk(chunk, total) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def _ranks(total: np.ndarray) -> np.ndarray:
@@ -155,7 +175,7 @@ class Leaders:
 ENTRY = "token long, leader long, value long, radius double"
 
 
-def _index(held, width: int, percent: int):
+def _index(held, width: int, percent: int, odd: frozenset):
     def run(batches):
         ranks, leaders, seen = held.value, Leaders(percent), set()
         for batch in batches:
@@ -165,7 +185,7 @@ def _index(held, width: int, percent: int):
                     s = shingles(h, width)
                     if not len(s):
                         continue
-                    sid = _set_id(s)
+                    sid = _set_id(s, odd)
                     if sid in seen:
                         continue
                     if len(seen) > 1_000_000:
@@ -245,37 +265,46 @@ def _whole_lists(batches, key: str):
 
 
 def _first_pairs(percent: int):
-    """First look at the lists: each entry with the list's first leader (by place, then a hashed order), and lists of several leaders.
+    """First look at the lists: each entry with the list's first leader, and lists of several leaders.
 
-    What is linked through first leaders needs no other pair.
+    Rows come sorted by token, place and a hash of the leader, so a list's first one leads it: the one
+    with the fewest rarer shingles has the fewest changes of its own, most others are near it. What is
+    linked through first leaders needs no other pair. Only a list's first entry is held.
     """
 
     def run(batches):
-        for table in _whole_lists(batches, "token"):
-            star = np.asarray(table.column("radius").combine_chunks().is_valid())
-            token, leader, value = (table.column(c).to_numpy() for c in ("token", "leader", "value"))
+        head = None  # token, leader and value of the list at hand; and whether it is known to have several leaders
+        for batch in batches:
+            star = np.asarray(batch.column("radius").is_valid())
+            token, leader, value = (batch.column(c).to_numpy() for c in ("token", "leader", "value"))
             if star.any():
-                yield _found(None, leader[star], value[star], radius=table.column("radius").to_numpy()[star])
+                yield _found(None, leader[star], value[star], radius=batch.column("radius").to_numpy(zero_copy_only=False)[star])
                 token, leader, value = token[~star], leader[~star], value[~star]
-            # the one with the fewest rarer shingles has the fewest changes of its own: most others are near it
-            by = np.lexsort((mixed(leader.view(np.uint64)), _unpacked(value)[2], token))
-            token, leader, value = token[by], leader[by], value[by]
-            first = np.r_[True, token[1:] != token[:-1]][: len(token)]
-            head = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
-            more = leader != leader[head]
-            if not more.any():
+            if not len(token):
                 continue
+            carried = head is not None and head[0] == token[0]
+            if carried:  # the list goes on: its head stands before this batch
+                token, leader, value = (np.r_[np.array([h], np.int64), x] for h, x in zip(head, (token, leader, value)))
+            first = np.r_[True, token[1:] != token[:-1]]
+            at = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
+            more = leader != leader[at]
             several = np.zeros(len(token), bool)
-            several[head[more]] = True
-            several = several[head]
-            at, to = np.flatnonzero(more), head[more]
-            x, y = _unpacked(value[at]), _unpacked(value[to])
-            ok = _room(*x, *y, percent)
-            a, b = leader[at[ok]], leader[to[ok]]
-            if len(a):
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield _found(None, both[0], both[1])
-            yield _found(token[several], leader[several], None, value[several])
+            several[at[more]] = True
+            known = carried and head[3]
+            several[0] |= known
+            last = at[-1]
+            head = (token[last], leader[last], value[last], bool(several[last]))
+            told = several[at]
+            told[0] &= not known  # the head went out with an earlier batch
+            if more.any():
+                x, to = np.flatnonzero(more), at[more]
+                ok = _room(*_unpacked(value[x]), *_unpacked(value[to]), percent)
+                a, b = leader[x[ok]], leader[to[ok]]
+                if len(a):
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                    yield _found(None, both[0], both[1])
+            if told.any():
+                yield _found(token[told], leader[told], None, value[told])
 
     return run
 
@@ -344,7 +373,7 @@ def _other_pairs(percent: int):
     return run
 
 
-def _verify(width: int, percent: int):
+def _verify(width: int, percent: int, odd: frozenset):
     """A block's pairs, with the texts of their sets: links found, and pairs whose members may be linked."""
 
     def run(key, left, right):
@@ -352,7 +381,7 @@ def _verify(width: int, percent: int):
         for _, texts in in_slices(bytes_of(right.column("text"))):
             for h in word_hashes(texts, lower=True):
                 s = shingles(h, width)
-                sets[_set_id(s)] = s
+                sets[_set_id(s, odd)] = s
 
         def find(x):
             while root.setdefault(x, x) != x:
@@ -377,56 +406,80 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _checked(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, scratch: Scratch, name: str, width: int, percent: int) -> DataFrame:
+def _checked(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, scratch: Scratch, name: str, width: int, percent: int, odd: frozenset) -> DataFrame:
     """``pairs(a, b, reach)`` verified: a, b, linked, distance (where members may still be linked).
 
-    ``sizes(sid, n, doc_id)`` has a document for each set. A pair's block follows its first set; one
-    with very many partners is dealt over several blocks by the partner.
+    ``sizes(sid, n, row_key)`` has a row for each set. A pair's block follows its first set; one whose
+    partners have more words than a block takes is dealt over several blocks by the partner.
     """
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    weight = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct().join(sizes, "sid")
-    needed = scratch.save(weight.select("sid", "n", "doc_id"), f"{name}-needed")
-    blocks = max(1, -(-(needed.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
-    split = F.when(F.col("m") > MOST_PARTNERS, F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / MOST_PARTNERS))).otherwise(F.lit(0))
-    dealt = pairs.join(many, "a").select("a", "b", "reach", F.pmod(F.xxhash64("a", split), F.lit(blocks)).alias("block"))
+    of = lambda end: sizes.select(F.col("sid").alias(end), F.col("n").alias(f"n_{end}"))
+    sized = scratch.save(pairs.join(of("a"), "a").join(of("b"), "b"), f"{name}-sized")
+    many = sized.groupBy("a").agg((F.sum("n_b") + F.max("n_a")).alias("m"))
+    split = F.pmod(F.xxhash64("b"), F.ceil(2 * F.col("m") / BLOCK_WORDS))
+    blocks = max(1, -(-(many.agg(F.sum("m")).first()[0] or 0) // BLOCK_WORDS))
+    dealt = sized.join(many, "a").select("a", "b", "reach", F.pmod(F.xxhash64("a", split), F.lit(blocks)).alias("block"))
     dealt = scratch.save(dealt, f"{name}-dealt")
     # blocks by document first, so that texts move once, to the blocks, or twice where the list is long
     where = dealt.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("sid")).distinct()
-    where = scratch.save(where.join(needed.select("sid", F.col("doc_id").alias("__id")), "sid").select("at", "__id").distinct(), f"{name}-where")
+    where = scratch.save(where.join(sizes.select("sid", F.col("row_key").alias("__key")), "sid").select("at", "__key").distinct(), f"{name}-where")
     if where.count() <= BROADCAST_PLACES:
         asked, where = rows, F.broadcast(where)
     else:
-        asked = maybe_in(rows, "doc_id", bloom_of(needed.select("doc_id")))
-    brought = asked.join(where, F.col("doc_id") == F.col("__id")).select("at", "text")
-    out = dealt.groupBy("block").cogroup(brought.groupBy("at")).applyInArrow(_verify(width, percent), "a long, b long, linked boolean, distance double")
+        asked = maybe_in(rows, "row_key", bloom_of(where.select("__key")))
+    brought = asked.join(where, F.col("row_key") == F.col("__key")).select("at", "text")
+    out = dealt.groupBy("block").cogroup(brought.groupBy("at")).applyInArrow(_verify(width, percent, odd), "a long, b long, linked boolean, distance double")
     return scratch.save(out, f"{name}-checked")
 
 
+#: Entries of a list that are held together; longer lists are read as pairs of parts.
+LIST_ROWS = 20_000
+
+
+def _in_parts(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """``entries`` by list, where a list is a token's or, of a token with very many entries, a pair of its parts."""
+    entries = scratch.save(entries, "open-lists")
+    most = max(LIST_ROWS, entries.count() // 10_000)
+    # fewer than one long list in ``most`` entries
+    long = F.broadcast(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select("token", F.ceil(2 * F.col("m") / most).alias("parts")))
+    mine = F.pmod(F.xxhash64("a"), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.xxhash64("token", F.least(mine, k), F.greatest(mine, k)))
+    return entries.join(long, "token", "left").withColumn("token", F.explode(F.when(F.col("parts").isNull(), F.array("token")).otherwise(cells))).drop("parts")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id; and group (null without words) and row_key.
 
     Words are runs other than white space, A-Z lowered; a document's set is its distinct shingles of
     ``width`` words, or its whole sequence where it has fewer. Two documents are linked when the
     Jaccard similarity of their sets is at least ``percent`` / 100, and component_id is the
     smallest id reachable. Null, empty and blank texts have no shingles, no links and their own id.
     Rows that repeat an id or a set share its component; a null id (of a text with words) takes
-    its set's component, and is never one's name while another id is there. An empty table gives no
-    rows. Other columns play no part.
+    its set's component, and is never one's name while another id is there: component_id is null, and
+    ``group`` tells such components apart, where no row has an id. An empty table gives no rows.
+    Other columns play no part.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    measured = scratch.save(rows.mapInArrow(_measure(width), "doc_id long, n long, sid long, signature binary, chunk int, counts binary"), "measured")
-    documents = measured.where("chunk is null").select("doc_id", "n", "sid")
-    sets = measured.where("n > 0 and doc_id is not null").groupBy("sid")
-    sizes = scratch.save(sets.agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "sizes")
-
-    chunks = measured.where("chunk is not null").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").toArrow().sort_by("chunk")
+    own_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(own_id.alias("doc_id"), text.alias("text"), row_key(own_id, text).alias("row_key"))
+    measured = scratch.save(rows.mapInArrow(_measure(width), "doc_id long, row_key long, n long, sid long, second long, signature binary, chunk int, counts binary"), "measured")
+    unlike = measured.where("n > 0").groupBy("sid").agg(F.min("second").alias("s1"), F.max("second").alias("s2")).where("s1 != s2").select("sid")
+    odd = frozenset(r["sid"] for r in unlike.limit(MOST_ODD).collect())
+    if odd:
+        measured = scratch.save(measured.withColumn("sid", F.when(F.col("sid").isin(list(odd)), F.col("second")).otherwise(F.col("sid"))), "measured-again")
+    documents = measured.where("chunk is null").select("doc_id", "row_key", "n", "sid")
+    sets = measured.where("n > 0").groupBy("sid")
+    sizes = scratch.save(sets.agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("signature").alias("signature")), "sizes")
+
+    added = measured.where("chunk is not null").select("chunk", "counts")
+    for key in (["chunk", F.spark_partition_id() % 16], ["chunk"]):  # first in sixteen parts each, then the parts
+        added = added.repartition(*key).sortWithinPartitions("chunk").mapInArrow(_add, "chunk int, counts binary")
+    chunks = added.toArrow().sort_by("chunk")
     total = np.frombuffer(b"".join(chunks.column("counts").to_pylist()), np.int64) if chunks.num_rows else np.zeros(SKETCH_SLOTS, np.int64)
     ranks = spark.sparkContext.broadcast(_ranks(total))
 
-    entries = rows.mapInArrow(_index(ranks, width, percent), ENTRY)
-    lists = entries.repartition("token").sortWithinPartitions("token")
+    entries = rows.mapInArrow(_index(ranks, width, percent, odd), ENTRY)
+    lists = entries.repartition("token").sortWithinPartitions("token", F.col("value").bitwiseAND(F.lit((1 << 19) - 1)), F.xxhash64("leader"), "leader")
     found = scratch.save(lists.mapInArrow(_first_pairs(percent), FOUND), "found")
     stars = scratch.save(found.where("radius is not null").groupBy(F.col("a").alias("leader"), F.col("b").alias("sid")).agg(F.min("radius").alias("radius")), "stars")
     radii = stars.groupBy("leader").agg(F.max("radius").alias("r"))
@@ -438,21 +491,18 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
             .join(radii.select(F.col("leader").alias("b"), F.col("r").alias("rb")), "b", "left")
             .select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("reach"))
         )
-        return _checked(scratch.save(reach, name), sizes, rows, scratch, name, width, percent)
+        return _checked(scratch.save(reach, name), sizes, rows, scratch, name, width, percent, odd)
 
     first = found.where("radius is null and b is not null").select("a", "b").distinct()
     links_1 = checked(first, "first")
     links = links_1.where("linked").select("a", "b").unionAll(stars.select(F.col("leader").alias("a"), F.col("sid").alias("b")))
     roots = components(links, scratch, "roots1")
 
-    # a set of null ids alone has no row in sizes: a radius of 1 keeps all its pairs
-    facts = sizes.select(F.col("sid").alias("a"), "n", "signature").join(roots.select(F.col("node").alias("a"), "root"), "a", "full").join(radii.select(F.col("leader").alias("a"), "r"), "a", "left")
-    open_lists = found.where("b is null").select("token", "a", "value").join(facts, "a", "left").select(
-        "token", "a", "value", F.coalesce("root", "a").alias("root"), F.coalesce("n", F.lit(0)).alias("n"),
-        F.coalesce("signature", F.lit(bytes(SIGNATURE_BITS // 8))).alias("signature"),
-        F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("radius"),
-    )
-    other = open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_other_pairs(percent), "a long, b long").distinct()
+    facts = sizes.select(F.col("sid").alias("a"), "n", "signature").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").join(radii.select(F.col("leader").alias("a"), "r"), "a", "left")
+    open_lists = found.where("b is null").select("token", "a", "value").join(facts, "a").select(
+        "token", "a", "value", F.coalesce("root", "a").alias("root"), "n", "signature", F.coalesce("r", F.lit(0.0)).alias("radius")
+    )
+    other = _in_parts(open_lists, scratch).repartition("token").sortWithinPartitions("token").mapInArrow(_other_pairs(percent), "a long, b long").distinct()
     other = other.join(found.where("radius is null and b is not null").select("a", "b").distinct(), ["a", "b"], "left_anti")
     links_2 = checked(scratch.save(other, "other"), "second")
     roots = joined_components(roots, links_2.where("linked").select("a", "b"), scratch, "roots2")
@@ -479,19 +529,32 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
             .distinct()
         )
         more = scratch.save(more, "member-pairs")
-        roots = joined_components(roots, _checked(more, sizes, rows, scratch, "members", width, percent).where("linked").select("a", "b"), scratch, "roots3")
+        roots = joined_components(roots, _checked(more, sizes, rows, scratch, "members", width, percent, odd).where("linked").select("a", "b"), scratch, "roots3")
 
     named = sizes.select("sid", "doc_id").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    names = named.join(least, "root").select("sid", "component")
-    return documents.join(names, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = named.join(least, "root").select("sid", "component", "root")
+    alone = F.col("n") == 0
+    return documents.join(names, "sid", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(~alone, F.col("root")).alias("group"), "row_key"
+    )
 
 
-def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with all its columns; of each group of similar documents the one with the smallest id."""
-    dropped = similar_groups(docs, width, percent).where("component_id != doc_id").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns; of each group of similar documents one row stays: one with the smallest id.
+
+    The decision is by row: a row without id stays only where its group has none with one, and of equal
+    rows one stays. Rows without words are in no group and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-stage")
+    found = similar_groups(docs, width, percent, id_col, text_col).where("`group` is not null")
+    rows = scratch.save(found.groupBy("group", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    best = rows.groupBy("group").agg(F.min(order).alias("best"), F.sum("n").alias("all")).where("`all` > 1")
+    named = rows.join(best, "group").select("doc_id", "row_key", order.eqNullSafe(F.col("best")).alias("keep"), "n")
+    own_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    return decided(docs, scratch.save(named, "named"), id_col, row_key(own_id, text))
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=90)
+    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=90).drop("group", "row_key")

@@ -1,21 +1,22 @@
 """Substring deduplication with suffix automata of reference shards.
 
-A window of 50 words that two documents share also shares its least 25-word run (by hash), as the
-26 runs of equal windows are equal. Such runs that several documents have are the anchors, and an
-anchor's owner is the smallest document with it. Around each anchor, the words of windows that may
-have it as their least run are cut out and sent to the owner's shard, where they are streamed,
-smallest document first, through a suffix automaton of all that the shard has seen: matching
-statistics of 50 or more mark the covered words, and only windows not seen before are added.
-
-Shards are not broadcast to everybody: repeated text grows with the corpus, so no bound on their
-size could be proven. Each automaton is built in the task that its passages are dealt to. A passage
-that very many documents share is dealt over several shards first; what is new in each of them
-goes to a second round, which settles windows between them.
+The reference is every repeated window (of 50 words) where it first stands. It is found so: a window
+that two documents share also shares its least 25-word run (by hash), as the 26 runs of equal windows
+are equal. Such runs that several documents have are the anchors, and an anchor's owner is the smallest
+document with it. Around the anchors, passages are cut out of each document, by owner. Their windows'
+hashes, summed by window before they are shuffled, say which windows truly repeat and in which
+document each of them is first; the rest of the passages is not part of the reference.
+
+The reference's passages are dealt to shards of bounded size by owner. Each shard's suffix automaton is
+built once, as flat arrays in a written table, and goes to all the tasks that stream the passages of its
+owners. Matching statistics of 50 or more there, at places where the document isn't the first itself,
+are the words to remove. A shard that very many documents meet is streamed in many tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bloom_of, bytes_of, in_slices, maybe_in, rolled, word_hashes
 
-#: Words of cut-out text that a shard's task takes; owners with more are dealt over several shards.
-SHARD_WORDS = 200_000
+#: Words of a reference shard, and of the passages that one task streams past one.
+SHARD_WORDS, STREAM_WORDS = 60_000, 400_000
+#: Hits of one anchor in a task of the join by anchor; those with more are dealt over several.
+ANCHOR_ROWS = 20_000
+#: Windows of a passage that are streamed as one.
+CHUNK = 512
 
 
 class SuffixAutomaton:
@@ -71,23 +76,63 @@ class SuffixAutomaton:
             else:
                 last = target
 
-    def matches(self, words: list[int], width: int) -> list[bool]:
-        """For each place, whether the ``width`` words that end there occur in a passage."""
-        nxt, link, length = self.next, self.link, self.length
-        state = size = 0
-        out = []
-        for word in words:
-            to = nxt[state].get(word)
-            while to is None and state:
-                state = link[state]
-                size = length[state]
-                to = nxt[state].get(word)
-            if to is None:
-                size = 0
-            else:
-                state, size = to, size + 1
-            out.append(size >= width)
-        return out
+    def flat(self) -> "Flat":
+        """The automaton as arrays: sorted (state, word) edges and where they lead."""
+        symbols, order = np.unique(np.fromiter((w for out in self.next for w in out), np.uint64), return_inverse=True)
+        sizes = np.fromiter(map(len, self.next), np.int64, len(self.next))
+        edges = np.repeat(np.arange(len(self.next)), sizes) * max(1, len(symbols)) + order
+        to = np.fromiter((t for out in self.next for t in out.values()), np.int32)
+        by = np.argsort(edges)
+        return Flat(symbols, edges[by], to[by], np.array(self.link, np.int32), np.array(self.length, np.int32))
+
+
+@dataclass
+class Flat:
+    """A suffix automaton in five arrays."""
+
+    symbols: np.ndarray
+    edges: np.ndarray
+    to: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+
+    def matches(self, passages: list[np.ndarray], width: int) -> list[np.ndarray]:
+        """For each place of each passage, whether the ``width`` words that end there are in the reference.
+
+        All passages take a step at a time, the longest first; a word that doesn't follow is looked up
+        again from the suffix link.
+        """
+        if not passages:
+            return []
+        sizes = np.fromiter(map(len, passages), np.int64, len(passages))
+        words = np.concatenate(passages) if sizes.sum() else np.zeros(0, np.uint64)
+        hit = np.zeros(len(words), bool)
+        if len(self.edges) and len(words):
+            at = np.minimum(np.searchsorted(self.symbols, words), len(self.symbols) - 1)
+            symbol = np.where(self.symbols[at] == words, at, -1)
+            starts = np.cumsum(sizes) - sizes
+            by = np.argsort(-sizes, kind="stable")
+            live = np.searchsorted(-sizes[by], -np.arange(sizes.max()), "left")  # passages longer than each step
+            state, size = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+            for step in range(int(sizes.max())):
+                n = live[step]
+                word = symbol[starts[by[:n]] + step]
+                state[:n][word < 0], size[:n][word < 0] = 0, 0
+                open_ = np.flatnonzero(word >= 0)
+                while len(open_):
+                    edge = state[open_] * len(self.symbols) + word[open_]
+                    found = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                    ok = self.edges[found] == edge
+                    state[open_[ok]] = self.to[found[ok]]
+                    size[open_[ok]] += 1
+                    open_ = open_[~ok]
+                    root = state[open_] == 0
+                    size[open_[root]] = 0
+                    open_ = open_[~root]
+                    state[open_] = self.link[state[open_]]
+                    size[open_] = self.length[state[open_]]
+                hit[starts[by[:n]] + step] = size[:n] >= width
+        return np.split(hit, np.cumsum(sizes)[:-1])
 
 
 def _least(hashes: np.ndarray, run: int, width: int) -> np.ndarray:
@@ -121,79 +166,117 @@ def _anchors(run: int, width: int):
 
 
 def _cut(run: int, width: int):
-    """Passages of each document around its anchors, joined where they touch and have one shard."""
+    """Passages of each document around its anchors, joined where they touch and have one owner."""
 
     def go(batches):
         for batch in batches:
-            out = []
-            hashes = (h for _, texts in in_slices(bytes_of(batch.column("text"))) for h in word_hashes(texts))
-            for i, h, hits in zip(batch.column("doc_id").to_pylist(), hashes, batch.column("hits").to_pylist()):
-                by: dict[tuple, list] = {}
-                for hit in sorted(hits, key=lambda x: x["place"]):
-                    a, b = max(0, hit["place"] + run - width), min(len(h), hit["place"] + width)
-                    key = (hit["owner"], hit["deal"])
-                    spans = by.setdefault(key, [])
-                    if spans and a <= spans[-1][1] - (width - 1):  # nothing between two spans' windows is lost or gained
-                        spans[-1][1] = max(b, spans[-1][1])
-                    else:
-                        spans.append([a, b])
-                for (owner, deal), spans in by.items():
-                    out += [(owner, deal, i, a, h[a:b].tobytes()) for a, b in spans]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["owner", "deal", "doc_id", "start", "words"])
+            ids, hits = batch.column("doc_id").to_pylist(), batch.column("hits")
+            for first, texts in in_slices(bytes_of(batch.column("text"))):
+                out = []
+                for i, h, own in zip(ids[first:], word_hashes(texts), hits.slice(first, len(texts)).to_pylist()):
+                    by: dict[int, list] = {}
+                    for hit in sorted(own, key=lambda x: x["place"]):
+                        a, b = max(0, hit["place"] + run - width), min(len(h), hit["place"] + width)
+                        spans = by.setdefault(hit["owner"], [])
+                        if spans and a <= spans[-1][1] - (width - 1):  # nothing between two spans' windows is lost or gained
+                            spans[-1][1] = max(b, spans[-1][1])
+                        else:
+                            spans.append([a, b])
+                    out += [(owner, i, a, h[a:b].tobytes()) for owner, spans in by.items() for a, b in spans if b - a >= width]
+                yield _rows(out, PASSAGE)
 
     return go
 
 
-PASSAGE = "owner long, deal long, doc_id long, start long, words binary"
+PASSAGE = "owner long, doc_id long, start long, words binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _stream(width: int):
-    """Shards, which come sorted by (owner, deal, doc_id, start): covered spans (without words) and passages not seen before."""
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+WINDOW = "owner long, code long, doc_id long"
+
+
+def _windows(width: int):
+    """(owner, code, doc_id) of every window of the passages."""
 
     def go(batches):
-        key, automaton = None, None
-        doc, held = None, []
-
-        def finish(out):
-            """Ends a document: its new windows join the automaton."""
-            for start, words, seen in held:
-                ends = np.flatnonzero(seen)
-                n = len(words)
-                for a, b in _spans(ends - width + 1, ends + 1):
-                    out.append((key[0], key[1], doc, start + a, start + b, None))
-                fresh = np.flatnonzero(~seen[width - 1 :])
-                for a, b in _runs(fresh):
-                    part = words[a : min(n, b + width - 1)]
-                    automaton.add(part.tolist())
-                    out.append((key[0], key[1], doc, start + a, start + a + len(part), part.tobytes()))
-            held.clear()
-
-        def made(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["owner", "deal", "doc_id", "start", "end", "words"])
+        for batch in batches:
+            parts = [rolled(np.frombuffer(w, np.uint64), width) for w in batch.column("words").to_pylist()]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            each = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("owner", "doc_id")]
+            codes = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+            for at in range(0, len(codes), 200_000):
+                cut = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(each[0][cut]), pa.array(codes[cut]), pa.array(each[1][cut])], names=["owner", "code", "doc_id"])
+
+    return go
+
 
+def _reference(width: int):
+    """Of the passages of documents that are first somewhere, the runs of windows that are."""
+
+    def go(batches):
         for batch in batches:
             out = []
-            for owner, deal, i, start, code in zip(*(batch.column(c).to_pylist() for c in ("owner", "deal", "doc_id", "start", "words"))):
-                if (owner, deal) != key or i != doc:
-                    if key is not None:
-                        finish(out)
-                    if (owner, deal) != key:
-                        key, automaton = (owner, deal), SuffixAutomaton()
-                    doc = i
-                words = np.frombuffer(code, np.uint64)
-                held.append((start, words, np.array(automaton.matches(words.tolist(), width), bool)))
-            if out:
-                yield made(out)
-        if key is not None:
-            out = []
-            finish(out)
-            if out:
-                yield made(out)
+            for owner, doc, start, words, codes in zip(*(batch.column(c).to_pylist() for c in ("owner", "doc_id", "start", "words", "codes"))):
+                words = np.frombuffer(words, np.uint64)
+                here = np.isin(rolled(words, width).view(np.int64), np.array(codes, np.int64))
+                out += [(owner, doc, start + a, words[a : b + width - 1].tobytes()) for a, b in _runs(np.flatnonzero(here))]
+            yield _rows(out, PASSAGE)
 
     return go
 
 
+AUTOMATON = "shard long, symbols binary, edges binary, to binary, link binary, length binary"
+
+
+def _build(key, table):
+    """A shard's automaton; the passages of a shard are few by how they are dealt."""
+    automaton = SuffixAutomaton()
+    for words in table.column("words").to_pylist():
+        automaton.add(np.frombuffer(words, np.uint64).tolist())
+    flat = automaton.flat()
+    parts = (flat.symbols.astype(np.uint64), flat.edges.astype(np.int64), flat.to, flat.link, flat.length)
+    return pa.Table.from_batches([_rows([(key[0].as_py(), *(p.tobytes() for p in parts))], AUTOMATON)])
+
+
+def _stream(width: int):
+    """Passages past a shard's automaton: the words of windows in it, but for those where the document is the first."""
+
+    def go(key, left, right):
+        if not right.num_rows or not left.num_rows:
+            return _table([])
+        held = [np.frombuffer(right.column(c)[0].as_py(), t) for c, t in zip(("symbols", "edges", "to", "link", "length"), (np.uint64, np.int64, np.int32, np.int32, np.int32))]
+        automaton = Flat(*held)
+        out = []
+        docs, starts, first = (left.column(c).to_pylist() for c in ("doc_id", "start", "first"))
+        chunks, of = [], []
+        for n, words in enumerate(left.column("words").to_pylist()):
+            words = np.frombuffer(words, np.uint64)
+            for at in range(0, len(words) - width + 1, CHUNK):
+                chunks.append(words[at : at + CHUNK + width - 1])
+                of.append((n, at))
+        for (n, at), hit in zip(of, automaton.matches(chunks, width)):
+            places = np.flatnonzero(hit[width - 1 :]) + starts[n] + at  # starts of windows
+            if first[n] and len(places):
+                places = places[~np.isin(places, np.concatenate([np.arange(f["start"], f["end"]) for f in first[n]]))]
+            out += [(docs[n], a, b + width - 1) for a, b in _runs(places)]
+        return _table(out)
+
+    def _table(rows):
+        return pa.Table.from_batches([_rows(rows, SPAN)])
+
+    return go
+
+
+SPAN = "doc_id long, start long, end long"
+
+
 def _spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Union of ascending [start, end) spans."""
     out: list[list[int]] = []
@@ -213,60 +296,90 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.r_[0, cut + 1]].tolist(), (places[np.r_[cut, len(places) - 1]] + 1).tolist()))
 
 
-def _judged(batches):
-    for batch in batches:
-        totals, gone, digests = [], [], []
-        spans = batch.column("spans").to_pylist()
-        for text, removed in zip(bytes_of(batch.column("text")), spans):
-            words = text.split()
-            n = 0
-            kept, at = [], 0
-            for a, b in _spans(*np.array(sorted((s["start"], s["end"]) for s in removed)).T) if removed else []:
-                kept += words[at:a]
-                n += b - a
-                at = b
-            kept += words[at:]
-            totals.append(len(words))
-            gone.append(n)
-            digests.append((hashlib.sha256(b" ".join(kept)).hexdigest(), b" ".join(kept)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array([d[0] for d in digests]), pa.array([d[1] for d in digests], pa.binary()).cast(pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-        )
-
-
-def repeated_spans(docs: DataFrame, width: int = 50, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _judged(with_text: bool):
+    def run(batches):
+        for batch in batches:
+            ids, spans = batch.column("doc_id"), batch.column("spans")
+            for first, texts in in_slices(bytes_of(batch.column("text"))):
+                totals, gone, digests, bodies = [], [], [], []
+                for text, removed in zip(texts, spans.slice(first, len(texts)).to_pylist()):
+                    words = text.split()
+                    n = 0
+                    kept, at = [], 0
+                    for a, b in _spans(*np.array(sorted((s["start"], s["end"]) for s in removed)).T) if removed else []:
+                        kept += words[at:a]
+                        n += b - a
+                        at = b
+                    kept += words[at:]
+                    body = b" ".join(kept)
+                    totals.append(len(words))
+                    gone.append(n)
+                    digests.append(hashlib.sha256(body).hexdigest())
+                    if with_text:
+                        bodies.append(body)
+                columns = [ids.slice(first, len(texts)), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests)]
+                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                if with_text:
+                    columns, names = [*columns, pa.array(bodies, pa.binary()).cast(pa.string())], [*names, "kept_text"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, width: int = 50, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """doc_id, start and end of the words to remove from ``docs(doc_id, text)``; spans may overlap."""
     scratch = Scratch(docs.sparkSession, "substring")
     run = (width + 1) // 2
     known = docs.where("doc_id is not null")
-    anchors = known.mapInArrow(_anchors(run, width), "anchor long, doc_id long, place long")
-    anchors = scratch.save(anchors, "anchors")
-    owners = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "owner")
-    hits = scratch.save(anchors.join(owners, "anchor").select("doc_id", "place", "owner"), "hits")
+    anchors = scratch.save(known.mapInArrow(_anchors(run, width), "anchor long, doc_id long, place long"), "anchors")
+    counts = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    owners = scratch.save(counts.where("owner < last").select("anchor", "owner", "n"), "owners")
+    # anchors with very many hits, fewer than one in ``most`` rows: they and their owners are dealt over several tasks
+    most = max(anchor_rows, anchors.count() // 10_000)
+    heavy = F.broadcast(owners.where(F.col("n") > most).select("anchor", F.ceil(F.col("n") / most).alias("deals")))
+    deal = F.pmod(F.xxhash64("doc_id", "place"), F.coalesce("deals", F.lit(1)))
+    dealt = anchors.join(heavy, "anchor", "left").select("anchor", deal.alias("deal"), "doc_id", "place")
+    spread = owners.select("anchor", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > most, F.ceil(F.col("n") / most)).otherwise(F.lit(1).cast("long")) - 1)).alias("deal"))
+    hits = scratch.save(dealt.join(spread, ["anchor", "deal"]).select("doc_id", "place", "owner"), "hits")
     scratch.drop("anchors")
     # only texts with hits move
-    known = maybe_in(known, "doc_id", bloom_of(hits.select("doc_id").distinct()))
-    # about how many words each owner's shard gets; the largest are dealt by document
-    loads = hits.groupBy("owner").agg(F.count(F.lit(1)).alias("m"))
-    deals = F.ceil(F.col("m") * width / shard_words)
-    hits = hits.join(loads, "owner").select("doc_id", F.struct("place", "owner", F.pmod(F.xxhash64("doc_id"), F.greatest(deals, F.lit(1))).cast("long").alias("deal")).alias("hit"))
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
-    marked = known.join(by_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "hits")
-    cut = marked.mapInArrow(_cut(run, width), PASSAGE)
-    shards = cut.repartition("owner", "deal").sortWithinPartitions("owner", "deal", "doc_id", "start")
-    streamed = "owner long, deal long, doc_id long, start long, end long, words binary"
-    first = scratch.save(shards.mapInArrow(_stream(width), streamed), "first")
-    # owners that were dealt out: what is new in each deal meets in a second round
-    parted = first.where("deal > 0").select("owner").distinct()
-    again = first.where("words is not null").join(parted, "owner", "left_semi").select("owner", F.lit(-1).cast("long").alias("deal"), "doc_id", "start", "words")
-    second = scratch.save(again.repartition("owner").sortWithinPartitions("owner", "doc_id", "start").mapInArrow(_stream(width), streamed), "second")
-    spans = first.where("words is null").unionAll(second.where("words is null")).select("doc_id", "start", "end")
+    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "owner")).alias("hits"))
+    marked = maybe_in(known, "doc_id", bloom_of(hits.select("doc_id").distinct())).join(by_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "hits")
+    cut = scratch.save(marked.mapInArrow(_cut(run, width), PASSAGE), "cut")
+    scratch.drop("hits")
+
+    # each repeated window's first document
+    windows = cut.mapInArrow(_windows(width), WINDOW).groupBy("owner", "code").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    firsts = windows.where("first < last").groupBy("owner", "first").agg(F.collect_list("code").alias("codes"))
+    reference = cut.join(firsts.withColumnRenamed("first", "doc_id"), ["owner", "doc_id"]).mapInArrow(_reference(width), PASSAGE)
+    reference = scratch.save(reference, "reference")
+
+    # shards: a large owner has several of its own, small ones are put together
+    size = F.octet_length("words") / 8
+    loads = reference.groupBy("owner").agg(F.sum(size).alias("m"))
+    total = loads.agg(F.sum("m").alias("m")).first()["m"] or 0
+    buckets = max(1, int(total // shard_words))
+    parts = F.ceil(F.col("m") / shard_words)
+    own = F.when(F.col("m") > shard_words, F.xxhash64("owner")).otherwise(F.pmod(F.xxhash64("owner"), F.lit(buckets)))
+    loads = scratch.save(loads.select("owner", parts.alias("parts"), own.alias("bucket")), "loads")
+    shard = lambda part: F.xxhash64("bucket", part)
+    dealt = reference.join(loads, "owner").withColumn("shard", shard(F.pmod(F.xxhash64("doc_id", "start"), F.col("parts"))))
+    automata = scratch.save(dealt.select("shard", "words").groupBy("shard").applyInArrow(_build, AUTOMATON), "automata")
+
+    # passages by the shards of their owner, each with the windows where its document is the first
+    own_runs = reference.select("owner", "doc_id", F.struct("start", (F.col("start") + size - (width - 1)).cast("long").alias("end")).alias("run")).groupBy("owner", "doc_id").agg(F.collect_list("run").alias("first"))
+    asked = cut.join(loads, "owner").join(own_runs, ["owner", "doc_id"], "left")
+    asked = asked.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), shard)).alias("shard"), "doc_id", "start", "words", "first")
+    met = asked.groupBy("shard").agg(F.sum(F.octet_length("words") / 8).alias("m")).select("shard", F.ceil(F.col("m") / stream_words).alias("tasks"))
+    met = scratch.save(met, "met")
+    left = asked.join(met, "shard").withColumn("task", F.pmod(F.xxhash64("doc_id", "start"), F.col("tasks"))).drop("tasks")
+    right = automata.join(met, "shard").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).drop("tasks")
+    spans = left.groupBy("shard", "task").cogroup(right.groupBy("shard", "task")).applyInArrow(_stream(width), SPAN)
     return scratch.save(spans, "spans")
 
 
-def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
+def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, with_text: bool = True, **how) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Words are runs other than white space, unchanged. A word is removed if a window of ``width``
     consecutive words that covers it also occurs, as it stands in the input, in a document of
@@ -277,14 +390,29 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     no part.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    spans = repeated_spans(rows, width, shard_words)
+    spans = repeated_spans(rows, width, shard_words, **how)
     by_doc = spans.distinct().groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     # texts that lose nothing are judged where they are
     bloom = bloom_of(spans.select("doc_id").distinct())
     joined = maybe_in(rows, "doc_id", bloom).join(by_doc, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
     whole = maybe_in(rows, "doc_id", bloom, inside=False).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
-    return joined.unionByName(whole).mapInArrow(_judged, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    return joined.unionByName(whole).mapInArrow(_judged(with_text), schema)
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p WHERE i + 49 <= len(w)),
+f AS (SELECT h, min(doc_id) AS first FROM s GROUP BY h),
+g AS (SELECT DISTINCT s.doc_id, s.i FROM s JOIN f ON s.h = f.h AND f.first < s.doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM g),
+k AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM c GROUP BY doc_id),
+o AS (SELECT t.doc_id, w, gone, coalesce(len(gone), 0) AS n FROM t LEFT JOIN k ON k.doc_id = t.doc_id),
+r AS (SELECT p.doc_id, string_agg(p.w[p.i], ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN c ON c.doc_id = p.doc_id AND c.i = p.i GROUP BY 1)
+SELECT o.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o LEFT JOIN r ON r.doc_id = o.doc_id
+"""
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
