@@ -220,10 +220,11 @@ def bloom_of(ids: DataFrame, bits_per_id: int = 12) -> np.ndarray:
     return out
 
 
-def maybe_in(df: DataFrame, id_col: str, bloom: np.ndarray, inside: bool = True) -> DataFrame:
+def maybe_in(df: DataFrame, id_col: str, bloom: np.ndarray, inside: bool = True, then=None, schema=None) -> DataFrame:
     """Rows whose id may be among those of the filter (never loses one that is), and rows without id; or all others.
 
-    The probes are computed in the JVM; only they and the id column's row go through Arrow.
+    The probes are computed in the JVM. ``then``, a function of batches whose rows have ``schema``, may
+    follow in the same Python worker.
     """
     spark, bits, columns = df.sparkSession, len(bloom) * 64, df.columns
     held = spark.sparkContext.broadcast(bloom)
@@ -239,7 +240,7 @@ def maybe_in(df: DataFrame, id_col: str, bloom: np.ndarray, inside: bool = True)
             if kept.num_rows:
                 yield kept.select(range(kept.num_columns - 1))
 
-    return probes.mapInArrow(keep, df.schema)
+    return probes.mapInArrow(keep if then is None else lambda batches: then(keep(batches)), df.schema if schema is None else schema)
 
 
 # --- components ---------------------------------------------------------------------------

@@ -135,14 +135,32 @@ class Flat:
         return np.split(hit, np.cumsum(sizes)[:-1])
 
 
-def _least(hashes: np.ndarray, run: int, width: int) -> np.ndarray:
-    """Starts of the runs that are the least of some window (of equal ones the last), ascending."""
-    codes = rolled(hashes, run)
-    span = width - run + 1
-    if len(codes) < span:
+#: Low bits of a code that give way to the place, and so the most windows that are looked at together.
+_PLACE_BITS = 20
+
+
+def _least(codes: np.ndarray, span: int) -> np.ndarray:
+    """Places of the codes that are the least of some ``span`` consecutive ones (of equal ones the last), ascending.
+
+    Codes count as equal by their high bits; the low ones hold the place, the last the least.
+    """
+    n = len(codes) - span + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(codes[::-1], span)[::-1]
-    return np.unique(np.arange(len(views)) + span - 1 - views.argmin(axis=1))
+    mask = (1 << _PLACE_BITS) - 1
+    out = []
+    for start in range(0, n, mask + 1 - span):
+        part = codes[start : start + mask]
+        low = (part & ~np.uint64(mask)) | np.arange(mask, mask - len(part), -1, dtype=np.int64).astype(np.uint64)
+        size = 1
+        while 2 * size <= span:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        if size < span:
+            low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
+        at = mask - (low & np.uint64(mask)).astype(np.int64)
+        out.append(start + at[np.r_[True, at[1:] != at[:-1]]])
+    return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
 
 
 def _anchors(run: int, width: int):
@@ -154,9 +172,10 @@ def _anchors(run: int, width: int):
             docs = batch.column("doc_id").to_pylist()
             for first, texts in in_slices(bytes_of(batch.column("text"))):
                 for i, h in zip(docs[first:], word_hashes(texts)):
-                    at = _least(h, run, width)
+                    each = rolled(h, run)
+                    at = _least(each, width - run + 1)
                     if len(at):
-                        codes.append(rolled(h, run)[at])
+                        codes.append(each[at])
                         places.append(at)
                         ids.append(np.full(len(at), i, np.int64))
             if codes:
@@ -223,10 +242,14 @@ def _reference(width: int):
     def go(batches):
         for batch in batches:
             out = []
-            for owner, doc, start, words, codes in zip(*(batch.column(c).to_pylist() for c in ("owner", "doc_id", "start", "words", "codes"))):
+            held = batch.column("codes")
+            codes, ends = held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())
+            for owner, doc, start, words, end, n in zip(*(batch.column(c).to_pylist() for c in ("owner", "doc_id", "start", "words")), ends, np.diff(ends, prepend=0)):
                 words = np.frombuffer(words, np.uint64)
-                here = np.isin(rolled(words, width).view(np.int64), np.array(codes, np.int64))
-                out += [(owner, doc, start + a, words[a : b + width - 1].tobytes()) for a, b in _runs(np.flatnonzero(here))]
+                first = np.sort(codes[end - n : end])
+                here = rolled(words, width).view(np.int64)
+                at = np.minimum(np.searchsorted(first, here), n - 1)
+                out += [(owner, doc, start + a, words[a : b + width - 1].tobytes()) for a, b in _runs(np.flatnonzero(first[at] == here))]
             yield _rows(out, PASSAGE)
 
     return go
@@ -299,7 +322,7 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
 def _judged(with_text: bool):
     def run(batches):
         for batch in batches:
-            ids, spans = batch.column("doc_id"), batch.column("spans")
+            ids, spans = batch.column("doc_id"), batch.column("spans") if "spans" in batch.schema.names else pa.nulls(batch.num_rows)
             for first, texts in in_slices(bytes_of(batch.column("text"))):
                 totals, gone, digests, bodies = [], [], [], []
                 for text, removed in zip(texts, spans.slice(first, len(texts)).to_pylist()):
@@ -395,9 +418,8 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     # texts that lose nothing are judged where they are
     bloom = bloom_of(spans.select("doc_id").distinct())
     joined = maybe_in(rows, "doc_id", bloom).join(by_doc, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
-    whole = maybe_in(rows, "doc_id", bloom, inside=False).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return joined.unionByName(whole).mapInArrow(_judged(with_text), schema)
+    return joined.mapInArrow(_judged(with_text), schema).unionAll(maybe_in(rows, "doc_id", bloom, False, _judged(with_text), schema))
 
 
 OP8_SQL = r"""

@@ -228,6 +228,17 @@ def test_repeats_edges(spark):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()) == Counter([(None, 60, 0), (1, 60, 0), (2, 60, 60), (3, 0, 0)])
 
 
+def test_least_codes(monkeypatch):
+    rng = np.random.default_rng(2)
+    for bits, n, values in ((20, 300, 50), (5, 300, 40), (6, 1000, 1 << 30)):
+        monkeypatch.setattr(substring_dedup, "_PLACE_BITS", bits)
+        codes = rng.integers(0, values, n).astype(np.uint64) << np.uint64(30)
+        for span in (1, 2, 7, 26):
+            want = {i + span - 1 - int(codes[i : i + span][::-1].argmin()) for i in range(n - span + 1)}
+            assert substring_dedup._least(codes, span).tolist() == sorted(want)
+    assert len(substring_dedup._least(codes[:5], 6)) == 0
+
+
 def test_automaton():
     for seed in range(300):
         rng = random.Random(seed)
