@@ -1,23 +1,22 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model predicts the bytes of a word from up to four bytes before them in the word (a word
-starts with its space and ends with the next one), with orders one to five. Trusted text is all
-text labelled good and not toxic; its n-grams are counted in every task and summed by n-gram, and
-the orders, their contexts and continuations are joined shard by shard. Digits count as 0. A word
-that repeats the one before it costs what such repeats cost in trusted text, if that is less: text
-that says one word over and over becomes far too easy. A document's perplexity is held against a
-high and a low quantile of its language's trusted documents.
-
-As n-grams stay within words, a distinct word needs scoring once a unit of documents. Documents
-become places in their unit's word list; the distinct n-grams of all units meet the model shard by
-shard, and each unit gets back the scores of its own. Nothing grows with the model but tables.
+A text is the stream of its words, a space around each; digits count as 0. The model predicts each byte
+from up to four bytes before it, over the ends of words as within them, with orders one to five. Trusted
+text is text labelled good and not toxic. Most of it trains: its n-grams are counted in every task and
+summed by n-gram, and the orders, their contexts and continuations are joined shard by shard. The rest
+is held out, and a document's perplexity is held against a high and a low quantile of its language's
+held-out documents. A word that repeats the one before it costs what such repeats cost in trusted text,
+if that is less: text that says one word over and over becomes far too easy.
+
+Documents become places in the word list of their unit; the distinct n-grams of all units' texts meet the
+model's counts shard by shard, and each unit gets back the scores of its own, to be summed by document.
+Nothing grows with the model but tables.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_of
+from .common import Scratch, bytes_of, decided, row_key
 
 ORDER = 5
 #: A unit of documents ends at so many bytes of text or distinct words; its group is scored in one task.
@@ -35,6 +34,10 @@ BROADCAST_LABELS = 4_000_000
 #: Bytes of trusted average that each document's own average is drawn towards: short texts vary widely.
 PRIOR_BYTES = 60
 QUANTILE, MARGIN_BITS = 0.995, 0.4
+#: One trusted document in so many, by a hash of its id, doesn't train but sets the limits.
+HELD_OUT = 5
+#: Bytes of text whose n-grams are worked out at once.
+STEP = 1 << 20
 #: Codes beside those of n-grams: words in all, and words that repeat the one before.
 WORDS, REPEATS = -1, -2
 _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
@@ -48,51 +51,68 @@ def repeats(words: list[bytes]) -> list[bytes]:
     return [w for w, before in zip(words[1:], words) if w == before]
 
 
-def _positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all words, each as ' word ', the place in the word of each, the word of each."""
-    text = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.uint64)
-    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return text, place, word
-
-
 def _grams(text: np.ndarray, order: int) -> np.ndarray:
     """At every byte, the code of the ``order`` bytes that end there: the order, then the bytes."""
     code = np.zeros(len(text), np.uint64)
     for back in range(order):
-        shifted = np.concatenate([np.zeros(back, np.uint64), text[: len(text) - back]])
-        code |= shifted << np.uint64(8 * back)
+        code[back:] |= text[: len(text) - back].astype(np.uint64) << np.uint64(8 * back)
     return code | np.uint64(order << 40)
 
 
-def _count(batches):
-    """Counts of the n-grams of trusted text: the longest at each byte (of ORDER bytes, or from the word's start)."""
-    words: Counter = Counter()
-    n_words = n_repeats = 0
+def _longest(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The longest n-gram that ends at each byte, by its place in its text; those at place 0 mean nothing."""
+    codes = _grams(text, ORDER)
+    for order in range(1, ORDER):
+        short = np.flatnonzero(place == order - 1)
+        codes[short] &= np.uint64((1 << 8 * order) - 1)
+        codes[short] |= np.uint64(order << 40)
+    return codes.view(np.int64)
 
-    def out():
-        names = list(words)
-        text, place, word = _positions(names)
-        counts = np.fromiter(words.values(), np.int64, len(names))[word]
-        codes, sums = [], []
-        for order in range(2, ORDER + 1):
-            here = place >= ORDER - 1 if order == ORDER else place == order - 1
-            values, back = np.unique(_grams(text, order)[here], return_inverse=True)
-            codes.append(values)
-            sums.append(np.bincount(back, counts[here], len(values)).astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).view(np.int64)), pa.array(np.concatenate(sums))], names=["gram", "n"])
 
-    for batch in batches:
-        for text in bytes_of(batch.column("text")):
-            ws = split(text)
-            words.update(ws)
-            n_words, n_repeats = n_words + len(ws), n_repeats + len(repeats(ws))
-            if len(words) > 500_000:
+def _codes(texts: list[list[bytes]]):
+    """Codes of the longest n-grams of texts given as words, in parts of bounded size; the space before a text is given."""
+    held, starts, skips, size = [], [], [], 0
+
+    def out():
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = inside + np.repeat(starts, sizes)
+        codes = _longest(np.frombuffer(b"".join(held), np.uint8), place)
+        return codes[(inside >= np.repeat(skips, sizes)) & (place > 0)]
+
+    for words in texts:
+        if not words:
+            continue
+        stream = b" " + b" ".join(words) + b" "
+        for at in range(0, len(stream), STEP):
+            start = max(0, at - ORDER)
+            held.append(stream[start : at + STEP])
+            starts.append(start)
+            skips.append(at - start)
+            size += len(held[-1])
+            if size >= STEP:
                 yield out()
-                words.clear()
-    if words:
+                held, starts, skips, size = [], [], [], 0
+    if held:
         yield out()
+
+
+def _count(batches):
+    """Counts of the n-grams of trusted text: the longest at each byte (of ORDER bytes, or from the text's start)."""
+    n_words = n_repeats = 0
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        texts = [split(t) for t in bytes_of(batch.column("text"))]
+        n_words += sum(map(len, texts))
+        n_repeats += sum(len(repeats(ws)) for ws in texts)
+        for codes in _codes(texts):
+            new, n = np.unique(codes, return_counts=True)
+            both, back = np.unique(np.r_[grams, new], return_inverse=True)
+            grams, counts = both, np.bincount(back, np.r_[counts, n], len(both)).astype(np.int64)
+            if len(grams) > 1_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], names=["gram", "n"])
+                grams, counts = grams[:0], counts[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], names=["gram", "n"])
     yield pa.RecordBatch.from_arrays([pa.array([WORDS, REPEATS], pa.int64()), pa.array([n_words, n_repeats], pa.int64())], names=["gram", "n"])
 
 
@@ -112,12 +132,12 @@ def _suffix():
     return F.expr("shiftleft(shiftright(gram, 40) - 1, 40) + (gram & (shiftleft(1L, cast((shiftright(gram, 40) - 1) * 8 as int)) - 1))")
 
 
-def trained(trusted: DataFrame, scratch: Scratch, model_rows: int | None = None) -> DataFrame:
+def trained(trusted: DataFrame, scratch: Scratch) -> DataFrame:
     """The model of ``trusted(text)`` as a table: gram, logp (base 2), backoff (base 2; 0 unless it is a context).
 
     Orders above the first come from counts, or from the number of distinct bytes before where
-    more could stand before. Three discounts an order follow from its counts of counts. A caller may
-    ask for at most ``model_rows``; by default every n-gram counted is in the model.
+    more could stand before. Three discounts an order follow from its counts of counts. Every n-gram
+    counted is in the model.
     """
     counted = scratch.save(trusted.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "raw")
     seen = {r["gram"]: r["n"] for r in counted.where("gram < 0").collect()}
@@ -126,7 +146,7 @@ def trained(trusted: DataFrame, scratch: Scratch, model_rows: int | None = None)
     levels = {ORDER: raw.where(_order(F.col("gram")) == ORDER)}
     for order in range(ORDER - 1, 0, -1):
         longer = levels[order + 1]
-        # those that start a word have nothing before them: their own counts; the others, their distinct predecessors
+        # those that start a text have nothing before them: their own counts; the others, their distinct predecessors
         inner = longer.select(_suffix().alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         level = inner.unionByName(raw.where(_order(F.col("gram")) == order)) if order > 1 else inner
         levels[order] = scratch.save(level.groupBy("gram").agg(F.sum("n").alias("n")), f"level{order}")
@@ -146,10 +166,10 @@ def trained(trusted: DataFrame, scratch: Scratch, model_rows: int | None = None)
         own = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
         if below is None:
             p = own + gamma / 256
-            level_p = joined.select("gram", "n", p.alias("p"))
+            level_p = joined.select("gram", p.alias("p"))
         else:
             lower = below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-            level_p = joined.withColumn("suffix", _suffix()).join(lower, "suffix", "left").select("gram", "n", (own + gamma * F.coalesce("lower", F.lit(1 / 256))).alias("p"))
+            level_p = joined.withColumn("suffix", _suffix()).join(lower, "suffix", "left").select("gram", (own + gamma * F.coalesce("lower", F.lit(1 / 256))).alias("p"))
         below = scratch.save(level_p, f"p{order}")
         weights = contexts.select(F.col("context").alias("gram"), F.log2(gamma).alias("backoff"))
         parts.append((below, weights))
@@ -157,19 +177,8 @@ def trained(trusted: DataFrame, scratch: Scratch, model_rows: int | None = None)
     weights = parts[0][1].unionByName(parts[1][1])
     for p, w in parts[2:]:
         probabilities, weights = probabilities.unionByName(p), weights.unionByName(w)
-    table = probabilities.join(weights, "gram", "full").select("gram", F.coalesce("n", F.lit(1 << 60)).alias("n"), F.log2("p").cast("float").alias("logp"), F.coalesce("backoff", F.lit(0.0)).cast("float").alias("backoff"))
+    table = probabilities.join(weights, "gram", "full").select("gram", F.log2("p").cast("float").alias("logp"), F.coalesce("backoff", F.lit(0.0)).cast("float").alias("backoff"))
     table = scratch.save(table, "model")
-    rows = table.count() if model_rows is not None else 0
-    if model_rows is not None and rows > model_rows:
-        # the longest n-grams with the fewest counts go until the rest fits
-        longest = _order(F.col("gram")) == ORDER
-        counts = table.where(longest).groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).orderBy("n").collect()
-        least = 0
-        for r in counts:
-            if rows <= model_rows:
-                break
-            rows, least = rows - r["m"], r["n"]
-        table = table.where(~longest | (F.col("n") > least))
     return table.select("gram", "logp", "backoff").unionByName(table.sparkSession.range(1).select(F.lit(REPEATS).cast("long").alias("gram"), F.lit(math.log2(rate)).cast("float").alias("logp"), F.lit(0.0).cast("float").alias("backoff")))
 
 
@@ -204,62 +213,52 @@ class Model:
         total[open_] += 8.0  # a byte never seen
         return total
 
-    def bits(self, words: list[bytes]) -> np.ndarray:
-        """Minus the base-2 logarithm of each word's probability."""
-        codes, word = _longest(words)
-        return np.bincount(word, self.of(codes), len(words))
+    def bits(self, text: bytes) -> float:
+        """Minus the base-2 logarithm of a text's probability."""
+        return float(sum(self.of(codes).sum() for codes in _codes([split(text)])))
 
 
-def _longest(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The longest n-gram that ends at each byte of the words, and its word; the space before a word is given."""
-    text, place, word = _positions(words)
-    codes = _grams(text, ORDER).view(np.int64)
-    for order in range(2, ORDER):
-        short = place == order - 1
-        codes[short] = _grams(text, order).view(np.int64)[short]
-    return codes[place > 0], word[place > 0]
-
-
-_UNITS = "unit long, doc_id long, lang string, n_bytes long, places binary, words array<binary>, first int, grams array<long>"
+_UNITS = "unit long, doc_id long, row_key long, lang string, n_bytes long, places binary, words array<binary>, first int, grams array<long>"
 
 
 def _units(batches):
-    """Documents as places in their unit's word list; the lists in parts; the distinct n-grams of the words in parts."""
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.int64())]
+    """Documents as places in their unit's word list; the lists in parts; the distinct n-grams of the texts in parts."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.int64())]
     schema = pa.schema([(field.split(" ")[0], t) for field, t in zip(_UNITS.split(", "), types)])
-    unit, known, size = uuid.uuid4().int >> 65, {}, 0
+    unit, known, size, grams = uuid.uuid4().int >> 65, {}, 0, []
 
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
 
     def words():
         names = list(known)
-        grams = []
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield table([(unit, None, None, None, None, part[k : k + 5000], at + k, None) for k in range(0, len(part), 5000)])
-            grams.append(np.unique(_longest(part)[0]))
+        for at in range(0, len(names), 5000):
+            yield table([(unit, *[None] * 5, names[at : at + 5000], at, None)])
         codes = np.unique(np.concatenate(grams))
         for at in range(0, len(codes), 50_000):
-            yield table([(unit, None, None, None, None, None, None, codes[at : at + 50_000])])
+            yield table([(unit, *[None] * 7, codes[at : at + 50_000])])
 
     for batch in batches:
         texts = bytes_of(batch.column("text"))
-        ids, langs = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
-        rows = []
+        ids, keys, langs = (batch.column(c).to_pylist() for c in ("doc_id", "row_key", "lang"))
+        rows, split_texts, held = [], [], 0
         for i, text in enumerate(texts):
             ws = split(text)
+            split_texts.append(ws)
             places = np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int32, len(ws))
-            rows.append((unit, ids[i], langs[i], sum(map(len, ws)) + len(ws), places.tobytes(), None, None, None))
-            size += len(text)
+            rows.append((unit, ids[i], keys[i], langs[i], sum(map(len, ws)) + len(ws), places.tobytes(), None, None, None))
+            size, held = size + len(text), held + len(text)
             full = size >= UNIT_BYTES or len(known) >= UNIT_WORDS
-            if full or len(rows) >= 1000 or i + 1 == len(texts):
+            if full or held >= STEP or i + 1 == len(texts):
                 yield table(rows)
-                rows = []
+                grams += map(np.unique, _codes(split_texts))
+                if len(grams) > 8:
+                    grams = [np.unique(np.concatenate(grams))]
+                rows, split_texts, held = [], [], 0
             if full:
                 if known:
                     yield from words()
-                unit, known, size = uuid.uuid4().int >> 65, {}, 0
+                unit, known, size, grams = uuid.uuid4().int >> 65, {}, 0, []
     if known:
         yield from words()
 
@@ -298,90 +297,129 @@ def gram_scores(grams: DataFrame, model: DataFrame) -> DataFrame:
     return asked.groupBy("asked").cogroup(held.groupBy("held")).applyInArrow(_shard_scores(short), "gram long, bits double")
 
 
+#: Words of a document, or of several, that are scored at once.
+SCORED_WORDS = 150_000
+
+
 def _sums(repeat: float):
     """Bits of a unit's documents; a word that repeats the one before it costs ``repeat`` at most."""
 
     def run(key, left, right):
         is_doc = pc.is_valid(left.column("places"))
         docs, lists = left.filter(is_doc), left.filter(pc.invert(is_doc)).sort_by("first")
-        names = [w for part in lists.column("words").to_pylist() for w in part]
+        # word 0 is the space that a text starts with, every other word ends with one
+        names = [b" ", *(w + b" " for part in lists.column("words").to_pylist() for w in part)]
+        flat, sizes = np.frombuffer(b"".join(names), np.uint8), np.fromiter(map(len, names), np.int64, len(names))
+        starts = np.cumsum(sizes) - sizes
+        del names
         grams, scores = right.column("gram").to_numpy(), right.column("bits").to_numpy()
         by = np.argsort(grams)
         grams, scores = grams[by], scores[by]
-        held = [np.zeros(0)]
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            codes, word = _longest(part)
-            held.append(np.bincount(word, scores[np.searchsorted(grams, codes)], len(part)))
-        held = np.concatenate(held)
-        bits = []
-        for raw in docs.column("places").to_pylist():
-            places = np.frombuffer(raw, np.int32)
-            each = held[places]
-            again = each[1:][places[1:] == places[:-1]]
-            bits.append(float(each.sum() - np.maximum(0.0, again - repeat).sum()))
-        return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "bits": pa.array(bits, pa.float64()), "n_bytes": docs.column("n_bytes")})
+        bits = np.zeros(docs.num_rows)
+        held, size = [], 0
+
+        def add():
+            """Scores the parts of documents that are held: (document, words, how many of them are context)."""
+            words = np.concatenate([w for _, w, _ in held])
+            n = np.fromiter((len(w) for _, w, _ in held), np.int64, len(held))
+            lens = sizes[words]
+            ends = np.cumsum(lens)
+            inside = np.arange(ends[-1])
+            text = flat[np.repeat(starts[words] - (ends - lens), lens) + inside]
+            begin = np.r_[0, ends][np.cumsum(n) - n]  # the first byte of each part
+            widths = np.diff(np.r_[begin, ends[-1]])
+            place = inside - np.repeat(begin - [ORDER * (c > 0) for _, _, c in held], widths)
+            codes = _longest(text, place)
+            at = np.searchsorted(grams, codes[place > 0])
+            each = np.zeros(len(codes))
+            # bytes of context alone may have no score: their words don't count
+            at = np.minimum(at, max(len(grams) - 1, 0))
+            each[place > 0] = scores[at] if len(grams) else 0.0
+            each = np.bincount(np.repeat(np.arange(len(words)), lens), each, len(words))
+            again = np.flatnonzero(words[1:] == words[:-1]) + 1
+            each[again] = np.minimum(each[again], repeat)
+            nth = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            each[nth < np.repeat([c for _, _, c in held], n)] = 0.0
+            np.add.at(bits, np.repeat([d for d, _, _ in held], n), each)
+
+        for doc, raw in enumerate(docs.column("places").to_pylist()):
+            words = np.r_[0, np.frombuffer(raw, np.int32).astype(np.int64) + 1]
+            if len(words) == 1:
+                continue
+            for at in range(0, len(words), SCORED_WORDS):
+                context = min(at, ORDER)
+                held.append((doc, words[at - context : at + SCORED_WORDS], context))
+                size += len(held[-1][1])
+                if size >= SCORED_WORDS:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
+        return pa.table({"doc_id": docs.column("doc_id"), "row_key": docs.column("row_key"), "lang": docs.column("lang"), "bits": pa.array(bits, pa.float64()), "n_bytes": docs.column("n_bytes")})
 
     return run
 
 
 def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, lang, bits, n_bytes (of words, with a space each) of ``docs(doc_id, lang, text)``."""
-    units = scratch.save(docs.select("doc_id", "lang", "text").mapInArrow(_units, _UNITS), "units")
+    """doc_id, row_key, lang, bits, n_bytes (of words, with a space each) of ``docs(doc_id, row_key, lang, text)``."""
+    units = scratch.save(docs.select("doc_id", "row_key", "lang", "text").mapInArrow(_units, _UNITS), "units")
     asked = units.where("grams is not null").select(F.col("unit").alias("of"), F.explode("grams").alias("gram"))
     scored = scratch.save(gram_scores(asked.select("gram").distinct(), model), "grams")
     own = asked.join(scored, "gram").select("of", "gram", "bits")
     repeat = -float(model.where(F.col("gram") == REPEATS).first()["logp"])
-    texts = units.where("grams is null").select("unit", "doc_id", "lang", "n_bytes", "places", "words", "first")
-    return texts.groupBy("unit").cogroup(own.groupBy("of")).applyInArrow(_sums(repeat), "doc_id long, lang string, bits double, n_bytes long")
+    texts = units.where("grams is null").select("unit", "doc_id", "row_key", "lang", "n_bytes", "places", "words", "first")
+    return texts.groupBy("unit").cogroup(own.groupBy("of")).applyInArrow(_sums(repeat), "doc_id long, row_key long, lang string, bits double, n_bytes long")
 
 
 def classified(
-    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin_bits: float = MARGIN_BITS, prior_bytes: int = PRIOR_BYTES, model_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin_bits: float = MARGIN_BITS, prior_bytes: int = PRIOR_BYTES, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (a byte), lowest, highest, kept.
-
-    ``labels(doc_id, quality, toxic)``: documents with quality 1 and not toxic are trusted. A
-    document is rejected if its bits a byte, drawn towards its language's trusted average by
-    ``prior_bytes``, lie over the ``quantile`` of its language's trusted documents, or under the
-    opposite one, by more than ``margin_bits``. A null language is a language of its own; one without trusted documents uses
-    the quantile of all. Null and empty texts have no bits, get the prior and are kept. Without any
-    trusted text everything is kept. Repeated rows are judged each; an empty table gives no rows.
+    """doc_id, lang, n_bytes, perplexity (a byte), lowest, highest, kept, row_key.
+
+    ``labels(doc_id, quality, toxic)``: documents with quality 1 and not toxic are trusted, and one in
+    ``held_out`` of them sets the limits instead of training. A document is rejected if its bits a
+    byte, drawn towards its language's trusted average by ``prior_bytes``, lie over the ``quantile``
+    of its language's held-out documents (of the trained ones where none is held out), or under the
+    opposite one, by more than ``margin_bits``. A null language is a language of its own. In one
+    without trusted documents there is nothing to judge by: all are kept. Null and empty texts have no
+    bits, get the prior and are kept. Without any trusted text everything is kept. Repeated rows are
+    judged each; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own_id, text, own_lang = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
+    rows = docs.select(own_id.alias("doc_id"), row_key(own_id, text, own_lang).alias("row_key"), own_lang.alias("lang"), text.alias("text"))
     good = scratch.save(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct(), "good")
     good = F.broadcast(good) if good.count() <= BROADCAST_LABELS else good
+    trains = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(held_out)) > 0
     trusted = rows.join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
-    model = trained(trusted.select("text"), scratch, model_rows)
+    some = not trusted.where(trains).select("doc_id").isEmpty()  # of very few, all train
+    model = trained((trusted.where(trains) if some else trusted).select("text"), scratch)
     scores = scratch.save(perplexities(rows, model, scratch), "scores")
 
     lang = F.coalesce("lang", F.lit("\0"))
     marked = scores.withColumn("l", lang)
-    of_good = scratch.save(marked.join(good, F.col("doc_id") == F.col("good_id"), "left_semi"), "of_good")
-    average = of_good.agg(F.try_divide(F.sum("bits"), F.sum("n_bytes")).alias("a")).first()["a"]
-    if average is None:
-        nothing = F.lit(None).cast("double")
-        own = F.pow(F.lit(2.0), F.col("bits") / F.greatest("n_bytes", F.lit(1)))
-        return scores.select("doc_id", "lang", "n_bytes", own.alias("perplexity"), nothing.alias("lowest"), nothing.alias("highest"), F.lit(True).alias("kept"))
-    averages = of_good.groupBy("l").agg(F.try_divide(F.sum("bits"), F.sum("n_bytes")).alias("mean"))
-    drawn = (F.col("bits") + prior_bytes * F.coalesce("mean", F.lit(average))) / (F.col("n_bytes") + prior_bytes)
+    of_good = scratch.save(marked.join(good, F.col("doc_id") == F.col("good_id"), "left_semi").where("n_bytes > 0").withColumn("out", ~trains), "of_good")
+    parts = of_good.groupBy("l", "out").agg((F.sum("bits") / F.sum("n_bytes")).alias("mean"))
+    # a language's held-out documents where there are some (true is larger), else those that trained
+    averages = parts.groupBy("l").agg(F.max("out").alias("out"), F.max_by("mean", "out").alias("mean"))
+    drawn = (F.col("bits") + prior_bytes * F.col("mean")) / (F.col("n_bytes") + prior_bytes)
     both = F.percentile_approx("drawn", [1 - quantile, quantile], 10_000)
-    limits = of_good.join(averages, "l").withColumn("drawn", drawn)
-    overall = limits.agg(both.alias("q")).first()["q"]
-    rules = scratch.save(averages.join(limits.groupBy("l").agg(both.alias("q")), "l"), "rules")
-    low = F.coalesce(F.col("q")[0], F.lit(overall[0])) - margin_bits
-    high = F.coalesce(F.col("q")[1], F.lit(overall[1])) + margin_bits
+    limits = of_good.join(averages, ["l", "out"]).withColumn("drawn", drawn).groupBy("l").agg(both.alias("q"))
+    rules = scratch.save(averages.join(limits, "l").select("l", "mean", (F.col("q")[0] - margin_bits).alias("low"), (F.col("q")[1] + margin_bits).alias("high")), "rules")
     # rules has one row a language that has trusted text
     two = F.lit(2.0)
-    return marked.join(rules, "l", "left").select("doc_id", "lang", "n_bytes", F.pow(two, drawn).alias("perplexity"), F.pow(two, low).alias("lowest"), F.pow(two, high).alias("highest"), drawn.between(low, high).alias("kept"))
+    own = F.coalesce(drawn, F.col("bits") / F.greatest("n_bytes", F.lit(1)))
+    fits = F.coalesce(drawn.between(F.col("low"), F.col("high")), F.lit(True)) | (F.col("n_bytes") == 0)
+    return marked.join(rules, "l", "left").select("doc_id", "lang", "n_bytes", F.pow(two, own).alias("perplexity"), F.pow(two, "low").alias("lowest"), F.pow(two, "high").alias("highest"), fits.alias("kept"), "row_key")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without rejected documents."""
-    bad = classified(docs, labels).where("not kept").select(F.col("doc_id").alias("__rejected"))
-    return docs.join(bad, docs["doc_id"] == F.col("__rejected"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with all its columns, without rejected rows; rows of one id are judged each by its own text."""
+    bad = classified(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col).where("not kept")
+    named = bad.groupBy("doc_id", "row_key").agg(F.lit(False).alias("keep"), F.count(F.lit(1)).alias("n"))
+    key = row_key(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string"))
+    return decided(docs, Scratch(docs.sparkSession, "quality-stage").save(named, "named"), id_col, key)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    return classified(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classified(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row_key")
