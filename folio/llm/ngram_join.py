@@ -556,5 +556,18 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     return decided(docs, scratch.save(named, "named"), id_col, row_key(own_id, text))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+k AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, other) AS (SELECT DISTINCT a, a FROM k UNION SELECT r.node, k.b FROM r JOIN k ON k.a = r.other),
+m AS (SELECT node, min(other) AS least FROM r GROUP BY 1)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least, t.doc_id) AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN m ON m.node = t.doc_id
+"""
+
+
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=90).drop("group", "row_key")

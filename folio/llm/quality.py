@@ -55,7 +55,7 @@ def _grams(text: np.ndarray, order: int) -> np.ndarray:
     """At every byte, the code of the ``order`` bytes that end there: the order, then the bytes."""
     code = np.zeros(len(text), np.uint64)
     for back in range(order):
-        code[back:] |= text[: len(text) - back].astype(np.uint64) << np.uint64(8 * back)
+        code[back:] |= text[: max(0, len(text) - back)].astype(np.uint64) << np.uint64(8 * back)
     return code | np.uint64(order << 40)
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import op3_source_mixing
 from .nearest import OP1_SQL, op1_nearest_neighbours
-from .ngram_join import op6_ngram_jaccard_join
+from .ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from .packing import op5_best_fit_packing
 from .pseudonyms import op4_pii_pseudonyms
 from .quality import op10_quality_classifier
-from .substring_dedup import op8_substring_dedup
-from .url_filter import op9_url_filter
-from .warc import op2_warc
+from .substring_dedup import OP8_SQL, op8_substring_dedup
+from .url_filter import RULES_SQL, op9_url_filter, url_rules
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
@@ -24,9 +24,14 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
+    "url_rules": url_rules,
 }
 
 ORACLE_SQL = {
     "op1_nearest_neighbours": OP1_SQL,
+    "op2_warc": OP2_SQL,
+    "op6_ngram_jaccard_join": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
+    "url_rules": RULES_SQL,
 }

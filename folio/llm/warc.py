@@ -5,6 +5,10 @@ scans its range for the gzip magic, tries to inflate the start of each candidate
 a WARC header comes out, and owns the records that start in its range, reading the last one past
 the range's end. So one archive of any size is read by many tasks, without an index.
 
+A record that holds another archive as it stands could be taken for one where a range starts in it.
+In archives of this writer it can't be: a payload is UTF-8, and no UTF-8 has the magic's second byte
+after its first. Deflated bytes hold the magic by chance alone, and then don't inflate to a WARC header.
+
 Files are opened through Arrow's file systems, by the URI of the shared folder.
 """
 
@@ -22,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bloom_of, maybe_in, row_key
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 32 << 20
@@ -45,8 +49,8 @@ def digest_of(payload: bytes) -> str:
 # --- writing ------------------------------------------------------------------------------
 
 
-def _name(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _name(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
 def _clean(value: str) -> str:
@@ -54,7 +58,7 @@ def _clean(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f\x85  ]+", " ", value).strip()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response record, or a revisit (whose payload is not repeated), as one gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -101,20 +105,28 @@ def write_archives(pages: DataFrame, scratch: Scratch, least: int = 0, id_col: s
     """Archives of ``pages`` in the scratch folder; returns (file, bytes, records), a written table.
 
     Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is a
-    response and the others revisit it. Null html is an empty payload. A row without page_id has no
-    record; rows that repeat a page_id have a record each, and of equal ones none revisits the other.
-    The table, not the folder, says which files count: those of the attempts that ended well.
+    response and the others revisit it. Null html is an empty payload. A row without page_id has a
+    record too, which revisits the largest page_id of its payload if there is one. Rows that repeat a
+    page_id have a record each, and of equal ones none revisits the other. Of the payloads, only those
+    of revisits (and a few more, by a filter of bounded size) are shuffled. The table, not the folder,
+    says which files count: those of the attempts that ended well.
     """
     html = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload")).where("page_id is not null")
-    known = scratch.save(rows.select("page_id", F.sha2("payload", 256).alias("sha256"), F.length("payload").alias("size")), "digests")
-    last = known.where(F.col("size") >= least).groupBy("sha256").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).where("first < refers_to")
-    revisits = known.join(last, "sha256").where("page_id < refers_to").select(F.col("page_id").alias("__id"), F.col("sha256").alias("__sha"), "refers_to").distinct()
-    told = rows.join(revisits, (F.col("page_id") == F.col("__id")) & (F.sha2("payload", 256) == F.col("__sha")), "left")
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.encode(html, "UTF-8").alias("payload"))
+    rows = rows.withColumn("row_key", row_key(F.col("page_id"), F.sha2("payload", 256)))
+    known = scratch.save(rows.select("page_id", "row_key", F.sha2("payload", 256).alias("sha256"), F.length("payload").alias("size")), "digests")
+    last = known.where(F.col("size") >= least).groupBy("sha256").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first"), F.count_if(F.col("page_id").isNull()).alias("nulls"))
+    last = last.where("first < refers_to or (nulls > 0 and refers_to is not null)")
+    revisits = known.join(last, "sha256").where("page_id is null or page_id < refers_to").select(F.col("row_key").alias("__key"), F.col("page_id").alias("__id"), "refers_to").distinct()
+    revisits = scratch.save(revisits, "revisits")
+    bloom = bloom_of(revisits.select("__key"))
+    same = (F.col("row_key") == F.col("__key")) & F.col("page_id").eqNullSafe(F.col("__id"))
+    told = maybe_in(rows, "row_key", bloom).join(revisits, same, "left").select("page_id", "url", "payload", "refers_to")
+    rest = maybe_in(rows, "row_key", bloom, inside=False).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
     folder = scratch.path("archives")
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
-    return scratch.save(told.select("page_id", "url", "payload", "refers_to").mapInArrow(_write(folder), "file string, bytes long, records long"), "written")
+    return scratch.save(told.unionAll(rest).mapInArrow(_write(folder), "file string, bytes long, records long"), "written")
 
 
 # --- reading ------------------------------------------------------------------------------
@@ -215,6 +227,17 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, range_byte
     return ranges.repartition(min(n, 100_000), "file", "start").mapInArrow(_read(folder, keep_payload), READ)
 
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(encode(coalesce(html, ''))) AS h, max(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS last FROM pages),
+d AS (SELECT *, list_transform(range(0, 8), lambda g: list_sum(list_transform(range(1, 6), lambda i: (strpos('0123456789abcdef', h[g * 5 + i]) - 1) * 16 ** (5 - i)))::BIGINT) AS parts FROM p)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+  array_to_string(list_transform(parts, lambda v: '{_BASE32}'[(v // 32768) + 1] || '{_BASE32}'[(v // 1024) % 32 + 1] || '{_BASE32}'[(v // 32) % 32 + 1] || '{_BASE32}'[v % 32 + 1]), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM d
+"""
+
+
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     scratch = Scratch(spark, "warc")
