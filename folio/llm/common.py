@@ -176,6 +176,10 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(F.lit(len(columns)), *[F.coalesce(c.cast("string"), F.lit("\0")) for c in columns])
 
 
+#: Most decisions that are broadcast, of some 40 bytes each; beyond it they and the rows are joined by a shuffle.
+BROADCAST_DECISIONS = 300_000
+
+
 def decided(docs: DataFrame, decisions: DataFrame, id_col: str, key: Column) -> DataFrame:
     """``docs`` with all its columns after ``decisions(doc_id, row_key, keep, n)``, one row a (doc_id, row_key).
 
@@ -184,6 +188,8 @@ def decided(docs: DataFrame, decisions: DataFrame, id_col: str, key: Column) ->
     """
     named = decisions.select(F.col("doc_id").alias("__d_id"), F.col("row_key").alias("__d_key"), F.col("keep").alias("__d_keep"))
     own = F.col(f"`{id_col}`").cast("long")
+    if decisions.count() <= BROADCAST_DECISIONS:
+        named = F.broadcast(named)
     met = docs.withColumn("__key", key).join(named, (F.col("__key") == F.col("__d_key")) & own.eqNullSafe(F.col("__d_id")), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if decisions.where("keep and n > 1").isEmpty():

@@ -8,9 +8,9 @@ is held out, and a document's perplexity is held against a high and a low quanti
 held-out documents. A word that repeats the one before it costs what such repeats cost in trusted text,
 if that is less: text that says one word over and over becomes far too easy.
 
-Documents become places in the word list of their unit; the distinct n-grams of all units' texts meet the
-model's counts shard by shard, and each unit gets back the scores of its own, to be summed by document.
-Nothing grows with the model but tables.
+Documents become places in the word list of their unit, one row a unit; the distinct n-grams of all units'
+texts meet the model's counts shard by shard. The scores are written by unit, and the task that sums a
+unit's documents opens its own. Nothing grows with the model but tables, and texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .common import Scratch, bytes_of, decided, row_key
 
 ORDER = 5
 #: A unit of documents ends at so many bytes of text or distinct words; its group is scored in one task.
-UNIT_BYTES, UNIT_WORDS = 32 << 20, 500_000
+UNIT_BYTES, UNIT_WORDS = 32 << 20, 500_000  # places have three bytes
 #: Above this many label rows they are joined by a shuffle, not a broadcast.
 BROADCAST_LABELS = 4_000_000
 #: Bytes of trusted average that each document's own average is drawn towards: short texts vary widely.
@@ -37,7 +38,7 @@ QUANTILE, MARGIN_BITS = 0.995, 0.4
 #: One trusted document in so many, by a hash of its id, doesn't train but sets the limits.
 HELD_OUT = 5
 #: Bytes of text whose n-grams are worked out at once.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Codes beside those of n-grams: words in all, and words that repeat the one before.
 WORDS, REPEATS = -1, -2
 _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
@@ -51,48 +52,49 @@ def repeats(words: list[bytes]) -> list[bytes]:
     return [w for w, before in zip(words[1:], words) if w == before]
 
 
-def _grams(text: np.ndarray, order: int) -> np.ndarray:
-    """At every byte, the code of the ``order`` bytes that end there: the order, then the bytes."""
-    code = np.zeros(len(text), np.uint64)
-    for back in range(order):
-        code[back:] |= text[: max(0, len(text) - back)].astype(np.uint64) << np.uint64(8 * back)
-    return code | np.uint64(order << 40)
+def _longest(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The longest n-gram that ends at each byte: the order, then the bytes. ``starts`` are the first bytes of texts.
 
-
-def _longest(text: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The longest n-gram that ends at each byte, by its place in its text; those at place 0 mean nothing."""
-    codes = _grams(text, ORDER)
-    for order in range(1, ORDER):
-        short = np.flatnonzero(place == order - 1)
-        codes[short] &= np.uint64((1 << 8 * order) - 1)
-        codes[short] |= np.uint64(order << 40)
-    return codes.view(np.int64)
+    What comes out at the starts themselves means nothing.
+    """
+    one = text.astype(np.int64)
+    two = one.copy()
+    two[1:] |= one[:-1] << 8
+    code = two.copy()
+    code[2:] |= two[:-2] << 16
+    code[4:] |= one[:-4] << 32
+    code |= ORDER << 40
+    for order in range(2, ORDER):
+        at = starts + order - 1
+        at = at[at < len(text)]
+        code[at] = code[at] & ((1 << 8 * order) - 1) | (order << 40)
+    return code
 
 
 def _codes(texts: list[list[bytes]]):
     """Codes of the longest n-grams of texts given as words, in parts of bounded size; the space before a text is given."""
-    held, starts, skips, size = [], [], [], 0
+    held, size = [], 0
 
     def out():
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = inside + np.repeat(starts, sizes)
-        codes = _longest(np.frombuffer(b"".join(held), np.uint8), place)
-        return codes[(inside >= np.repeat(skips, sizes)) & (place > 0)]
+        begins = np.cumsum([0, *(len(part) for part, _ in held)])[:-1]
+        skips = np.array([skip for _, skip in held])
+        codes = _longest(np.frombuffer(b"".join(part for part, _ in held), np.uint8), begins[skips == 1])
+        keep = np.ones(len(codes), bool)
+        for back in range(int(skips.max())):
+            keep[begins[skips > back] + back] = False
+        return codes[keep]
 
     for words in texts:
         if not words:
             continue
         stream = b" " + b" ".join(words) + b" "
         for at in range(0, len(stream), STEP):
-            start = max(0, at - ORDER)
-            held.append(stream[start : at + STEP])
-            starts.append(start)
-            skips.append(at - start)
-            size += len(held[-1])
+            # of a text's start the first byte is no n-gram; a later part brings what stands before it
+            held.append((stream[max(0, at - ORDER) : at + STEP], ORDER if at else 1))
+            size += len(held[-1][0])
             if size >= STEP:
                 yield out()
-                held, starts, skips, size = [], [], [], 0
+                held, size = [], 0
     if held:
         yield out()
 
@@ -218,49 +220,45 @@ class Model:
         return float(sum(self.of(codes).sum() for codes in _codes([split(text)])))
 
 
-_UNITS = "unit long, doc_id long, row_key long, lang string, n_bytes long, places binary, words array<binary>, first int, grams array<long>"
+#: One row a unit: columns of its documents, the places of all their words as three planes of bytes, its words, its n-grams.
+_UNITS = "unit long, doc_id array<long>, row_key array<long>, lang array<string>, n_bytes array<long>, n_words array<int>, places binary, words binary, grams array<long>"
+_UNIT_TYPES = [pa.int64(), *(pa.list_(t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32())), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+_UNIT_SCHEMA = pa.schema([(field.split(" ")[0], t) for field, t in zip(_UNITS.split(", "), _UNIT_TYPES)])
 
 
 def _units(batches):
-    """Documents as places in their unit's word list; the lists in parts; the distinct n-grams of the texts in parts."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.int64())]
-    schema = pa.schema([(field.split(" ")[0], t) for field, t in zip(_UNITS.split(", "), types)])
-    unit, known, size, grams = uuid.uuid4().int >> 65, {}, 0, []
-
-    def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
-
-    def words():
-        names = list(known)
-        for at in range(0, len(names), 5000):
-            yield table([(unit, *[None] * 5, names[at : at + 5000], at, None)])
-        codes = np.unique(np.concatenate(grams))
-        for at in range(0, len(codes), 50_000):
-            yield table([(unit, *[None] * 7, codes[at : at + 50_000])])
+    """Documents by unit: a unit ends at so many bytes or distinct words, and with the task."""
+    known, docs, places, grams, size = {}, [], [], [], 0
+
+    def row():
+        planes = np.concatenate(places) if places else np.zeros(0, np.int32)
+        planes = np.ascontiguousarray(planes.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+        every = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
+        columns = [pa.array([list(c)], t) for c, t in zip(zip(*docs), _UNIT_TYPES[1:6])]
+        rest = [pa.array([planes], pa.binary()), pa.array([b" ".join(known)], pa.binary()), pa.ListArray.from_arrays([0, len(every)], pa.array(every))]
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *columns, *rest], schema=_UNIT_SCHEMA)
 
     for batch in batches:
         texts = bytes_of(batch.column("text"))
         ids, keys, langs = (batch.column(c).to_pylist() for c in ("doc_id", "row_key", "lang"))
-        rows, split_texts, held = [], [], 0
+        held, seen = [], 0
         for i, text in enumerate(texts):
             ws = split(text)
-            split_texts.append(ws)
-            places = np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int32, len(ws))
-            rows.append((unit, ids[i], keys[i], langs[i], sum(map(len, ws)) + len(ws), places.tobytes(), None, None, None))
-            size, held = size + len(text), held + len(text)
-            full = size >= UNIT_BYTES or len(known) >= UNIT_WORDS
-            if full or held >= STEP or i + 1 == len(texts):
-                yield table(rows)
-                grams += map(np.unique, _codes(split_texts))
-                if len(grams) > 8:
+            held.append(ws)
+            places.append(np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int32, len(ws)))
+            docs.append((ids[i], keys[i], langs[i], sum(map(len, ws)) + len(ws), len(ws)))
+            size, seen = size + len(text), seen + len(text)
+            full = size >= UNIT_BYTES or len(known) >= UNIT_WORDS or len(docs) >= UNIT_WORDS
+            if full or seen >= 4 * STEP or i + 1 == len(texts):
+                grams += map(np.unique, _codes(held))
+                if len(grams) > 16:
                     grams = [np.unique(np.concatenate(grams))]
-                rows, split_texts, held = [], [], 0
+                held, seen = [], 0
             if full:
-                if known:
-                    yield from words()
-                unit, known, size, grams = uuid.uuid4().int >> 65, {}, 0, []
-    if known:
-        yield from words()
+                yield row()
+                known, docs, places, grams, size = {}, [], [], [], 0
+    if docs:
+        yield row()
 
 
 def _shard(gram, last: int):
@@ -298,64 +296,106 @@ def gram_scores(grams: DataFrame, model: DataFrame) -> DataFrame:
 
 
 #: Words of a document, or of several, that are scored at once.
-SCORED_WORDS = 150_000
+SCORED_WORDS = 40_000
+#: Units whose scores are in one folder.
+UNITS_A_FOLDER = 8
+_SUMS = "doc_id long, row_key long, lang string, bits double, n_bytes long"
 
 
-def _sums(repeat: float):
-    """Bits of a unit's documents; a word that repeats the one before it costs ``repeat`` at most."""
+class _Scores:
+    """Bits of a unit's n-grams, found by a table of hashed codes; where two have one slot, by a search."""
 
-    def run(key, left, right):
-        is_doc = pc.is_valid(left.column("places"))
-        docs, lists = left.filter(is_doc), left.filter(pc.invert(is_doc)).sort_by("first")
-        # word 0 is the space that a text starts with, every other word ends with one
-        names = [b" ", *(w + b" " for part in lists.column("words").to_pylist() for w in part)]
-        flat, sizes = np.frombuffer(b"".join(names), np.uint8), np.fromiter(map(len, names), np.int64, len(names))
-        starts = np.cumsum(sizes) - sizes
-        del names
-        grams, scores = right.column("gram").to_numpy(), right.column("bits").to_numpy()
+    def __init__(self, grams: np.ndarray, bits: np.ndarray):
         by = np.argsort(grams)
-        grams, scores = grams[by], scores[by]
-        bits = np.zeros(docs.num_rows)
-        held, size = [], 0
-
-        def add():
-            """Scores the parts of documents that are held: (document, words, how many of them are context)."""
-            words = np.concatenate([w for _, w, _ in held])
-            n = np.fromiter((len(w) for _, w, _ in held), np.int64, len(held))
-            lens = sizes[words]
-            ends = np.cumsum(lens)
-            inside = np.arange(ends[-1])
-            text = flat[np.repeat(starts[words] - (ends - lens), lens) + inside]
-            begin = np.r_[0, ends][np.cumsum(n) - n]  # the first byte of each part
-            widths = np.diff(np.r_[begin, ends[-1]])
-            place = inside - np.repeat(begin - [ORDER * (c > 0) for _, _, c in held], widths)
-            codes = _longest(text, place)
-            at = np.searchsorted(grams, codes[place > 0])
-            each = np.zeros(len(codes))
-            # bytes of context alone may have no score: their words don't count
-            at = np.minimum(at, max(len(grams) - 1, 0))
-            each[place > 0] = scores[at] if len(grams) else 0.0
-            each = np.bincount(np.repeat(np.arange(len(words)), lens), each, len(words))
-            again = np.flatnonzero(words[1:] == words[:-1]) + 1
-            each[again] = np.minimum(each[again], repeat)
-            nth = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
-            each[nth < np.repeat([c for _, _, c in held], n)] = 0.0
-            np.add.at(bits, np.repeat([d for d, _, _ in held], n), each)
-
-        for doc, raw in enumerate(docs.column("places").to_pylist()):
-            words = np.r_[0, np.frombuffer(raw, np.int32).astype(np.int64) + 1]
-            if len(words) == 1:
-                continue
-            for at in range(0, len(words), SCORED_WORDS):
-                context = min(at, ORDER)
-                held.append((doc, words[at - context : at + SCORED_WORDS], context))
-                size += len(held[-1][1])
-                if size >= SCORED_WORDS:
-                    add()
-                    held, size = [], 0
-        if held:
-            add()
-        return pa.table({"doc_id": docs.column("doc_id"), "row_key": docs.column("row_key"), "lang": docs.column("lang"), "bits": pa.array(bits, pa.float64()), "n_bytes": docs.column("n_bytes")})
+        self.grams, self.bits = grams[by], bits[by]
+        self.shift = np.uint64(64 - max(10, (8 * len(grams)).bit_length()))
+        slots = self._slot(self.grams)
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.float32)
+        self.table[slots] = self.bits
+        values, counts = np.unique(slots, return_counts=True)
+        self.table[values[counts > 1]] = np.nan
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of codes, all of which the unit has; of others some number."""
+        out = self.table[self._slot(codes)].astype(np.float64)
+        open_ = np.flatnonzero(np.isnan(out))
+        if len(open_):
+            out[open_] = self.bits[np.minimum(np.searchsorted(self.grams, codes[open_]), len(self.grams) - 1)]
+        return out
+
+
+def _document_bits(n_words: np.ndarray, places: np.ndarray, names: list[bytes], scores: _Scores, repeat: float) -> np.ndarray:
+    """Bits of a unit's documents, from the places of their words."""
+    # word 0 is the space that a text starts with, every other word ends with one
+    flat = np.frombuffer(b" " + b"".join(w + b" " for w in names), np.uint8)
+    sizes = np.fromiter((1, *(len(w) + 1 for w in names)), np.int64, len(names) + 1)
+    starts = np.cumsum(sizes) - sizes
+    bits = np.zeros(len(n_words))
+    held, size = [], 0
+
+    def add():
+        """Scores the parts of documents that are held: (document, words, how many of them are context)."""
+        words = np.concatenate([w for _, w, _ in held])
+        n = np.fromiter((len(w) for _, w, _ in held), np.int64, len(held))
+        context = np.fromiter((c for _, _, c in held), np.int64, len(held))
+        lens = sizes[words]
+        ends = np.cumsum(lens)
+        text = flat[np.repeat(starts[words] - (ends - lens), lens) + np.arange(ends[-1])]
+        first = np.cumsum(n) - n  # the first word of each part
+        begins = (ends - lens)[first][context == 0]
+        each = scores.of(_longest(text, begins))
+        each[begins] = 0.0
+        each = np.add.reduceat(each, ends - lens)
+        again = np.flatnonzero(words[1:] == words[:-1]) + 1
+        each[again] = np.minimum(each[again], repeat)
+        for back in range(int(context.max())):
+            each[first[context > back] + back] = 0.0
+        np.add.at(bits, np.fromiter((d for d, _, _ in held), np.int64, len(held)), np.add.reduceat(each, first))
+
+    end = 0
+    for doc, n in enumerate(n_words.tolist()):
+        words = np.r_[0, places[end : end + n] + 1]
+        end += n
+        if not n:
+            continue
+        for at in range(0, len(words), SCORED_WORDS):
+            context = min(at, ORDER)
+            held.append((doc, words[at - context : at + SCORED_WORDS], context))
+            size += len(held[-1][1])
+            if size >= SCORED_WORDS:
+                add()
+                held, size = [], 0
+    if held:
+        add()
+    return bits
+
+
+def _folder(unit: int, folders: int) -> int:
+    return unit % folders
+
+
+def _sums(root: str, folders: int, repeat: float):
+    """Bits of each document of the units that come by; a unit's scores are opened in the shared folder."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                unit = batch.column("unit")[i].as_py()
+                value = lambda c: batch.column(c)[i].values  # noqa: E731, B023
+                raw = np.frombuffer(batch.column("places")[i].as_buffer(), np.uint8).reshape(3, -1).astype(np.int64)
+                places = raw[0] | raw[1] << 8 | raw[2] << 16
+                names = batch.column("words")[i].as_py().split(b" ") if len(places) else []
+                if names:
+                    system, path = fs.FileSystem.from_uri(f"{root}/folder={_folder(unit, folders)}")
+                    held = pq.read_table(path, columns=["gram", "bits"], filters=[("unit", "=", unit)], filesystem=system, partitioning=None)
+                    scores = _Scores(held["gram"].to_numpy(), held["bits"].to_numpy())
+                    bits = _document_bits(value("n_words").to_numpy(), places, names, scores, repeat)
+                else:
+                    bits = np.zeros(len(value("n_words")))
+                yield pa.RecordBatch.from_arrays([value("doc_id"), value("row_key"), value("lang"), pa.array(bits), value("n_bytes")], names=["doc_id", "row_key", "lang", "bits", "n_bytes"])
 
     return run
 
@@ -363,12 +403,15 @@ def _sums(repeat: float):
 def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, row_key, lang, bits, n_bytes (of words, with a space each) of ``docs(doc_id, row_key, lang, text)``."""
     units = scratch.save(docs.select("doc_id", "row_key", "lang", "text").mapInArrow(_units, _UNITS), "units")
-    asked = units.where("grams is not null").select(F.col("unit").alias("of"), F.explode("grams").alias("gram"))
+    asked = units.select("unit", F.explode("grams").alias("gram"))
     scored = scratch.save(gram_scores(asked.select("gram").distinct(), model), "grams")
-    own = asked.join(scored, "gram").select("of", "gram", "bits")
+    folders = max(1, units.count() // UNITS_A_FOLDER)
+    own = asked.join(scored, "gram").select(F.pmod("unit", F.lit(folders)).alias("folder"), "unit", "gram", F.col("bits").cast("float").alias("bits"))
+    own = own.repartition("folder", "unit").sortWithinPartitions("folder", "unit", "gram")
+    # row groups of about a unit each, so that a task reads little beside its own
+    own.write.option("parquet.block.size", 4 << 20).partitionBy("folder").parquet(scratch.path("unit-scores"))
     repeat = -float(model.where(F.col("gram") == REPEATS).first()["logp"])
-    texts = units.where("grams is null").select("unit", "doc_id", "row_key", "lang", "n_bytes", "places", "words", "first")
-    return texts.groupBy("unit").cogroup(own.groupBy("of")).applyInArrow(_sums(repeat), "doc_id long, row_key long, lang string, bits double, n_bytes long")
+    return units.drop("grams").mapInArrow(_sums(scratch.path("unit-scores"), folders, repeat), _SUMS)
 
 
 def classified(

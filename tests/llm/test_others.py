@@ -519,11 +519,16 @@ def test_units_end_and_start_anew(monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, None], "row_key": [1, 2, 3, 4], "lang": ["a", None, "b", "c"], "text": ["u v w x", "u y", "", None]})
-    out = [r for b in quality._units([batch]) for r in b.to_pylist()]
-    lists = {(r["unit"], r["first"] + i): w for r in out if r["words"] for i, w in enumerate(r["words"])}
-    docs = [(r["doc_id"], [lists[r["unit"], p] for p in np.frombuffer(r["places"], np.int32).tolist()]) for r in out if r["places"] is not None]
-    assert docs == [(1, [b"u", b"v", b"w", b"x"]), (2, [b"u", b"y"]), (3, []), (None, [])]
-    assert len({r["unit"] for r in out}) == 2
+    found, units = [], 0
+    for b in quality._units([batch]):
+        for r in b.to_pylist():
+            units += 1
+            raw = np.frombuffer(r["places"], np.uint8).reshape(3, -1).astype(int)
+            places, names = raw[0] | raw[1] << 8 | raw[2] << 16, r["words"].split(b" ")
+            for i, n in zip(r["doc_id"], r["n_words"]):
+                found.append((i, [names[p] for p in places[:n]]))
+                places = places[n:]
+    assert found == [(1, [b"u", b"v", b"w", b"x"]), (2, [b"u", b"y"]), (3, []), (None, [])] and units == 2
 
 
 def test_quality_held_out(spark):
