@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Composed Latin letters in small, their plain letters, and marks that may follow a letter (they go).
+ACCENTED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and "a" <= unicodedata.normalize("NFD", c)[0] <= "z" and unicodedata.decomposition(c))
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of composed Latin letters; ``ß``, ``ø`` and ``æ`` stay."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, composed or as marks of their own; ``ß``, ``ø``, ``ł`` and ``æ`` stay."""
+    return F.translate(F.lower(text), ACCENTED + MARKS, PLAIN)
 
 
 def title_words(text: Column) -> Column:
@@ -27,7 +30,7 @@ def tokens(text: Column) -> Column:
 
 #: Words that alignment passes over.
 STOPWORDS = (
-    "a an and are as at be been but by can for from has have if in into is it its may must no not of on or shall should so such than that the their then there these they this to was were when which will with would"
+    "a an and are as at be been but by can does for from has have if in into is it its may must no not of on or other shall should so such than that the their then there these this those to was were which will with"
 ).split()
 
 
@@ -113,3 +116,19 @@ def link_target(url: Column) -> Column:
 def version_key(version: Column) -> Column:
     """``2026.10.2`` as an array of numbers, which compares as versions do."""
     return F.transform(F.split(version, r"\."), lambda x: x.try_cast("int"))
+
+
+def expanded(line: Column, width: int = 8, most: int = 40) -> Column:
+    """Tabs of a line as spaces up to the next column that ``width`` divides; at most ``most`` tabs are looked at."""
+
+    def step(done: Column, _: Column) -> Column:
+        at = F.instr(done, "\t")
+        head, tail = F.substring(done, F.lit(1), at - 1), F.substring(done, at + 1, F.length(done))
+        return F.when(at == 0, done).otherwise(F.concat(head, F.repeat(F.lit(" "), (F.lit(width) - (at - 1) % width).cast("int")), tail))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), line, step)
+
+
+def starts_with_any_case(column: Column, text: str) -> Column:
+    """Prefix match without regard to case, in which ``%`` and ``_`` mean themselves."""
+    return F.lower(column).startswith(text.lower())

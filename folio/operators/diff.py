@@ -2,35 +2,130 @@
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_TOKEN = re.compile(r"\s+|\S+")
+#: Bits of one pass's table; longer pairs are halved first.
+TABLE_BITS = 1 << 28
+
+
+def _rows(x: list[int], y: list[int], keep: bool) -> list[int] | int:
+    """Bit rows of the longest common subsequence of x's heads with y: a 0 at place j where it grows there."""
+    where: dict[int, int] = {}
+    for j, v in enumerate(y):
+        where[v] = where.get(v, 0) | 1 << j
+    every = (1 << len(y)) - 1
+    row, rows = every, []
+    for v in x:
+        hit = row & where.get(v, 0)
+        row = ((row + hit) | (row - hit)) & every
+        if keep:
+            rows.append(row)
+    return rows if keep else row
+
+
+def _pairs(x: list[int], y: list[int], i: int, j: int) -> list[tuple[int, int]]:
+    """Places of one longest common subsequence, from (i, j) on."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    n, m = len(x) - tail, len(y) - tail
+    out = [(i + k, j + k) for k in range(head)]
+    x1, y1 = x[head:n], y[head:m]
+    if x1 and y1:
+        if len(x1) > 1 and len(x1) * len(y1) > TABLE_BITS:
+            middle = len(x1) // 2
+            down, up = _rows(x1[:middle], y1, False), _rows(x1[middle:][::-1], y1[::-1], False)
+            grows_down = [0]
+            for k in range(len(y1)):
+                grows_down.append(grows_down[-1] + (not down >> k & 1))
+            grows_up = [0]
+            for k in range(len(y1)):
+                grows_up.append(grows_up[-1] + (not up >> k & 1))
+            split = max(range(len(y1) + 1), key=lambda k: grows_down[k] + grows_up[len(y1) - k])
+            out += _pairs(x1[:middle], y1[:split], i + head, j + head) + _pairs(x1[middle:], y1[split:], i + head + middle, j + head + split)
+        else:
+            rows, found = _rows(x1, y1, True), []
+            a, b = len(x1), len(y1)
+            size = b - (rows[-1]).bit_count()
+            while size:  # up while the row above has as many, then left to where the row grows
+                if a > 1 and b - (rows[a - 2] & ((1 << b) - 1)).bit_count() == size:
+                    a -= 1
+                elif rows[a - 1] >> (b - 1) & 1:
+                    b -= 1
+                else:
+                    a, b, size = a - 1, b - 1, size - 1
+                    found.append((i + head + a, j + head + b))
+            out += reversed(found)
+    return out + [(i + n + k, j + m + k) for k in range(tail)]
+
+
+def _runs(old: str | None, new: str | None) -> list[dict[str, str]]:
+    """Runs of kept, removed and added words; white space kept between two changes goes with them."""
+    x, y = _TOKEN.findall(old or ""), _TOKEN.findall(new or "")
+    ids: dict[str, int] = {}
+    key = lambda t: ids.setdefault(" " if t.isspace() else t, len(ids))
+    both = [*_pairs([key(t) for t in x], [key(t) for t in y], 0, 0), (len(x), len(y))]
+    out: list[dict[str, str]] = []
+    stretch: list[list[str]] = []  # of one stretch of changes: removed, added, kept between
+
+    def close() -> None:
+        gone, come = "".join(s[0] for s in stretch), "".join(s[1] for s in stretch)
+        if gone.strip() and come.strip():
+            out.extend(({"kind": "removed", "text": gone}, {"kind": "added", "text": come}))
+        else:
+            for s in stretch:
+                if s[2]:
+                    out.append({"kind": "same", "text": s[1]})
+                else:
+                    out.extend({"kind": k, "text": t} for k, t in (("removed", s[0]), ("added", s[1])) if t)
+        stretch.clear()
+
+    i = j = 0
+    kept: list[str] = []
+
+    def keep() -> None:
+        """What was kept so far: into the stretch if it is white space between changes, else a run of its own."""
+        text = "".join(kept)
+        if stretch and text.isspace():
+            stretch.append([text, text, "kept"])
+        elif text:
+            close()
+            out.append({"kind": "same", "text": text})
+        kept.clear()
+
+    for a, b in both:
+        if a > i or b > j:
+            keep()
+            stretch.append(["".join(x[i:a]), "".join(y[j:b]), ""])
+        if a < len(x) or b < len(y):
+            kept.append(y[b])
+        i, j = a + 1, b + 1
+    text = "".join(kept)
+    close()
+    if text:
+        out.append({"kind": "same", "text": text})
+    return out
 
-def _word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    token = re.compile(r"\s+|\S+")
-
-    def of(a: str | None, b: str | None) -> list[dict[str, str]]:
-        x, y = token.findall(a or ""), token.findall(b or "")
-        out = []
-        for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op == "equal":
-                out.append({"kind": "same", "text": "".join(x[i:j])})
-                continue
-            if j > i:
-                out.append({"kind": "removed", "text": "".join(x[i:j])})
-            if m > k:
-                out.append({"kind": "added", "text": "".join(y[k:m])})
-        return out
 
-    return pd.Series([of(a, b) for a, b in zip(old, new)])
+def _word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([_runs(a, b) for a, b in zip(old, new)])
 
 
 def word_diff():
-    """The function of two text columns: runs of kept, removed and added words (a white space run is one token); joined again they are the texts."""
+    """The function of two text columns: runs of kept, removed and added words by a longest common subsequence.
+
+    A run of white space is one token, equal to any other. Without removed runs the new text comes out,
+    without added ones the old one but for kept white space, which is the new text's.
+    """
     return F.pandas_udf(_word_diff, "array<struct<kind:string,text:string>>")
 
 
@@ -47,18 +142,73 @@ def diff_counts(pairs: DataFrame) -> DataFrame:
     return d.select("doc", "revision", size("same").alias("same"), size("removed").alias("removed"), size("added").alias("added"))
 
 
-def section_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc, anchor, change): added, removed, changed, moved or same; ``(doc, anchor, pos, body)`` on both sides.
+def longest_increasing(values: list[int]) -> list[int]:
+    """Places of a longest increasing run of ``values``; of equal ones that whose last values are least."""
+    tails: list[int] = []
+    least: list[int] = []
+    before = [-1] * len(values)
+    for at, v in enumerate(values):
+        k = bisect_left(least, v)
+        before[at] = tails[k - 1] if k else -1
+        tails[k : k + 1], least[k : k + 1] = [at], [v]
+    out, at = [], tails[-1] if tails else -1
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
 
-    A section is moved if it keeps its text and leaves the order of the other kept ones: its place
-    among the common sections differs.
+
+def _kept(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["p2", "b"])
+    kept = longest_increasing(pdf["r1"].tolist())
+    return pdf.iloc[[i for i in range(len(pdf)) if i not in set(kept)]][["doc", "b"]]
+
+
+def paired(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
+    """(doc, a, b): sections of the older document with their newer ones, one to one.
+
+    By anchor and title; of what is left by ``aligned(doc, a, b, rank)`` where each is the other's best; then
+    by title alone where it is the only one on both sides; then by anchor. ``(doc, anchor, title, ...)``.
+    """
+    o = old.select("doc", F.col("anchor").alias("a"), F.coalesce("title", F.lit("")).alias("t1"))
+    n = new.select("doc", F.col("anchor").alias("b"), F.coalesce("title", F.lit("")).alias("t2"))
+    out = o.join(n, (o["doc"] == n["doc"]) & (F.col("a") == F.col("b")) & (F.col("t1") == F.col("t2"))).select(o["doc"], "a", "b")
+
+    def rest():
+        return o.join(out, ["doc", "a"], "left_anti"), n.join(out, ["doc", "b"], "left_anti")
+
+    if aligned is not None:
+        left, right = rest()
+        both = aligned.join(left.select("doc", "a"), ["doc", "a"], "left_semi").join(right.select("doc", "b"), ["doc", "b"], "left_semi")
+        best = lambda own, other: F.row_number().over(Window.partitionBy("doc", own).orderBy(F.desc("rank"), other))
+        out = out.unionByName(both.withColumn("x", best("a", "b")).withColumn("y", best("b", "a")).where("x = 1 and y = 1").select("doc", "a", "b"))
+    left, right = rest()
+    single = lambda df, t, key: df.where(f"{t} != ''").groupBy("doc", F.col(t).alias("t")).agg(F.count(F.lit(1)).alias("m"), F.min(key).alias(key)).where("m = 1").drop("m")
+    out = out.unionByName(single(left, "t1", "a").join(single(right, "t2", "b"), ["doc", "t"]).select("doc", "a", "b"))
+    left, right = rest()
+    return out.unionByName(left.select("doc", "a").join(right.select("doc", F.col("b"), F.col("b").alias("a")), ["doc", "a"]).select("doc", "a", "b"))
+
+
+def section_changes(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
+    """(doc, old_anchor, anchor, change, moved): added, removed, changed or same sections, and whether they moved.
+
+    ``(doc, anchor, pos, body)`` on both sides, title where there are titles; see paired for which meet. A
+    section is moved if it is outside the longest run of pairs that keeps the older order. Only documents
+    whose order changed at all go through Python, each with the places of its sections.
     """
-    o = old.select("doc", "anchor", F.col("pos").alias("p1"), F.sha2("body", 256).alias("h1"))
-    n = new.select("doc", "anchor", F.col("pos").alias("p2"), F.sha2("body", 256).alias("h2"))
-    both = o.join(n, ["doc", "anchor"], "full")
-    kept = F.col("h1").isNotNull() & F.col("h2").isNotNull()
-    r1 = F.row_number().over(Window.partitionBy("doc", kept).orderBy("p1", "anchor"))
-    r2 = F.row_number().over(Window.partitionBy("doc", kept).orderBy("p2", "anchor"))
-    ranked = both.withColumn("r1", r1).withColumn("r2", r2)
-    change = F.when(F.col("h1").isNull(), "added").when(F.col("h2").isNull(), "removed").when(F.col("h1") != F.col("h2"), "changed").when(F.col("r1") != F.col("r2"), "moved").otherwise("same")
-    return ranked.select("doc", "anchor", change.alias("change"))
+    o, n = (df if "title" in df.columns else df.withColumn("title", F.lit(None).cast("string")) for df in (old, new))
+    pairs = paired(o, n, aligned)
+    o = o.select("doc", F.col("anchor").alias("a"), F.col("pos").alias("p1"), F.sha2("body", 256).alias("h1"))
+    n = n.select("doc", F.col("anchor").alias("b"), F.col("pos").alias("p2"), F.sha2("body", 256).alias("h2"))
+    met = pairs.join(o, ["doc", "a"]).join(n, ["doc", "b"])
+    r1 = F.row_number().over(Window.partitionBy("doc").orderBy("p1", "a"))
+    r2 = F.row_number().over(Window.partitionBy("doc").orderBy("p2", "b"))
+    ranked = met.withColumn("r1", r1).withColumn("r2", r2)
+    shuffled = ranked.where("r1 != r2").select("doc").distinct()
+    kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
+    out_of_order = ranked.join(shuffled, "doc", "left_semi").select("doc", "b", "p2", "r1").groupBy("doc").applyInPandas(_kept, f"doc {kinds['doc']}, b {kinds['b']}")
+    both = met.join(out_of_order.withColumn("moved", F.lit(True)), ["doc", "b"], "left")
+    both = both.select("doc", F.col("a").alias("old_anchor"), F.col("b").alias("anchor"), F.when(F.col("h1").eqNullSafe(F.col("h2")), "same").otherwise("changed").alias("change"), F.coalesce("moved", F.lit(False)).alias("moved"))
+    gone = o.join(pairs, ["doc", "a"], "left_anti").select("doc", F.col("a").alias("old_anchor"), F.lit(None).cast(kinds["b"]).alias("anchor"), F.lit("removed").alias("change"), F.lit(False).alias("moved"))
+    come = n.join(pairs, ["doc", "b"], "left_anti").select("doc", F.lit(None).cast(kinds["a"]).alias("old_anchor"), F.col("b").alias("anchor"), F.lit("added").alias("change"), F.lit(False).alias("moved"))
+    return both.unionByName(gone).unionByName(come)

@@ -91,7 +91,7 @@ def definitions(lines: DataFrame, sign: str = r":") -> DataFrame:
 def relocated(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """``quotes(quote_id, doc_id, quote, at)`` found again: exact, moved (one place), ambiguous (several) or detached."""
     text = docs.select("doc_id", "text")
-    n = F.size(F.split("text", F.concat(F.lit(r"\Q"), F.col("quote"), F.lit(r"\E")), -1)) - 1
+    n = F.when(F.col("quote") == "", 0).otherwise((F.length("text") - F.length(F.replace(F.col("text"), F.col("quote"), F.lit("")))) / F.length("quote"))
     here = F.expr("substring(text, at + 1, length(quote))") == F.col("quote")
     state = F.when(F.col("text").isNull(), "detached").when(here, "exact").when(n == 1, "moved").when(n > 1, "ambiguous").otherwise("detached")
     return quotes.join(text, "doc_id", "left").select("quote_id", "doc_id", state.alias("state"))

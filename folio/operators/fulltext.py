@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -34,53 +34,120 @@ def lengths(sections: DataFrame, columns: tuple[str, ...] = ("body",)) -> DataFr
     return sections.select("doc", "ord", total.alias("len"))
 
 
-def _times(word: str):
-    """How often a word is in the token column ``t``."""
-    return F.size(F.filter("t", lambda x: x == word))
+#: Postings in one bucket's files, about; a bucket is a folder that a search for other terms never opens.
+BUCKET_POSTINGS = 4_000_000
+#: Files that a bucket is spread over, so that a very common term doesn't wait for one task.
+BUCKET_FILES = 4
 
 
-def matching(sections: DataFrame, words: list[str], columns: tuple[str, ...] = ("body",)) -> DataFrame:
-    """(doc, ord, len, tf0, tf1, ...) of sections with every word in some column; counts without an index.
+class Index:
+    """An inverted index as written tables: postings by bucket of the term, lengths, and one row of statistics.
 
-    One scan: the words are few, so each section's tokens are counted where they are.
+    Sections are ``(doc, ord, ...)``. A search reads the buckets of its terms, in them the row groups that
+    may have the terms, and only the columns it needs; never a text.
     """
-    all_tokens = F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in columns])
-    counted = sections.select("doc", "ord", all_tokens.alias("t"))
-    each = [_times(w).alias(f"tf{i}") for i, w in enumerate(words)]
-    found = counted.select("doc", "ord", F.size("t").alias("len"), *each)
-    for i in range(len(words)):
-        found = found.where(F.col(f"tf{i}") > 0)
-    return found
 
-
-def bm25(sections: DataFrame, words: list[str], columns: tuple[str, ...] = ("body",)) -> DataFrame:
-    """Sections that have every word, with ``score`` (larger is better).
-
-    Statistics are over all sections; a word in more than half of them has a least weight.
-    """
-    all_tokens = F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in columns])
-    counted = sections.select("doc", "ord", all_tokens.alias("t"))
-    each = [_times(w).alias(f"tf{i}") for i, w in enumerate(words)]
-    counts = counted.select("doc", "ord", F.size("t").alias("len"), *each)
-    # one row: sections, mean length, and how many have each word
-    stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
-    found = counts.join(F.broadcast(stats))
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
-        found = found.where(tf > 0)
-        idf = F.greatest(F.ln((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return found.select("doc", "ord", score.alias("score"))
-
-
-def phrase(sections: DataFrame, words: list[str], column: str = "body") -> DataFrame:
-    """(doc, ord, n): sections where the words follow each other in one column, and how often."""
-    # two blanks between tokens, so that hits next to each other share none
-    line = F.concat(F.lit("  "), F.array_join(tokens(F.col(column)), "  "), F.lit("  "))
-    wanted = " " + "  ".join(words) + " "
-    n = (F.length("line") - F.length(F.replace(F.col("line"), F.lit(wanted), F.lit("")))) / len(wanted)
-    return sections.select("doc", "ord", line.alias("line")).where(F.contains("line", F.lit(wanted))).select("doc", "ord", n.cast("int").alias("n"))
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = self._table("statistics").first()["buckets"]
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    @classmethod
+    def write(cls, sections: DataFrame, path: str, columns: tuple[str, ...] = ("body",)) -> Index:
+        """Indexes ``sections``; the statistics are written last, so a broken index is none."""
+        path = path.rstrip("/")
+        spark = sections.sparkSession
+        found = postings(sections, columns)
+        lengths(sections, columns).write.mode("overwrite").parquet(f"{path}/lengths")
+        one = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
+        one = one.withColumn("buckets", F.greatest(F.lit(8), F.ceil(F.col("tokens") / BUCKET_POSTINGS)).cast("int"))
+        row = one.first()
+        held = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(row["buckets"])).cast("int"))
+        held = held.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(BUCKET_FILES))).sortWithinPartitions("bucket", "term", "doc", "ord")
+        held.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        one.write.mode("overwrite").parquet(f"{path}/statistics")
+        return cls(spark, path)
+
+    def replace(self, sections: DataFrame, columns: tuple[str, ...], path: str) -> Index:
+        """An index at ``path`` in which the documents of ``sections`` are these and all others as they were."""
+        gone = sections.select("doc").distinct()
+        old_p, old_l = (self._table(n).join(gone, "doc", "left_anti") for n in ("postings", "lengths"))
+        new_l = old_l.unionByName(lengths(sections, columns))
+        new_l.write.mode("overwrite").parquet(f"{path}/lengths")
+        both = old_p.drop("bucket").unionByName(postings(sections, columns)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        both.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(BUCKET_FILES))).sortWithinPartitions("bucket", "term", "doc", "ord").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        stats = self.spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
+        stats.withColumn("buckets", F.lit(self.buckets)).write.mode("overwrite").parquet(f"{path}/statistics")
+        return Index(self.spark, path)
+
+    def postings(self) -> DataFrame:
+        return self._table("postings")
+
+    def _of(self, words: list[str]) -> DataFrame:
+        """The postings of ``words``: of their buckets alone."""
+        terms = self.spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("t"))
+        at = [r["b"] for r in terms.select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]
+        return self._table("postings").where(F.col("bucket").isin(at) & F.col("term").isin(words))
+
+    def matching(self, words: list[str], within: DataFrame | None = None) -> DataFrame:
+        """(doc, ord, tf0, tf1, ...) of sections with every word; of the documents of ``within(doc)`` if given."""
+        each = [F.sum(F.when(F.col("term") == w, F.col("tf")).otherwise(0)).cast("int").alias(f"tf{i}") for i, w in enumerate(words)]
+        hits = self._of(words)
+        if within is not None:
+            hits = hits.join(within.select("doc").distinct(), "doc", "left_semi")
+        found = hits.groupBy("doc", "ord").agg(*each)
+        for i in range(len(words)):
+            found = found.where(F.col(f"tf{i}") > 0)
+        return found
+
+    def bm25(self, words: list[str], within: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+        """(doc, ord, score) of sections that have every word, larger scores better.
+
+        Statistics are over all sections; a word in more than half of them has a least weight. With
+        ``limit``, the best are kept, with their rank from 1; equal scores by document and place.
+        """
+        frequent = {r["term"]: r["df"] for r in self._of(words).groupBy("term").agg(F.count_distinct("doc", "ord").alias("df")).collect()}
+        stats = self._table("statistics").first()
+        found = self.matching(words, within).join(self._table("lengths"), ["doc", "ord"])
+        score = F.lit(0.0)
+        for i, w in enumerate(words):
+            tf, df = F.col(f"tf{i}").cast("double"), float(frequent.get(w, 0))
+            idf = F.greatest(F.ln(F.lit((stats["n"] - df + 0.5) / (df + 0.5))), F.lit(LEAST_IDF))
+            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean"])))
+        scored = found.select("doc", "ord", score.alias("score"))
+        return scored if limit is None else ranked(scored, [F.desc("score"), F.asc("doc"), F.asc("ord")], limit)
+
+    def phrase(self, words: list[str], within: DataFrame | None = None) -> DataFrame:
+        """(doc, ord, n): sections where the words follow each other in one column, and how often."""
+        hits = self._of(words)
+        if within is not None:
+            hits = hits.join(within.select("doc").distinct(), "doc", "left_semi")
+        starts = F.transform("positions", lambda p: p - F.col("k"))
+        # a word may stand at several places of the phrase
+        places = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in enumerate(words)])
+        each = hits.withColumn("at", F.explode(F.filter(places, lambda x: x["w"] == F.col("term")))).withColumn("k", F.col("at.k"))
+        at = each.select("doc", "ord", "col", "k", F.explode(starts).alias("start")).groupBy("doc", "ord", "col", "start").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") == len(words))
+        return at.groupBy("doc", "ord").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+    def listed(self, within: DataFrame, limit: int) -> DataFrame:
+        """(doc, ord, rank): without words, the sections of ``within(doc)``: newest document first, each in its order."""
+        return ranked(self._table("lengths").join(within.select("doc").distinct(), "doc", "left_semi").select("doc", "ord"), [F.desc("doc"), F.asc("ord")], limit)
+
+    def coverage(self, allowed: DataFrame) -> DataFrame:
+        """One row: how many documents are allowed, and how many of them are indexed."""
+        have = self._table("lengths").select("doc").distinct().withColumn("has", F.lit(True))
+        return allowed.select("doc").distinct().join(have, "doc", "left").agg(F.count(F.lit(1)).alias("n_allowed"), F.count("has").alias("n_indexed"))
+
+    def statistics(self) -> DataFrame:
+        """(term, tf, docs): how often a term is, and in how many documents."""
+        return self.postings().groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("doc").alias("docs"))
+
+
+def ranked(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows by ``order``, each with its rank from 1; the rank is worked out on these alone."""
+    return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def snippet(sections: DataFrame, words: list[str], column: str = "body", around: int = 16) -> DataFrame:

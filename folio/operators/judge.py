@@ -43,8 +43,11 @@ def judgment_set(candidates: DataFrame, text: str, guards: dict[str, Column], le
     reason = F.coalesce(reason, F.when(F.size(words) < least_words, F.lit("short")))
     key = F.substring(F.concat_ws(" ", F.array_sort(words)), 1, 120)
     marked = candidates.withColumn("dropped", reason).withColumn("near", key)
-    w = Window.partitionBy("near", F.col("dropped").isNull()).orderBy("id")
-    return marked.withColumn("dropped", F.when(F.col("dropped").isNull() & (F.row_number().over(w) > 1), "repeated").otherwise(F.col("dropped"))).drop("near")
+    # only candidates that stay so far meet by key, and of a key only its smallest id moves on
+    first = marked.where("dropped is null").groupBy("near").agg(F.min("id").alias("__first"))
+    near = F.when(F.col("dropped").isNull(), F.col("near"))
+    met = marked.withColumn("near", near).join(first, "near", "left")
+    return met.withColumn("dropped", F.when(F.col("dropped").isNull() & (F.col("id") != F.col("__first")), "repeated").otherwise(F.col("dropped"))).drop("near", "__first")
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 11) -> DataFrame:
@@ -67,3 +70,38 @@ def may_publish(previous: DataFrame, following: DataFrame, least: int = 10) -> b
 def cause_counts(rows: DataFrame, causes: str) -> DataFrame:
     """(cause, n, n_only): rows for each cause, and rows for which it is the only one."""
     return rows.select(F.explode(F.array_distinct(causes)).alias("cause"), (F.size(F.array_distinct(causes)) == 1).alias("only")).groupBy("cause").agg(F.count(F.lit(1)).alias("n"), F.count_if("only").alias("n_only"))
+
+
+def reciprocal_ranks(items: DataFrame, docs: DataFrame, is_answer: Column, k: int = 50, rare: int = 12, share: float = 0.05) -> DataFrame:
+    """(query, rank): the rank, by shared words, of the first of the ``k`` best documents that ``is_answer`` holds for; null without.
+
+    ``items(query, w, wanted)`` and ``docs(doc_id, w, text)`` with distinct words ``w``. An item is looked up by
+    its ``rare`` rarest words, none of them in more than ``share`` of the documents, so that no common word joins
+    all with all. An item's best documents are kept by a partial aggregation.
+    """
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    words = items.select("query", F.explode("w").alias("word"))
+    held = docs.select("doc_id", F.explode("w").alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    df = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # one row of one number
+    rarest = words.join(df, "word").join(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(1), F.col("n") * share))
+    asked = rarest.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), 1, rare).alias("r")).select("query", F.explode("r.word").alias("word"))
+    shared = asked.join(held, "word").groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    found = best_of(shared, k).join(items.select("query", "wanted"), "query").join(docs.select("doc_id", "text"), "doc_id").where(is_answer).groupBy("query").agg(F.min("rank").alias("rank"))
+    return items.select("query").join(found, "query", "left")
+
+
+def best_of(scored: DataFrame, k: int) -> DataFrame:
+    """(query, doc_id, rank): the ``k`` documents of each query with the most shared words, then the smallest id.
+
+    First in parts of each query's documents, then over the parts' best: no task has all documents of a query.
+    """
+    order = [F.desc("shared"), F.asc("doc_id")]
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    some = scored.withColumn("part", part).withColumn("nth", F.row_number().over(Window.partitionBy("query", "part").orderBy(*order))).where(F.col("nth") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k).select("query", "doc_id", "rank")
+
+
+def worst_first(scores: DataFrame, key: str = "doc") -> DataFrame:
+    """``scores(key, fp, fn)`` with errors, the most first, then by key."""
+    return scores.withColumn("errors", F.col("fp") + F.col("fn")).orderBy(F.desc("errors"), key)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
+from ..sources.tables import cut
+
 
 def series_rows(series: DataFrame, catalogue: DataFrame, id_col: str, title_col: str) -> DataFrame:
     """A row for each series: its members that the catalogue has, in the series' order, and the newest."""
@@ -33,22 +36,75 @@ def union_first(sources: list[DataFrame], key: str, order: str) -> DataFrame:
     out = tagged[0]
     for df in tagged[1:]:
         out = out.unionByName(df)
-    first = Window.partitionBy(key).orderBy("source", order)
-    return out.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    columns = [c for c in out.columns if c != key]
+    return out.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("source", order)).alias("best")).select(key, "best.*")
 
 
 def latest(rows: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
-    """The newest row of each key; ``newest`` are descending order columns, the last a unique one."""
-    w = Window.partitionBy(*keys).orderBy(*newest)
-    return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    """The row of each key with the largest ``newest``, a unique one at the end; rows are combined before they move."""
+    columns = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*columns), F.struct(*newest))
+    return rows.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 
-def last_read(rows: DataFrame, read: DataFrame, key: str) -> DataFrame:
-    """``rows(key, pos)`` with ``read_at`` from ``read(key, read_at)``: read ones newest first, unread last in their order.
+def newest_first(rows: DataFrame, number: str = "number") -> DataFrame:
+    """``rows(year, month, day, number)`` with ``rank`` from 1, the newest first.
+
+    By date, in which a missing month or day comes before any other, then by number. One sort.
+    """
+    date = [F.col(c).desc_nulls_last() for c in ("year", "month", "day")]
+    return _ranked(rows, [*date, F.desc(number)])
+
 
-    Sort by read_at descending with nulls last, then pos.
+def oldest_first(rows: DataFrame, number: str = "number") -> DataFrame:
+    """The same order turned round."""
+    return _ranked(rows, [*(F.col(c).asc_nulls_first() for c in ("year", "month", "day")), F.asc(number)])
+
+
+def _ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their place in one order, ranked part by part: parts are ranges of the order, so no task has all rows.
+
+    A part's first rank comes from the counts of the parts before it, one number a part.
     """
-    return rows.join(read, key, "left").orderBy(F.col("read_at").desc_nulls_last(), "pos")
+    dealt = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    # a row a part
+    return dealt.withColumn("__w", within).join(F.broadcast(before), "__part").withColumn("rank", F.col("__before") + F.col("__w")).drop("__part", "__w", "__before")
+
+
+def at_best_hit(hits: DataFrame, series: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(rank, id, series): hits in order, each series right after its first member that is a hit.
+
+    ``hits(id, rank)``, ``series(series, member)``; of the hits themselves only those in ``allowed(id)``.
+    Ranks are new, from 1, by the hit's rank, the hit before its series, then the series' id.
+    """
+    own = hits if allowed is None else hits.join(allowed.select("id").distinct(), "id", "left_semi")
+    found = series.join(hits.withColumnRenamed("id", "member"), "member").groupBy("series").agg(F.min("rank").alias("rank"))
+    both = own.select("rank", F.col("id"), F.lit(None).cast(series.schema["series"].dataType).alias("series")).unionByName(found.select("rank", F.lit(None).cast(hits.schema["id"].dataType).alias("id"), "series"))
+    return _ranked(both.withColumnRenamed("rank", "hit"), [F.asc("hit"), F.asc_nulls_first("series")]).select("rank", "id", "series")
+
+
+def quick_open(exact: DataFrame, registry: DataFrame, hits: DataFrame, limit: int = 8) -> DataFrame:
+    """The exact answer, then registries, then hits that neither names: at most ``limit``, with their rank. Each ``(id, ord)``."""
+    every = union_first([exact, registry, hits], "id", "ord")
+    order = [F.asc("source"), F.asc("ord"), F.asc("id")]
+    return every.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "id", "source")
+
+
+def pinned(sources: list[DataFrame], open_: DataFrame, members: DataFrame, key: str = "id") -> DataFrame:
+    """Ids that must stay: all of ``sources(id)`` and of ``open_``, where a series stands for its ``members(id, member)``."""
+    named = sources[0].select(key)
+    for df in sources[1:]:
+        named = named.unionByName(df.select(key))
+    inside = named.join(members, key, "left").select(F.coalesce("member", key).alias(key))
+    return inside.unionByName(open_.select(key)).distinct()
+
+
+def last_read(rows: DataFrame, read: DataFrame, key: str) -> DataFrame:
+    """``rows(key, pos)`` with ``read_at`` from ``read(key, read_at)`` and rank: read ones newest first, unread last in their order."""
+    return _ranked(rows.join(read, key, "left"), [F.col("read_at").desc_nulls_last(), F.asc("pos")])
 
 
 def year_sections(rows: DataFrame) -> DataFrame:
@@ -89,7 +145,8 @@ def renumbered(items: DataFrame, group: str, order: list[str]) -> DataFrame:
     return items.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
 
 
-def index_groups(rows: DataFrame, title: str) -> DataFrame:
-    """``label``: the title's first letter A to Z, or ``#``; letters first, then by folded title."""
-    first = F.upper(F.substring(F.col(title), 1, 1))
-    return rows.withColumn("label", F.when(first.rlike("^[A-Z]$"), first).otherwise("#"))
+def index_groups(rows: DataFrame, title: str, key: str = "number") -> DataFrame:
+    """``label``, the title's first letter A to Z or ``#``, and ``rank``: letters first, then by folded title, then by key."""
+    first = F.upper(F.substring(fold(F.col(title)), 1, 1))
+    labelled = rows.withColumn("label", F.when(first.rlike("^[A-Z]$"), first).otherwise("#"))
+    return _ranked(labelled.withColumn("__title", fold(F.col(title))), [F.asc(F.col("label") == "#"), F.asc("label"), F.asc("__title"), F.asc(key)]).drop("__title")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
@@ -24,6 +24,10 @@ STATUSES = {
     "historic": ("HISTORIC",),
 }
 
+#: The statuses and streams there are; a catalogue may have others of its own.
+KNOWN_STATUSES = {s for group in STATUSES.values() for s in group} | {"INFORMATIONAL", "EXPERIMENTAL", "HISTORIC", "UNKNOWN", "F", "O", "P"}
+KNOWN_STREAMS = {"ietf", "iab", "irtf", "independent", "editorial", "legacy", "1-urgent", "2-high", "3-medium", "4-not specified", "5-low"}
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -46,6 +50,23 @@ class Filters:
     current: bool = False
     columns: dict[str, str] = field(default_factory=dict)
 
+    def unknown(self, catalogue: DataFrame) -> tuple[str, ...]:
+        """Which of the values asked for nothing can have: statuses and streams outside the fixed lists, groups the catalogue lacks.
+
+        One look at the catalogue's distinct groups, as many as were asked for at most.
+        """
+        out = [s for s in self.status if s not in STATUSES and s not in KNOWN_STATUSES]
+        out += [s for s in self.stream if s.lower() not in KNOWN_STREAMS]
+        if self.group:
+            wanted = [g.lower() for g in self.group]
+            have = {r["g"] for r in catalogue.select(fold(self._col("group")).alias("g")).where(F.col("g").isin(wanted)).distinct().collect()}
+            out += [g for g in self.group if g.lower() not in have]
+        return tuple(out)
+
+    def narrowed(self, catalogue: DataFrame) -> DataFrame:
+        """``catalogue`` narrowed; anything unknown asked for leaves nothing, rather than everything."""
+        return catalogue.where(F.lit(False) if self.unknown(catalogue) else self.predicate())
+
     def _col(self, name: str) -> Column:
         return F.col(self.columns.get(name, name))
 

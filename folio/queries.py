@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, citations, diff, extract, fulltext, graph, incremental, judge, lines, lists, ranges, search
+from .operators import align, citations, diff, extract, fulltext, graph, incremental, judge, lines, lists, outline, ranges, search
 from .plans.filters import Filters
 from .sources import adapters as A
 from .sources import sinks
+from .sources.tables import kept_table
 from .streaming import latest
 
 QUERIES = {}
@@ -139,20 +140,73 @@ def union_dedup_first_source(spark, sf_dir) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS number, r.at AS read_at FROM orders
+SELECT o_orderkey AS number, r.at AS read_at, row_number() OVER (ORDER BY r.at DESC NULLS LAST, o_orderkey) AS rank FROM orders
 LEFT JOIN (SELECT user_id, max(event_id) AS at FROM events WHERE event_type = 'view' GROUP BY 1) r ON r.user_id = o_custkey
 """)
 def last_read_order(spark, sf_dir) -> DataFrame:
     read = A.events(spark, sf_dir).where("event_type = 'view'").groupBy(F.col("user_id").alias("owner")).agg(F.max("event_id").alias("read_at"))
     rows = A.orders(spark, sf_dir).select("owner", "number", F.col("number").alias("pos"))
-    return lists.last_read(rows, read, "owner").select("number", "read_at")
+    return lists.last_read(rows, read, "owner").select("number", "read_at", "rank")
+
+
+@query("SELECT o_orderkey AS number, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) AS rank FROM orders")
+def newest_order(spark, sf_dir) -> DataFrame:
+    return lists.newest_first(A.orders(spark, sf_dir)).select("number", "rank")
+
+
+@query("SELECT o_orderkey AS number, row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS rank FROM orders")
+def oldest_order(spark, sf_dir) -> DataFrame:
+    return lists.oldest_first(A.orders(spark, sf_dir)).select("number", "rank")
+
+
+@query("""
+WITH h AS (SELECT n_nationkey AS id, n_regionkey, row_number() OVER (ORDER BY n_name DESC) AS rank FROM nation), a AS (SELECT DISTINCT s_nationkey AS id FROM supplier),
+u AS (SELECT rank AS hit, id, NULL AS series FROM h SEMI JOIN a USING (id) UNION ALL SELECT min(rank), NULL, n_regionkey FROM h GROUP BY n_regionkey)
+SELECT row_number() OVER (ORDER BY hit, series NULLS FIRST) AS rank, id, series FROM u
+""")
+def series_at_best_hit(spark, sf_dir) -> DataFrame:
+    n = A.table(spark, sf_dir, "nation")
+    hits = n.select(F.col("n_nationkey").alias("id"), F.row_number().over(Window.orderBy(F.desc("n_name"))).alias("rank"))
+    members = n.select(F.col("n_regionkey").alias("series"), F.col("n_nationkey").alias("member"))
+    return lists.at_best_hit(hits, members, A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id")))
+
+
+@query("""
+WITH u AS (SELECT p_partkey AS id, 0 AS source FROM part WHERE p_partkey = 7 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_brand = 'Brand#7' UNION ALL SELECT p_partkey, 2 FROM part WHERE contains(p_name, 'red')),
+f AS (SELECT id, min(source) AS source FROM u GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY source, id) AS INTEGER) AS rank, id, source FROM f ORDER BY source, id LIMIT 8
+""")
+def quick_open(spark, sf_dir) -> DataFrame:
+    p = A.parts(spark, sf_dir)
+    found = [p.where(w).select(F.col("number").alias("id"), F.col("number").alias("ord")) for w in ("number = 7", "`group` = 'Brand#7'", "contains(title, 'red')")]
+    return lists.quick_open(*found)
+
+
+@query("""
+WITH n AS (SELECT user_id AS id FROM events WHERE event_type IN ('purchase', 'signup')), o AS (SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'P')
+SELECT coalesce(c_nationkey, id) AS id FROM n LEFT JOIN customer ON c_custkey = id UNION SELECT id FROM o
+""")
+def pinned_set(spark, sf_dir) -> DataFrame:
+    e = A.events(spark, sf_dir)
+    named = [e.where(F.col("event_type") == k).select(F.col("user_id").alias("id")) for k in ("purchase", "signup")]
+    members = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("member"))
+    return lists.pinned(named, A.orders(spark, sf_dir).where("status = 'P'").select(F.col("owner").alias("id")), members)
+
+
+@query("SELECT 'known' AS asked, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND lower(o_orderpriority) = '1-urgent' UNION ALL SELECT 'unknown', 0")
+def unknown_values(spark, sf_dir) -> DataFrame:
+    """A value that nothing can have leaves nothing, whatever else is asked for."""
+    o = A.owned_orders(spark, sf_dir)
+    asked = {"known": Filters(status=("F",), stream=("1-urgent",)), "unknown": Filters(status=("F",), stream=("1-urgent",), group=("building", "no such group"))}
+    counts = [f.narrowed(o).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("asked"), "n") for name, f in asked.items()]
+    return counts[0].unionByName(counts[1])
 
 
 @query("""
 SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
 """)
 def latest_per_key(spark, sf_dir) -> DataFrame:
-    return lists.latest(A.events(spark, sf_dir), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+    return lists.latest(A.events(spark, sf_dir), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
 @query("""
@@ -175,10 +229,11 @@ def why_hidden(spark, sf_dir) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey AS number, p_name AS title, CASE WHEN regexp_matches(upper(p_name[1]), '^[A-Z]$') THEN upper(p_name[1]) ELSE '#' END AS label FROM part
+WITH l AS (SELECT p_partkey AS number, p_name AS title, CASE WHEN regexp_matches(upper(p_name[1]), '^[A-Z]$') THEN upper(p_name[1]) ELSE '#' END AS label FROM part)
+SELECT number, title, label, row_number() OVER (ORDER BY label = '#', label, lower(title), number) AS rank FROM l
 """)
 def title_groups(spark, sf_dir) -> DataFrame:
-    return lists.index_groups(A.parts(spark, sf_dir), "title").select("number", "title", "label")
+    return lists.index_groups(A.parts(spark, sf_dir), "title").select("number", "title", "label", "rank")
 
 
 @query("SELECT o_orderkey AS number, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS position FROM orders")
@@ -215,6 +270,15 @@ def corpus_manifest(spark, sf_dir) -> DataFrame:
 
 # --- citations and graphs -----------------------------------------------------------------
 
+#: Lines of orders with a place of their own: line numbers repeat.
+_LINES = "(SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS INTEGER) AS place FROM lineitem)"
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return A.table(spark, sf_dir, "lineitem").withColumn("place", F.row_number().over(order))
+
+
 
 @query("""
 WITH n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem)
@@ -237,10 +301,59 @@ def strongest_kind(spark, sf_dir) -> DataFrame:
     return citations.strongest(A.citations(spark, sf_dir))
 
 
-@query("SELECT p_partkey AS cited, p_name AS title FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45)")
+@query("""
+SELECT o_orderkey AS cited, o_custkey AS anchor FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N') AND o_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')
+""")
 def uncited_bibliography(spark, sf_dir) -> DataFrame:
-    cited = A.table(spark, sf_dir, "lineitem").where("l_returnflag = 'N' and l_quantity > 45").select(F.col("l_partkey").alias("cited"))
-    return citations.uncited(A.parts(spark, sf_dir).select(F.col("number").alias("cited"), "title"), cited)
+    by_doc = A.table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("cited"), F.lit(None).cast("long").alias("anchor"))
+    by_anchor = A.events(spark, sf_dir).where("event_type = 'purchase'").select(F.lit(None).cast("long").alias("cited"), F.col("user_id").alias("anchor"))
+    entries = A.orders(spark, sf_dir).select(F.col("number").alias("cited"), F.col("owner").alias("anchor"))
+    return citations.uncited(entries, by_doc.unionByName(by_anchor), "cited", "anchor")
+
+
+@query(f"""
+WITH e AS (SELECT l_orderkey AS doc, place AS entry, l_partkey AS cited, l_linestatus AS kind FROM {_LINES} WHERE l_returnflag <> 'R'),
+x AS (SELECT doc, entry, arg_min(kind, entry) AS k1 FROM e GROUP BY 1, 2), y AS (SELECT doc, cited, arg_min(kind, entry) AS k2 FROM e GROUP BY 1, 2)
+SELECT l_orderkey AS doc, place AS entry, l_partkey AS cited, coalesce(k1, k2, 'unknown') AS kind FROM {_LINES} LEFT JOIN x ON x.doc = l_orderkey AND x.entry = place LEFT JOIN y ON y.doc = l_orderkey AND y.cited = l_partkey
+""")
+def kind_with_fallback(spark, sf_dir) -> DataFrame:
+    l = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc"), F.col("place").alias("entry"), F.col("l_partkey").alias("cited"), "l_returnflag", "l_linestatus")  # noqa: E741
+    entries = l.where("l_returnflag != 'R'").select("doc", "entry", "cited", F.col("entry").alias("ord"), F.col("l_linestatus").alias("kind"))
+    return citations.with_kind(l.select("doc", "entry", "cited"), entries).select("doc", "entry", "cited", "kind")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS section, CAST(l_partkey % 7 + 1 AS INTEGER) AS target FROM lineitem)
+SELECT l.doc, a.section AS to_section, l.section, count(*) AS n FROM l JOIN l a ON a.doc = l.doc AND a.section = l.target WHERE l.section <> a.section GROUP BY 1, 2, 3
+""")
+def section_backlinks(spark, sf_dir) -> DataFrame:
+    l = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("section"), (F.col("l_partkey") % 7 + 1).cast("int").alias("target"))  # noqa: E741
+    return citations.backlinks(l, l.select("doc", F.col("section").alias("anchor"), "section"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS citing, l_linenumber AS section, l_partkey AS cited, CASE WHEN l_tax > 0.04 THEN l_suppkey END AS cited_section FROM lineitem), u AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem WHERE l_returnflag = 'R')
+SELECT DISTINCT c.cited, cited_section, c.citing, section FROM c JOIN u ON u.citing = c.citing AND u.cited = c.cited WHERE cited_section IS NOT NULL
+""")
+def amended_sections(spark, sf_dir) -> DataFrame:
+    l = A.table(spark, sf_dir, "lineitem")  # noqa: E741
+    cites = l.select(F.col("l_orderkey").alias("citing"), F.col("l_linenumber").alias("section"), F.col("l_partkey").alias("cited"), F.when(F.col("l_tax") > 0.04, F.col("l_suppkey")).alias("cited_section"))
+    return citations.amendments(cites, l.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited")))
+
+
+@query("SELECT l_orderkey AS doc, l_returnflag AS kind, count(*) AS n, list(l_partkey ORDER BY l_linenumber, l_partkey) AS entries FROM lineitem GROUP BY 1, 2")
+def references_by_kind(spark, sf_dir) -> DataFrame:
+    l = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("cited"))  # noqa: E741
+    return citations.by_kind(l)
+
+
+@query("""
+WITH c AS (SELECT l_suppkey AS citing, l_partkey AS cited, count(*) AS n, min(l_orderkey) AS first FROM lineitem GROUP BY 1, 2)
+SELECT citing, cited, n, CAST(row_number() OVER (PARTITION BY citing ORDER BY first, cited) AS INTEGER) AS ord FROM c
+""")
+def first_cited_order(spark, sf_dir) -> DataFrame:
+    l = A.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("citing"), F.col("l_partkey").alias("cited"), F.col("l_orderkey").alias("place"))  # noqa: E741
+    return citations.first_cited(l)
 
 
 @query("""
@@ -260,34 +373,47 @@ def page_shapes(spark, sf_dir) -> DataFrame:
     return extract.page_sections(A.table(spark, sf_dir, "pages"))
 
 
-def _customer_graph(spark, sf_dir) -> DataFrame:
-    """Parts that one order has of few suppliers: a sparse graph of parts."""
-    l = A.table(spark, sf_dir, "lineitem").where("l_quantity >= 47").select("l_orderkey", "l_partkey")  # noqa: E741
-    return l.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a < b").select("a", "b").distinct()
+def _part_graph(spark, sf_dir) -> DataFrame:
+    """A star for each order: its smallest part cites every other part of it, in the order of lines."""
+    l = A.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("b"), F.col("l_linenumber").alias("pos"))  # noqa: E741
+    first = l.groupBy("l_orderkey").agg(F.min("b").alias("a"))
+    return l.join(first, "l_orderkey").where("a != b").select("a", "b", "pos")
 
 
-_GRAPH_SQL = "SELECT DISTINCT a, b FROM (SELECT min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem WHERE l_quantity >= 47 GROUP BY l_orderkey) WHERE a < b"
+_GRAPH_SQL = "SELECT DISTINCT m.a, l_partkey AS b FROM lineitem l JOIN (SELECT l_orderkey, min(l_partkey) AS a FROM lineitem GROUP BY 1) m USING (l_orderkey) WHERE l_partkey <> m.a"
 
 
 @query(f"""
-WITH RECURSIVE e AS ({_GRAPH_SQL}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(node, other) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.other)
-SELECT node, min(other) AS component FROM r GROUP BY 1
+WITH RECURSIVE e AS ({_GRAPH_SQL}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM s GROUP BY 1
+  UNION SELECT s.b, min(c.component) FROM c JOIN s ON s.a = c.node JOIN recurring.c AS r ON r.node = s.b WHERE c.component < r.component GROUP BY 1)
+SELECT node, component FROM c
 """)
 def components(spark, sf_dir) -> DataFrame:
-    return graph.components(_customer_graph(spark, sf_dir))
+    return graph.components(_part_graph(spark, sf_dir))
 
 
 @query(f"""
-WITH RECURSIVE e AS ({_GRAPH_SQL}), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(root, node, depth) AS (SELECT DISTINCT a, a, 0 FROM s WHERE a % 20 = 0 UNION SELECT r.root, s.b, r.depth + 1 FROM r JOIN s ON s.a = r.node WHERE r.depth < 4)
+WITH RECURSIVE e AS ({_GRAPH_SQL}), n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem),
+t AS (SELECT l_partkey AS node FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1 HAVING count(DISTINCT l_orderkey) > (SELECT floor(n * 0.0008) FROM n)),
+r(root, node, depth) AS (SELECT DISTINCT a, a, 0 FROM e WHERE a % 20 = 0 UNION SELECT r.root, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 4 AND (r.depth = 0 OR r.node NOT IN (SELECT node FROM t)))
 SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2
 """)
 def reading_path_depth(spark, sf_dir) -> DataFrame:
-    """Every twentieth node is a root: the question, not a sample of the graph."""
-    e = _customer_graph(spark, sf_dir)
-    both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return graph.depths(both, both.where("a % 20 = 0").select(F.col("a").alias("root")).distinct())
+    """Every twentieth node is a root: the question, not a sample of the graph. Assumed documents are not followed."""
+    e = _part_graph(spark, sf_dir)
+    assumed = citations.assumed(A.citations(spark, sf_dir), 0.0008).select(F.col("cited").alias("node"))
+    return graph.depths(e, e.where("a % 20 = 0").select(F.col("a").alias("root")).distinct(), stop=assumed)
+
+
+@query()
+def reading_path(spark, sf_dir) -> DataFrame:
+    """The paths in order; SQL has no depth-first order, tests hold it against a plain walk."""
+    e = _part_graph(spark, sf_dir)
+    assumed = citations.assumed(A.citations(spark, sf_dir), 0.0008).select(F.col("cited").alias("node"))
+    path = graph.reading_path(e, e.where("a % 20 = 0").select(F.col("a").alias("root")).distinct(), stop=assumed)
+    titles = A.parts(spark, sf_dir).select(F.col("number").alias("node"), "title", F.lit(None).cast("array<long>").alias("obsoleted_by"))
+    return graph.path_rows(path, titles, A.events(spark, sf_dir).select(F.col("user_id").alias("node"))).drop("obsoleted_by")
 
 
 # --- full text ----------------------------------------------------------------------------
@@ -300,13 +426,30 @@ def _sections(spark, sf_dir) -> DataFrame:
     return fulltext.sections_of(A.table(spark, sf_dir, "documents"))
 
 
+def _index(spark, sf_dir) -> fulltext.Index:
+    """The index of the documents' sections: written once a session, then only read."""
+    path = kept_table(spark, f"fts:{sf_dir}", lambda at: fulltext.Index.write(_sections(spark, sf_dir), at))
+    return fulltext.Index(spark, path)
+
+
+@query(f"""
+WITH s AS ({_SECTIONS}), t AS (SELECT {_TOKENS} AS t FROM s)
+SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS tokens FROM t
+""")
+def fts_index(spark, sf_dir) -> DataFrame:
+    """Writes the index, if this session has none yet: sections and tokens in it."""
+    return spark.read.parquet(f"{_index(spark, sf_dir).path}/statistics").select("n", "tokens")
+
+
 @query(f"""
 WITH s AS ({_SECTIONS}), t AS (SELECT doc, ord, {_TOKENS} AS t FROM s)
 SELECT doc, ord, CAST(len(t) AS INTEGER) AS len, CAST(len(list_filter(t, lambda x: x = 'the')) AS INTEGER) AS tf0, CAST(len(list_filter(t, lambda x: x = 'and')) AS INTEGER) AS tf1
 FROM t WHERE list_contains(t, 'the') AND list_contains(t, 'and')
 """)
 def fts_all_words(spark, sf_dir) -> DataFrame:
-    return fulltext.matching(_sections(spark, sf_dir), ["the", "and"])
+    index = _index(spark, sf_dir)
+    found = index.matching(["the", "and"]).join(spark.read.parquet(f"{index.path}/lengths"), ["doc", "ord"])
+    return found.select("doc", "ord", "len", "tf0", "tf1")
 
 
 @query(f"""
@@ -317,7 +460,32 @@ SELECT doc, ord, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.
 FROM c, g WHERE f0 > 0 AND f1 > 0
 """)
 def fts_bm25(spark, sf_dir) -> DataFrame:
-    return fulltext.bm25(_sections(spark, sf_dir), ["der", "nicht"]).withColumn("score", F.round("score", 6))
+    return _index(spark, sf_dir).bm25(["der", "nicht"]).withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+WITH s AS ({_SECTIONS}), t AS (SELECT doc, ord, {_TOKENS} AS t FROM s),
+c AS (SELECT doc, ord, len(t) AS l, len(list_filter(t, lambda x: x = 'license')) AS f0 FROM t), g AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (f0 > 0) AS d0 FROM c),
+r AS (SELECT doc, ord, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score FROM c, g SEMI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON c.doc = d.doc_id WHERE f0 > 0)
+SELECT doc, ord, score, CAST(row_number() OVER (ORDER BY score DESC, doc, ord) AS INTEGER) AS rank FROM r ORDER BY score DESC, doc, ord LIMIT 50
+""")
+def fts_best_in_list(spark, sf_dir) -> DataFrame:
+    """The 50 best sections for a word among the documents of a list, with their ranks."""
+    listed = A.table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"))
+    scored = _index(spark, sf_dir).bm25(["license"], listed).withColumn("score", F.round("score", 6))
+    return fulltext.ranked(scored, [F.desc("score"), F.asc("doc"), F.asc("ord")], 50)
+
+
+@query(f"""
+WITH s AS ({_SECTIONS}) SELECT doc, ord, CAST(row_number() OVER (ORDER BY doc DESC, ord) AS INTEGER) AS rank FROM s SEMI JOIN (SELECT doc_id FROM documents WHERE lang = 'de') d ON s.doc = d.doc_id ORDER BY doc DESC, ord LIMIT 50
+""")
+def fts_without_words(spark, sf_dir) -> DataFrame:
+    return _index(spark, sf_dir).listed(A.table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("doc")), 50)
+
+
+@query(f"WITH s AS ({_SECTIONS}) SELECT count(*) AS n_allowed, count(*) FILTER (doc_id IN (SELECT doc FROM s)) AS n_indexed FROM (SELECT DISTINCT doc_id FROM labels)")
+def fts_coverage(spark, sf_dir) -> DataFrame:
+    return _index(spark, sf_dir).coverage(A.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc")))
 
 
 @query(f"""
@@ -325,12 +493,15 @@ WITH s AS ({_SECTIONS}), t AS (SELECT doc, ord, {_TOKENS} AS t FROM s), p AS (SE
 SELECT doc, ord, CAST(count(*) AS INTEGER) AS n FROM p WHERE t[i] = 'of' AND t[i + 1] = 'the' GROUP BY 1, 2
 """)
 def fts_phrase(spark, sf_dir) -> DataFrame:
-    return fulltext.phrase(_sections(spark, sf_dir), ["of", "the"])
+    return _index(spark, sf_dir).phrase(["of", "the"])
 
 
 @query()
 def fts_snippets(spark, sf_dir) -> DataFrame:
-    return fulltext.snippet(_sections(spark, sf_dir), ["license", "nicht"])
+    """Snippets of the sections that the index finds; only their documents' texts are read."""
+    hits = _index(spark, sf_dir).matching(["license"]).select("doc", "ord")
+    texts = A.table(spark, sf_dir, "documents").join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return fulltext.snippet(fulltext.sections_of(texts).join(hits, ["doc", "ord"], "left_semi"), ["license"])
 
 
 @query(f"""
@@ -338,8 +509,7 @@ WITH s AS ({_SECTIONS}), t AS (SELECT doc, ord, {_TOKENS} AS t FROM s), p AS (SE
 SELECT term, count(*) AS tf, count(DISTINCT doc) AS docs FROM p GROUP BY 1
 """)
 def fts_term_statistics(spark, sf_dir) -> DataFrame:
-    p = fulltext.postings(_sections(spark, sf_dir))
-    return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("doc").alias("docs"))
+    return _index(spark, sf_dir).statistics()
 
 
 @query("""
@@ -417,12 +587,23 @@ def boundary_sample(spark, sf_dir) -> DataFrame:
     return lines.boundary(lines.refusals(lines.block_metrics(A.lines(spark, sf_dir)))).select("doc_id", "gap", "part", "criterion")
 
 
-@query()
+_HEADING = r"'^((?:\d+|[A-Z])(?:\.\d+)*)\.?\s+(\S.*)$'"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)),
+h AS (SELECT doc_id, pos, regexp_extract(line, {_HEADING}, 1) AS number, regexp_extract(line, {_HEADING}, 2) AS title FROM l)
+SELECT doc_id, pos, number, title, CAST(len(string_split(number, '.')) AS INTEGER) AS depth, nullif(regexp_extract(number, '^(.*)\\.[^.]+$', 1), '') AS parent FROM h WHERE number <> '' AND NOT regexp_matches(title, '[.]{{4}}')
+""")
 def numbered_headings(spark, sf_dir) -> DataFrame:
     return lines.headings(A.lines(spark, sf_dir))
 
 
-@query()
+@query(r"""
+WITH k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\b(e\.g|i\.e|Sec|cf|vs|Fig)\.', '\1' || chr(1), 'g'), '\s+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(t, '([.!?]["'')\]]*) ([\p{Lu}\p{N}"''(\[])', '\1' || chr(10) || '\2', 'g') AS t FROM k)
+SELECT doc_id, CAST(len(list_filter(string_split(t, chr(10)), lambda x: x <> '')) AS INTEGER) AS n_sentences FROM c
+""")
 def sentences(spark, sf_dir) -> DataFrame:
     return A.table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
 
@@ -433,14 +614,164 @@ def keyword_sentences(spark, sf_dir) -> DataFrame:
     return found.groupBy("doc_id").agg(F.sum(F.size("found")).cast("int").alias("n_found"))
 
 
-@query()
+def _named_models(spark, sf_dir) -> DataFrame:
+    """A text for each part that spells out its name and gives its letters."""
+    name = F.initcap(F.col("p_name"))
+    letters = F.upper(F.array_join(F.transform(F.split("p_name", " "), lambda w: F.substring(w, 1, 1)), ""))
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("It is the "), name, F.lit(" Model ("), letters, F.lit("M) of "), F.col("p_brand"), F.lit(". See (it) too.")).alias("text"), "p_brand")
+
+
+@query("""
+SELECT p_partkey AS doc_id, upper(array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '')) || 'M' AS short, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' Model' AS long FROM part
+""")
 def abbreviations(spark, sf_dir) -> DataFrame:
-    return extract.abbreviations(A.table(spark, sf_dir, "documents"))
+    return extract.abbreviations(_named_models(spark, sf_dir))
 
 
-@query()
+@query("""
+SELECT upper(array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '')) || 'M' AS short, count(DISTINCT p_partkey) AS docs, count(DISTINCT lower(p_name)) AS expansions FROM part GROUP BY 1 ORDER BY docs DESC, short LIMIT 200
+""")
+def abbreviation_totals(spark, sf_dir) -> DataFrame:
+    return extract.abbreviation_totals(extract.abbreviations(_named_models(spark, sf_dir)))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i) UNION ALL SELECT -1 - p_partkey, 0, p_name || ': ' || p_type FROM part),
+f AS (SELECT doc_id, pos, regexp_extract(line, '^\s*(\S[^:]{0,60}?):\s+(\S.*)$', 1) AS term, regexp_extract(line, '^\s*(\S[^:]{0,60}?):\s+(\S.*)$', 2) AS meaning FROM l)
+SELECT doc_id, pos, term, meaning FROM f WHERE term <> ''
+""")
 def definitions(spark, sf_dir) -> DataFrame:
-    return extract.definitions(A.lines(spark, sf_dir))
+    parts = A.table(spark, sf_dir, "part").select((-1 - F.col("p_partkey")).alias("doc_id"), F.lit(0).alias("pos"), F.concat("p_name", F.lit(": "), "p_type").alias("line"))
+    return extract.definitions(A.lines(spark, sf_dir).unionByName(parts))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(line) = '') AS n_blank, CAST(sum(len(line)) AS BIGINT) AS n_chars, CAST(max(len(line)) AS INTEGER) AS longest,
+  count(*) FILTER (regexp_matches(line, '^\\d+(\\.\\d+)*\\.?\\s+\\S')) AS n_headings FROM l GROUP BY 1
+""")
+def document_report(spark, sf_dir) -> DataFrame:
+    return outline.document_report(A.lines(spark, sf_dir))
+
+
+@query(_METRICS + """
+SELECT refused[1] AS criterion, count(*) AS n FROM r WHERE len(refused) = 1 AND CASE refused[1] WHEN 'too_short' THEN chars >= 36 WHEN 'symbols' THEN symbols * 20 < chars * 1.1 WHEN 'table' THEN bars * 10 < 22 * n_lines WHEN 'capitals' THEN capitals * 20 < letters * 11 ELSE false END GROUP BY 1
+""")
+def boundary_counts(spark, sf_dir) -> DataFrame:
+    return lines.boundary(lines.refusals(lines.block_metrics(A.lines(spark, sf_dir)))).groupBy("criterion").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- sections and headers -----------------------------------------------------------------
+
+
+def _outline(spark, sf_dir) -> DataFrame:
+    """Lines of orders as sections: the first seven are numbered 1, 1.1, 1.1.1, 1.2, 2, 2.1, 2.1.1."""
+    numbers = F.array(*map(F.lit, ("1", "1.1", "1.1.1", "1.2", "2", "2.1", "2.1.1")))
+    l = _lines(spark, sf_dir).join(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")  # noqa: E741
+    return l.select(F.col("l_orderkey").alias("doc"), F.col("place").alias("pos"), F.get(numbers, F.col("place") - 1).alias("number"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("anchor"), F.col("p_name").alias("title"), (F.col("l_linestatus") == "F").alias("is_appendix"), "l_returnflag")
+
+
+_OUTLINE_SQL = f"SELECT l_orderkey AS doc, place AS pos, ['1', '1.1', '1.1.1', '1.2', '2', '2.1', '2.1.1'][place] AS number, 's' || l_suppkey AS anchor, p_name AS title, l_linestatus = 'F' AS is_appendix, l_returnflag FROM {_LINES} JOIN part ON p_partkey = l_partkey"
+
+
+@query(f"""
+WITH s AS ({_OUTLINE_SQL}), o AS (SELECT *, CASE WHEN number = '1.1' AND is_appendix THEN 0 ELSE NULL END AS k FROM s)
+SELECT doc, pos, number FROM o WHERE k = 0 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY pos) = 1
+""")
+def section_lookup_appendix(spark, sf_dir) -> DataFrame:
+    return outline.lookup(_outline(spark, sf_dir), "Appendix 1.1.").select("doc", "pos", "number")
+
+
+@query(f"""
+WITH s AS ({_OUTLINE_SQL}), o AS (SELECT *, CASE WHEN number = '2' AND NOT is_appendix THEN 0 WHEN number = '2' THEN 1 END AS k FROM s)
+SELECT doc, pos, number FROM o WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc ORDER BY k, pos) = 1
+""")
+def section_lookup_number(spark, sf_dir) -> DataFrame:
+    return outline.lookup(_outline(spark, sf_dir), "§2").select("doc", "pos", "number")
+
+
+@query(f"WITH s AS ({_OUTLINE_SQL}) SELECT doc, pos, number FROM s WHERE contains(lower(title), 'red') AND contains(lower(title), 'widget')")
+def section_lookup_words(spark, sf_dir) -> DataFrame:
+    return outline.lookup(_outline(spark, sf_dir), "Widget RED").select("doc", "pos", "number")
+
+
+@query(f"""
+WITH s AS ({_OUTLINE_SQL}), m AS (SELECT * FROM s WHERE contains(lower(title), 'red') OR starts_with(number, 'red')),
+a AS (SELECT DISTINCT s.doc, s.pos FROM s JOIN m ON m.doc = s.doc AND (m.pos = s.pos OR m.number = s.number OR starts_with(m.number, s.number || '.')))
+SELECT a.doc, a.pos, EXISTS (SELECT 1 FROM m WHERE m.doc = a.doc AND m.pos = a.pos) AS is_match FROM a
+""")
+def outline_with_context(spark, sf_dir) -> DataFrame:
+    return outline.outline(_outline(spark, sf_dir), "red")
+
+
+@query("SELECT l_orderkey AS doc, l_linenumber AS pos, round(percent_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 6) AS share FROM lineitem")
+def relative_position(spark, sf_dir) -> DataFrame:
+    return outline.relative_position(A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"))).withColumn("share", F.round("share", 6))
+
+
+@query(f"""
+WITH s AS ({_OUTLINE_SQL}), r AS (SELECT doc, pos, l_returnflag AS value, row_number() OVER (PARTITION BY doc ORDER BY pos) - row_number() OVER (PARTITION BY doc, l_returnflag ORDER BY pos) AS g FROM s)
+SELECT doc, value, min(pos) AS first, count(*) AS n FROM r GROUP BY doc, value, g
+""")
+def section_runs(spark, sf_dir) -> DataFrame:
+    return outline.runs(_outline(spark, sf_dir).select("doc", "pos", F.col("l_returnflag").alias("value")), "value").drop("run")
+
+
+@query("""
+SELECT p_partkey AS number, p_size AS stated, s_name AS title, n_name AS "group", CASE WHEN p_size <> p_partkey THEN 'states ' || p_size END AS note FROM part JOIN supplier ON s_suppkey = p_partkey LEFT JOIN nation ON n_nationkey = s_nationkey
+""")
+def merged_headers(spark, sf_dir) -> DataFrame:
+    docs = A.parts(spark, sf_dir).select("number", F.col("page_count").alias("stated"), "title", "group")
+    n = A.table(spark, sf_dir, "nation")
+    catalogue = A.table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.col("s_suppkey").alias("number"), F.col("s_name").alias("title"), F.col("n_name").alias("group"))
+    return outline.merged_headers(docs, catalogue, ("title", "group")).select("number", "stated", "title", "group", "note")
+
+
+@query("SELECT user_id, list_extract(['view', 'click', 'signup', 'purchase'], CAST(max(list_position(['view', 'click', 'signup', 'purchase'], event_type)) AS BIGINT)) AS stage FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase') GROUP BY 1")
+def furthest_stage(spark, sf_dir) -> DataFrame:
+    return outline.furthest(A.events(spark, sf_dir).select("user_id", F.col("event_type").alias("state")), "user_id", ("view", "click", "signup", "purchase"))
+
+
+@query("SELECT s_nationkey AS nation, count(*) AS n, list(s_name ORDER BY s_name) AS names FROM supplier WHERE s_acctbal > 5000 GROUP BY 1")
+def group_chairs(spark, sf_dir) -> DataFrame:
+    people = A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.when(F.col("s_acctbal") > 5000, "chair").otherwise("member").alias("role"), F.col("s_name").alias("name"))
+    return outline.leaders(people, "nation")
+
+
+@query("""
+SELECT p_partkey AS number, 'BCP' AS series, p_partkey AS parsed, 'section-' || p_size || '.2' AS anchor, 'Section ' || p_size || '.2' AS place, replace(p_name, ' ', '-') AS slug, 'RFC' AS link_series, p_partkey AS linked, [2026, p_size, 1] AS version,
+  rpad(p_name[1:3], 8, ' ') || 'x' AS spaced, starts_with(lower(p_name), 'red') AS prefixed FROM part
+""")
+def text_rules(spark, sf_dir) -> DataFrame:
+    """Ids, anchors, places, slugs, links, versions, tabs and prefixes made of parts."""
+    p = A.parts(spark, sf_dir)
+    n, size = F.col("number").cast("string"), F.col("page_count").cast("string")
+    section = F.concat(size, F.lit(".2"))
+    doc, link = T.document_id(F.concat(F.lit("bcp "), n)), T.link_target(F.concat(F.lit("https://example.org/rfc"), n, F.lit(".html#top")))
+    return p.select(
+        "number", doc["series"].alias("series"), doc["number"].cast("long").alias("parsed"), T.section_anchor(section).alias("anchor"), T.place_name(section).alias("place"), T.slug(F.col("title")).alias("slug"), link["series"].alias("link_series"), link["number"].cast("long").alias("linked"),
+        T.version_key(F.concat(F.lit("2026."), size, F.lit(".1"))).alias("version"), T.expanded(F.concat(F.substring("title", 1, 3), F.lit("\tx"))).alias("spaced"), T.starts_with_any_case(F.col("title"), "RED").alias("prefixed"),
+    )
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang AS title, text AS body FROM documents), e AS (SELECT *, replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS b FROM d)
+SELECT doc_id, md5('# ' || title || chr(10) || chr(10) || body || chr(10)) AS markdown, md5('<h1>' || title || '</h1>' || chr(10) || '<p>' || regexp_replace(b, '\\n\\s*\\n', '</p>' || chr(10) || '<p>', 'g') || '</p>' || chr(10)) AS html FROM e
+""")
+def rendered_documents(spark, sf_dir) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(sinks.markdown(F.col("lang"), F.col("text"))).alias("markdown"), F.md5(sinks.html(F.col("lang"), F.col("text"))).alias("html"))
+
+
+@query("""
+WITH q AS (SELECT doc_id, text, text[11:40] AS quote, CASE WHEN lang = 'en' THEN 10 ELSE 3 END AS place FROM documents),
+n AS (SELECT *, CASE WHEN quote = '' THEN 0 ELSE (len(text) - len(replace(text, quote, ''))) // len(quote) END AS n FROM q)
+SELECT doc_id AS quote_id, doc_id, CASE WHEN text[place + 1:place + len(quote)] = quote THEN 'exact' WHEN n = 1 THEN 'moved' WHEN n > 1 THEN 'ambiguous' ELSE 'detached' END AS state FROM n
+""")
+def relocated_quotes(spark, sf_dir) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents")
+    quotes = d.select(F.col("doc_id").alias("quote_id"), "doc_id", F.substring("text", 11, 30).alias("quote"), F.when(F.col("lang") == "en", 10).otherwise(3).alias("at"))
+    return extract.relocated(quotes, d)
 
 
 # --- revisions, alignment and differences -------------------------------------------------
@@ -483,20 +814,26 @@ def revision_changes(spark, sf_dir) -> DataFrame:
     return diff.revisions(A.turns(spark, sf_dir)).select("doc", "revision", (F.sha2("old", 256) != F.sha2("new", 256)).alias("changed"))
 
 
-@query("""
-WITH o AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS anchor, CAST(l_quantity AS INTEGER) AS pos, l_returnflag AS body FROM lineitem WHERE l_linenumber <= 4 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_quantity, l_returnflag) = 1),
-n AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS anchor, CAST(l_quantity AS INTEGER) AS pos, l_linestatus AS body FROM lineitem WHERE l_linenumber >= 3 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_quantity, l_linestatus) = 1)
-SELECT coalesce(o.doc, n.doc) AS doc, coalesce(o.anchor, n.anchor) AS anchor, CASE WHEN o.body IS NULL THEN 'added' WHEN n.body IS NULL THEN 'removed' WHEN o.body <> n.body THEN 'changed' ELSE 'same' END AS change
-FROM o FULL JOIN n ON o.doc = n.doc AND o.anchor = n.anchor
+@query(f"""
+WITH o AS (SELECT l_orderkey AS doc, place AS anchor, l_quantity AS pos, l_returnflag AS body FROM {_LINES} WHERE place <= 4),
+n AS (SELECT l_orderkey AS doc, place AS anchor, l_extendedprice AS pos, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END AS body FROM {_LINES} WHERE place >= 3),
+k AS (SELECT o.doc, o.anchor, row_number() OVER (PARTITION BY o.doc ORDER BY o.pos, o.anchor) AS r1, row_number() OVER (PARTITION BY o.doc ORDER BY n.pos, n.anchor) AS r2 FROM o JOIN n ON o.doc = n.doc AND o.anchor = n.anchor)
+SELECT coalesce(o.doc, n.doc) AS doc, o.anchor AS old_anchor, n.anchor AS anchor, CASE WHEN o.body IS NULL THEN 'added' WHEN n.body IS NULL THEN 'removed' WHEN o.body <> n.body THEN 'changed' ELSE 'same' END AS change, coalesce(r1 <> r2 AND r2 = 1, false) AS moved
+FROM o FULL JOIN n ON o.doc = n.doc AND o.anchor = n.anchor LEFT JOIN k ON k.doc = o.doc AND k.anchor = o.anchor AND n.doc IS NOT NULL
 """)
 def section_changes(spark, sf_dir) -> DataFrame:
-    l = A.table(spark, sf_dir, "lineitem")  # noqa: E741
+    """At most two sections are on both sides, so the longest run in order leaves out the first where they changed places."""
+    l = _lines(spark, sf_dir)  # noqa: E741
+    side = lambda where, pos, body: l.where(where).select(F.col("l_orderkey").alias("doc"), F.col("place").alias("anchor"), F.col(pos).alias("pos"), body.alias("body"))
+    return diff.section_changes(side("place <= 4", "l_quantity", F.col("l_returnflag")), side("place >= 3", "l_extendedprice", F.when(F.col("l_linestatus") == "O", "N").otherwise("R")))
 
-    def side(where, body):
-        rows = l.where(where).select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("anchor"), F.col("l_quantity").cast("int").alias("pos"), F.col(body).alias("body"), "l_linenumber", "l_quantity")
-        return lists.latest(rows, ["doc", "anchor"], [F.asc("l_linenumber"), F.asc("l_quantity"), F.asc("body")])
 
-    return diff.section_changes(side("l_linenumber <= 4", "l_returnflag"), side("l_linenumber >= 3", "l_linestatus"))
+@query("""
+SELECT l_partkey AS old, l_orderkey AS pair FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey) = 1
+""")
+def home_edges(spark, sf_dir) -> DataFrame:
+    found = A.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("old"), F.col("l_orderkey").alias("pair"), F.col("l_extendedprice").alias("rank"))
+    return align.home_edge(found).select("old", "pair")
 
 
 # --- evaluation ---------------------------------------------------------------------------
@@ -527,15 +864,48 @@ def bag_match(spark, sf_dir) -> DataFrame:
     return judge.bag_match(d, d.join(A.table(spark, sf_dir, "labels").select("doc_id"), "doc_id"), ["kind"])
 
 
-@query()
+@query(r"""
+WITH i AS (SELECT item_id AS query, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}._-]*')) AS w, text AS wanted FROM benchmark),
+d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}._-]*')) AS w, text FROM documents),
+q AS (SELECT query, unnest(w) AS word FROM i), h AS (SELECT doc_id, unnest(w) AS word FROM d), f AS (SELECT word, count(*) AS df FROM h GROUP BY 1),
+r AS (SELECT query, word FROM q JOIN f USING (word) WHERE df <= greatest(1, (SELECT count(*) FROM d) * 0.05) QUALIFY row_number() OVER (PARTITION BY query ORDER BY df, word) <= 12),
+s AS (SELECT query, doc_id, count(*) AS shared FROM r JOIN h USING (word) GROUP BY 1, 2), b AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY shared DESC, doc_id) AS rank FROM s QUALIFY rank <= 50),
+k AS (SELECT query, min(rank) AS rank FROM b JOIN i USING (query) JOIN d USING (doc_id) WHERE contains(text, wanted) GROUP BY 1)
+SELECT count(*) AS n, avg(coalesce(1 / rank, 0)) AS mrr, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END)::DOUBLE AS share_in_top FROM i LEFT JOIN k USING (query)
+""")
 def mrr_at_k(spark, sf_dir) -> DataFrame:
-    """For every benchmark item: the rank, by shared words, of the first document that holds its start."""
-    items = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_distinct(T.content_words(F.col("text"))).alias("w"), "text")
+    """For every benchmark item: the rank, by its rare words, of the first document that holds it."""
+    items = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_distinct(T.content_words(F.col("text"))).alias("w"), F.col("text").alias("wanted"))
     docs = A.table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.content_words(F.col("text"))).alias("w"), "text")
-    hits = items.select("query", F.explode("w").alias("word")).join(docs.select("doc_id", F.explode("w").alias("word")), "word").groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), "doc_id")))
-    first = ranked.join(items.select("query", F.col("text").alias("wanted")), "query").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("wanted"))).groupBy("query").agg(F.min("rank").alias("rank"))
-    return judge.mean_reciprocal_rank(items.select("query").join(first, "query", "left"))
+    return judge.mean_reciprocal_rank(judge.reciprocal_ranks(items, docs, F.contains("text", F.col("wanted"))))
+
+
+@query("""
+WITH a AS (SELECT doc_id, quality = 1 AS was, NOT (contains(text, '!!') OR contains(text, '###') OR contains(text, '|')) AS now FROM labels JOIN documents USING (doc_id))
+SELECT doc_id, CASE WHEN was THEN 'stopped' ELSE 'started' END AS change FROM a WHERE was <> now
+""")
+def report_regressions(spark, sf_dir) -> DataFrame:
+    odd = F.contains("text", F.lit("!!")) | F.contains("text", F.lit("###")) | F.contains("text", F.lit("|"))
+    before = A.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"))
+    return judge.regressions(before, A.table(spark, sf_dir, "documents").select("doc_id", (~odd).alias("ok")), "doc_id", "ok")
+
+
+@query("""
+WITH u AS (SELECT user_id, list_distinct(list(event_type)) AS causes FROM events GROUP BY 1)
+SELECT cause, count(*) AS n, count(*) FILTER (len(causes) = 1) AS n_only FROM (SELECT causes, unnest(causes) AS cause FROM u) GROUP BY 1
+""")
+def cause_counts(spark, sf_dir) -> DataFrame:
+    return judge.cause_counts(A.events(spark, sf_dir).groupBy("user_id").agg(F.collect_set("event_type").alias("causes")), "causes")
+
+
+@query("""
+SELECT kind, fp, fn, fp + fn AS errors, CAST(row_number() OVER (ORDER BY fp + fn DESC, kind) AS INTEGER) AS rank FROM (
+  SELECT lang AS kind, count(*) - count(l.doc_id) AS fp, count(*) FILTER (quality = 0) AS fn FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1)
+""")
+def worst_first(spark, sf_dir) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("kind")).join(A.table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(1).alias("has")), "doc_id", "left")
+    scores = d.groupBy("kind").agg(F.count_if(F.col("has").isNull()).alias("fp"), F.count_if(F.col("quality") == 0).alias("fn"))
+    return judge.worst_first(scores, "kind").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("errors"), "kind")))
 
 
 @query("""
@@ -588,6 +958,16 @@ def interval_merge(spark, sf_dir) -> DataFrame:
     return ranges.merged(spans, ["user_id"], "lo", "hi")
 
 
+@query("""
+WITH r AS (SELECT p_name AS name, p_partkey * 10 AS lo, p_partkey * 10 + p_size AS hi FROM part), t AS (SELECT DISTINCT CAST(floor(o_totalprice / 10) AS BIGINT) AS code FROM orders)
+SELECT CAST(code AS VARCHAR) AS term, name, lo FROM t JOIN r ON code BETWEEN lo AND hi
+""")
+def registry_terms(spark, sf_dir) -> DataFrame:
+    entries = A.parts(spark, sf_dir).select(F.col("title").alias("name"), (F.col("number") * 10).alias("lo"), (F.col("number") * 10 + F.col("page_count")).alias("hi"), F.lit(False).alias("is_hex"))
+    terms = A.table(spark, sf_dir, "orders").select(F.floor(F.col("o_totalprice") / 10).cast("string").alias("term")).distinct()
+    return ranges.registry_lookup(terms, entries).select("term", "name", "lo")
+
+
 # --- incremental --------------------------------------------------------------------------
 
 
@@ -635,6 +1015,36 @@ def streaming_daily_counts(spark, sf_dir) -> DataFrame:
     return out.withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("""
+WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, run
+""")
+def streaming_sessions(spark, sf_dir) -> DataFrame:
+    stream = latest.read_events(spark, f"{sf_dir}/events.parquet")
+    out = latest.run_to_table(latest.sessions(stream, "6 hours", "1 day", "user_id"), "sessions")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def streaming_upserts(spark, sf_dir) -> DataFrame:
+    """Events kept by batches as a table by event."""
+    stream = latest.read_events(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    return latest.run_upserts(stream, "event_id")
+
+
+@query("""
+WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS path, lang FROM documents)
+SELECT path, CASE WHEN lang = 'fr' THEN 'missing' ELSE 'size' END AS failure FROM m WHERE lang IN ('fr', 'de') UNION ALL SELECT 'item-' || item_id, 'extra' FROM benchmark
+""")
+def manifest_failures(spark, sf_dir) -> DataFrame:
+    """Files held against their manifest: French ones are gone, German ones have grown, benchmark items are extra."""
+    d = A.table(spark, sf_dir, "documents")
+    extra = A.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("path"), "text")
+    there = d.where("lang != 'fr'").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text")).unionByName(extra)
+    return incremental.verified(sinks.manifest(d, "doc_id", "text"), sinks.manifest(there, "path", "text"))
+
+
 # --- extension over the embeddings table --------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,11 +118,72 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.col("value").isNotNull() & ~F.lower(F.coalesce(name, F.lit(""))).rlike("^(unassigned|reserved)")).select("value", name.alias("name"), number(low).alias("lo"), number(high).alias("hi"), F.lower("value").startswith("0x").alias("is_hex"))
 
 
+#: What Windows-1252 has where ISO-8859-1 has controls; its five gaps stay as they are.
+_CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", "ignore")
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8, else as Windows-1252."""
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.translate(F.decode(content, "ISO-8859-1"), _CONTROLS, _WINDOWS))
+
+
 def documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(name, text, damaged): whole files in any order; bytes that aren't UTF-8 are read as Windows-1252."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return raw.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), F.coalesce(text, F.decode("content", "ISO-8859-1")).alias("text"), text.isNull().alias("damaged"))
+    damaged = F.try_validate_utf8(F.col("content").cast("string")).isNull()
+    return raw.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), decoded(F.col("content")).alias("text"), damaged.alias("damaged"))
+
+
+def selected(files: DataFrame, wanted: DataFrame, key: str = "name") -> DataFrame:
+    """Files that ``wanted(key)`` names; a name without a file is an error when this is called."""
+    missing = [r[key] for r in wanted.join(files, key, "left_anti").limit(20).collect()]
+    if missing:
+        raise ValueError(f"no file for {', '.join(map(str, missing))}")
+    return files.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def parted(catalogue: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(with an XML source, with text alone) of ``catalogue(number, formats)``: the first ``limit`` by number of each."""
+    has = F.array_contains("formats", "XML")
+    both = catalogue.where(has), catalogue.where(~has)
+    return both if limit is None else tuple(x.orderBy("number").limit(limit) for x in both)
+
+
+SECTION = "section"
+#: A section of a document in XML as Spark's XML reader gives it; nested ones are below it, to the depth asked for.
+
+
+def _section(depth: int) -> T.StructType:
+    text = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_anchor", T.StringType())])
+    fields = [T.StructField("_anchor", T.StringType()), T.StructField("_numbered", T.StringType()), T.StructField("name", T.StringType()), T.StructField("_title", T.StringType()), T.StructField("t", T.ArrayType(text))]
+    if depth:
+        fields.append(T.StructField(SECTION, T.ArrayType(_section(depth - 1))))
+    return T.StructType(fields)
+
+
+def document_sections(spark: SparkSession, path: str, depth: int = 6) -> DataFrame:
+    """(number, anchor, parent, path, pos, level, title, blocks) of the sections of documents in XML, parents first.
+
+    ``number`` is the document's (the attribute of its root element); ``path`` the ordinals from the top, which
+    order a document's sections as they stand; ``pos`` the place in that order. Sections deeper than ``depth``
+    are not read. Blocks are the texts of the section's own paragraphs, white space as one space.
+    """
+    schema = T.StructType([T.StructField("_number", T.StringType()), T.StructField("middle", T.StructType([T.StructField(SECTION, T.ArrayType(_section(depth)))]))])
+    raw = spark.read.format("xml").option("rowTag", "rfc").schema(schema).load(path)
+    at = raw.select(F.col("_number").try_cast("int").alias("number"), F.posexplode(f"middle.{SECTION}").alias("i", "s"), F.lit(None).cast("string").alias("parent"))
+    at = at.withColumn("path", F.array("i"))
+    levels = []
+    for level in range(depth + 1):
+        title = F.coalesce("s.name", "s._title")
+        blocks = F.filter(F.transform(F.coalesce("s.t", F.array().cast("array<struct<_VALUE:string,_anchor:string>>")), lambda t: F.trim(F.regexp_replace(t["_VALUE"], r"\s+", " "))), lambda t: t != "")
+        levels.append(at.select("number", F.col("s._anchor").alias("anchor"), "parent", "path", F.lit(level + 1).alias("level"), F.trim(F.regexp_replace(title, r"\s+", " ")).alias("title"), blocks.alias("blocks")))
+        if level < depth:
+            at = at.select("number", F.col("s._anchor").alias("parent"), "path", F.posexplode(f"s.{SECTION}").alias("i", "s")).withColumn("path", F.concat("path", F.array("i")))
+    out = levels[0]
+    for one in levels[1:]:
+        out = out.unionByName(one)
+    return out.withColumn("pos", F.row_number().over(Window.partitionBy("number").orderBy("path")) - 1)
 
 
 def versioned(spark: SparkSession, path: str, schema: str, version: int = 1) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; on one machine (tests), a temporary one where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         path = "file://" + tempfile.mkdtemp(prefix="folio-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -30,10 +33,28 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def kept_table(spark: SparkSession, name: str, write) -> str:
+    """The folder of a table that ``write(path)`` makes once a session, under ``name``; later calls find it."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _KEPT:
+        path = f"{shared(spark)}/folio-kept-{uuid.uuid4().hex}"
+        write(path)
+        atexit.register(_gone, spark, path)
+        _KEPT[key] = path
+    return _KEPT[key]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _gone(spark: SparkSession, path: str) -> None:
     try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, path)
     except Exception:  # noqa: BLE001  the session has ended
         pass
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.tables import replaced, shared
+from ..sources.tables import remove, replaced, shared
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -26,7 +26,7 @@ def latest_per_key(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def windowed(events: DataFrame, length: str, delay: str, keys: list[str]) -> DataFrame:
-    """Counts and sums by tumbling window; events later than ``delay`` behind the newest are left out."""
+    """Counts and sums by tumbling window; in append and update mode, events of windows that ended ``delay`` before the newest are left out."""
     out = events.withWatermark("ts", delay).groupBy(F.window("ts", length), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), *keys, "n", "total")
 
@@ -68,15 +68,61 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFr
     return spark.read.parquet(f"{root}/out")
 
 
-def upserts(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that keeps the table of versions below ``path``: each batch replaces its keys' rows.
+def upserts(path: str, key: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that keeps a table by document below ``path``: each batch replaces the rows of its keys.
 
-    A batch that comes again, after a failure, makes the same version again.
+    The table is dealt to BUCKETS folders by key, and a batch writes only the folders of its own keys, under
+    its number; ``current`` reads each folder's newest. A batch that comes again after a failure writes the
+    same again. Versions of a folder older than the ``keep`` newest go.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = batch if n == 0 else replaced(spark.read.parquet(f"{path}/v={n - 1}"), batch, key)
-        new.write.mode("overwrite").parquet(f"{path}/v={n}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        batch = batch.withColumn("table_bucket", bucket).persist()
+        hit = [r["table_bucket"] for r in batch.select("table_bucket").distinct().collect()]
+        before = {b: max(older) for b, vs in _versions(spark, path).items() if b in hit and (older := [v for v in vs if v < n])}
+        new = batch
+        if before:
+            old = spark.read.schema(batch.drop("table_bucket").schema).option("basePath", path).parquet(*[f"{path}/table_bucket={b}/table_version={v}" for b, v in sorted(before.items())])
+            new = replaced(old.drop("table_version").select(batch.columns), batch, key)
+        new.withColumn("table_version", F.lit(n)).repartition("table_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_bucket", "table_version").parquet(path)
+        batch.unpersist()
+        for b, versions in _versions(spark, path).items():
+            for v in sorted(versions)[:-keep]:
+                remove(spark, f"{path}/table_bucket={b}/table_version={v}")
 
     return apply
+
+
+def run_upserts(stream: DataFrame, key: str) -> DataFrame:
+    """Runs a stream over all that is there now into a table by ``key``; its checkpoint is in the shared folder."""
+    import uuid
+
+    spark = stream.sparkSession
+    root = f"{shared(spark)}/folio-upserts-{uuid.uuid4().hex}"
+    stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(upserts(f"{root}/table", key)).trigger(availableNow=True).start().awaitTermination()
+    return current(spark, f"{root}/table")
+
+
+#: Folders of a table kept by batches.
+BUCKETS = 16
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each bucket's folder; a listing of names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    if files.exists(root):
+        for folder in files.listStatus(root):
+            name = folder.getPath().getName()
+            if name.startswith("table_bucket="):
+                out[int(name.split("=")[1])] = [int(x.getPath().getName().split("=")[1]) for x in files.listStatus(folder.getPath()) if x.getPath().getName().startswith("table_version=")]
+    return out
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upserts`` keeps, as its last batch left it."""
+    newest = [f"{path}/table_bucket={b}/table_version={max(vs)}" for b, vs in sorted(_versions(spark, path).items()) if vs]
+    return spark.read.option("basePath", path).parquet(*newest).drop("table_bucket", "table_version")
