@@ -7,6 +7,7 @@ read, so that a lost executor costs one task and never the lineage before the ta
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ MASK64 = (1 << 64) - 1
 
 
 #: Bytes of a batch that goes to a Python worker or comes from one, where the session doesn't say: long texts come few at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -75,6 +76,33 @@ class Scratch:
             pass
 
 
+#: What operators keep in a Python worker from task to task, by operator; each is bounded by its own rule.
+CACHES: dict[str, dict] = {}
+
+
+def tidy(keep: str = "") -> None:
+    """Drops what other operators keep in this worker, and gives freed memory back to the system."""
+    for name, held in CACHES.items():
+        if name != keep:
+            held.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def light(run, keep: str = ""):
+    """A function of batches that leaves its worker tidy: workers serve the tasks of many operators in turn."""
+
+    def go(batches):
+        tidy(keep)
+        yield from run(batches)
+        tidy(keep)
+
+    return go
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """The UTF-8 of a string column's values, null as empty, without decoding."""
     if isinstance(column, pa.ChunkedArray):
@@ -246,7 +274,7 @@ def maybe_in(df: DataFrame, id_col: str, bloom: np.ndarray, inside: bool = True,
             if kept.num_rows:
                 yield kept.select(range(kept.num_columns - 1))
 
-    return probes.mapInArrow(keep if then is None else lambda batches: then(keep(batches)), df.schema if schema is None else schema)
+    return probes.mapInArrow(light(keep if then is None else lambda batches: then(keep(batches))), df.schema if schema is None else schema)
 
 
 # --- components ---------------------------------------------------------------------------

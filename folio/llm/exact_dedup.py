@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_of, bytes_of, decided, maybe_in, row_key
+from .common import Scratch, bloom_of, bytes_of, decided, light, maybe_in, row_key
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HASHES_PER_OWNER = 1 << 23  # 64 MB of raw fingerprints in an owner's task
@@ -162,7 +162,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(docs.sparkSession, "exact")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     owner_bits = max(0, (rows.count() // hashes_per_owner).bit_length())
-    sent = scratch.save(rows.mapInArrow(_send(owner_bits), SENT), "sent")
+    sent = scratch.save(rows.mapInArrow(light(_send(owner_bits)), SENT), "sent")
     documents, messages = sent.where("owner is null"), sent.where("owner is not null")
 
     answers = messages.select("sender", "owner", "n", "code", "twice").groupBy("owner").applyInArrow(_answer(owner_bits), "sender int, owner int, bitmap binary")
@@ -170,7 +170,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = documents.select("sender", "fp", "doc_id").join(suspects, ["sender", "fp"]).select("doc_id")
     ids = scratch.save(found, "suspects")
 
-    bodies = maybe_in(rows, "doc_id", bloom_of(ids)).mapInArrow(_lowered, "doc_id long, body binary")
+    bodies = maybe_in(rows, "doc_id", bloom_of(ids), then=_lowered, schema="doc_id long, body binary")
     groups = (
         bodies.groupBy("body")
         .agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_of, bytes_of, components, decided, in_slices, joined_components, maybe_in, row_key, shingles, word_hashes
+from .common import Scratch, bloom_of, bytes_of, components, decided, in_slices, joined_components, light, maybe_in, row_key, shingles, tidy, word_hashes
 
 SKETCH_SLOTS = 1 << 19
 SKETCH_CHUNKS = 64
@@ -401,6 +401,8 @@ def _verify(width: int, percent: int, odd: frozenset):
         # the block's links as stars, which components() likes best
         out += [(find(x), x, True, None) for x in list(root) if find(x) != x]
         cols = list(zip(*out)) or [[], [], [], []]
+        sets.clear()
+        tidy()
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "linked": pa.array(cols[2], pa.bool_()), "distance": pa.array(cols[3], pa.float64())})
 
     return run
@@ -462,7 +464,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     scratch = Scratch(spark, "ngram")
     own_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rows = docs.select(own_id.alias("doc_id"), text.alias("text"), row_key(own_id, text).alias("row_key"))
-    measured = scratch.save(rows.mapInArrow(_measure(width), "doc_id long, row_key long, n long, sid long, second long, signature binary, chunk int, counts binary"), "measured")
+    measured = scratch.save(rows.mapInArrow(light(_measure(width)), "doc_id long, row_key long, n long, sid long, second long, signature binary, chunk int, counts binary"), "measured")
     unlike = measured.where("n > 0").groupBy("sid").agg(F.min("second").alias("s1"), F.max("second").alias("s2")).where("s1 != s2").select("sid")
     odd = frozenset(r["sid"] for r in unlike.limit(MOST_ODD).collect())
     if odd:
@@ -478,9 +480,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     total = np.frombuffer(b"".join(chunks.column("counts").to_pylist()), np.int64) if chunks.num_rows else np.zeros(SKETCH_SLOTS, np.int64)
     ranks = spark.sparkContext.broadcast(_ranks(total))
 
-    entries = rows.mapInArrow(_index(ranks, width, percent, odd), ENTRY)
+    entries = rows.mapInArrow(light(_index(ranks, width, percent, odd)), ENTRY)
     lists = entries.repartition("token").sortWithinPartitions("token", F.col("value").bitwiseAND(F.lit((1 << 19) - 1)), F.xxhash64("leader"), "leader")
-    found = scratch.save(lists.mapInArrow(_first_pairs(percent), FOUND), "found")
+    found = scratch.save(lists.mapInArrow(light(_first_pairs(percent)), FOUND), "found")
     stars = scratch.save(found.where("radius is not null").groupBy(F.col("a").alias("leader"), F.col("b").alias("sid")).agg(F.min("radius").alias("radius")), "stars")
     radii = stars.groupBy("leader").agg(F.max("radius").alias("r"))
 
@@ -502,7 +504,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     open_lists = found.where("b is null").select("token", "a", "value").join(facts, "a").select(
         "token", "a", "value", F.coalesce("root", "a").alias("root"), "n", "signature", F.coalesce("r", F.lit(0.0)).alias("radius")
     )
-    other = _in_parts(open_lists, scratch).repartition("token").sortWithinPartitions("token").mapInArrow(_other_pairs(percent), "a long, b long").distinct()
+    other = _in_parts(open_lists, scratch).repartition("token").sortWithinPartitions("token").mapInArrow(light(_other_pairs(percent)), "a long, b long").distinct()
     other = other.join(found.where("radius is null and b is not null").select("a", "b").distinct(), ["a", "b"], "left_anti")
     links_2 = checked(scratch.save(other, "other"), "second")
     roots = joined_components(roots, links_2.where("linked").select("a", "b"), scratch, "roots2")

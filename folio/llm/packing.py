@@ -8,6 +8,7 @@ a hashed order, which mixes long and short ones in every task.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_of
+from .common import CACHES, Scratch, bytes_of, light
 
 OPEN_BINS = 8192
 TOKENS_PER_TASK = 1 << 25  # 16,384 sequences of 2048: what stays open at a task's end is little beside them
@@ -34,20 +35,29 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _splits_at_blanks(tokenizer) -> bool:
+    """Is this a byte-level BPE without normaliser that splits text by the usual pattern."""
+    told = json.loads(tokenizer.to_str())
+    before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return bool(plain) and not told.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+
+
 class UnitIds(dict):
     """Ids of the units of a text (unsigned little-endian 32 bit), kept from text to text.
 
     A byte-level BPE with the usual split pattern never merges over a single space or line feed
     between words, nor between a letter or digit and the punctuation behind it. So a text is the
     concatenation of its units: "\\nx" stands for a line feed and x, any other "x" for a space and
-    x. Texts with other white space are encoded whole.
+    x. Texts with other white space are encoded whole. So are all texts of a tokenizer with other
+    settings: its own, read from it, say whether this holds.
     """
 
-    def __init__(self, tokenizer, most: int = 700_000):
+    def __init__(self, tokenizer, most: int = 450_000):
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
         self.line_feed = tokenizer.encode("\n", add_special_tokens=False).ids
-        assert len(self.line_feed) == 1
+        self.in_units = _splits_at_blanks(tokenizer) and len(self.line_feed) == 1
         self.letters = _byte_letters()
 
     def whole(self, text: str) -> bytes:
@@ -59,7 +69,11 @@ class UnitIds(dict):
             part = units[at : at + 20_000]
             ids = np.asarray(self.tokenizer.encode("\n".join(u[1:] if u[0] == "\n" else " " + u for u in part), add_special_tokens=False).ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.line_feed[0]), len(ids))
-            assert len(ends) == len(part), "a unit took in a line feed"
+            if len(ends) != len(part):  # a unit took in a line feed: each by itself
+                for u in part:
+                    ids = self.tokenizer.encode(u if u[0] == "\n" else " " + u, add_special_tokens=False).ids
+                    self[u] = np.asarray(ids, "<u4").tobytes()
+                continue
             start, code, feed = 0, ids.tobytes(), np.asarray(self.line_feed, "<u4").tobytes()
             for u, end in zip(part, ends.tolist()):
                 self[u] = (feed if u[0] == "\n" else b"") + code[4 * start : 4 * end]
@@ -100,6 +114,8 @@ class UnitIds(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts; equal to encoding each in one go."""
+        if not self.in_units:
+            return [self.whole(t) for t in texts]
         odd = {i for i, t in enumerate(texts) if not t or _ODD.search(t)}
         units = [[] if i in odd else ("\n" + t).replace("\n", " \n").split(" ")[1:] for i, t in enumerate(texts)]
         every = set().union(*units)
@@ -143,7 +159,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 #: One for each tokenizer in a Python worker, which serves many tasks.
-_KNOWN: dict[str, UnitIds] = {}
+_KNOWN: dict[str, UnitIds] = CACHES.setdefault("packing", {})
 
 
 def _pieces(path: str, size: int, end_id: int):
@@ -228,7 +244,7 @@ def pack(pieces: DataFrame, size: int, open_bins: int = OPEN_BINS, tokens_per_ta
     order = F.xxhash64("doc_id", "piece")
     dealt = pieces.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece", "start", "ids_crc32")
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long"
-    return dealt.mapInArrow(_pack(size, open_bins), schema)
+    return dealt.mapInArrow(light(_pack(size, open_bins)), schema)
 
 
 def pack_documents(
@@ -243,7 +259,7 @@ def pack_documents(
     """
     scratch = Scratch(docs.sparkSession, "pack")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return pack(scratch.save(rows.mapInArrow(_pieces(tokenizer_path, size, end_id), PIECES), "pieces"), size, open_bins, tokens_per_task)
+    return pack(scratch.save(rows.mapInArrow(light(_pieces(tokenizer_path, size, end_id), "packing"), PIECES), "pieces"), size, open_bins, tokens_per_task)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -25,11 +25,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_of, decided, row_key
+from .common import Scratch, bytes_of, decided, light, row_key
 
 ORDER = 5
 #: A unit of documents ends at so many bytes of text or distinct words; its group is scored in one task.
-UNIT_BYTES, UNIT_WORDS = 32 << 20, 500_000  # places have three bytes
+UNIT_BYTES, UNIT_WORDS = 16 << 20, 500_000  # places have three bytes
 #: Above this many label rows they are joined by a shuffle, not a broadcast.
 BROADCAST_LABELS = 4_000_000
 #: Bytes of trusted average that each document's own average is drawn towards: short texts vary widely.
@@ -141,7 +141,7 @@ def trained(trusted: DataFrame, scratch: Scratch) -> DataFrame:
     more could stand before. Three discounts an order follow from its counts of counts. Every n-gram
     counted is in the model.
     """
-    counted = scratch.save(trusted.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "raw")
+    counted = scratch.save(trusted.mapInArrow(light(_count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "raw")
     seen = {r["gram"]: r["n"] for r in counted.where("gram < 0").collect()}
     rate = (seen.get(REPEATS, 0) + 1) / (seen.get(WORDS, 0) + 2)
     raw = counted.where("gram >= 0")
@@ -402,7 +402,7 @@ def _sums(root: str, folders: int, repeat: float):
 
 def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, row_key, lang, bits, n_bytes (of words, with a space each) of ``docs(doc_id, row_key, lang, text)``."""
-    units = scratch.save(docs.select("doc_id", "row_key", "lang", "text").mapInArrow(_units, _UNITS), "units")
+    units = scratch.save(docs.select("doc_id", "row_key", "lang", "text").mapInArrow(light(_units), _UNITS), "units")
     asked = units.select("unit", F.explode("grams").alias("gram"))
     scored = scratch.save(gram_scores(asked.select("gram").distinct(), model), "grams")
     folders = max(1, units.count() // UNITS_A_FOLDER)
@@ -411,7 +411,7 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
     # row groups of about a unit each, so that a task reads little beside its own
     own.write.option("parquet.block.size", 4 << 20).partitionBy("folder").parquet(scratch.path("unit-scores"))
     repeat = -float(model.where(F.col("gram") == REPEATS).first()["logp"])
-    return units.drop("grams").mapInArrow(_sums(scratch.path("unit-scores"), folders, repeat), _SUMS)
+    return units.drop("grams").mapInArrow(light(_sums(scratch.path("unit-scores"), folders, repeat)), _SUMS)
 
 
 def classified(

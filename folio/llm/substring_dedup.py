@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_of, bytes_of, in_slices, maybe_in, rolled, word_hashes
+from .common import Scratch, bloom_of, bytes_of, in_slices, light, maybe_in, rolled, word_hashes
 
 #: Words of a reference shard, and of the passages that one task streams past one.
 SHARD_WORDS, STREAM_WORDS = 60_000, 400_000
@@ -354,7 +354,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, shard_words: int = SHARD_WO
     scratch = Scratch(docs.sparkSession, "substring")
     run = (width + 1) // 2
     known = docs.where("doc_id is not null")
-    anchors = scratch.save(known.mapInArrow(_anchors(run, width), "anchor long, doc_id long, place long"), "anchors")
+    anchors = scratch.save(known.mapInArrow(light(_anchors(run, width)), "anchor long, doc_id long, place long"), "anchors")
     counts = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     owners = scratch.save(counts.where("owner < last").select("anchor", "owner", "n"), "owners")
     # anchors with very many hits, fewer than one in ``most`` rows: they and their owners are dealt over several tasks
@@ -368,13 +368,13 @@ def repeated_spans(docs: DataFrame, width: int = 50, shard_words: int = SHARD_WO
     # only texts with hits move
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "owner")).alias("hits"))
     marked = maybe_in(known, "doc_id", bloom_of(hits.select("doc_id").distinct())).join(by_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "hits")
-    cut = scratch.save(marked.mapInArrow(_cut(run, width), PASSAGE), "cut")
+    cut = scratch.save(marked.mapInArrow(light(_cut(run, width)), PASSAGE), "cut")
     scratch.drop("hits")
 
     # each repeated window's first document
-    windows = cut.mapInArrow(_windows(width), WINDOW).groupBy("owner", "code").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    windows = cut.mapInArrow(light(_windows(width)), WINDOW).groupBy("owner", "code").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = windows.where("first < last").groupBy("owner", "first").agg(F.collect_list("code").alias("codes"))
-    reference = cut.join(firsts.withColumnRenamed("first", "doc_id"), ["owner", "doc_id"]).mapInArrow(_reference(width), PASSAGE)
+    reference = cut.join(firsts.withColumnRenamed("first", "doc_id"), ["owner", "doc_id"]).mapInArrow(light(_reference(width)), PASSAGE)
     reference = scratch.save(reference, "reference")
 
     # shards: a large owner has several of its own, small ones are put together
@@ -419,7 +419,7 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     bloom = bloom_of(spans.select("doc_id").distinct())
     joined = maybe_in(rows, "doc_id", bloom).join(by_doc, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return joined.mapInArrow(_judged(with_text), schema).unionAll(maybe_in(rows, "doc_id", bloom, False, _judged(with_text), schema))
+    return joined.mapInArrow(light(_judged(with_text)), schema).unionAll(maybe_in(rows, "doc_id", bloom, False, _judged(with_text), schema))
 
 
 OP8_SQL = r"""

@@ -311,6 +311,24 @@ def test_units_equal_whole_texts():
     assert [small.encode([t])[0] for t in texts] == want
 
 
+def test_other_tokenizers_encode_whole_texts():
+    """One that lower-cases and splits by white space alone: units would be wrong, so none are used."""
+    import json
+
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    told = json.loads(packing.load_tokenizer(packing.tokenizer_path()).to_str())
+    assert packing._splits_at_blanks(packing.load_tokenizer(packing.tokenizer_path()))
+    other = Tokenizer.from_str(json.dumps(told))
+    other.normalizer = normalizers.Lowercase()
+    assert not packing._splits_at_blanks(other)
+    third = Tokenizer.from_str(json.dumps(told))
+    third.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+    assert not packing._splits_at_blanks(third)
+    text = "Some TEXT, and more.\nOf it!"
+    assert packing.UnitIds(other).encode([text])[0] == np.asarray(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def check_packing(rows, docs, size, ids_of):
     by = defaultdict(list)
     for r in rows:
