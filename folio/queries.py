@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, citations, diff, extract, fulltext, graph, incremental, judge, lines, lists, outline, ranges, search
+from .operators import align, citations, diff, documents, extract, fulltext, graph, incremental, judge, lines, lists, outline, ranges, search
 from .plans.filters import Filters
 from .sources import adapters as A
 from .sources import sinks
@@ -774,6 +774,115 @@ def relocated_quotes(spark, sf_dir) -> DataFrame:
     return extract.relocated(quotes, d)
 
 
+def _part_texts(spark, sf_dir) -> DataFrame:
+    """A text of several lines for each part: a header, a bibliography of two entries, a caption, a definition."""
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    body = [F.lit("Obsoletes: "), n, F.lit(", "), size, F.lit("\n\n[A"), n, F.lit("] "), F.col("p_name"), F.lit(",\n   RFC "), size, F.lit(".\n[B] "), F.col("p_type"), F.lit("\n\nFigure "), size, F.lit(": "), F.col("p_name"), F.lit("\nSee Section "), size, F.lit(".1 of RFC "), n, F.lit(" too. End.")]
+    return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(*body).alias("text"))
+
+
+def _part_lines(spark, sf_dir) -> DataFrame:
+    return _part_texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+@query("SELECT p_partkey AS doc_id, 0 AS ord, CAST(p_partkey AS INTEGER) AS number FROM part UNION ALL SELECT p_partkey, 1, p_size FROM part")
+def header_numbers(spark, sf_dir) -> DataFrame:
+    return documents.header_numbers(_part_texts(spark, sf_dir), "obsoletes")
+
+
+@query("SELECT p_partkey AS doc_id, CAST(1 AS BIGINT) AS ord, 'A' || p_partkey AS label, p_name || ', RFC ' || p_size || '.' AS entry, p_size AS number FROM part UNION ALL SELECT p_partkey, 2, 'B', p_type, NULL FROM part")
+def bibliography_entries(spark, sf_dir) -> DataFrame:
+    return documents.bibliography(_part_lines(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS doc_id, 6 AS pos, 'figure' AS kind, p_size AS number, p_name AS caption FROM part")
+def captions(spark, sf_dir) -> DataFrame:
+    return documents.captions(_part_lines(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS doc_id, 'See too.' AS \"window\" FROM part")
+def citing_windows(spark, sf_dir) -> DataFrame:
+    t = _part_texts(spark, sf_dir).select("doc_id", F.regexp_extract("text", r"(See Section .*)$", 1).alias("text"))
+    return documents.citing_windows(t, outline.link_spans(t, "doc_id", "text"), "doc_id", "text").select("doc_id", "window")
+
+
+@query("""
+SELECT p_partkey AS number, [p_size || '.2', 'A.' || p_size] AS sections, [p_name, p_type] AS spellings, p_size >= 25 AS is_boilerplate,
+  CASE WHEN p_type = 'STANDARD' THEN 'grammar' WHEN p_type = 'SMALL' THEN 'code' END AS artwork FROM part
+""")
+def term_and_section_rules(spark, sf_dir) -> DataFrame:
+    p = A.table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    field = F.concat(F.lit("Section "), size, F.lit(".2, Appendix A."), size, F.lit(" and 7.1 of RFC 9"))
+    term = F.concat(F.lit('"'), F.col("p_name"), F.lit('" ('), F.col("p_type"), F.lit(") [X]"))
+    rule = F.when(F.col("p_size") >= 25, 'The words "MUST" and so on are interpreted so').otherwise("You MUST go")
+    kind = F.when(F.col("p_type") == "STANDARD", " ABNF").when(F.col("p_type") == "SMALL", "json").otherwise("other")
+    return p.select(
+        F.col("p_partkey").alias("number"), documents.errata_sections(field).alias("sections"), documents.term_spellings(term).alias("spellings"), documents.is_boilerplate(rule, F.lit(True)).alias("is_boilerplate"), documents.artwork_kind(kind).alias("artwork")
+    )
+
+
+@query("""
+WITH w AS (SELECT p_partkey AS doc_id, string_split(p_name || ' of ' || p_name, ' ') AS w FROM part), k(key, a, b) AS (VALUES ('rw', 'red', 'widget'), ('r', 'red', NULL)),
+m AS (SELECT doc_id, i - 1 AS pos, CASE WHEN w[i + 1] = 'widget' THEN 'rw' ELSE 'r' END AS key, CASE WHEN w[i + 1] = 'widget' THEN 2 ELSE 1 END AS n_words FROM w, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] = 'red')
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, key, CAST(min(n_words) AS INTEGER) AS n_words FROM m GROUP BY doc_id, key
+""")
+def glossed_terms(spark, sf_dir) -> DataFrame:
+    t = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" of "), "p_name").alias("text"))
+    terms = spark.range(1).select(F.explode(F.array(F.struct(F.lit("rw").alias("key"), F.lit("Red Widget").alias("term")), F.struct(F.lit("r").alias("key"), F.lit("red").alias("term")))).alias("t")).select("t.*")
+    return documents.glossed(t, terms, "doc_id", "text")
+
+
+@query("SELECT DISTINCT lower(p_type) AS key FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size = 1 AND p_type = 'SMALL')")
+def missing_keys(spark, sf_dir) -> DataFrame:
+    p = A.table(spark, sf_dir, "part").select(F.lower("p_type").alias("key"), "p_size", "p_type")
+    return documents.missing_keys(p, p.where("p_size = 1 and p_type = 'SMALL'"))
+
+
+@query("""
+WITH r AS (SELECT DISTINCT l_partkey AS number, CASE l_returnflag WHEN 'R' THEN 'obsoletes' ELSE 'updates' END AS relation, l_suppkey AS draft, l_linenumber AS revision FROM lineitem)
+SELECT *, CAST(row_number() OVER (PARTITION BY number ORDER BY relation, draft, revision) AS INTEGER) AS ord FROM r
+""")
+def published_view(spark, sf_dir) -> DataFrame:
+    l = A.table(spark, sf_dir, "lineitem")  # noqa: E741
+    records = l.groupBy(F.col("l_suppkey").alias("draft"), F.col("l_linenumber").alias("revision")).agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("obsoletes"), F.collect_set(F.when(F.col("l_returnflag") != "R", F.col("l_partkey"))).alias("updates"))
+    return documents.published(records)
+
+
+@query("SELECT event_id AS key, ts <= TIMESTAMP '2024-01-19' AS is_due, CASE WHEN ts > TIMESTAMP '2024-01-13' THEN event_type END AS etag FROM events")
+def checks_due(spark, sf_dir) -> DataFrame:
+    checks = A.events(spark, sf_dir).select(F.col("event_id").alias("key"), F.date_trunc("second", "ts").alias("checked_at"), F.col("event_type").alias("etag"))
+    out = documents.due(checks.withColumn("checked_at", F.ceil(F.unix_micros("checked_at") / 1_000_000).cast("timestamp")), datetime(2024, 1, 20))
+    return out.select("key", "is_due", "etag")
+
+
+@query("SELECT event_type AS tier, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def storage_usage(spark, sf_dir) -> DataFrame:
+    return documents.usage(A.events(spark, sf_dir).select(F.col("event_type").alias("tier"), F.round(F.col("value") * 100).cast("long").alias("bytes")))
+
+
+@query("""
+SELECT doc_id AS doc, CASE WHEN lang = 'en' THEN 'retained' WHEN quality IS NULL THEN 'gone' WHEN quality > 0 THEN 'stale' ELSE 'current' END AS state FROM documents LEFT JOIN labels USING (doc_id)
+""")
+def retained_documents(spark, sf_dir) -> DataFrame:
+    indexed = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), (F.col("lang") == "en").alias("retained"), F.lit(0).alias("written"))
+    return documents.retained(indexed, A.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("written")))
+
+
+@query("""
+SELECT l_orderkey AS doc, string_agg('> ' || l_partkey || CASE WHEN l_returnflag <> 'N' THEN chr(10) || chr(10) || l_returnflag ELSE '' END, chr(10) || chr(10) ORDER BY place) AS text FROM """ + _LINES + """ GROUP BY 1
+""")
+def exported_annotations(spark, sf_dir) -> DataFrame:
+    l = _lines(spark, sf_dir)  # noqa: E741
+    return documents.exported(l.select(F.col("l_orderkey").alias("doc"), F.col("place").alias("pos"), F.col("l_partkey").cast("string").alias("quote"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("note")))
+
+
+@query("""SELECT '{"n":' || count(*) || ',"name":"' || p_brand || '"}' AS json FROM part GROUP BY p_brand""")
+def json_report(spark, sf_dir) -> DataFrame:
+    counts = A.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return documents.as_json(counts)
+
+
 # --- revisions, alignment and differences -------------------------------------------------
 
 
