@@ -61,7 +61,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written once and read back: a cut in the lineage."""
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
+CANDIDATE_BLOCK = 4096
+#: Bytes of a query block's vectors, and its rows at least and at most: the wider it is, the fewer copies of candidates move.
+QUERY_BYTES, LEAST_QUERIES, MOST_QUERIES = 16 << 20, 1024, 16_384
 
 
 def _matrix(column) -> np.ndarray:
@@ -115,7 +117,7 @@ def _merge(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int | None = None, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """The ``k`` rows of ``vectors`` of largest cosine for each row of ``queries``: query_id, rank, vec_id, score.
 
     Both tables have ``id_col`` and ``vector_col``; a query never gets the row of its own id. Ties go
@@ -138,6 +140,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     dim, n = (lengths["d"], lengths["n"]) if lengths else (1, 0)
     candidates = candidates.where(F.size("vector") == dim)
     asked = usable(queries).where(F.size("vector") == dim)
+    query_block = query_block or min(MOST_QUERIES, max(LEAST_QUERIES, QUERY_BYTES // (8 * max(1, dim))))
     across = max(1, -(-n // candidate_block))
     down = max(1, -(-asked.count() // query_block))
 

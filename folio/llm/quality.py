@@ -228,14 +228,12 @@ _UNIT_SCHEMA = pa.schema([(field.split(" ")[0], t) for field, t in zip(_UNITS.sp
 
 def _units(batches):
     """Documents by unit: a unit ends at so many bytes or distinct words, and with the task."""
-    known, docs, places, grams, size = {}, [], [], [], 0
+    known, docs, planes, grams, size = {}, [], ([], [], []), [], 0
 
     def row():
-        planes = np.concatenate(places) if places else np.zeros(0, np.int32)
-        planes = np.ascontiguousarray(planes.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
         every = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         columns = [pa.array([list(c)], t) for c, t in zip(zip(*docs), _UNIT_TYPES[1:6])]
-        rest = [pa.array([planes], pa.binary()), pa.array([b" ".join(known)], pa.binary()), pa.ListArray.from_arrays([0, len(every)], pa.array(every))]
+        rest = [pa.array([b"".join(b"".join(plane) for plane in planes)], pa.binary()), pa.array([b" ".join(known)], pa.binary()), pa.ListArray.from_arrays([0, len(every)], pa.array(every))]
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *columns, *rest], schema=_UNIT_SCHEMA)
 
     for batch in batches:
@@ -245,7 +243,9 @@ def _units(batches):
         for i, text in enumerate(texts):
             ws = split(text)
             held.append(ws)
-            places.append(np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int32, len(ws)))
+            places = np.fromiter((known.setdefault(w, len(known)) for w in ws), "<i4", len(ws)).view(np.uint8).reshape(-1, 4)
+            for k, plane in enumerate(planes):
+                plane.append(places[:, k].tobytes())
             docs.append((ids[i], keys[i], langs[i], sum(map(len, ws)) + len(ws), len(ws)))
             size, seen = size + len(text), seen + len(text)
             full = size >= UNIT_BYTES or len(known) >= UNIT_WORDS or len(docs) >= UNIT_WORDS
@@ -256,7 +256,7 @@ def _units(batches):
                 held, seen = [], 0
             if full:
                 yield row()
-                known, docs, places, grams, size = {}, [], [], [], 0
+                known, docs, planes, grams, size = {}, [], ([], [], []), [], 0
     if docs:
         yield row()
 
@@ -327,12 +327,13 @@ class _Scores:
         return out
 
 
-def _document_bits(n_words: np.ndarray, places: np.ndarray, names: list[bytes], scores: _Scores, repeat: float) -> np.ndarray:
-    """Bits of a unit's documents, from the places of their words."""
+def _document_bits(n_words: np.ndarray, places: np.ndarray, names: bytes, scores: _Scores, repeat: float) -> np.ndarray:
+    """Bits of a unit's documents, from the places of their words among ``names``, which single spaces part."""
     # word 0 is the space that a text starts with, every other word ends with one
-    flat = np.frombuffer(b" " + b"".join(w + b" " for w in names), np.uint8)
-    sizes = np.fromiter((1, *(len(w) + 1 for w in names)), np.int64, len(names) + 1)
-    starts = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b" " + names + b" ", np.uint8)
+    starts = np.r_[0, np.flatnonzero(flat == 32) + 1]
+    sizes = np.diff(starts)
+    starts = starts[:-1]
     bits = np.zeros(len(n_words))
     held, size = [], 0
 
@@ -357,7 +358,7 @@ def _document_bits(n_words: np.ndarray, places: np.ndarray, names: list[bytes],
 
     end = 0
     for doc, n in enumerate(n_words.tolist()):
-        words = np.r_[0, places[end : end + n] + 1]
+        words = np.r_[np.int64(0), places[end : end + n] + 1]
         end += n
         if not n:
             continue
@@ -385,14 +386,17 @@ def _sums(root: str, folders: int, repeat: float):
             for i in range(batch.num_rows):
                 unit = batch.column("unit")[i].as_py()
                 value = lambda c: batch.column(c)[i].values  # noqa: E731, B023
-                raw = np.frombuffer(batch.column("places")[i].as_buffer(), np.uint8).reshape(3, -1).astype(np.int64)
-                places = raw[0] | raw[1] << 8 | raw[2] << 16
-                names = batch.column("words")[i].as_py().split(b" ") if len(places) else []
-                if names:
+                planes = np.frombuffer(batch.column("places")[i].as_buffer(), np.uint8).reshape(3, -1)
+                places = planes[2].astype(np.int32)
+                for plane in planes[1::-1]:
+                    places <<= 8
+                    places |= plane
+                if len(places):
                     system, path = fs.FileSystem.from_uri(f"{root}/folder={_folder(unit, folders)}")
-                    held = pq.read_table(path, columns=["gram", "bits"], filters=[("unit", "=", unit)], filesystem=system, partitioning=None)
+                    held = pq.read_table(path, columns=["gram", "bits"], filters=[("unit", "=", unit)], filesystem=system, partitioning=None, use_threads=False, pre_buffer=False)
                     scores = _Scores(held["gram"].to_numpy(), held["bits"].to_numpy())
-                    bits = _document_bits(value("n_words").to_numpy(), places, names, scores, repeat)
+                    del held
+                    bits = _document_bits(value("n_words").to_numpy(), places, batch.column("words")[i].as_py(), scores, repeat)
                 else:
                     bits = np.zeros(len(value("n_words")))
                 yield pa.RecordBatch.from_arrays([value("doc_id"), value("row_key"), value("lang"), pa.array(bits), value("n_bytes")], names=["doc_id", "row_key", "lang", "bits", "n_bytes"])
@@ -409,7 +413,7 @@ def perplexities(docs: DataFrame, model: DataFrame, scratch: Scratch) -> DataFra
     own = asked.join(scored, "gram").select(F.pmod("unit", F.lit(folders)).alias("folder"), "unit", "gram", F.col("bits").cast("float").alias("bits"))
     own = own.repartition("folder", "unit").sortWithinPartitions("folder", "unit", "gram")
     # row groups of about a unit each, so that a task reads little beside its own
-    own.write.option("parquet.block.size", 4 << 20).partitionBy("folder").parquet(scratch.path("unit-scores"))
+    own.write.option("parquet.block.size", 4 << 20).option("compression", "zstd").partitionBy("folder").parquet(scratch.path("unit-scores"))
     repeat = -float(model.where(F.col("gram") == REPEATS).first()["logp"])
     return units.drop("grams").mapInArrow(light(_sums(scratch.path("unit-scores"), folders, repeat)), _SUMS)
 

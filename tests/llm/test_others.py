@@ -66,6 +66,16 @@ def test_nearest_repeated_rows(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == brute_nearest(vectors, [0, 3], 5)
 
 
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    """A vector's length plays no part, even where its square is no number."""
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(size=8) for i in range(40)}
+    rows = [(i, (v * [1.0, 1e200, 1e-200][i % 3]).tolist(), "x") for i, v in vectors.items()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = nearest.nearest(df, df.where("vec_id < 9"))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == brute_nearest({i: v.tolist() for i, v in vectors.items()}, range(9), 5)
+
+
 def test_quantised_bound():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(50, 32)), rng.normal(size=(60, 32)) ** 5
