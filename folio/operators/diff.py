@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 _TOKEN = re.compile(r"\s+|\S+")
 #: Bits of one pass's table; longer pairs are halved first.
 TABLE_BITS = 1 << 28
@@ -158,10 +160,14 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _kept(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["p2", "b"])
-    kept = longest_increasing(pdf["r1"].tolist())
-    return pdf.iloc[[i for i in range(len(pdf)) if i not in set(kept)]][["doc", "b"]]
+def _left_out(orders: pd.Series) -> pd.Series:
+    """For each document's places in the older order, by the newer one: which are outside its longest run in order."""
+
+    def of(values) -> list[bool]:
+        kept = set(longest_increasing(list(values)))
+        return [i not in kept for i in range(len(values))]
+
+    return orders.map(of)
 
 
 def paired(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
@@ -172,7 +178,8 @@ def paired(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) ->
     """
     o = old.select("doc", F.col("anchor").alias("a"), F.coalesce("title", F.lit("")).alias("t1"))
     n = new.select("doc", F.col("anchor").alias("b"), F.coalesce("title", F.lit("")).alias("t2"))
-    out = o.join(n, (o["doc"] == n["doc"]) & (F.col("a") == F.col("b")) & (F.col("t1") == F.col("t2"))).select(o["doc"], "a", "b")
+    # each step's pairs are written, as the next reads them twice
+    out = cut(o.join(n, (o["doc"] == n["doc"]) & (F.col("a") == F.col("b")) & (F.col("t1") == F.col("t2"))).select(o["doc"], "a", "b"))
 
     def rest():
         return o.join(out, ["doc", "a"], "left_anti"), n.join(out, ["doc", "b"], "left_anti")
@@ -181,12 +188,12 @@ def paired(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) ->
         left, right = rest()
         both = aligned.join(left.select("doc", "a"), ["doc", "a"], "left_semi").join(right.select("doc", "b"), ["doc", "b"], "left_semi")
         best = lambda own, other: F.row_number().over(Window.partitionBy("doc", own).orderBy(F.desc("rank"), other))
-        out = out.unionByName(both.withColumn("x", best("a", "b")).withColumn("y", best("b", "a")).where("x = 1 and y = 1").select("doc", "a", "b"))
+        out = out.unionByName(cut(both.withColumn("x", best("a", "b")).withColumn("y", best("b", "a")).where("x = 1 and y = 1").select("doc", "a", "b")))
     left, right = rest()
     single = lambda df, t, key: df.where(f"{t} != ''").groupBy("doc", F.col(t).alias("t")).agg(F.count(F.lit(1)).alias("m"), F.min(key).alias(key)).where("m = 1").drop("m")
-    out = out.unionByName(single(left, "t1", "a").join(single(right, "t2", "b"), ["doc", "t"]).select("doc", "a", "b"))
+    out = out.unionByName(cut(single(left, "t1", "a").join(single(right, "t2", "b"), ["doc", "t"]).select("doc", "a", "b")))
     left, right = rest()
-    return out.unionByName(left.select("doc", "a").join(right.select("doc", F.col("b"), F.col("b").alias("a")), ["doc", "a"]).select("doc", "a", "b"))
+    return out.unionByName(cut(left.select("doc", "a").join(right.select("doc", F.col("b"), F.col("b").alias("a")), ["doc", "a"]).select("doc", "a", "b")))
 
 
 def section_changes(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
@@ -206,7 +213,9 @@ def section_changes(old: DataFrame, new: DataFrame, aligned: DataFrame | None =
     ranked = met.withColumn("r1", r1).withColumn("r2", r2)
     shuffled = ranked.where("r1 != r2").select("doc").distinct()
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
-    out_of_order = ranked.join(shuffled, "doc", "left_semi").select("doc", "b", "p2", "r1").groupBy("doc").applyInPandas(_kept, f"doc {kinds['doc']}, b {kinds['b']}")
+    listed = ranked.join(shuffled, "doc", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("p2", "b", "r1"))).alias("s"))
+    moved = F.pandas_udf(_left_out, "array<boolean>")(F.transform("s", lambda x: x["r1"]))
+    out_of_order = listed.withColumn("m", moved).select("doc", F.explode(F.arrays_zip("s", "m")).alias("z")).where("z.m").select("doc", F.col("z.s.b").alias("b"))
     both = met.join(out_of_order.withColumn("moved", F.lit(True)), ["doc", "b"], "left")
     both = both.select("doc", F.col("a").alias("old_anchor"), F.col("b").alias("anchor"), F.when(F.col("h1").eqNullSafe(F.col("h2")), "same").otherwise("changed").alias("change"), F.coalesce("moved", F.lit(False)).alias("moved"))
     gone = o.join(pairs, ["doc", "a"], "left_anti").select("doc", F.col("a").alias("old_anchor"), F.lit(None).cast(kinds["b"]).alias("anchor"), F.lit("removed").alias("change"), F.lit(False).alias("moved"))
