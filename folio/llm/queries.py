@@ -9,6 +9,7 @@ from .ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from .packing import op5_best_fit_packing
 from .pseudonyms import op4_pii_pseudonyms
 from .quality import op10_quality_classifier
+from .resampling import OP11_SQL, op11_importance_resampling
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .url_filter import RULES_SQL, op9_url_filter, url_rules
 from .warc import OP2_SQL, op2_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_importance_resampling": op11_importance_resampling,
     "url_rules": url_rules,
 }
 
@@ -33,5 +35,6 @@ ORACLE_SQL = {
     "op6_ngram_jaccard_join": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_importance_resampling": OP11_SQL,
     "url_rules": RULES_SQL,
 }
