@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op13_byte_bpe
+from .conversations import OP12_SQL, op12_conversation_repair
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import op3_source_mixing
 from .nearest import OP1_SQL, op1_nearest_neighbours
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_byte_bpe": op13_byte_bpe,
     "url_rules": url_rules,
 }
 
@@ -36,5 +40,6 @@ ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
     "url_rules": RULES_SQL,
 }
