@@ -1,11 +1,17 @@
-"""Full-text search over sections: an inverted index as a table, BM25, phrases, snippets."""
+"""Full-text search over sections: an inverted index as tables by segments, BM25, phrases, snippets."""
 
 from __future__ import annotations
 
+import math
+import re
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.tables import cut, remove
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -17,90 +23,191 @@ def sections_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc"), F.posexplode(blocks).alias("ord", "body")).where("trim(body) != ''")
 
 
-def postings(sections: DataFrame, columns: tuple[str, ...] = ("body",)) -> DataFrame:
-    """(term, doc, ord, col, positions, tf) of ``sections(doc, ord, ...)``; positions are per column."""
-    parts = None
-    for name in columns:
-        one = sections.select("doc", "ord", F.lit(name).alias("col"), F.posexplode(tokens(F.col(name))).alias("pos", "term"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("term", "doc", "ord", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.count(F.lit(1)).alias("tf"))
-
-
-def lengths(sections: DataFrame, columns: tuple[str, ...] = ("body",)) -> DataFrame:
-    """(doc, ord, len): tokens of a section over its columns."""
-    total = F.lit(0)
-    for name in columns:
-        total = total + F.greatest(F.size(tokens(F.col(name))), F.lit(0))
-    return sections.select("doc", "ord", total.alias("len"))
-
-
 #: Postings in one bucket's files, about; a bucket is a folder that a search for other terms never opens.
 BUCKET_POSTINGS = 4_000_000
-#: Files that a bucket is spread over, so that a very common term doesn't wait for one task.
-BUCKET_FILES = 4
+#: Sections of one block, about: what a ranked search skips or reads.
+BLOCK_SECTIONS = 128
+#: Segments besides the first that a search puts up with.
+MOST_DELTAS = 8
+
+
+def _entries(columns: tuple[str, ...]):
+    """Adds to rows of token lists: len, terms and tfs of a section, and an entry (term, col, positions, tf, total) a term and column."""
+
+    def run(batches):
+        for batch in batches:
+            lists = [batch.column(f"__{c}").to_pylist() for c in columns]
+            sizes, terms, tfs, offsets, flat = [], [], [], [0], ([], [], [], [], [])
+            for row in zip(*lists):
+                total: dict[str, int] = {}
+                for words in row:
+                    for word in words or ():
+                        total[word] = total.get(word, 0) + 1
+                for name, words in zip(columns, row):
+                    at: dict[str, list[int]] = {}
+                    for i, word in enumerate(words or ()):
+                        at.setdefault(word, []).append(i)
+                    for word, places in at.items():
+                        for held, value in zip(flat, (word, name, places, len(places), total[word])):
+                            held.append(value)
+                sizes.append(sum(total.values()))
+                terms.append(list(total))
+                tfs.append(list(total.values()))
+                offsets.append(len(flat[0]))
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32())
+            entry = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(flat, kinds)], names=["term", "col", "positions", "tf", "total"])
+            kept = [c for c in batch.schema.names if c.removeprefix("__") not in columns or not c.startswith("__")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entry)],
+                names=[*kept, "len", "terms", "tfs", "entries"],
+            )
+
+    return run
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _length_class(length: Column) -> Column:
+    """Sections of like lengths: four classes to a doubling."""
+    return F.floor(4 * F.log2(length + 1.0)).cast("int")
 
 
 class Index:
-    """An inverted index as written tables: postings by bucket of the term, lengths, and one row of statistics.
-
-    Sections are ``(doc, ord, ...)``. A search reads the buckets of its terms, in them the row groups that
-    may have the terms, and only the columns it needs; never a text.
+    """A full-text index as written tables, kept by segments.
+
+    A segment has, of its sections ``(doc, ord, ...)``: *postings* by bucket of the term, each with its
+    section's length; *blocks*, the greatest count and the least length of each term among some
+    BLOCK_SECTIONS sections of like length; *terms* with their frequencies; *sections* and *documents* by
+    bucket of the document; and *refused*, what could not be indexed. A commit is a row a segment, written
+    last, so a batch that broke off is none. A document counts where its newest segment has it; what that
+    takes from the frequencies is in the newer segment's terms, so searches give the same before a merge
+    and after.
+
+    A ranked search bounds what a block can score from the blocks' rows, reads the postings of the best
+    ones, and then only of blocks that could still beat the last of the best ``limit``: the same rows as
+    a full scan. A search never reads a text.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = self._table("statistics").first()["buckets"]
+        self.number = max(commits(spark, self.path))
+        rows = sorted(spark.read.parquet(f"{self.path}/commits/{self.number}").collect(), key=lambda r: r["place"])
+        self.segments = [(r["name"], r["buckets"], r["doc_buckets"]) for r in rows]
+        self.n, self.tokens, self.columns = rows[0]["n"], rows[0]["tokens"], tuple(rows[0]["columns"].split())
+        #: (blocks read, blocks that have every word) of the last ranked search
+        self.blocks_read = (0, 0)
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    # --- writing ---
 
     @classmethod
     def write(cls, sections: DataFrame, path: str, columns: tuple[str, ...] = ("body",)) -> Index:
-        """Indexes ``sections``; the statistics are written last, so a broken index is none."""
-        path = path.rstrip("/")
-        spark = sections.sparkSession
-        found = postings(sections, columns)
-        lengths(sections, columns).write.mode("overwrite").parquet(f"{path}/lengths")
-        one = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
-        one = one.withColumn("buckets", F.greatest(F.lit(8), F.ceil(F.col("tokens") / BUCKET_POSTINGS)).cast("int"))
-        row = one.first()
-        held = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(row["buckets"])).cast("int"))
-        held = held.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(BUCKET_FILES))).sortWithinPartitions("bucket", "term", "doc", "ord")
-        held.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        one.write.mode("overwrite").parquet(f"{path}/statistics")
+        """A new index of ``sections(doc, ord, ...)``; further columns are kept as they are, ``columns`` are searched and not kept."""
+        spark, path = sections.sparkSession, path.rstrip("/")
+        n, tokens, buckets = _segment(spark, f"{path}/segments/0-0", _staged(sections, columns), None)
+        _commit(spark, path, 0, [("0-0", *buckets)], n, tokens, columns)
         return cls(spark, path)
 
-    def replace(self, sections: DataFrame, columns: tuple[str, ...], path: str) -> Index:
-        """An index at ``path`` in which the documents of ``sections`` are these and all others as they were."""
-        gone = sections.select("doc").distinct()
-        old_p, old_l = (self._table(n).join(gone, "doc", "left_anti") for n in ("postings", "lengths"))
-        new_l = old_l.unionByName(lengths(sections, columns))
-        new_l.write.mode("overwrite").parquet(f"{path}/lengths")
-        both = old_p.drop("bucket").unionByName(postings(sections, columns)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        both.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(BUCKET_FILES))).sortWithinPartitions("bucket", "term", "doc", "ord").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        stats = self.spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"))
-        stats.withColumn("buckets", F.lit(self.buckets)).write.mode("overwrite").parquet(f"{path}/statistics")
-        return Index(self.spark, path)
+    def add(self, sections: DataFrame, gone: DataFrame | None = None) -> Index:
+        """The documents of ``sections`` are these from now on, those of ``gone(doc)`` are no more; all others as they were.
+
+        Writes one segment, of the size of the batch. A section without document or without any text column is
+        refused and told in ``refused()``. Many segments are merged.
+        """
+        staged = _staged(sections, self.columns)
+        named = staged.select("doc").where("doc is not null").distinct()
+        named = cut(named if gone is None else named.unionByName(gone.select("doc").where("doc is not null")).distinct())
+        old = self._superseded(named)
+        lost = old.groupBy().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
+        name = f"{self.number + 1}-0"
+        n, tokens, buckets = _segment(self.spark, f"{self.path}/segments/{name}", staged, (named, old))
+        _commit(self.spark, self.path, self.number + 1, [*self.segments, (name, *buckets)], self.n - lost["n"] + n, self.tokens - lost["tokens"] + tokens, self.columns)
+        out = Index(self.spark, self.path)
+        return out.merge(1) if len(out.segments) > MOST_DELTAS + 1 else out
+
+    def merge(self, first: int = 0) -> Index:
+        """Segments from ``first`` on as one; with 0, all of them, and documents that are gone leave no trace."""
+        rest = self.segments[first:]
+        if len(rest) < 2:
+            return self
+        name, folder = f"{self.number + 1}-0", f"{self.path}/segments/{self.number + 1}-0"
+        live = lambda table: self._live(self._read(table, first), first)
+        remove(self.spark, folder)  # left by a merge that broke off
+        frequencies = self._read("terms", first).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "docs", "tf")])
+        newest = self._read("documents", first).groupBy("doc").agg(F.max_by(F.struct("sections", "tokens"), "segment").alias("held")).select("doc", "held.*")
+        if first == 0:
+            frequencies, newest = frequencies.where("df != 0"), newest.where("sections > 0")
+        buckets = _write(self.spark, folder, live("sections").drop("block", "doc_bucket"), live("postings").drop("block", "bucket"), frequencies, newest)
+        self._read("refused", first).drop("segment").write.parquet(f"{folder}/refused")
+        _commit(self.spark, self.path, self.number + 1, [*self.segments[:first], (name, *buckets)], self.n, self.tokens, self.columns)
+        for old, _, _ in rest:
+            remove(self.spark, f"{self.path}/segments/{old}")
+        for n in sorted(commits(self.spark, self.path))[:-1]:
+            remove(self.spark, f"{self.path}/commits/{n}")
+        return Index(self.spark, self.path)
+
+    def _superseded(self, named: DataFrame) -> DataFrame:
+        """The sections that the documents of ``named`` have so far; only the folders of their buckets are read."""
+        out = None
+        for i, (name, _, doc_buckets) in enumerate(self.segments):
+            at = [r[0] for r in named.select(_bucket(F.col("doc").cast("string"), doc_buckets)).distinct().collect()]  # at most one a bucket
+            one = self.spark.read.parquet(f"{self.path}/segments/{name}/sections").where(F.col("doc_bucket").isin(at)).select("doc", "ord", "len", "terms", "tfs").withColumn("segment", F.lit(i))
+            out = one if out is None else out.unionByName(one)
+        return self._live(out.join(named, "doc", "left_semi"))
+
+    # --- reading ---
+
+    def _read(self, table: str, first: int = 0, words: list[str] | None = None) -> DataFrame:
+        out = None
+        for i, (name, buckets, _) in list(enumerate(self.segments))[first:]:
+            one = self.spark.read.parquet(f"{self.path}/segments/{name}/{table}")
+            if words is not None:  # literals after folding: other folders aren't listed, other row groups aren't read
+                one = one.where(F.col("bucket").isin(*[_bucket(F.lit(w), buckets) for w in words]) & F.col("term").isin(words))
+            one = one.withColumn("segment", F.lit(i))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _live(self, rows: DataFrame, first: int = 0) -> DataFrame:
+        """``rows(doc, segment, ...)`` without those that a newer segment replaces; the documents of the newer segments are few."""
+        if len(self.segments) - first < 2:
+            return rows
+        newer = self._read("documents", first + 1).groupBy("doc").agg(F.max("segment").alias("__newest"))
+        return rows.join(newer, "doc", "left").where(F.coalesce(F.col("__newest"), F.lit(first)) <= F.col("segment")).drop("__newest")
 
     def postings(self) -> DataFrame:
-        return self._table("postings")
+        """(term, doc, ord, col, positions, tf, len) of all sections."""
+        return self._live(self._read("postings")).select("term", "doc", "ord", "col", "positions", "tf", "len")
 
-    def _of(self, words: list[str]) -> DataFrame:
-        """The postings of ``words``: of their buckets alone."""
-        terms = self.spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("t"))
-        at = [r["b"] for r in terms.select(F.pmod(F.xxhash64("t"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]
-        return self._table("postings").where(F.col("bucket").isin(at) & F.col("term").isin(words))
+    def sections(self) -> DataFrame:
+        """(doc, ord, len, ...) of all sections."""
+        return self._live(self._read("sections")).drop("segment", "block", "doc_bucket", "terms", "tfs")
+
+    def refused(self) -> DataFrame:
+        return self._read("refused").drop("segment")
+
+    def statistics(self) -> DataFrame:
+        """(term, tf, docs): how often a term is, and in how many documents."""
+        return self._read("terms").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs")).where("tf > 0")
+
+    def _of(self, words: list[str], within: DataFrame | None = None) -> DataFrame:
+        """The postings of ``words`` that count; of the documents of ``within(doc)`` if given."""
+        hits = self._live(self._read("postings", words=words))
+        return hits if within is None else hits.join(within.select("doc").distinct(), "doc", "left_semi")
 
     def matching(self, words: list[str], within: DataFrame | None = None) -> DataFrame:
-        """(doc, ord, tf0, tf1, ...) of sections with every word; of the documents of ``within(doc)`` if given."""
-        each = [F.sum(F.when(F.col("term") == w, F.col("tf")).otherwise(0)).cast("int").alias(f"tf{i}") for i, w in enumerate(words)]
-        hits = self._of(words)
-        if within is not None:
-            hits = hits.join(within.select("doc").distinct(), "doc", "left_semi")
-        found = hits.groupBy("doc", "ord").agg(*each)
-        for i in range(len(words)):
-            found = found.where(F.col(f"tf{i}") > 0)
-        return found
+        """(doc, ord, len, tf0, tf1, ...) of sections with every word; of the documents of ``within(doc)`` if given."""
+        return _every(self._of(words, within), words).drop("segment", "block")
+
+    def _frequencies(self, words: list[str]) -> dict[str, int]:
+        return {r["term"]: r["df"] for r in self._read("terms", words=words).groupBy("term").agg(F.sum("df").alias("df")).collect()}
+
+    def _weight(self, df: int) -> float:
+        return max(math.log((self.n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+
+    def _scored(self, count: Column, length: Column, df: int) -> Column:
+        mean = self.tokens / self.n if self.n else 1.0
+        return F.lit(self._weight(df)) * count * (K1 + 1) / (count + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
 
     def bm25(self, words: list[str], within: DataFrame | None = None, limit: int | None = None) -> DataFrame:
         """(doc, ord, score) of sections that have every word, larger scores better.
@@ -108,41 +215,213 @@ class Index:
         Statistics are over all sections; a word in more than half of them has a least weight. With
         ``limit``, the best are kept, with their rank from 1; equal scores by document and place.
         """
-        frequent = {r["term"]: r["df"] for r in self._of(words).groupBy("term").agg(F.count_distinct("doc", "ord").alias("df")).collect()}
-        stats = self._table("statistics").first()
-        found = self.matching(words, within).join(self._table("lengths"), ["doc", "ord"])
+        if limit is not None:
+            return self.search([[w] for w in words], within=within, limit=limit)
+        frequent = self._frequencies(words)
         score = F.lit(0.0)
         for i, w in enumerate(words):
-            tf, df = F.col(f"tf{i}").cast("double"), float(frequent.get(w, 0))
-            idf = F.greatest(F.ln(F.lit((stats["n"] - df + 0.5) / (df + 0.5))), F.lit(LEAST_IDF))
-            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean"])))
-        scored = found.select("doc", "ord", score.alias("score"))
-        return scored if limit is None else ranked(scored, [F.desc("score"), F.asc("doc"), F.asc("ord")], limit)
+            score = score + self._scored(F.col(f"tf{i}").cast("double"), F.col("len"), frequent.get(w, 0))
+        return self.matching(words, within).select("doc", "ord", score.alias("score"))
 
-    def phrase(self, words: list[str], within: DataFrame | None = None) -> DataFrame:
+    def phrase(self, words: list[str], within: DataFrame | None = None, column: str | None = None) -> DataFrame:
         """(doc, ord, n): sections where the words follow each other in one column, and how often."""
-        hits = self._of(words)
-        if within is not None:
-            hits = hits.join(within.select("doc").distinct(), "doc", "left_semi")
+        return self._phrase(words, within, column).select("doc", "ord", "n")
+
+    def _phrase(self, words: list[str], within: DataFrame | None = None, column: str | None = None) -> DataFrame:
+        hits = self._of(words, within)
+        if column is not None:
+            hits = hits.where(F.col("col") == column)
         starts = F.transform("positions", lambda p: p - F.col("k"))
         # a word may stand at several places of the phrase
         places = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in enumerate(words)])
         each = hits.withColumn("at", F.explode(F.filter(places, lambda x: x["w"] == F.col("term")))).withColumn("k", F.col("at.k"))
-        at = each.select("doc", "ord", "col", "k", F.explode(starts).alias("start")).groupBy("doc", "ord", "col", "start").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") == len(words))
-        return at.groupBy("doc", "ord").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        section = ["segment", "block", "doc", "ord", "len"]
+        at = each.select(*section, "col", "k", F.explode(starts).alias("start")).groupBy(*section, "col", "start").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") == len(words))
+        return at.groupBy(*section).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+    def named(self, wanted: str) -> DataFrame:
+        """(doc, ord) of the sections that ``wanted`` names: its heading has it as a phrase, or by anchor or number, or below those."""
+        own = in_section(self.sections(), wanted).select("doc", "ord")
+        words = _tokens_of(self.spark, wanted)
+        if not words or re.fullmatch(r"[\d.]+", wanted) or "heading" not in self.columns:
+            return own
+        return own.unionByName(self.phrase(words, column="heading").select("doc", "ord")).distinct()
+
+    def search(self, terms: list[list[str]], section: str | None = None, within: DataFrame | None = None, limit: int = 50) -> DataFrame:
+        """(doc, ord, score, rank): the best ``limit`` sections that have every one of ``terms``.
+
+        A term is a phrase, a word being one of one word; a phrase counts as often as it stands there. ``section``
+        keeps what ``named`` finds, ``within(doc)`` documents. Without terms, the sections that are named,
+        the newest document first. Phrases are found first; words are looked up in the blocks that may matter.
+        """
+        named = None if section is None else self.named(section)
+        if not terms:
+            if named is None:
+                raise ValueError("neither terms nor a section")
+            rows = named if within is None else named.join(within.select("doc").distinct(), "doc", "left_semi")
+            return ranked(rows, [F.desc("doc"), F.asc("ord")], limit)
+        words = list(dict.fromkeys(t[0] for t in terms if len(t) == 1))
+        phrases = [cut(self._phrase(t)) for t in terms if len(t) > 1]
+        frequent = self._frequencies(words)
+        keys = ["segment", "block"]
+        blocks, n = None, len(words)
+        if words:  # what a block can score at most
+            most = F.lit(0.0)
+            for w in words:
+                most = most + F.when(F.col("term") == w, self._scored(F.col("most").cast("double"), F.col("least"), frequent.get(w, 0))).otherwise(0.0)
+            every = self._read("blocks", words=words).groupBy(*keys).agg(F.sum(most).alias("bound"), F.count(F.lit(1)).alias("m"))
+            blocks = every.where(F.col("m") == n).drop("m")
+        for found in phrases:
+            df = found.count()
+            top = found.groupBy(*keys).agg(F.max(self._scored(F.col("n").cast("double"), F.col("len"), df)).alias("more"))
+            blocks = top.withColumnRenamed("more", "bound") if blocks is None else blocks.join(top, keys).withColumn("bound", F.col("bound") + F.col("more")).drop("more")
+        blocks = cut(blocks.withColumn("bound", F.col("bound") * (1 + 1e-9)))  # rounding is no reason to skip
+        in_all, read = blocks.count(), 0
+        best, above, floor, step = None, None, None, max(8, limit // 8)
+        while above is None or floor is None:
+            rest = blocks if above is None else blocks.where(F.col("bound") < above)
+            if read >= in_all:
+                break
+            below = rest.orderBy(F.desc("bound")).limit(step).agg(F.min("bound")).first()[0]
+            taken = rest.where(F.col("bound") >= below)
+            best, floor = self._round(taken, best, terms, words, frequent, phrases, named, within, limit)
+            read += taken.count()
+            above, step = below, step * 8
+        if floor is not None and above is not None:  # enough rows: only blocks that could still beat the last of them
+            taken = blocks.where((F.col("bound") < above) & (F.col("bound") >= floor))
+            more = taken.count()
+            if more:
+                best, _ = self._round(taken, best, terms, words, frequent, phrases, named, within, limit)
+                read += more
+        self.blocks_read = (read, in_all)
+        if best is None:
+            best = self.spark.createDataFrame([], self._read("postings").select("doc", "ord", F.lit(0.0).alias("score")).schema)
+        return ranked(best, [F.desc("score"), F.asc("doc"), F.asc("ord")], limit)
+
+    def _round(self, blocks: DataFrame, best, terms, words, frequent, phrases, named, within, limit: int):
+        """(the best rows so far with those of ``blocks``, the score of the last one if there are enough)."""
+        keys, section = ["segment", "block"], ["segment", "block", "doc", "ord", "len"]
+        at = blocks.select(*keys)
+        found, score = None, F.lit(0.0)
+        if words:
+            found = _every(self._live(self._read("postings", words=words).join(at, keys, "left_semi")), words)
+            for t in terms:
+                if len(t) == 1:
+                    i = words.index(t[0])
+                    score = score + self._scored(F.col(f"tf{i}").cast("double"), F.col("len"), frequent.get(t[0], 0))
+        for i, (hits) in enumerate(phrases):
+            one = hits.join(at, keys, "left_semi").withColumnRenamed("n", f"n{i}")
+            found = one if found is None else found.join(one, section)
+            score = score + self._scored(F.col(f"n{i}").cast("double"), F.col("len"), hits.count())
+        for kept, by in ((named, ["doc", "ord"]), (None if within is None else within.select("doc").distinct(), ["doc"])):
+            if kept is not None:
+                found = found.join(kept, by, "left_semi")
+        rows = found.select("doc", "ord", score.alias("score"))
+        rows = cut((rows if best is None else best.unionByName(rows)).orderBy(F.desc("score"), "doc", "ord").limit(limit))
+        told = rows.agg(F.count(F.lit(1)), F.min("score")).first()
+        return rows, told[1] if told[0] >= limit else None
 
     def listed(self, within: DataFrame, limit: int) -> DataFrame:
         """(doc, ord, rank): without words, the sections of ``within(doc)``: newest document first, each in its order."""
-        return ranked(self._table("lengths").join(within.select("doc").distinct(), "doc", "left_semi").select("doc", "ord"), [F.desc("doc"), F.asc("ord")], limit)
+        return ranked(self.sections().join(within.select("doc").distinct(), "doc", "left_semi").select("doc", "ord"), [F.desc("doc"), F.asc("ord")], limit)
 
     def coverage(self, allowed: DataFrame) -> DataFrame:
         """One row: how many documents are allowed, and how many of them are indexed."""
-        have = self._table("lengths").select("doc").distinct().withColumn("has", F.lit(True))
+        have = self._live(self._read("documents")).where("sections > 0").select("doc").withColumn("has", F.lit(True))
         return allowed.select("doc").distinct().join(have, "doc", "left").agg(F.count(F.lit(1)).alias("n_allowed"), F.count("has").alias("n_indexed"))
 
-    def statistics(self) -> DataFrame:
-        """(term, tf, docs): how often a term is, and in how many documents."""
-        return self.postings().groupBy("term").agg(F.sum("tf").alias("tf"), F.count_distinct("doc").alias("docs"))
+
+def _every(hits: DataFrame, words: list[str]) -> DataFrame:
+    """(segment, block, doc, ord, len, tf0, ...) of the sections of ``hits`` that have every word."""
+    each = [F.sum(F.when(F.col("term") == w, F.col("tf")).otherwise(0)).cast("int").alias(f"tf{i}") for i, w in enumerate(words)]
+    found = hits.groupBy("segment", "block", "doc", "ord", "len").agg(*each)
+    for i in range(len(words)):
+        found = found.where(F.col(f"tf{i}") > 0)
+    return found
+
+
+def _tokens_of(spark: SparkSession, text: str) -> list[str]:
+    return spark.range(1).select(tokens(F.lit(text)).alias("t")).first()["t"]
+
+
+def _staged(sections: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Sections with their terms, written once: texts are tokenised once."""
+    cores = sections.sparkSession.sparkContext.defaultParallelism
+    if sections.rdd.getNumPartitions() < cores:  # a few large files; a table of many is worked on where it is read
+        sections = sections.repartition(cores)
+    kept = [c for c in sections.columns if c not in columns]
+    told = sections.withColumn("__refused", F.when(F.col("doc").isNull(), "no document").when(F.coalesce(*columns).isNull(), "no text"))
+    rows = told.select(*kept, "__refused", *[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"__{c}") for c in columns])
+    own = rows.select(*kept, "__refused").schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
+    return cut(rows.mapInArrow(_entries(columns), f"{fields}, len int, terms array<string>, tfs array<int>, entries array<struct<term: string, col: string, positions: array<int>, tf: int, total: int>>"))
+
+
+def _segment(spark: SparkSession, folder: str, staged: DataFrame, before) -> tuple[int, int, tuple[int, int]]:
+    """Writes a segment; (sections, tokens, (buckets, buckets of documents)).
+
+    ``before``: (doc) of all documents that the segment decides on, and the sections they had.
+    """
+    remove(spark, folder)  # left by a batch that broke off
+    good = staged.where("__refused is null").drop("__refused")
+    staged.where("__refused is not null").select(F.col("doc").cast("string").alias("doc"), F.col("ord").cast("string").alias("ord"), F.col("__refused").alias("reason")).coalesce(1).write.parquet(f"{folder}/refused")
+    total = good.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
+    own = lambda rows, sign: rows.select("doc", F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select(F.col("e.terms").alias("term"), "doc", F.col("e.tfs").alias("tf"), F.lit(sign).alias("sign"))
+    counted = own(good, 1)
+    held = good.groupBy("doc").agg(F.count(F.lit(1)).alias("sections"), F.sum("len").cast("long").alias("tokens"))
+    if before is not None:
+        counted = counted.unionByName(own(before[1], -1))
+        held = before[0].join(held, "doc", "left").select("doc", F.coalesce("sections", F.lit(0)).alias("sections"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    by_doc = counted.groupBy("term", "doc", "sign").agg(F.sum("sign").alias("df"), F.sum(F.col("tf") * F.col("sign")).alias("tf"))
+    frequencies = by_doc.groupBy("term").agg(F.sum("df").alias("df"), F.sum("sign").alias("docs"), F.sum("tf").alias("tf"))
+    postings = good.select("doc", "ord", "len", F.explode("entries").alias("e")).select("doc", "ord", "len", "e.*")
+    return total["n"], total["tokens"], _write(spark, folder, good.drop("entries"), postings, frequencies, held)
+
+
+def _write(spark: SparkSession, folder: str, sections: DataFrame, postings: DataFrame, frequencies: DataFrame, documents: DataFrame) -> tuple[int, int]:
+    """Writes the tables of a segment; (buckets, buckets of documents), by the size of the segment."""
+    sections, postings = sections.drop("segment"), postings.drop("segment")
+    sized = sections.groupBy(_length_class(F.col("len"))).agg(F.count(F.lit(1)), F.sum(F.size("terms"))).collect()  # four rows to a doubling of the length
+    classes, n_sections, n_postings = {r[0]: r[1] for r in sized}, sum(r[1] for r in sized), sum(r[2] for r in sized)
+    buckets = max(1, -(-n_postings // BUCKET_POSTINGS), min(8, n_postings // 50_000))
+    doc_buckets = max(1, -(-n_sections // 100_000), min(8, n_sections // 2_000))
+    # a block: a length class, and a part of it by hash
+    parts = F.create_map(*[F.lit(x) for c, n in classes.items() for x in (c, max(1, n // BLOCK_SECTIONS))]) if classes else F.create_map(F.lit(0), F.lit(1))
+    own_class = _length_class(F.col("len"))
+    block = (own_class.cast("long") * (1 << 32) + F.pmod(F.xxhash64(F.col("doc").cast("string"), F.col("ord")), F.element_at(parts, own_class).cast("long"))).alias("block")
+
+    def by_term():
+        frequencies.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
+        # a bucket's files follow its size, so the commonest term's bucket doesn't wait for a few tasks
+        files = spark.read.parquet(f"{folder}/terms").groupBy("bucket").agg(F.ceil(F.sum(F.greatest("df", F.lit(1))) / BUCKET_POSTINGS).alias("files"))
+        dealt = postings.select("*", block, _bucket(F.col("term"), buckets).alias("bucket")).join(F.broadcast(files), "bucket")  # a row a bucket
+        placed = dealt.withColumn("file", F.pmod(F.xxhash64("block"), F.col("files"))).repartition("bucket", "file").sortWithinPartitions("bucket", "term", "block", "doc", "ord").drop("files", "file")
+        placed.write.partitionBy("bucket").parquet(f"{folder}/postings")
+        most = spark.read.schema(placed.schema).parquet(f"{folder}/postings").groupBy("bucket", "term", "block").agg(F.max("total").alias("most"), F.min("len").alias("least"))
+        most.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+
+    def by_document():
+        by_doc = _bucket(F.col("doc").cast("string"), doc_buckets).alias("doc_bucket")
+        spread = F.pmod(F.xxhash64("doc", "ord"), F.lit(4))
+        sections.select("*", block, by_doc).repartition("doc_bucket", spread).sortWithinPartitions("doc_bucket", "doc", "ord").write.partitionBy("doc_bucket").parquet(f"{folder}/sections")
+        documents.coalesce(max(1, doc_buckets)).write.parquet(f"{folder}/documents")
+
+    with ThreadPoolExecutor(2) as pool:  # two jobs at a time; neither needs the other
+        for done in [pool.submit(by_term), pool.submit(by_document)]:
+            done.result()
+    return buckets, doc_buckets
+
+
+def _commit(spark: SparkSession, path: str, number: int, segments: list[tuple[str, int, int]], n: int, tokens_: int, columns: tuple[str, ...]) -> None:
+    rows = [(i, *s, int(n), int(tokens_), " ".join(columns)) for i, s in enumerate(segments)]
+    spark.createDataFrame(rows, "place int, name string, buckets int, doc_buckets int, n long, tokens long, columns string").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/{number}")
+
+
+def commits(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the commits that were finished."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [int(x.getPath().getName()) for x in files.listStatus(root) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
 
 
 def ranked(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:

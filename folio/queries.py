@@ -428,7 +428,7 @@ def _sections(spark, sf_dir) -> DataFrame:
 
 def _index(spark, sf_dir) -> fulltext.Index:
     """The index of the documents' sections: written once a session, then only read."""
-    path = kept_table(spark, f"fts:{sf_dir}", lambda at: fulltext.Index.write(_sections(spark, sf_dir), at))
+    path = kept_table(spark, f"fts:{sf_dir}", lambda at: fulltext.Index.write(_sections(spark, sf_dir), at), f"{sf_dir}/documents.parquet")
     return fulltext.Index(spark, path)
 
 
@@ -438,7 +438,8 @@ SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS tokens FROM t
 """)
 def fts_index(spark, sf_dir) -> DataFrame:
     """Writes the index, if this session has none yet: sections and tokens in it."""
-    return spark.read.parquet(f"{_index(spark, sf_dir).path}/statistics").select("n", "tokens")
+    index = _index(spark, sf_dir)
+    return index.sections().agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens"))
 
 
 @query(f"""
@@ -447,9 +448,7 @@ SELECT doc, ord, CAST(len(t) AS INTEGER) AS len, CAST(len(list_filter(t, lambda
 FROM t WHERE list_contains(t, 'the') AND list_contains(t, 'and')
 """)
 def fts_all_words(spark, sf_dir) -> DataFrame:
-    index = _index(spark, sf_dir)
-    found = index.matching(["the", "and"]).join(spark.read.parquet(f"{index.path}/lengths"), ["doc", "ord"])
-    return found.select("doc", "ord", "len", "tf0", "tf1")
+    return _index(spark, sf_dir).matching(["the", "and"]).select("doc", "ord", "len", "tf0", "tf1")
 
 
 @query(f"""
@@ -496,14 +495,6 @@ def fts_phrase(spark, sf_dir) -> DataFrame:
     return _index(spark, sf_dir).phrase(["of", "the"])
 
 
-@query()
-def fts_snippets(spark, sf_dir) -> DataFrame:
-    """Snippets of the sections that the index finds; only their documents' texts are read."""
-    hits = _index(spark, sf_dir).matching(["license"]).select("doc", "ord")
-    texts = A.table(spark, sf_dir, "documents").join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return fulltext.snippet(fulltext.sections_of(texts).join(hits, ["doc", "ord"], "left_semi"), ["license"])
-
-
 @query(f"""
 WITH s AS ({_SECTIONS}), t AS (SELECT doc, ord, {_TOKENS} AS t FROM s), p AS (SELECT doc, ord, t[i] AS term, i - 1 AS pos FROM t, unnest(range(1, len(t) + 1)) AS u(i))
 SELECT term, count(*) AS tf, count(DISTINCT doc) AS docs FROM p GROUP BY 1
@@ -520,6 +511,83 @@ def snippet_opening(spark, sf_dir) -> DataFrame:
     return A.table(spark, sf_dir, "documents").select("doc_id", T.opening(F.col("text")).alias("opening"))
 
 
+_BM25 = "greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / m))"
+
+
+@query(f"""
+WITH s AS ({_SECTIONS}), t AS (SELECT doc, ord, {_TOKENS} AS t FROM s),
+c AS (SELECT doc, ord, len(t) AS l, len(list_filter(t, lambda x: x = 'der')) AS f0, len(list_filter(t, lambda x: x = 'die')) AS f1 FROM t),
+g AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c),
+r AS (SELECT doc, ord, {_BM25.format(i=0)} + {_BM25.format(i=1)} AS score FROM c, g WHERE f0 > 0 AND f1 > 0)
+SELECT doc, ord, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc, ord) AS INTEGER) AS rank FROM r ORDER BY rank LIMIT 20
+""")
+def fts_best_blocks(spark, sf_dir) -> DataFrame:
+    """The 20 best sections for two common words: only of blocks that could hold one of them are postings read."""
+    return _index(spark, sf_dir).search([["der"], ["die"]], limit=20).withColumn("score", F.round("score", 6))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Turns of conversations as sections: the first words as heading, named by role and number."""
+    t = A.table(spark, sf_dir, "conversations")
+    heading = F.regexp_extract("text", r"^\S+ \S+ \S+", 0)
+    return t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), heading.alias("heading"), F.col("text").alias("body"), F.concat_ws("-", "role", "turn").alias("anchor"), F.col("turn").cast("string").alias("number"))
+
+
+_OF = "list_filter(regexp_split_to_array(lower(strip_accents({c})), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda x: x <> '')"
+
+
+@query(f"""
+WITH s AS (SELECT conv_id AS doc, turn AS ord, role, {_OF.format(c="regexp_extract(text, '^[^\\s]+ [^\\s]+ [^\\s]+')")} AS h, {_OF.format(c='text')} AS b FROM conversations),
+c AS (SELECT doc, ord, role, len(h) + len(b) AS l, len(list_filter(h || b, lambda x: x = 'and')) AS f0,
+  len(list_filter(range(1, len(b)), lambda i: b[i] = 'of' AND b[i + 1] = 'the')) + len(list_filter(range(1, len(h)), lambda i: h[i] = 'of' AND h[i + 1] = 'the')) AS f1 FROM s),
+g AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c),
+r AS (SELECT doc, ord, {_BM25.format(i=0)} + {_BM25.format(i=1)} AS score FROM c, g WHERE f0 > 0 AND f1 > 0 AND role = 'user')
+SELECT doc, ord, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc, ord) AS INTEGER) AS rank FROM r ORDER BY rank LIMIT 30
+""")
+def fts_phrase_and_word_in_section(spark, sf_dir) -> DataFrame:
+    """A phrase and a word in one search, in the sections that a name stands for."""
+    path = kept_table(spark, f"fts-turns:{sf_dir}", lambda at: fulltext.Index.write(_turns(spark, sf_dir), at, ("heading", "body")), f"{sf_dir}/conversations.parquet")
+    return fulltext.Index(spark, path).search([["of", "the"], ["and"]], section="user", limit=30).withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+WITH now AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'The text and the title were withdrawn.' ELSE text END AS text FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0 AND quality = 0)),
+s AS ({_SECTIONS.replace('FROM documents', 'FROM now')}), t AS (SELECT doc, ord, {_TOKENS} AS t FROM s),
+c AS (SELECT doc, ord, len(t) AS l, len(list_filter(t, lambda x: x = 'the')) AS f0, len(list_filter(t, lambda x: x = 'text')) AS f1 FROM t),
+g AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c)
+SELECT doc, ord, round({_BM25.format(i=0)} + {_BM25.format(i=1)}, 6) AS score FROM c, g WHERE f0 > 0 AND f1 > 0
+""")
+def fts_after_batches(spark, sf_dir) -> DataFrame:
+    """An index written in batches: German documents come later, some are replaced, some go; searched without a merge."""
+    docs, labels = A.table(spark, sf_dir, "documents"), A.table(spark, sf_dir, "labels")
+
+    def batches(at):
+        german = F.col("lang") == "de"
+        index = fulltext.Index.write(fulltext.sections_of(docs.where(~german)), at)
+        index = index.add(fulltext.sections_of(docs.where(german)))
+        toxic = labels.where("toxic = 1").select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), F.lit(0).alias("ord"), F.lit("The text and the title were withdrawn.").alias("body"))
+        index.add(toxic, labels.where("toxic = 0 and quality = 0").select(F.col("doc_id").alias("doc")))
+
+    index = fulltext.Index(spark, kept_table(spark, f"fts-batches:{sf_dir}", batches, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"))
+    return index.bm25(["the", "text"]).withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, s FROM (SELECT doc_id, regexp_split_to_array(text, '\\n\\s*\\n') AS s FROM documents)),
+r AS (SELECT doc_id AS doc, CAST(i - 1 AS INTEGER) AS ord, list_filter(regexp_split_to_array(s[i], '\\s+'), lambda x: x <> '') AS w FROM w WHERE trim(s[i]) <> ''),
+h AS (SELECT doc, ord, w, list_transform(w, lambda x: list_contains({_OF.format(c='x')}, 'license')) AS hit FROM r),
+f AS (SELECT *, list_position(hit, true) AS first FROM h WHERE list_contains(hit, true)),
+a AS (SELECT *, greatest(1, least(first - 4, len(w) - 15)) AS start FROM f)
+SELECT doc, ord, array_to_string(list_transform(range(start, least(len(w), start + 15) + 1), lambda i: CASE WHEN hit[i] THEN '[' || w[i] || ']' ELSE w[i] END), ' ') AS snippet FROM a
+""")
+def fts_snippets(spark, sf_dir) -> DataFrame:
+    """Snippets of the sections that the index finds; only their documents' texts are read."""
+    hits = _index(spark, sf_dir).matching(["license"]).select("doc", "ord")
+    texts = A.table(spark, sf_dir, "documents").join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return fulltext.snippet(fulltext.sections_of(texts).join(hits, ["doc", "ord"], "left_semi"), ["license"])
+
+
 _WORDS = "list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[-''][\\p{L}\\p{N}]+)*'), lambda w: w = lower(w))"
 
 

@@ -33,12 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_KEPT: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple, str] = {}
 
 
-def kept_table(spark: SparkSession, name: str, write) -> str:
-    """The folder of a table that ``write(path)`` makes once a session, under ``name``; later calls find it."""
-    key = (spark.sparkContext.applicationId, name)
+def kept_table(spark: SparkSession, name: str, write, *sources: str) -> str:
+    """The folder of a table that ``write(path)`` makes once a session, under ``name``; later calls find it.
+
+    It is made anew when the files of ``sources`` are others than they were: by name, size or time.
+    """
+    key = (spark.sparkContext.applicationId, name, *(file for source in sources for file in _files(spark, source)))
     if key not in _KEPT:
         path = f"{shared(spark)}/folio-kept-{uuid.uuid4().hex}"
         write(path)
@@ -47,6 +50,15 @@ def kept_table(spark: SparkSession, name: str, write) -> str:
     return _KEPT[key]
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(target, True), []
+    while found.hasNext():
+        at = found.next()
+        out.append((at.getPath().toString(), at.getLen(), at.getModificationTime()))
+    return sorted(out)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
