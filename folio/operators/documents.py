@@ -79,27 +79,6 @@ def citing_windows(texts: DataFrame, spans: DataFrame, id_col: str, text_col: st
     return met.select(id_col, "start", F.trim(F.regexp_replace(F.concat(before, after), r"\s+", " ")).alias("window"))
 
 
-def glossed(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, most_words: int = 6) -> DataFrame:
-    """(id, pos, key, n_words): where a text has a term of ``terms(key, term)``: whole words, the longest at a place, each key once.
-
-    Runs of one to ``most_words`` words meet the terms by equality; of those at overlapping places the
-    leftmost stays, of equal ones the longest. No text is held against all terms.
-    """
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    held = texts.select(id_col, words.alias("w"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w")))
-    runs = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct((i - 1).alias("pos"), n.alias("n_words"), F.array_join(F.slice("w", i, n), " ").alias("run")))))
-    found = held.where(F.size("w") > 0).select(id_col, F.explode(runs).alias("r")).select(id_col, "r.*")
-    known = terms.select("key", F.array_join(F.filter(F.split(F.lower("term"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("run")).distinct()
-    met = found.join(known, "run")
-    order = Window.partitionBy(id_col).orderBy("pos", F.desc("n_words"), "key")
-    for _ in range(2):  # overlaps are short chains, two looks settle them
-        reach = F.max(F.col("pos") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        met = met.withColumn("__reach", reach).where("__reach is null or pos >= __reach").drop("__reach")
-    first = F.struct("pos", "n_words")
-    return met.groupBy(id_col, "key").agg(F.min(first).alias("f")).select(id_col, "f.pos", "key", "f.n_words")
-
-
 #: Kinds of artwork, and the types that count as each.
 ARTWORK = {"grammar": ("abnf", "bnf", "ebnf"), "code": ("c", "c++", "java", "javascript", "python", "go", "rust", "asn.1", "yang", "xml", "json", "cbor"), "drawing": ("ascii-art", "svg", "binary-art"), "message": ("http-message", "call-flow", "hex-dump")}
 

@@ -103,34 +103,3 @@ def furthest(states: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
 def leaders(people: DataFrame, group: str, role: str = "chair") -> DataFrame:
     """(group, n, names): who has a role in each group, by name."""
     return people.where(F.col("role") == role).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
-
-
-def link_spans(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, end, rule, text): citations in running text, none over another: the leftmost, of those the longest.
-
-    Rules: a section of a document, a bracketed label, document numbers, a section of its own, an address.
-    Each rule's places are found by its pattern; a place goes if one before it that stays reaches into it.
-    """
-    rules = (
-        ("section-of", r"Sections? [\dA-Z]+(?:\.\d+)* of (?:\[[^\]]+\]|RFC \d+)"), ("label", r"\[[A-Za-z][\w.-]*\]"), ("number", r"RFC ?\d+"), ("section", r"Sections? [\dA-Z]+(?:\.\d+)*"), ("url", r"https?://[^\s<>\"]+[^\s<>\".,;:)]"),
-    )
-    out = None
-    for name, pattern in rules:
-        # what stands between the hits gives their places
-        hits = F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))
-        between = F.split(F.col(text_col), pattern, -1)
-        ends = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1))), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), lambda done, k: _grown(done, k, hits, between))
-        at = F.posexplode(F.slice(ends, 2, 100_000_000)).alias("nth", "place")
-        one = texts.where(F.size(hits) > 0).select(id_col, hits.alias("hits"), at).select(id_col, F.col("place.start").alias("start"), F.col("place.end").alias("end"), F.lit(name).alias("rule"), F.element_at("hits", F.col("nth") + 1).alias("text"))
-        out = one if out is None else out.unionByName(one)
-    # leftmost, then longest: what starts inside an earlier one goes; chains are short, so two looks settle them
-    w = Window.partitionBy(id_col).orderBy("start", F.desc("end"))
-    for _ in range(2):
-        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn("__r", reach).where("__r is null or start >= __r").drop("__r")
-    return out
-
-
-def _grown(done: Column, k: Column, hits: Column, between: Column) -> Column:
-    start = F.element_at(done, -1)["end"] + F.length(F.element_at(between, k))
-    return F.concat(done, F.array(F.struct(start.alias("start"), (start + F.length(F.coalesce(F.element_at(hits, k), F.lit("")))).alias("end"))))

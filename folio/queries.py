@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, citations, diff, documents, extract, fulltext, graph, incremental, judge, lines, lists, outline, ranges, search
+from .operators import align, citations, diff, documents, extract, fulltext, graph, incremental, judge, lines, lists, outline, ranges, search, spans
 from .plans.filters import Filters
 from .sources import adapters as A
 from .sources import sinks
-from .sources.tables import kept_table
+from .sources.tables import kept_table, shared
 from .streaming import latest
 
 QUERIES = {}
@@ -871,7 +872,7 @@ def captions(spark, sf_dir) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, 'See too.' AS \"window\" FROM part")
 def citing_windows(spark, sf_dir) -> DataFrame:
     t = _part_texts(spark, sf_dir).select("doc_id", F.regexp_extract("text", r"(See Section .*)$", 1).alias("text"))
-    return documents.citing_windows(t, outline.link_spans(t, "doc_id", "text"), "doc_id", "text").select("doc_id", "window")
+    return documents.citing_windows(t, spans.link_spans(t, "doc_id", "text"), "doc_id", "text").select("doc_id", "window")
 
 
 @query("""
@@ -898,7 +899,44 @@ SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, key, CAST(min(n_words) AS INTEG
 def glossed_terms(spark, sf_dir) -> DataFrame:
     t = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" of "), "p_name").alias("text"))
     terms = spark.range(1).select(F.explode(F.array(F.struct(F.lit("rw").alias("key"), F.lit("Red Widget").alias("term")), F.struct(F.lit("r").alias("key"), F.lit("red").alias("term")))).alias("t")).select("t.*")
-    return documents.glossed(t, terms, "doc_id", "text")
+    return spans.glossed(t, terms, "doc_id", "text")
+
+
+@query("""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:-[\\p{L}\\p{N}]+)*') AS w FROM documents),
+k(key, n, t) AS (VALUES ('ot', 2, ['of', 'the']), ('ta', 2, ['the', 'and']), ('an', 2, ['and', 'of']), ('tao', 3, ['the', 'and', 'of']), ('to', 2, ['the', 'of']), ('i', 1, ['in']), ('it', 2, ['in', 'the']), ('al', 4, ['apache', 'license', 'version', '2']), ('li', 1, ['license'])),
+h AS (SELECT doc_id, i - 1 AS pos, key, n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), k WHERE w[i] = t[1] AND w[i:i + n - 1] = t),
+best AS (SELECT doc_id, pos, max(n) AS n FROM h GROUP BY ALL),
+g AS (SELECT doc_id, min(pos) AS pos FROM best GROUP BY doc_id UNION ALL
+  SELECT doc_id, next FROM (SELECT g.doc_id, min(b.pos) AS next FROM g JOIN best own ON own.doc_id = g.doc_id AND own.pos = g.pos JOIN best b ON b.doc_id = g.doc_id AND b.pos >= own.pos + own.n GROUP BY g.doc_id, g.pos))
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, key, CAST(min(h.n) AS INTEGER) AS n_words FROM g JOIN best USING (doc_id, pos) JOIN h USING (doc_id, pos) WHERE h.n = best.n GROUP BY doc_id, key
+""")
+def glossed_overlapping(spark, sf_dir) -> DataFrame:
+    """Terms that overlap and contain each other, in all texts."""
+    terms = [("ot", "of the"), ("ta", "The and"), ("an", "and of"), ("tao", "the and of"), ("to", "the of"), ("i", "in"), ("it", "in the"), ("al", "Apache License, Version 2"), ("li", "license")]
+    return spans.glossed(A.table(spark, sf_dir, "documents"), spark.createDataFrame(terms, "key string, term string"), "doc_id", "text")
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS id, p_size % 6 AS shape, p_size AS n FROM part),
+m(shape, rule, shown, document, section) AS (VALUES
+  (0, 'number', '{n}', '{n}', NULL), (0, 'number', '7', '7', NULL), (0, 'number', '90', '90', NULL),
+  (1, 'section-of', '3.2', '{n}', '3.2'), (1, 'section-of', '4', '{n}', '4'), (1, 'number', 'RFC {n}', '{n}', NULL),
+  (2, 'section-of', 'Section {n}.1 of [Foo-{n}]', 'Foo-{n}', '{n}.1'), (2, 'url', 'https://x.org/{n}', 'https://x.org/{n}', NULL),
+  (3, 'section', 'Section {n}', NULL, '{n}'), (3, 'label', '[RFC {n}]', 'RFC {n}', NULL),
+  (4, 'section', 'Section 2', NULL, '2'), (5, 'number', 'RFC-{n}', '{n}', NULL))
+SELECT id, rule, replace(shown, '{n}', CAST(n AS VARCHAR)) AS text, replace(document, '{n}', CAST(n AS VARCHAR)) AS document, replace(section, '{n}', CAST(n AS VARCHAR)) AS section FROM t JOIN m USING (shape)
+""")
+def links_of_many_shapes(spark, sf_dir) -> DataFrame:
+    """Lists, sections of other documents, labels, names that are no citation, addresses."""
+    shapes = [
+        "RFCs {n}, 7, and 90 say so", "see Sections 3.2 and 4 of RFC {n}.", "Section {n}.1 of [Foo-{n}] (https://x.org/{n}).", "Section {n} and [RFC {n}]",
+        "RFC822.SIZE, Section 3 of RFC {n}bis and Section 2", "RFC-{n}; [a,b] none",
+    ]
+    p = A.table(spark, sf_dir, "part")
+    shape = F.element_at(F.array(*map(F.lit, shapes)), (F.col("p_size") % 6 + 1).cast("int"))
+    texts = p.select(F.col("p_partkey").alias("id"), F.replace(shape, F.lit("{n}"), F.col("p_size").cast("string")).alias("text"))
+    return spans.link_spans(texts, "id", "text").drop("start", "end")
 
 
 @query("SELECT DISTINCT lower(p_type) AS key FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size = 1 AND p_type = 'SMALL')")
@@ -1203,6 +1241,21 @@ def streaming_sessions(spark, sf_dir) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
+@query("SELECT event_id, user_id, ts, value FROM events")
+def streaming_batches_once(spark, sf_dir) -> DataFrame:
+    """Events kept by batches, each of which comes twice, as after a failure: no row is there twice."""
+    root = f"{shared(spark)}/folio-once-{uuid.uuid4().hex}"
+    keep = latest.batches(root)
+
+    def twice(batch, n):
+        keep(batch, n)
+        keep(batch, n)
+
+    stream = latest.read_events(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").foreachBatch(twice).trigger(availableNow=True).start().awaitTermination()
+    return latest.kept(spark, root, stream.schema).drop("batch")
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def streaming_upserts(spark, sf_dir) -> DataFrame:
     """Events kept by batches as a table by event."""

@@ -38,7 +38,7 @@ def sessions(events: DataFrame, gap: str, delay: str, key: str) -> DataFrame:
 
 
 def history(events: DataFrame, key: str = "user_id", most: int = 50) -> DataFrame:
-    """Each key's back stack as its events come: (key, depth, current). A ``view`` pushes its event, an ``error`` pops one."""
+    """Each key's back stack as its events come: (key, depth, current). A stack holds the newest ``most`` places, as the feature has it. A ``view`` pushes its event, an ``error`` pops one."""
 
     def fold(group: tuple, batches, state: GroupState):
         stack = list(state.get[0]) if state.exists else []
@@ -54,18 +54,86 @@ def history(events: DataFrame, key: str = "user_id", most: int = 50) -> DataFram
     return events.groupBy(key).applyInPandasWithState(fold, f"{key} long, depth int, current long", "stack array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote; its checkpoint is in the shared folder."""
+def batches(path: str, complete: bool = False) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that keeps each batch's rows once below ``path``, however often the batch comes.
+
+    Before its rows, a batch's digest is written to *log*; its rows go to a folder of its own under *data*, and a mark
+    in *done* comes last. A batch that comes again with the digest it had is passed over if its mark is there, else
+    its folder is written anew; one with another digest is built anew, and so are the marks of the batches
+    behind it dropped, as they followed from other rows. With ``complete``, a batch stands for all that was
+    before, and older folders go.
+    """
+
+    def apply(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        told = batch.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")).first()
+        logged, done = _numbers(spark, f"{path}/log"), _numbers(spark, f"{path}/done")
+        before = spark.read.parquet(f"{path}/log/{n}").first() if n in logged else None
+        if before is None or tuple(before) != tuple(told):
+            for later in [x for x in done if x >= n]:
+                remove(spark, f"{path}/done/{later}")
+            done = [x for x in done if x < n]
+            spark.createDataFrame([tuple(told)], "n_rows long, digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/log/{n}")
+        if n not in done:
+            batch.write.mode("overwrite").parquet(f"{path}/data/{n}")
+            spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/done/{n}")
+        if complete:
+            for older in [x for x in done if x < n]:
+                remove(spark, f"{path}/done/{older}")
+                remove(spark, f"{path}/data/{older}")
+        batch.unpersist()
+
+    return apply
+
+
+def kept(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The rows of all batches that ``batches`` finished, with ``batch``, its number."""
+    numbers = sorted(_numbers(spark, f"{path}/done"))
+    out = None
+    for n in numbers:
+        one = spark.read.parquet(f"{path}/data/{n}").withColumn("batch", F.lit(n).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+    return out
+
+
+def differing(spark: SparkSession, path: str) -> list[int]:
+    """Finished batches whose rows are no longer what the log says: those to be built anew."""
+    out = []
+    for n in sorted(_numbers(spark, f"{path}/done")):
+        rows = spark.read.parquet(f"{path}/data/{n}")
+        told = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")).first()
+        if tuple(told) != tuple(spark.read.parquet(f"{path}/log/{n}").first()):
+            out.append(n)
+    return out
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the finished folders below ``path``; a listing of names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    return [int(x.getPath().getName()) for x in files.listStatus(root) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete", key: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and returns what it wrote; its checkpoint is in the shared folder.
+
+    In update mode, with ``key``, a key's row is its newest one; without, every update is a row.
+    """
     import uuid
 
     spark = stream.sparkSession
     root = f"{shared(spark)}/folio-stream-{name}-{uuid.uuid4().hex}"
-
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
-
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(batches(root, mode == "complete")).trigger(availableNow=True).start().awaitTermination()
+    rows = kept(spark, root, stream.schema)
+    if key is None:
+        return rows.drop("batch")
+    rest = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
 def upserts(path: str, key: str, keep: int = 2) -> Callable[[DataFrame, int], None]:

@@ -164,7 +164,7 @@ def test_wide_and_narrow_ranges(spark):
 
 def test_links_leftmost_and_longest(spark):
     df = spark.createDataFrame([(1, "As Section 4.2 of [Foo] says, RFC 12 and Section 3; see https://x.org/a."), (2, None), (3, "none")], "id int, text string")
-    got = outline.link_spans(df, "id", "text").orderBy("start").collect()
+    got = spans.link_spans(df, "id", "text").orderBy("start").collect()
     assert [(x["rule"], x["text"]) for x in got] == [("section-of", "Section 4.2 of [Foo]"), ("number", "RFC 12"), ("section", "Section 3"), ("url", "https://x.org/a")]
     assert all(df.first()["text"][x["start"] : x["end"]] == x["text"] for x in got)
 
