@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import align, citations, diff, documents, extract, fulltext, graph, incremental, judge, lines, lists, outline, ranges, search, spans
+from .operators import align, citations, diff, documents, extract, fulltext, graph, incremental, judge, lines, lists, nesting, outline, ranges, search, spans
 from .plans.filters import Filters
 from .sources import adapters as A
 from .sources import sinks
@@ -1183,6 +1183,82 @@ def registry_terms(spark, sf_dir) -> DataFrame:
     return ranges.registry_lookup(terms, entries).select("term", "name", "lo")
 
 
+# --- what lies in what --------------------------------------------------------------------
+
+
+def _part_xml(spark, sf_dir) -> DataFrame:
+    """A document of nested sections for each part: as deep as its size says, up to 12, then one beside the first."""
+    p = A.table(spark, sf_dir, "part")
+    depth = (F.col("p_size") % 12 + 1).cast("int")
+    own = lambda i: F.concat(F.lit('<section anchor="s'), i, F.lit('"><name>'), F.col("p_name"), F.lit(" &amp;\n  "), i, F.lit("</name><!-- <t>none</t> --><t>See <xref target=\"s"), i + 1, F.lit("\"/> of "), F.col("p_type"), F.lit(".</t>"))
+    shape = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("<artwork><![CDATA[ <a>"), F.col("p_brand"), F.lit(" ]]></artwork>"))).when(F.col("p_size") % 3 == 1, F.lit("<ul><li>x<ul><li>y</li></ul> z</li></ul>")).otherwise(F.concat(F.lit("<table><tr><th>k</th><th>v</th></tr><tr><td>"), F.col("p_brand"), F.lit("</td><td><eref target='u'>w</eref></td></tr></table>")))
+    nested = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), depth), own), ""), shape, F.repeat(F.lit("</section>"), depth))
+    xml = F.concat(F.lit('<?xml version="1.0"?><rfc><middle>'), nested, F.lit("<section title='last  one' anchor=\"z\"><t/></section></middle></rfc>"))
+    return p.select(F.col("p_partkey").alias("id"), xml.alias("xml"))
+
+
+@query("""
+WITH p AS (SELECT *, p_size % 12 + 1 AS k FROM part)
+SELECT p_partkey AS id, 's' || i AS anchor, CAST(i AS INTEGER) AS depth, CASE WHEN i > 1 THEN 's' || (i - 1) END AS parent, p_name || ' & ' || i AS title FROM p, unnest(range(1, k + 1)) AS u(i)
+UNION ALL SELECT p_partkey, 'z', 1, NULL, 'last one' FROM p
+""")
+def xml_sections_any_depth(spark, sf_dir) -> DataFrame:
+    found = nesting.sections(nesting.nodes(_part_xml(spark, sf_dir), "id", "xml"), "id")
+    up = found.select("id", F.col("pos").alias("parent"), F.col("anchor").alias("p_anchor"))
+    return found.join(up, ["id", "parent"], "left").select("id", "anchor", "depth", F.col("p_anchor").alias("parent"), "title")
+
+
+@query("""
+WITH p AS (SELECT *, p_size % 12 + 1 AS k, p_size % 3 AS shape FROM part)
+SELECT p_partkey AS id, 's' || i AS section, 'name' AS tag, p_name || ' & ' || i AS text, NULL AS target FROM p, unnest(range(1, k + 1)) AS u(i)
+UNION ALL SELECT p_partkey, 's' || i, 't', 'See of ' || p_type || '.', 's' || (i + 1) FROM p, unnest(range(1, k + 1)) AS u(i)
+UNION ALL SELECT p_partkey, 's' || k, 'artwork', ' <a>' || p_brand || ' ', NULL FROM p WHERE shape = 0
+UNION ALL SELECT p_partkey, 's' || k, 'li', x, NULL FROM p, (VALUES ('x z'), ('y')) AS v(x) WHERE shape = 1
+UNION ALL SELECT p_partkey, 's' || k, tag, coalesce(x, p_brand), target FROM p, (VALUES ('th', 'k', NULL), ('th', 'v', NULL), ('td', NULL, NULL), ('td', 'w', 'u')) AS v(tag, x, target) WHERE shape = 2
+UNION ALL SELECT p_partkey, 'z', 't', '', NULL FROM p
+""")
+def xml_blocks_and_references(spark, sf_dir) -> DataFrame:
+    """Blocks with the text of their inlines, and what these point to."""
+    found = nesting.nodes(_part_xml(spark, sf_dir), "id", "xml")
+    anchors = found.where("tag = 'section'").select("id", F.col("pos").alias("section"), F.col("attributes")["anchor"].alias("anchor"))
+    to = nesting.pointers(found, "id").select("id", F.col("block").alias("pos"), "target")
+    return nesting.blocks(found, "id").join(to, ["id", "pos"], "left").join(anchors, ["id", "section"]).select("id", F.col("anchor").alias("section"), "tag", "text", "target")
+
+
+def _part_lines(spark, sf_dir) -> DataFrame:
+    """Plain text in pages of several shapes, one for each part: contents, numbered, plain and centred headings, page furniture."""
+    p = A.table(spark, sf_dir, "part")
+    n, shape = F.col("p_size").cast("string"), F.col("p_size") % 3
+    head = F.concat(F.lit("1.  Opening ........ 2\n2.  Middle ........ "), n, F.lit("\n\n1.  Opening\n\n   The "), F.col("p_name"), F.lit(" goes"))
+    foot = lambda k: F.concat(F.lit("\n\nDoe                                  [Page "), F.lit(k), F.lit("]\n\f\nRFC "), n, F.lit("                     Title\n\n"))
+    goes_on = F.when(shape == 0, "   on and on.\n").when(shape == 1, "   Or stops.\n").otherwise("   (And so.)\n")
+    title = F.when(shape == 0, "1.1.  Below").when(shape == 1, "Acknowledgements").otherwise(F.concat(F.lit(" " * 31), F.lit("APPENDICES")))
+    text = F.concat(head, foot("1"), goes_on, F.lit("\n"), title, F.lit("\n\n   More text.\n   More text.\n   More text."), foot("2"), F.lit("2.1.1.  Deep\n\n   The end.\n   It is."))
+    return p.select(F.col("p_partkey").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS doc_id, p_size AS n, p_name, p_size % 3 AS shape FROM part),
+t AS (SELECT doc_id, ['1.  Opening ........ 2', '2.  Middle ........ ' || n, '', '1.  Opening', '', '   The ' || p_name || ' goes'] || CASE shape WHEN 0 THEN ['   on and on.'] WHEN 1 THEN ['', '   Or stops.'] ELSE ['', '   (And so.)'] END
+  || ['', CASE shape WHEN 0 THEN '1.1.  Below' WHEN 1 THEN 'Acknowledgements' ELSE repeat(' ', 31) || 'APPENDICES' END, '', '   More text.', '   More text.', '   More text.', '', '2.1.1.  Deep', '', '   The end.', '   It is.'] AS l FROM p)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS line FROM t, unnest(range(1, len(l) + 1)) AS u(i)
+""")
+def text_without_pages(spark, sf_dir) -> DataFrame:
+    return nesting.depaginated(_part_lines(spark, sf_dir))
+
+
+@query("""
+SELECT p_partkey AS doc_id, number, title, CAST(depth AS INTEGER) AS depth, parent FROM part, (VALUES
+  (0, '1', 'Opening', 1, NULL), (0, '1.1', 'Below', 2, 'Opening'), (0, '2.1.1', 'Deep', 3, 'Below'), (1, '1', 'Opening', 1, NULL), (1, NULL, 'Acknowledgements', 1, NULL), (1, '2.1.1', 'Deep', 3, 'Acknowledgements'),
+  (2, '1', 'Opening', 1, NULL), (2, NULL, 'APPENDICES', 1, NULL), (2, '2.1.1', 'Deep', 3, 'APPENDICES')) AS h(shape, number, title, depth, parent) WHERE p_size % 3 = shape
+""")
+def nested_headings(spark, sf_dir) -> DataFrame:
+    """Headings of the text without its pages, each below the last one that is less deep."""
+    found = nesting.headings(nesting.depaginated(_part_lines(spark, sf_dir)))
+    up = found.select("doc_id", F.col("pos").alias("parent"), F.col("title").alias("p_title"))
+    return found.join(up, ["doc_id", "parent"], "left").select("doc_id", "number", "title", "depth", F.col("p_title").alias("parent"))
+
+
 # --- incremental --------------------------------------------------------------------------
 
 

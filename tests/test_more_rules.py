@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import diff, extract, fulltext, graph, lists, outline, ranges
+from folio.operators import diff, extract, fulltext, graph, lists, outline, ranges, spans
 from folio.plans.filters import Filters
 from folio.sources import readers
 from folio.sources.tables import shared
