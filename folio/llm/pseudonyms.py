@@ -20,10 +20,11 @@ from collections.abc import Callable
 from datetime import date
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import bytes_of, shared_dir
 
 ROUNDS = 10
 LETTERS, CAPITALS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -276,7 +277,7 @@ _NAMES = {k: "(?:" + "|".join(names) + ")" for k, names in MONTHS.items()}
 _BIG = "(?:" + "|".join(MONTHS["en"] + MONTHS["short"]) + ")"
 #: Patterns in order of precedence.
 KINDS = (
-    ("mail", r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _mail),
+    ("mail", r"[A-Za-z0-9._%+-]{0,63}[A-Za-z0-9_%+-]@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,30}\.[A-Za-z]{2,63}", _mail),
     ("secret", r"(?i:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[0-9A-Za-z_+/-]{16,128})(?![0-9A-Za-z_+/-])|\b(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)(?P<bare>[0-9A-Za-z]{16,64})\b", _secret),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
     ("date", r"(?<![\d./-])(?:(?:19|20)\d\d(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)(?:19|20)\d\d)(?![\d/-]|\.\d)", _date),
@@ -349,16 +350,30 @@ def with_pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_co
     return rows.mapInArrow(_run(key), "doc_id long, text string, n_replaced long, kinds map<string,long>")
 
 
-_RANDOM_KEY = secrets.token_bytes(32)
-
-
 def key_of(spark: SparkSession) -> bytes:
-    """The key that the setting names; without one, a random key of this Python process, which nobody has later.
+    """The key that the setting names; without one, a random key that is kept in the shared folder from its first use on.
 
-    Set it to link values over several runs.
+    So jobs that share the folder link values over several runs, and so do reruns. Who may read that folder can
+    undo the pseudonyms; set the key where that is not wanted.
     """
     held = spark.conf.get(KEY_CONF, None)
-    return held.encode() if held else _RANDOM_KEY
+    if held:
+        return held.encode()
+    path = f"{shared_dir(spark)}/folio-pseudonym.key"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        try:
+            out = files.create(at, False)  # fails if another job was first
+        except Py4JJavaError:
+            pass
+        else:
+            out.writeBytes(secrets.token_hex(32))
+            out.close()
+    kept = spark.read.text(path).first()
+    if kept is None or len(kept[0]) != 64:
+        raise RuntimeError(f"{path} is no key; another job may be writing it")
+    return bytes.fromhex(kept[0])
 
 
 def op4_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:

@@ -307,3 +307,35 @@ def test_op13_against_tiktoken(spark, data):
     for doc_id, text in duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{data}/documents.parquet'").fetchall():
         ids = public.encode_ordinary(text)
         assert got[doc_id] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+# --- pseudonyms ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("unit", ["a", "aB3", "0", "f0", "A", "+", "-", ".", "a.", "@", "a@", "a@1.", " ", "1 ", "12-", "token", "token ", "AKIA", "(", "/", "=", "é", "_", "AB12 ", "1.", "x-"])
+def test_patterns_are_linear(unit):
+    """A megabyte of one class of characters, as base64, hex or a line of signs has it, takes about four times what a quarter takes."""
+    import time
+
+    from folio.llm.pseudonyms import pseudonymised
+
+    took = []
+    for size in (1 << 18, 1 << 20):
+        text = (unit * (size // len(unit) + 1))[:size] + " end a.b@example.org"
+        began = time.process_time()
+        new, counts = pseudonymised(text, b"k" * 32)
+        took.append(time.process_time() - began)
+        assert counts.get("mail", 0) >= 1 and len(new) == len(text)
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 12
+
+
+def test_key_is_kept_in_the_shared_folder(spark):
+    from folio.llm import pseudonyms
+
+    key = pseudonyms.key_of(spark)
+    assert len(key) == 32 and pseudonyms.key_of(spark) == key
+    spark.conf.set(pseudonyms.KEY_CONF, "own")
+    try:
+        assert pseudonyms.key_of(spark) == b"own"
+    finally:
+        spark.conf.unset(pseudonyms.KEY_CONF)
