@@ -106,7 +106,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, least: int = 0, id_col: s
 
     Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is a
     response and the others revisit it. Null html is an empty payload. A row without page_id has a
-    record too, which revisits the largest page_id of its payload if there is one. Rows that repeat a
+    record too, which revisits the largest page_id of its payload if there is one. A payload is held whole. Rows that repeat a
     page_id have a record each, and of equal ones none revisits the other. Of the payloads, only those
     of revisits (and a few more, by a filter of bounded size) are shuffled. The table, not the folder,
     says which files count: those of the attempts that ended well.
@@ -140,13 +140,40 @@ def _starts(probe: bytes) -> bool:
         return False
 
 
+#: What is given to a decompressor at once: of the last piece of a member, what lies behind it is copied.
+PIECE = 1 << 16
+
+
+class Ahead:
+    """A seekable file that is read forwards, each byte once: what was read and not yet used is kept."""
+
+    def __init__(self, source, end: int):
+        self.source, self.end, self.start, self.data = source, end, 0, b""
+
+    def at(self, offset: int, size: int) -> bytes:
+        """``size`` bytes from ``offset`` on, fewer at the end of the file."""
+        inside = offset - self.start
+        if not 0 <= inside <= len(self.data):
+            self.data = b""
+        elif inside + size <= len(self.data):
+            return self.data[inside : inside + size]
+        else:
+            self.data = self.data[inside:]
+        self.start = offset
+        have = len(self.data)
+        # up to the end of the range in large steps, behind it only what is asked for
+        wanted = max(size - have, min(STEP, self.end - offset - have))
+        self.source.seek(offset + have)
+        self.data += self.source.read(wanted)
+        return self.data[:size]
+
+
 def records_in(source, start: int, end: int):
-    """(offset, header, block) of the records that start in [start, end) of a seekable file."""
-    at = start
+    """(offset, header, block) of the records that start in [start, end) of a seekable file; a record's block is held whole."""
+    ahead, at = Ahead(source, end), start
     while at < end:
-        source.seek(at)
-        chunk = source.read(min(STEP, end - at) + PROBE)
         limit = min(STEP, end - at)
+        chunk = ahead.at(at, limit + PROBE)
         i = chunk.find(MAGIC)
         while 0 <= i < limit and not _starts(chunk[i : i + PROBE]):
             i = chunk.find(MAGIC, i + 1)
@@ -156,12 +183,11 @@ def records_in(source, start: int, end: int):
         at += i
         # from a record's start the members follow each other
         while at < end:
-            source.seek(at)
             inflate, out = zlib.decompressobj(31), io.BytesIO()
             size = 0
             try:
                 while not inflate.eof:
-                    piece = source.read(STEP)
+                    piece = ahead.at(at + size, PIECE)
                     if not piece:
                         break
                     size += len(piece)

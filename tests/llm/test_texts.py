@@ -339,3 +339,34 @@ def test_key_is_kept_in_the_shared_folder(spark):
         assert pseudonyms.key_of(spark) == b"own"
     finally:
         spark.conf.unset(pseudonyms.KEY_CONF)
+
+
+# --- archives -----------------------------------------------------------------------------
+
+
+def test_archives_are_read_once():
+    """Records in ranges: each once, and little more than the file's bytes read."""
+    import gzip
+    import io
+    import os
+
+    from folio.llm import warc
+
+    r = random.Random(5)
+    blocks = [os.urandom(r.choice([10, 900, 4000])) + b"x" * r.choice([0, 200_000]) for _ in range(1500)] + [os.urandom(3_000_000)]
+    file = b"".join(gzip.compress(b"WARC/1.1\r\nWARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n" % (i, len(b)) + b + b"\r\n\r\n", mtime=0) for i, b in enumerate(blocks))
+
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            Counted.n += len(out)
+            return out
+
+    for step in (len(file), 1 << 22):
+        Counted.n = 0
+        got = [x for a in range(0, len(file), step) for x in warc.records_in(Counted(file), a, min(a + step, len(file)))]
+        assert [int(h["warc-record-id"]) for _, h, _ in got] == list(range(len(blocks)))
+        assert [b for _, _, b in got] == blocks
+        assert Counted.n < (1.1 if step == len(file) else 2.5) * len(file)  # a record over a range's end is read by its owner too
