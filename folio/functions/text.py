@@ -118,15 +118,12 @@ def version_key(version: Column) -> Column:
     return F.transform(F.split(version, r"\."), lambda x: x.try_cast("int"))
 
 
-def expanded(line: Column, width: int = 8, most: int = 40) -> Column:
-    """Tabs of a line as spaces up to the next column that ``width`` divides; at most ``most`` tabs are looked at."""
-
-    def step(done: Column, _: Column) -> Column:
-        at = F.instr(done, "\t")
-        head, tail = F.substring(done, F.lit(1), at - 1), F.substring(done, at + 1, F.length(done))
-        return F.when(at == 0, done).otherwise(F.concat(head, F.repeat(F.lit(" "), (F.lit(width) - (at - 1) % width).cast("int")), tail))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), line, step)
+def expanded(line: Column, width: int = 8) -> Column:
+    """Tabs of a line as spaces up to the next column that ``width`` divides."""
+    fill = lambda done: (F.lit(width) - F.length(done) % width).cast("int")
+    parts = F.split(line, "\t", -1)
+    whole = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), lambda done, part: F.concat(done, F.repeat(F.lit(" "), fill(done)), part))
+    return F.when(line.isNotNull(), whole)
 
 
 def starts_with_any_case(column: Column, text: str) -> Column:

@@ -70,7 +70,7 @@ def _pairs(x: list[int], y: list[int], i: int, j: int) -> list[tuple[int, int]]:
     return out + [(i + n + k, j + m + k) for k in range(tail)]
 
 
-def _runs(old: str | None, new: str | None) -> list[dict[str, str]]:
+def runs_of(old: str | None, new: str | None) -> list[dict[str, str]]:
     """Runs of kept, removed and added words; white space kept between two changes goes with them."""
     x, y = _TOKEN.findall(old or ""), _TOKEN.findall(new or "")
     ids: dict[str, int] = {}
@@ -119,7 +119,7 @@ def _runs(old: str | None, new: str | None) -> list[dict[str, str]]:
 
 
 def _word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([_runs(a, b) for a, b in zip(old, new)])
+    return pd.Series([runs_of(a, b) for a, b in zip(old, new)])
 
 
 def word_diff():
@@ -170,10 +170,27 @@ def _left_out(orders: pd.Series) -> pd.Series:
     return orders.map(of)
 
 
+def best_first(pairs: DataFrame) -> DataFrame:
+    """(doc, a, b) of ``pairs(doc, a, b, rank)``, one to one: the pairs that stay when they are taken from the greatest rank down.
+
+    Equal ranks go by a, then b. A round takes every pair that comes first for both its sides, and drops what touches
+    it; such pairs are taken by the order from the top too, so the rounds end with the same pairs. A round is a written
+    table, and rounds are few: each takes at least the best pair that is left of every document.
+    """
+    order = [F.desc("rank"), F.asc("a"), F.asc("b")]
+    first = lambda side: F.row_number().over(Window.partitionBy("doc", side).orderBy(*order))
+    left, taken = cut(pairs.where("doc is not null and rank is not null").groupBy("doc", "a", "b").agg(F.max("rank").alias("rank"))), None
+    while not left.isEmpty():
+        now = cut(left.withColumn("x", first("a")).withColumn("y", first("b")).where("x = 1 and y = 1").select("doc", "a", "b"))
+        left = cut(left.join(now, ["doc", "a"], "left_anti").join(now, ["doc", "b"], "left_anti"))
+        taken = now if taken is None else taken.unionByName(now)
+    return left.select("doc", "a", "b") if taken is None else taken
+
+
 def paired(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
     """(doc, a, b): sections of the older document with their newer ones, one to one.
 
-    By anchor and title; of what is left by ``aligned(doc, a, b, rank)`` where each is the other's best; then
+    By anchor and title; of what is left by ``aligned(doc, a, b, rank)``, the best pair first (see best_first); then
     by title alone where it is the only one on both sides; then by anchor. ``(doc, anchor, title, ...)``.
     """
     o = old.select("doc", F.col("anchor").alias("a"), F.coalesce("title", F.lit("")).alias("t1"))
@@ -187,8 +204,7 @@ def paired(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) ->
     if aligned is not None:
         left, right = rest()
         both = aligned.join(left.select("doc", "a"), ["doc", "a"], "left_semi").join(right.select("doc", "b"), ["doc", "b"], "left_semi")
-        best = lambda own, other: F.row_number().over(Window.partitionBy("doc", own).orderBy(F.desc("rank"), other))
-        out = out.unionByName(cut(both.withColumn("x", best("a", "b")).withColumn("y", best("b", "a")).where("x = 1 and y = 1").select("doc", "a", "b")))
+        out = out.unionByName(best_first(both.select("doc", "a", "b", "rank")))
     left, right = rest()
     single = lambda df, t, key: df.where(f"{t} != ''").groupBy("doc", F.col(t).alias("t")).agg(F.count(F.lit(1)).alias("m"), F.min(key).alias(key)).where("m = 1").drop("m")
     out = out.unionByName(cut(single(left, "t1", "a").join(single(right, "t2", "b"), ["doc", "t"]).select("doc", "a", "b")))

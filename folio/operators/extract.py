@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,38 +17,52 @@ def requirements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return s.withColumn("found", keywords(F.col("sentence"), words)).where(F.size("found") > 0)
 
 
-def _expansions(texts: pd.Series) -> pd.Series:
-    """Abbreviations in parentheses behind their expansions: every letter of the short form is found
-    in order, from the right, in at most min(n + 5, 2n) words before it, the first at a word's start."""
-    import re
-
-    found = re.compile(r"\(([A-Za-z][A-Za-z0-9/-]{1,9})\)")
-
-    def long_form(short: str, before: str) -> str | None:
-        n = sum(c.isalnum() for c in short)
-        words = before.split()[-min(n + 5, 2 * n) :]
-        text = " ".join(words)
-        at = len(text)
-        for i, c in enumerate(reversed([c for c in short.lower() if c.isalnum()])):
+_SHORT = re.compile(r"\(([A-Za-z][A-Za-z0-9/-]{1,9})\)")
+
+
+def _words_before(text: str, end: int, most: int) -> str:
+    """The last ``most`` words before ``end``, joined by spaces; nothing before them is looked at."""
+    words: list[str] = []
+    while end > 0 and len(words) < most:
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        if start < end:
+            words.append(text[start:end])
+        end = start
+    return " ".join(reversed(words))
+
+
+def _long_form(short: str, text: str) -> str | None:
+    """Where every letter of the short form is found in order, from the right, the first at a word's start."""
+    letters, at = [c for c in short.lower() if c.isalnum()], len(text)
+    for i, c in enumerate(reversed(letters)):
+        at -= 1
+        last = i == len(letters) - 1
+        while at >= 0 and not (text[at].lower() == c and (not last or at == 0 or not text[at - 1].isalnum())):
             at -= 1
-            last = i == n - 1
-            while at >= 0 and not (text[at].lower() == c and (not last or at == 0 or not text[at - 1].isalnum())):
-                at -= 1
-            if at < 0:
-                return None
-        return text[at:]
-
-    def of(text: str | None) -> list[dict[str, str]]:
-        out = []
-        for m in found.finditer(text or ""):
-            if sum(c.isupper() for c in m[1]) < 2:
-                continue
-            full = long_form(m[1], text[max(0, m.start() - 400) : m.start()].strip())
-            if full and len(full) > len(m[1]):
-                out.append({"short": m[1], "long": full})
-        return out
-
-    return texts.map(of)
+        if at < 0:
+            return None
+    return text[at:]
+
+
+def expansions_of(text: str | None) -> list[dict[str, str]]:
+    """Abbreviations in parentheses behind their expansions, in at most min(n + 5, 2n) words before them for n letters."""
+    out = []
+    for m in _SHORT.finditer(text or ""):
+        if sum(c.isupper() for c in m[1]) < 2:
+            continue
+        n = sum(c.isalnum() for c in m[1])
+        full = _long_form(m[1], _words_before(text, m.start(), min(n + 5, 2 * n)))
+        if full and len(full) > len(m[1]):
+            out.append({"short": m[1], "long": full})
+    return out
+
+
+def _expansions(texts: pd.Series) -> pd.Series:
+    return texts.map(expansions_of)
 
 
 def expansions():

@@ -24,11 +24,6 @@ STATUSES = {
     "historic": ("HISTORIC",),
 }
 
-#: The statuses and streams there are; a catalogue may have others of its own.
-KNOWN_STATUSES = {s for group in STATUSES.values() for s in group} | {"INFORMATIONAL", "EXPERIMENTAL", "HISTORIC", "UNKNOWN", "F", "O", "P"}
-KNOWN_STREAMS = {"ietf", "iab", "irtf", "independent", "editorial", "legacy", "1-urgent", "2-high", "3-medium", "4-not specified", "5-low"}
-
-
 @dataclass(frozen=True)
 class Filters:
     """Conjunction of what is given; an empty or missing value doesn't narrow.
@@ -51,16 +46,18 @@ class Filters:
     columns: dict[str, str] = field(default_factory=dict)
 
     def unknown(self, catalogue: DataFrame) -> tuple[str, ...]:
-        """Which of the values asked for nothing can have: statuses and streams outside the fixed lists, groups the catalogue lacks.
+        """Which of the values asked for nothing can have: names of statuses that stand for none, and what the catalogue lacks.
 
-        One look at the catalogue's distinct groups, as many as were asked for at most.
+        One look at the catalogue's distinct values, as many as were asked for at most. A status by one of the names that
+        stand for several is known even where the catalogue has none of them.
         """
-        out = [s for s in self.status if s not in STATUSES and s not in KNOWN_STATUSES]
-        out += [s for s in self.stream if s.lower() not in KNOWN_STREAMS]
-        if self.group:
-            wanted = [g.lower() for g in self.group]
-            have = {r["g"] for r in catalogue.select(fold(self._col("group")).alias("g")).where(F.col("g").isin(wanted)).distinct().collect()}
-            out += [g for g in self.group if g.lower() not in have]
+        out: list[str] = []
+        for name, values, plain in (("status", [s for s in self.status if s not in STATUSES], F.col), ("stream", list(self.stream), lambda c: F.lower(F.col(c))), ("group", list(self.group), lambda c: fold(F.col(c)))):
+            if values:
+                asked = {v: v if name == "status" else v.lower() for v in values}
+                own = catalogue.select(plain(self.columns.get(name, name)).alias("v"))
+                have = {r["v"] for r in own.where(F.col("v").isin(list(asked.values()))).distinct().collect()}
+                out += [v for v, held in asked.items() if held not in have]
         return tuple(out)
 
     def narrowed(self, catalogue: DataFrame) -> DataFrame:

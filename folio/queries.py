@@ -8,6 +8,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions import tables
 from .functions import text as T
 from .operators import align, citations, diff, documents, extract, fulltext, graph, incremental, judge, lines, lists, nesting, outline, ranges, search, spans
 from .plans.filters import Filters
@@ -1259,6 +1260,57 @@ def nested_headings(spark, sf_dir) -> DataFrame:
     return found.join(up, ["doc_id", "parent"], "left").select("doc_id", "number", "title", "depth", F.col("p_title").alias("parent"))
 
 
+@query("""
+WITH q AS (SELECT DISTINCT CASE p_size % 5 WHEN 0 THEN 'Std  ' || p_partkey % 400 WHEN 1 THEN 'std small ' || p_partkey % 400 WHEN 2 THEN '0x' || lower(to_hex(p_partkey % 400)) WHEN 3 THEN 'std ' || p_name ELSE p_name END AS query FROM part),
+n AS (SELECT query, regexp_replace(lower(query), '\\s+', ' ', 'g') AS t FROM q), k(words, registry) AS (VALUES ('std', 'STANDARD'), ('std', 'MEDIUM'), ('std small', 'SMALL')),
+w AS (SELECT query, t, max(len(words)) AS m FROM n, k WHERE starts_with(t, words || ' ') GROUP BY 1, 2),
+r AS (SELECT query, substr(t, m + 2) AS rest, registry AS sole FROM w JOIN k ON len(words) = m AND starts_with(t, words || ' ') UNION ALL SELECT query, t, NULL FROM n WHERE query NOT IN (SELECT query FROM w)),
+e AS (SELECT p_type AS registry, CASE WHEN p_size % 2 = 0 THEN '0x' || lower(to_hex(p_partkey)) || '-0x' || lower(to_hex(p_partkey + p_size)) ELSE CAST(p_partkey AS VARCHAR) END AS value, p_name AS name, p_partkey AS lo, CASE WHEN p_size % 2 = 0 THEN p_partkey + p_size ELSE p_partkey END AS hi, p_size % 2 = 0 AS hex FROM part)
+SELECT DISTINCT query, registry, value, name FROM r JOIN e ON (sole IS NULL OR sole = registry) AND (rest = lower(name) OR rest = value OR (NOT hex AND rest NOT LIKE '0x%' AND try_cast(rest AS BIGINT) = lo) OR (hex AND rest LIKE '0x%' AND try_cast(rest AS BIGINT) BETWEEN lo AND hi))
+""")
+def registry_longest_qualifier(spark, sf_dir) -> DataFrame:
+    """Entries by name, value, number or range, in the registries that the longest qualifier names."""
+    p = A.table(spark, sf_dir, "part")
+    key, low = F.col("p_partkey"), lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    shape, small = F.col("p_size") % 5, (F.col("p_partkey") % 400)
+    asked = F.when(shape == 0, F.concat(F.lit("Std  "), small)).when(shape == 1, F.concat(F.lit("std small "), small)).when(shape == 2, low(small)).when(shape == 3, F.concat(F.lit("std "), "p_name")).otherwise(F.col("p_name"))
+    value = F.when(F.col("p_size") % 2 == 0, F.concat(low(key), F.lit("-"), low(key + F.col("p_size")))).otherwise(key.cast("string"))
+    qualifiers = spark.createDataFrame([("std", "STANDARD"), ("std", "MEDIUM"), ("std small", "SMALL")], "words string, registry string")
+    return ranges.registry_matches(p.select(asked.alias("query")), p.select(F.col("p_type").alias("registry"), value.alias("value"), F.col("p_name").alias("name")), qualifiers)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT o_custkey % 50 AS doc, 'a' || o_orderkey % 7 AS a, 'b' || o_custkey % 11 AS b, max(o_totalprice) AS rank FROM orders GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY rank DESC, a, b) AS n FROM e),
+g AS (SELECT DISTINCT doc, 0::BIGINT AS n, []::VARCHAR[] AS used, []::VARCHAR[] AS taken FROM e UNION ALL
+  SELECT g.doc, o.n, CASE WHEN list_has_any(used, [a, b]) THEN used ELSE used || [a, b] END, CASE WHEN list_has_any(used, [a, b]) THEN taken ELSE taken || [a || '|' || b] END FROM g JOIN o ON o.doc = g.doc AND o.n = g.n + 1),
+l AS (SELECT doc, unnest(taken) AS t FROM g QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC) = 1)
+SELECT doc, split_part(t, '|', 1) AS a, split_part(t, '|', 2) AS b FROM l
+""")
+def pairs_best_first(spark, sf_dir) -> DataFrame:
+    """A one to one choice of scored pairs, the best first, in each of many groups."""
+    o = A.table(spark, sf_dir, "orders")
+    pairs = o.select((F.col("o_custkey") % 50).alias("doc"), F.concat(F.lit("a"), F.col("o_orderkey") % 7).alias("a"), F.concat(F.lit("b"), F.col("o_custkey") % 11).alias("b"), F.col("o_totalprice").alias("rank"))
+    return diff.best_first(pairs)
+
+
+@query("""
+WITH t AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS nth, value FROM events),
+w AS (SELECT user_id AS key, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1)
+SELECT key, n, 0 AS wrong FROM w
+""")
+def table_function_longest_run(spark, sf_dir) -> DataFrame:
+    """A table function over a partitioned, ordered table argument, called from SQL: every kept value is above the kept one before it."""
+    tables.register(spark)
+    A.table(spark, sf_dir, "events").select("user_id", F.floor(F.col("value")).alias("value"), "ts", "event_id").createOrReplaceTempView("folio_events")
+    found = spark.sql("SELECT * FROM longest_run(TABLE(SELECT user_id, value, ts, event_id FROM folio_events) PARTITION BY user_id ORDER BY (ts, event_id))")
+    e = A.table(spark, sf_dir, "events").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).select(F.col("user_id").alias("key"), "nth", F.floor("value").alias("value"))
+    met = found.join(e, ["key", "nth"])
+    before = F.lag("value").over(Window.partitionBy("key").orderBy("nth"))
+    wrong = met.where("kept").withColumn("before", before).where("before >= value").groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("wrong"))
+    return met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(wrong, "key", "left").select("key", "n", F.coalesce("wrong", F.lit(0)).alias("wrong"))
+
+
 # --- incremental --------------------------------------------------------------------------
 
 
