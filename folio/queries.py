@@ -1226,7 +1226,7 @@ def xml_blocks_and_references(spark, sf_dir) -> DataFrame:
     return nesting.blocks(found, "id").join(to, ["id", "pos"], "left").join(anchors, ["id", "section"]).select("id", F.col("anchor").alias("section"), "tag", "text", "target")
 
 
-def _part_lines(spark, sf_dir) -> DataFrame:
+def _paged_lines(spark, sf_dir) -> DataFrame:
     """Plain text in pages of several shapes, one for each part: contents, numbered, plain and centred headings, page furniture."""
     p = A.table(spark, sf_dir, "part")
     n, shape = F.col("p_size").cast("string"), F.col("p_size") % 3
@@ -1245,7 +1245,7 @@ t AS (SELECT doc_id, ['1.  Opening ........ 2', '2.  Middle ........ ' || n, '',
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS line FROM t, unnest(range(1, len(l) + 1)) AS u(i)
 """)
 def text_without_pages(spark, sf_dir) -> DataFrame:
-    return nesting.depaginated(_part_lines(spark, sf_dir))
+    return nesting.depaginated(_paged_lines(spark, sf_dir))
 
 
 @query("""
@@ -1255,7 +1255,7 @@ SELECT p_partkey AS doc_id, number, title, CAST(depth AS INTEGER) AS depth, pare
 """)
 def nested_headings(spark, sf_dir) -> DataFrame:
     """Headings of the text without its pages, each below the last one that is less deep."""
-    found = nesting.headings(nesting.depaginated(_part_lines(spark, sf_dir)))
+    found = nesting.headings(nesting.depaginated(_paged_lines(spark, sf_dir)))
     up = found.select("doc_id", F.col("pos").alias("parent"), F.col("title").alias("p_title"))
     return found.join(up, ["doc_id", "parent"], "left").select("doc_id", "number", "title", "depth", F.col("p_title").alias("parent"))
 

@@ -57,32 +57,34 @@ def history(events: DataFrame, key: str = "user_id", most: int = 50) -> DataFram
 def batches(path: str, complete: bool = False) -> Callable[[DataFrame, int], None]:
     """A foreachBatch that keeps each batch's rows once below ``path``, however often the batch comes.
 
-    Before its rows, a batch's digest is written to *log*; its rows go to a folder of its own under *data*, and a mark
-    in *done* comes last. A batch that comes again with the digest it had is passed over if its mark is there, else
-    its folder is written anew; one with another digest is built anew, and so are the marks of the batches
-    behind it dropped, as they followed from other rows. With ``complete``, a batch stands for all that was
-    before, and older folders go.
+    A batch's rows are staged, their digest is written to *log*, then they are moved to a folder of their own under *data*,
+    and a mark in *done* comes last. A batch that comes again with the digest it had is passed over if its mark is there,
+    else its folder is put there anew; with another digest it takes the place of the one before, and the marks of the
+    batches behind it are dropped, as they followed from other rows. With ``complete``, a batch stands for all that
+    was before, and older folders go.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        told = batch.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*batch.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")).first()
+        spark, staged = batch.sparkSession, f"{path}/staged/{n}"
+        batch.write.mode("overwrite").parquet(staged)  # the stream's plan runs once
+        told = _digest(spark.read.parquet(staged))
         logged, done = _numbers(spark, f"{path}/log"), _numbers(spark, f"{path}/done")
         before = spark.read.parquet(f"{path}/log/{n}").first() if n in logged else None
-        if before is None or tuple(before) != tuple(told):
+        if before is None or tuple(before) != told:
             for later in [x for x in done if x >= n]:
                 remove(spark, f"{path}/done/{later}")
             done = [x for x in done if x < n]
-            spark.createDataFrame([tuple(told)], "n_rows long, digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/log/{n}")
+            spark.createDataFrame([told], "n_rows long, digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/log/{n}")
         if n not in done:
-            batch.write.mode("overwrite").parquet(f"{path}/data/{n}")
+            remove(spark, f"{path}/data/{n}")
+            _move(spark, staged, f"{path}/data/{n}")
             spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/done/{n}")
+        else:
+            remove(spark, staged)
         if complete:
             for older in [x for x in done if x < n]:
                 remove(spark, f"{path}/done/{older}")
                 remove(spark, f"{path}/data/{older}")
-        batch.unpersist()
 
     return apply
 
@@ -103,13 +105,24 @@ def differing(spark: SparkSession, path: str) -> list[int]:
     """Finished batches whose rows are no longer what the log says: those to be built anew."""
     out = []
     for n in sorted(_numbers(spark, f"{path}/done")):
-        rows = spark.read.parquet(f"{path}/data/{n}")
-        told = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")).first()
-        if tuple(told) != tuple(spark.read.parquet(f"{path}/log/{n}").first()):
+        if _digest(spark.read.parquet(f"{path}/data/{n}")) != tuple(spark.read.parquet(f"{path}/log/{n}").first()):
             out.append(n)
     return out
 
 
+def _digest(rows: DataFrame) -> tuple[int, str]:
+    """How many rows, and the sum of their hashes, which no order changes."""
+    return tuple(rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string")).first())
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at(target).getParent())
+    if not files.rename(at(source), at(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def _numbers(spark: SparkSession, path: str) -> list[int]:
     """The numbers of the finished folders below ``path``; a listing of names."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
