@@ -35,9 +35,9 @@ def test_pairs_are_a_longest_common_subsequence(bits, monkeypatch):
 
 
 def test_runs_join_changes_over_white_space():
-    assert [(r["kind"], r["text"]) for r in diff._runs("the quick brown fox", "the slow red fox jumps")] == [("same", "the "), ("removed", "quick brown"), ("added", "slow red"), ("same", " fox"), ("added", " jumps")]
-    assert diff._runs(None, "") == [] and [r["kind"] for r in diff._runs("a", None)] == ["removed"]
-    assert [(r["kind"], r["text"]) for r in diff._runs("a b", "a b c")] == [("same", "a b"), ("added", " c")]
+    assert [(r["kind"], r["text"]) for r in diff.runs_of("the quick brown fox", "the slow red fox jumps")] == [("same", "the "), ("removed", "quick brown"), ("added", "slow red"), ("same", " fox"), ("added", " jumps")]
+    assert diff.runs_of(None, "") == [] and [r["kind"] for r in diff.runs_of("a", None)] == ["removed"]
+    assert [(r["kind"], r["text"]) for r in diff.runs_of("a b", "a b c")] == [("same", "a b"), ("added", " c")]
 
 
 def test_longest_increasing():
