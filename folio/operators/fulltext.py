@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..sources.tables import cut, remove
+from ..sources.tables import cut, remove, shared
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -105,7 +106,9 @@ class Index:
     def write(cls, sections: DataFrame, path: str, columns: tuple[str, ...] = ("body",)) -> Index:
         """A new index of ``sections(doc, ord, ...)``; further columns are kept as they are, ``columns`` are searched and not kept."""
         spark, path = sections.sparkSession, path.rstrip("/")
-        n, tokens, buckets = _segment(spark, f"{path}/segments/0-0", _staged(sections, columns), None)
+        staged, held = _staged(sections, columns)
+        n, tokens, buckets = _segment(spark, f"{path}/segments/0-0", staged, None)
+        remove(spark, held)
         _commit(spark, path, 0, [("0-0", *buckets)], n, tokens, columns)
         return cls(spark, path)
 
@@ -115,13 +118,14 @@ class Index:
         Writes one segment, of the size of the batch. A section without document or without any text column is
         refused and told in ``refused()``. Many segments are merged.
         """
-        staged = _staged(sections, self.columns)
+        staged, held = _staged(sections, self.columns)
         named = staged.select("doc").where("doc is not null").distinct()
         named = cut(named if gone is None else named.unionByName(gone.select("doc").where("doc is not null")).distinct())
         old = self._superseded(named)
         lost = old.groupBy().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
         name = f"{self.number + 1}-0"
         n, tokens, buckets = _segment(self.spark, f"{self.path}/segments/{name}", staged, (named, old))
+        remove(self.spark, held)
         _commit(self.spark, self.path, self.number + 1, [*self.segments, (name, *buckets)], self.n - lost["n"] + n, self.tokens - lost["tokens"] + tokens, self.columns)
         out = Index(self.spark, self.path)
         return out.merge(1) if len(out.segments) > MOST_DELTAS + 1 else out
@@ -344,8 +348,8 @@ def _tokens_of(spark: SparkSession, text: str) -> list[str]:
     return spark.range(1).select(tokens(F.lit(text)).alias("t")).first()["t"]
 
 
-def _staged(sections: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Sections with their terms, written once: texts are tokenised once."""
+def _staged(sections: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """Sections with their terms, written once, and where: texts are tokenised once."""
     cores = sections.sparkSession.sparkContext.defaultParallelism
     if sections.rdd.getNumPartitions() < cores:  # a few large files; a table of many is worked on where it is read
         sections = sections.repartition(cores)
@@ -354,7 +358,10 @@ def _staged(sections: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     rows = told.select(*kept, "__refused", *[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"__{c}") for c in columns])
     own = rows.select(*kept, "__refused").schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    return cut(rows.mapInArrow(_entries(columns), f"{fields}, len int, terms array<string>, tfs array<int>, entries array<struct<term: string, col: string, positions: array<int>, tf: int, total: int>>"))
+    told = rows.mapInArrow(_entries(columns), f"{fields}, len int, terms array<string>, tfs array<int>, entries array<struct<term: string, col: string, positions: array<int>, tf: int, total: int>>")
+    spark, path = sections.sparkSession, f"{shared(sections.sparkSession)}/folio-staged-{uuid.uuid4().hex}"
+    told.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(told.schema).parquet(path), path
 
 
 def _segment(spark: SparkSession, folder: str, staged: DataFrame, before) -> tuple[int, int, tuple[int, int]]:
@@ -391,19 +398,19 @@ def _write(spark: SparkSession, folder: str, sections: DataFrame, postings: Data
     block = (own_class.cast("long") * (1 << 32) + F.pmod(F.xxhash64(F.col("doc").cast("string"), F.col("ord")), F.element_at(parts, own_class).cast("long"))).alias("block")
 
     def by_term():
-        frequencies.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/terms")
+        frequencies.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/terms")
         # a bucket's files follow its size, so the commonest term's bucket doesn't wait for a few tasks
         files = spark.read.parquet(f"{folder}/terms").groupBy("bucket").agg(F.ceil(F.sum(F.greatest("df", F.lit(1))) / BUCKET_POSTINGS).alias("files"))
         dealt = postings.select("*", block, _bucket(F.col("term"), buckets).alias("bucket")).join(F.broadcast(files), "bucket")  # a row a bucket
         placed = dealt.withColumn("file", F.pmod(F.xxhash64("block"), F.col("files"))).repartition("bucket", "file").sortWithinPartitions("bucket", "term", "block", "doc", "ord").drop("files", "file")
-        placed.write.partitionBy("bucket").parquet(f"{folder}/postings")
+        placed.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
         most = spark.read.schema(placed.schema).parquet(f"{folder}/postings").groupBy("bucket", "term", "block").agg(F.max("total").alias("most"), F.min("len").alias("least"))
-        most.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+        most.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/blocks")
 
     def by_document():
         by_doc = _bucket(F.col("doc").cast("string"), doc_buckets).alias("doc_bucket")
         spread = F.pmod(F.xxhash64("doc", "ord"), F.lit(4))
-        sections.select("*", block, by_doc).repartition("doc_bucket", spread).sortWithinPartitions("doc_bucket", "doc", "ord").write.partitionBy("doc_bucket").parquet(f"{folder}/sections")
+        sections.select("*", block, by_doc).repartition("doc_bucket", spread).sortWithinPartitions("doc_bucket", "doc", "ord").write.partitionBy("doc_bucket").option("compression", "zstd").parquet(f"{folder}/sections")
         documents.coalesce(max(1, doc_buckets)).write.parquet(f"{folder}/documents")
 
     with ThreadPoolExecutor(2) as pool:  # two jobs at a time; neither needs the other
