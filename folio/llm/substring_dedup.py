@@ -7,10 +7,13 @@ document with it. Around the anchors, passages are cut out of each document, by
 hashes, summed by window before they are shuffled, say which windows truly repeat and in which
 document each of them is first; the rest of the passages is not part of the reference.
 
-The reference's passages are dealt to shards of bounded size by owner. Each shard's suffix automaton is
-built once, as flat arrays in a written table, and goes to all the tasks that stream the passages of its
-owners. Matching statistics of 50 or more there, at places where the document isn't the first itself,
-are the words to remove. A shard that very many documents meet is streamed in many tasks.
+Passages are cut, with an overlap of 49 words, so none is longer than ``PIECE`` windows. The reference's
+passages are dealt to shards by owner. An owner with more words than a shard has several, and a window's
+least 25-word run says in which of them it is, so a passage goes only where its windows can be. Each
+shard's suffix automata (one, or several of bounded size) are built once, as flat arrays in a written
+table, and go to all the tasks that stream the passages of its owners. Matching statistics of 50 or more
+there, at places where the document isn't the first itself, are the words to remove. A shard that very
+many documents meet is streamed in many tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_of, bytes_of, in_slices, light, maybe_in, rolled, word_hashes
+from .common import Scratch, bloom_of, bytes_of, in_slices, light, maybe_in, mixed, rolled, row_key, word_hashes
 
 #: Words of a reference shard, and of the passages that one task streams past one.
 SHARD_WORDS, STREAM_WORDS = 60_000, 400_000
@@ -31,6 +34,8 @@ SHARD_WORDS, STREAM_WORDS = 60_000, 400_000
 ANCHOR_ROWS = 20_000
 #: Windows of a passage that are streamed as one.
 CHUNK = 512
+#: Windows of one row of passages.
+PIECE = 1 << 16
 
 
 class SuffixAutomaton:
@@ -164,35 +169,36 @@ def _least(codes: np.ndarray, span: int) -> np.ndarray:
 
 
 def _anchors(run: int, width: int):
-    """Distinct (anchor, doc_id, place) of every document."""
+    """Distinct (anchor, doc_id, row, place) of every document."""
 
     def go(batches):
         for batch in batches:
-            codes, ids, places = [], [], []
-            docs = batch.column("doc_id").to_pylist()
+            codes, ids, rows, places = [], [], [], []
+            docs, keys = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             for first, texts in in_slices(bytes_of(batch.column("text"))):
-                for i, h in zip(docs[first:], word_hashes(texts)):
+                for i, key, h in zip(docs[first:], keys[first:], word_hashes(texts)):
                     each = rolled(h, run)
                     at = _least(each, width - run + 1)
                     if len(at):
                         codes.append(each[at])
                         places.append(at)
                         ids.append(np.full(len(at), i, np.int64))
+                        rows.append(np.full(len(at), key, np.int64))
             if codes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], names=["anchor", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (ids, rows, places))], names=["anchor", "doc_id", "row", "place"])
 
     return go
 
 
 def _cut(run: int, width: int):
-    """Passages of each document around its anchors, joined where they touch and have one owner."""
+    """Passages of each document around its anchors, joined where they touch and have one owner, in pieces."""
 
     def go(batches):
         for batch in batches:
-            ids, hits = batch.column("doc_id").to_pylist(), batch.column("hits")
+            ids, keys, hits = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("hits")
             for first, texts in in_slices(bytes_of(batch.column("text"))):
                 out = []
-                for i, h, own in zip(ids[first:], word_hashes(texts), hits.slice(first, len(texts)).to_pylist()):
+                for i, key, h, own in zip(ids[first:], keys[first:], word_hashes(texts), hits.slice(first, len(texts)).to_pylist()):
                     by: dict[int, list] = {}
                     for hit in sorted(own, key=lambda x: x["place"]):
                         a, b = max(0, hit["place"] + run - width), min(len(h), hit["place"] + width)
@@ -201,13 +207,15 @@ def _cut(run: int, width: int):
                             spans[-1][1] = max(b, spans[-1][1])
                         else:
                             spans.append([a, b])
-                    out += [(owner, i, a, h[a:b].tobytes()) for owner, spans in by.items() for a, b in spans if b - a >= width]
+                    for owner, spans in by.items():
+                        for a, b in spans:
+                            out += [(owner, i, key, at, h[at : min(b, at + PIECE + width - 1)].tobytes()) for at in range(a, b - width + 1, PIECE)]
                 yield _rows(out, PASSAGE)
 
     return go
 
 
-PASSAGE = "owner long, doc_id long, start long, words binary"
+PASSAGE = "owner long, doc_id long, row long, start long, words binary"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
@@ -236,21 +244,62 @@ def _windows(width: int):
     return go
 
 
+FIRST = "owner long, doc_id long, row long, base long, start long, n long, words binary"
+
+
 def _reference(width: int):
-    """Of the passages of documents that are first somewhere, the runs of windows that are."""
+    """Of the passages (from ``base``) of documents that are first somewhere, the runs of ``n`` windows that are.
+
+    ``words`` is null where the passage has had these windows before: once is enough for the reference.
+    """
 
     def go(batches):
         for batch in batches:
             out = []
             held = batch.column("codes")
             codes, ends = held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())
-            for owner, doc, start, words, end, n in zip(*(batch.column(c).to_pylist() for c in ("owner", "doc_id", "start", "words")), ends, np.diff(ends, prepend=0)):
+            for owner, doc, row, base, words, end, n in zip(*(batch.column(c).to_pylist() for c in ("owner", "doc_id", "row", "start", "words")), ends, np.diff(ends, prepend=0)):
                 words = np.frombuffer(words, np.uint64)
                 first = np.sort(codes[end - n : end])
                 here = rolled(words, width).view(np.int64)
-                at = np.minimum(np.searchsorted(first, here), n - 1)
-                out += [(owner, doc, start + a, words[a : b + width - 1].tobytes()) for a, b in _runs(np.flatnonzero(first[at] == here))]
-            yield _rows(out, PASSAGE)
+                known = first[np.minimum(np.searchsorted(first, here), n - 1)] == here
+                new = np.zeros(len(here), bool)
+                new[np.unique(here, return_index=True)[1]] = True
+                for held_, of in ((True, known & new), (False, known & ~new)):
+                    out += [(owner, doc, row, base, base + a, b - a, words[a : b + width - 1].tobytes() if held_ else None) for a, b in _runs(np.flatnonzero(of))]
+            yield _rows(out, FIRST)
+
+    return go
+
+
+DEALT = "bucket long, part long, owner long, doc_id long, row long, base long, start long, words binary"
+
+
+def _dealt(run: int, width: int):
+    """Passages of owners with several ``parts``, to each part what its windows take.
+
+    A window's part follows from the least of its runs of ``run`` words, so it is the same wherever the
+    window stands. Gaps that are shorter than a new start's words are carried along.
+    """
+
+    def go(batches):
+        for batch in batches:
+            out = []
+            for bucket, parts, owner, doc, row, base, start, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "parts", "owner", "doc_id", "row", "base", "start", "words"))):
+                words = np.frombuffer(words, np.uint64)
+                low, span, size = rolled(words, run), width - run + 1, 1
+                while 2 * size <= span:
+                    low = np.minimum(low[:-size], low[size:])
+                    size *= 2
+                if size < span:
+                    low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
+                part = mixed(low) % np.uint64(parts)
+                by = np.argsort(part, kind="stable")
+                cut = np.flatnonzero((np.diff(part[by]) != 0) | (np.diff(by) > width - 1)) + 1
+                for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(by)].tolist()):
+                    first, last = int(by[a]), int(by[b - 1])
+                    out.append((bucket, int(part[first]), owner, doc, row, base, start + first, words[first : last + width].tobytes()))
+            yield _rows(out, DEALT)
 
     return go
 
@@ -258,37 +307,54 @@ def _reference(width: int):
 AUTOMATON = "shard long, symbols binary, edges binary, to binary, link binary, length binary"
 
 
-def _build(key, table):
-    """A shard's automaton; the passages of a shard are few by how they are dealt."""
-    automaton = SuffixAutomaton()
-    for words in table.column("words").to_pylist():
-        automaton.add(np.frombuffer(words, np.uint64).tolist())
-    flat = automaton.flat()
-    parts = (flat.symbols.astype(np.uint64), flat.edges.astype(np.int64), flat.to, flat.link, flat.length)
-    return pa.Table.from_batches([_rows([(key[0].as_py(), *(p.tobytes() for p in parts))], AUTOMATON)])
+def _build(shard_words: int, width: int):
+    """A shard's automata: as many as it takes for none to hold more than ``shard_words`` words."""
+
+    def go(key, table):
+        step = max(1, shard_words // 2 - (width - 1))  # windows of one passage
+        out, automaton, held = [], SuffixAutomaton(), 0
+
+        def done():
+            flat = automaton.flat()
+            parts = (flat.symbols.astype(np.uint64), flat.edges.astype(np.int64), flat.to, flat.link, flat.length)
+            out.append((key[0].as_py(), *(p.tobytes() for p in parts)))
+
+        for words in table.column("words").to_pylist():
+            words = np.frombuffer(words, np.uint64)
+            for at in range(0, len(words) - width + 1, step):
+                piece = words[at : at + step + width - 1].tolist()
+                if held and held + len(piece) > shard_words:
+                    done()
+                    automaton, held = SuffixAutomaton(), 0
+                automaton.add(piece)
+                held += len(piece)
+        done()
+        return pa.Table.from_batches([_rows(out, AUTOMATON)])
+
+    return go
 
 
 def _stream(width: int):
-    """Passages past a shard's automaton: the words of windows in it, but for those where the document is the first."""
+    """Passages past a shard's automata: the words of windows in one, but for those where the document is the first."""
 
     def go(key, left, right):
         if not right.num_rows or not left.num_rows:
             return _table([])
-        held = [np.frombuffer(right.column(c)[0].as_py(), t) for c, t in zip(("symbols", "edges", "to", "link", "length"), (np.uint64, np.int64, np.int32, np.int32, np.int32))]
-        automaton = Flat(*held)
         out = []
-        docs, starts, first = (left.column(c).to_pylist() for c in ("doc_id", "start", "first"))
+        docs, rows, starts, first = (left.column(c).to_pylist() for c in ("doc_id", "row", "start", "first"))
         chunks, of = [], []
         for n, words in enumerate(left.column("words").to_pylist()):
             words = np.frombuffer(words, np.uint64)
             for at in range(0, len(words) - width + 1, CHUNK):
                 chunks.append(words[at : at + CHUNK + width - 1])
                 of.append((n, at))
-        for (n, at), hit in zip(of, automaton.matches(chunks, width)):
-            places = np.flatnonzero(hit[width - 1 :]) + starts[n] + at  # starts of windows
-            if first[n] and len(places):
-                places = places[~np.isin(places, np.concatenate([np.arange(f["start"], f["end"]) for f in first[n]]))]
-            out += [(docs[n], a, b + width - 1) for a, b in _runs(places)]
+        for r in range(right.num_rows):
+            held = [np.frombuffer(right.column(c)[r].as_py(), t) for c, t in zip(("symbols", "edges", "to", "link", "length"), (np.uint64, np.int64, np.int32, np.int32, np.int32))]
+            for (n, at), hit in zip(of, Flat(*held).matches(chunks, width)):
+                places = np.flatnonzero(hit[width - 1 :]) + starts[n] + at  # starts of windows
+                if first[n] and len(places):
+                    places = places[~np.isin(places, np.concatenate([np.arange(f["start"], f["end"]) for f in first[n]]))]
+                out += [(docs[n], rows[n], a, b + width - 1) for a, b in _runs(places)]
         return _table(out)
 
     def _table(rows):
@@ -297,7 +363,7 @@ def _stream(width: int):
     return go
 
 
-SPAN = "doc_id long, start long, end long"
+SPAN = "doc_id long, row long, start long, end long"
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -350,49 +416,59 @@ def _judged(with_text: bool):
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
-    """doc_id, start and end of the words to remove from ``docs(doc_id, text)``; spans may overlap."""
+    """doc_id, row, start and end of the words to remove from ``docs(doc_id, row, text)``; spans may overlap.
+
+    ``row`` tells documents of one id apart.
+    """
     scratch = Scratch(docs.sparkSession, "substring")
     run = (width + 1) // 2
     known = docs.where("doc_id is not null")
-    anchors = scratch.save(known.mapInArrow(light(_anchors(run, width)), "anchor long, doc_id long, place long"), "anchors")
+    anchors = scratch.save(known.mapInArrow(light(_anchors(run, width)), "anchor long, doc_id long, row long, place long"), "anchors")
     counts = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     owners = scratch.save(counts.where("owner < last").select("anchor", "owner", "n"), "owners")
     # anchors with very many hits, fewer than one in ``most`` rows: they and their owners are dealt over several tasks
     most = max(anchor_rows, anchors.count() // 10_000)
     heavy = F.broadcast(owners.where(F.col("n") > most).select("anchor", F.ceil(F.col("n") / most).alias("deals")))
     deal = F.pmod(F.xxhash64("doc_id", "place"), F.coalesce("deals", F.lit(1)))
-    dealt = anchors.join(heavy, "anchor", "left").select("anchor", deal.alias("deal"), "doc_id", "place")
+    dealt = anchors.join(heavy, "anchor", "left").select("anchor", deal.alias("deal"), "doc_id", "row", "place")
     spread = owners.select("anchor", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > most, F.ceil(F.col("n") / most)).otherwise(F.lit(1).cast("long")) - 1)).alias("deal"))
-    hits = scratch.save(dealt.join(spread, ["anchor", "deal"]).select("doc_id", "place", "owner"), "hits")
+    hits = scratch.save(dealt.join(spread, ["anchor", "deal"]).select("doc_id", "row", "place", "owner"), "hits")
     scratch.drop("anchors")
     # only texts with hits move
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "owner")).alias("hits"))
-    marked = maybe_in(known, "doc_id", bloom_of(hits.select("doc_id").distinct())).join(by_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "hits")
+    by_doc = hits.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set(F.struct("place", "owner")).alias("hits"))
+    marked = maybe_in(known, "doc_id", bloom_of(hits.select("doc_id").distinct())).join(by_doc, (F.col("doc_id") == F.col("__id")) & (F.col("row") == F.col("__row"))).select("doc_id", "row", "text", "hits")
     cut = scratch.save(marked.mapInArrow(light(_cut(run, width)), PASSAGE), "cut")
     scratch.drop("hits")
 
     # each repeated window's first document
     windows = cut.mapInArrow(light(_windows(width)), WINDOW).groupBy("owner", "code").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = windows.where("first < last").groupBy("owner", "first").agg(F.collect_list("code").alias("codes"))
-    reference = cut.join(firsts.withColumnRenamed("first", "doc_id"), ["owner", "doc_id"]).mapInArrow(light(_reference(width)), PASSAGE)
+    reference = cut.join(firsts.withColumnRenamed("first", "doc_id"), ["owner", "doc_id"]).mapInArrow(light(_reference(width)), FIRST)
     reference = scratch.save(reference, "reference")
 
     # shards: a large owner has several of its own, small ones are put together
     size = F.octet_length("words") / 8
-    loads = reference.groupBy("owner").agg(F.sum(size).alias("m"))
+    loads = reference.groupBy("owner").agg(F.coalesce(F.sum(size), F.lit(0.0)).alias("m"))
     total = loads.agg(F.sum("m").alias("m")).first()["m"] or 0
     buckets = max(1, int(total // shard_words))
     parts = F.ceil(F.col("m") / shard_words)
+    # where windows are dealt to very many parts, their passages come in short pieces of some four times the words
+    parts = F.greatest(F.lit(1).cast("long"), F.when(parts <= 4, parts).otherwise(4 * parts))
     own = F.when(F.col("m") > shard_words, F.xxhash64("owner")).otherwise(F.pmod(F.xxhash64("owner"), F.lit(buckets)))
     loads = scratch.save(loads.select("owner", parts.alias("parts"), own.alias("bucket")), "loads")
-    shard = lambda part: F.xxhash64("bucket", part)
-    dealt = reference.join(loads, "owner").withColumn("shard", shard(F.pmod(F.xxhash64("doc_id", "start"), F.col("parts"))))
-    automata = scratch.save(dealt.select("shard", "words").groupBy("shard").applyInArrow(_build, AUTOMATON), "automata")
+
+    def dealt_out(passages: DataFrame) -> DataFrame:
+        met = passages.join(loads, "owner")
+        whole = met.where("parts = 1").select("bucket", F.lit(0).cast("long").alias("part"), "owner", "doc_id", "row", "base", "start", "words")
+        several = met.where("parts > 1").select("bucket", "parts", "owner", "doc_id", "row", "base", "start", "words")
+        return whole.unionByName(several.mapInArrow(light(_dealt(run, width)), DEALT)).withColumn("shard", F.xxhash64("bucket", "part"))
+
+    built = dealt_out(reference.where("words is not null").drop("n"))
+    automata = scratch.save(built.select("shard", "words").groupBy("shard").applyInArrow(_build(shard_words, width), AUTOMATON), "automata")
 
     # passages by the shards of their owner, each with the windows where its document is the first
-    own_runs = reference.select("owner", "doc_id", F.struct("start", (F.col("start") + size - (width - 1)).cast("long").alias("end")).alias("run")).groupBy("owner", "doc_id").agg(F.collect_list("run").alias("first"))
-    asked = cut.join(loads, "owner").join(own_runs, ["owner", "doc_id"], "left")
-    asked = asked.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), shard)).alias("shard"), "doc_id", "start", "words", "first")
+    own_runs = reference.groupBy("owner", "doc_id", "row", "base").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("first"))
+    asked = dealt_out(cut.withColumn("base", F.col("start"))).join(own_runs, ["owner", "doc_id", "row", "base"], "left").select("shard", "doc_id", "row", "start", "words", "first")
     met = asked.groupBy("shard").agg(F.sum(F.octet_length("words") / 8).alias("m")).select("shard", F.ceil(F.col("m") / stream_words).alias("tasks"))
     met = scratch.save(met, "met")
     left = asked.join(met, "shard").withColumn("task", F.pmod(F.xxhash64("doc_id", "start"), F.col("tasks"))).drop("tasks")
@@ -406,18 +482,18 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
 
     Words are runs other than white space, unchanged. A word is removed if a window of ``width``
     consecutive words that covers it also occurs, as it stands in the input, in a document of
-    smaller id. Null, empty and short texts lose nothing. Rows that repeat an id are one document in
-    this (neither is smaller) and come back each, with the spans found in any of them removed where
-    their texts are equal; give documents of different text different ids. A null id is neither
+    smaller id. Null, empty and short texts lose nothing. Rows that repeat an id are documents of
+    which neither is smaller; each comes back, judged by its own text. A null id is neither
     smaller nor larger than any and loses nothing. An empty table gives no rows. Other columns play
     no part.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = rows.select("doc_id", row_key(F.col("text")).alias("row"), "text")
     spans = repeated_spans(rows, width, shard_words, **how)
-    by_doc = spans.distinct().groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_doc = spans.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     # texts that lose nothing are judged where they are
     bloom = bloom_of(spans.select("doc_id").distinct())
-    joined = maybe_in(rows, "doc_id", bloom).join(by_doc, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
+    joined = maybe_in(rows, "doc_id", bloom).join(by_doc, (F.col("doc_id") == F.col("__id")) & (F.col("row") == F.col("__row")), "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return joined.mapInArrow(light(_judged(with_text)), schema).unionAll(maybe_in(rows, "doc_id", bloom, False, _judged(with_text), schema))
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,59 @@ def test_repeats_edges(spark):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()) == Counter([(None, 60, 0), (1, 60, 0), (2, 60, 60), (3, 0, 0)])
 
 
+def test_repeats_of_one_id(spark):
+    """Rows that share an id are judged each by its own text."""
+    rng = random.Random(8)
+    a, b = words(rng, 70, 10**6), words(rng, 90, 10**6)
+    rows = [(5, " ".join(a)), (5, "short own text"), (5, " ".join(b[:60])), (5, None), (3, " ".join(a[5:])), (9, " ".join(b)), (9, " ".join(b[20:] + a)), (9, " ".join(b)), (2, "")]
+    got = substring_dedup.without_repeats(table(spark, rows).repartition(3), shard_words=100, stream_words=300)
+    assert sorted(map(tuple, got.collect())) == brute_repeats(rows, 50)
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Texts longer than a shard and than a row of passages, one of them with one word all through."""
+    rng = random.Random(9)
+    long = words(rng, 150_000, 10**6)
+    same = ["same"] * 80_000
+    rows = [(1, long), (2, long[:70_000] + ["gap"] + long[70_000:]), (3, same), (4, ["x", *same[:70_000]]), (5, long[40:89]), (6, long[140_000:140_060])]
+    got = substring_dedup.without_repeats(table(spark, [(i, " ".join(t)) for i, t in rows]).repartition(3), shard_words=20_000, with_text=False)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()) == [(1, 150_000, 0), (2, 150_001, 150_000), (3, 80_000, 0), (4, 70_001, 70_000), (5, 49, 0), (6, 60, 60)]
+
+
+def test_automata_are_bounded():
+    """A passage of 300,000 words, and many short ones, make automata of at most a shard's words, which hold every window."""
+    rng = np.random.default_rng(3)
+    long, short = rng.integers(0, 1 << 60, 300_000).astype(np.uint64), [rng.integers(0, 1 << 60, 80).astype(np.uint64) for _ in range(900)]
+    passages = pa.table({"shard": [7] * 901, "words": [long.tobytes(), *(x.tobytes() for x in short)]})
+    built = substring_dedup._build(substring_dedup.SHARD_WORDS, 50)((pa.scalar(7),), passages)
+    types = (np.uint64, np.int64, np.int32, np.int32, np.int32)
+    automata = [substring_dedup.Flat(*(np.frombuffer(r[c], t) for c, t in zip(("symbols", "edges", "to", "link", "length"), types))) for r in built.to_pylist()]
+    assert len(automata) > 5 and max(len(a.link) for a in automata) <= 2 * substring_dedup.SHARD_WORDS
+    chunks = [long[i : i + 561] for i in range(0, 300_000 - 49, 512)] + short
+    hit = [np.zeros(len(c), bool) for c in chunks]
+    for a in automata:
+        hit = [h | m for h, m in zip(hit, a.matches(chunks, 50))]
+    assert all(h[49:].all() for h in hit)
+
+
+def test_windows_go_to_their_part():
+    """Equal windows go to one part wherever they stand, and no window is lost."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    rows = [(0, 6, 1, i, 0, 0, 10 * i, np.concatenate([rng.integers(0, 1 << 60, n).astype(np.uint64), shared]).tobytes()) for i, n in enumerate((0, 3, 77))]
+    schema = "bucket long, parts long, owner long, doc_id long, row long, base long, start long, words binary"
+    (out,) = substring_dedup._dealt(25, 50)([substring_dedup._rows(rows, schema)])
+    where: dict[tuple, set] = {}
+    for r in out.to_pylist():
+        held = np.frombuffer(r["words"], np.uint64)
+        for k in range(len(held) - 49):
+            where.setdefault((r["doc_id"], r["start"] + k), set()).add(r["part"])
+    for i, n in enumerate((0, 3, 77)):
+        assert all((i, 10 * i + k) in where for k in range(n + 400 - 49))
+    assert all(where[0, k] & where[1, 13 + k] & where[2, 97 + k] for k in range(351))
+    assert len({p for ps in where.values() for p in ps}) > 1
+
+
 def test_least_codes(monkeypatch):
     rng = np.random.default_rng(2)
     for bits, n, values in ((20, 300, 50), (5, 300, 40), (6, 1000, 1 << 30)):
