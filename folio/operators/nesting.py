@@ -34,6 +34,29 @@ def parents(rows: DataFrame, id_col: str, pos_col: str, depth_col: str) -> DataF
     return ordered.mapInArrow(run, schema)
 
 
+def below(rows: DataFrame, id_col: str, pos_col: str, depth_col: str, opens: Column) -> DataFrame:
+    """``rows`` with ``below``: whether a row for which ``opens`` holds lies above it, at any distance.
+
+    A row lies in the last one before it with a smaller depth. One task reads a text's rows in order and holds the
+    depth of the outermost such row that is open.
+    """
+    ordered = rows.withColumn("below", F.coalesce(opens, F.lit(False))).repartition(id_col).sortWithinPartitions(F.asc_nulls_first(id_col), pos_col)
+
+    def run(batches):
+        text, held, first = None, None, True
+        for batch in batches:
+            out = []
+            for i, depth, open_ in zip(*(batch.column(c).to_pylist() for c in (id_col, depth_col, "below"))):
+                if first or i != text or (held is not None and depth <= held):
+                    text, held, first = i, None, False
+                out.append(held is not None)
+                if open_ and held is None:
+                    held = depth
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.bool_())], names=batch.schema.names)
+
+    return ordered.mapInArrow(run, ordered.schema)
+
+
 # --- markup -------------------------------------------------------------------------------
 
 _TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!(?!--|\[)[^>]*+>|</?[A-Za-z_](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import tables
 from .functions import text as T
-from .operators import align, citations, diff, documents, extract, fulltext, graph, incremental, judge, lines, lists, nesting, outline, ranges, search, spans
+from .operators import align, citations, diff, documents, extract, fulltext, graph, incremental, judge, lines, lists, nesting, outline, ranges, reports, search, spans, terms
 from .plans.filters import Filters
 from .sources import adapters as A
 from .sources import sinks
@@ -731,6 +731,23 @@ def boundary_counts(spark, sf_dir) -> DataFrame:
     return lines.boundary(lines.refusals(lines.block_metrics(A.lines(spark, sf_dir)))).groupBy("criterion").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_METRICS + """,
+t AS (SELECT *, len(refused) = 1 AS near, (bars >= 2)::INT AS b, (symbols > 0)::INT AS s, (capitals * 4 > letters)::INT AS c, list_contains(refused, 'no_sentence') AS gate FROM r),
+d AS (SELECT *, CASE WHEN gate AND b + s + c IN (1, 2) THEN CASE WHEN b <> s AND b <> c THEN 'bars' WHEN s <> b AND s <> c THEN 'symbols' ELSE 'capitals' END END AS dissent FROM t),
+n AS (SELECT 'documents' AS measure, '' AS key, count(DISTINCT doc_id) AS n FROM d UNION ALL SELECT 'blocks', '', count(*) FROM d UNION ALL SELECT 'prose', '', count(*) FROM d WHERE len(refused) = 0
+  UNION ALL SELECT 'near_misses', '', count(*) FROM d WHERE near UNION ALL SELECT 'guard', unnest(refused) AS g, count(*) FROM d GROUP BY g UNION ALL SELECT 'sole', refused[1], count(*) FROM d WHERE near GROUP BY refused[1]
+  UNION ALL SELECT 'dissent', dissent, count(*) FROM d WHERE dissent IS NOT NULL GROUP BY dissent)
+SELECT measure, key, n, NULL AS doc_id, NULL AS gap, NULL AS block FROM n WHERE n > 0
+UNION ALL (SELECT 'sample', refused[1], 1, doc_id, gap, part FROM d WHERE near ORDER BY doc_id, gap, part LIMIT 2000)
+""")
+def prose_report(spark, sf_dir) -> DataFrame:
+    """The report of the whole, from a stored one of each part."""
+    path = f"{shared(spark)}/reports-{uuid.uuid4().hex}"
+    refused = lines.refusals(lines.block_metrics(A.lines(spark, sf_dir)))
+    reports.store(reports.partials(refused, F.pmod("doc_id", F.lit(7))), path)
+    return reports.merged(reports.stored(spark, path))
+
+
 # --- sections and headers -----------------------------------------------------------------
 
 
@@ -1226,6 +1243,27 @@ def xml_blocks_and_references(spark, sf_dir) -> DataFrame:
     return nesting.blocks(found, "id").join(to, ["id", "pos"], "left").join(anchors, ["id", "section"]).select("id", F.col("anchor").alias("section"), "tag", "text", "target")
 
 
+def _glossary_xml(spark, sf_dir) -> DataFrame:
+    """A document for each part: titles of six kinds, lists in lists and in items, an index entry."""
+    p = A.table(spark, sf_dir, "part")
+    titles = F.array(*map(F.lit, ("Terminology", "Definitions", "Symbols, Abbreviations, and Definitions", "Field Definitions", "Conventions and Acronyms", "Overview")))
+    core = F.when(F.col("p_partkey") % 2 == 0, "Core Terms").otherwise("Details")
+    opening = F.concat(F.lit('<rfc><section anchor="a"><name>'), F.get(titles, (F.col("p_size") % 6).cast("int")), F.lit("</name><dl><dt>"), F.col("p_brand"), F.lit(", "), F.concat(F.lit("Maker "), F.col("p_size").cast("string")), F.lit(":</dt><dd>first of "), F.col("p_name"), F.lit("<dl><dt>inner</dt><dd>part</dd></dl></dd><dt>void</dt><dd/></dl>"))
+    nested = F.concat(F.lit('<section anchor="b"><name>'), core, F.lit("</name><ul><li><dl><dt>"), F.col("p_type"), F.lit("</dt><dd><t>"), F.col("p_name"), F.lit(" one</t><t>two</t></dd><dt>"), F.col("p_brand"), F.lit("</dt><dd>second</dd></dl></li></ul></section></section>"))
+    last = F.concat(F.lit('<section anchor="c"><name>Body</name><dl><dt>x</dt><dd>y</dd></dl><t>The '), F.col("p_name"), F.lit(' is.<iref primary="true" item="'), F.col("p_name"), F.lit('"/><iref item="other"/></t></section></rfc>'))
+    return p.select(F.col("p_partkey").alias("id"), F.concat(opening, nested, last).alias("xml"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, *, p_size % 6 IN (0, 1, 2, 4) AS named, p_size % 6 IN (0, 2, 4) OR p_partkey % 2 = 0 AS core FROM part),
+d AS (SELECT id, p_brand AS term, 'a' AS anchor, 'first of ' || p_name AS meaning, 1 AS nth FROM p WHERE named UNION ALL SELECT id, 'Maker ' || p_size, 'a', 'first of ' || p_name, 1 FROM p WHERE named
+  UNION ALL SELECT id, p_type, 'b', p_name || ' one', 2 FROM p WHERE core UNION ALL SELECT id, p_brand, 'b', 'second', 2 FROM p WHERE core UNION ALL SELECT id, p_name, 'c', 'The ' || p_name || ' is.', 0 FROM p)
+SELECT id, term, anchor, meaning FROM d QUALIFY row_number() OVER (PARTITION BY id, term ORDER BY nth) = 1
+""")
+def defined_terms(spark, sf_dir) -> DataFrame:
+    return terms.defined_terms(nesting.nodes(_glossary_xml(spark, sf_dir), "id", "xml"), "id")
+
+
 def _paged_lines(spark, sf_dir) -> DataFrame:
     """Plain text in pages of several shapes, one for each part: contents, numbered, plain and centred headings, page furniture."""
     p = A.table(spark, sf_dir, "part")
