@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, title_words
+from ..functions.text import document_id, fold, title_words
 
 #: Points a term earns, by where it is found.
 NUMBER, NUMBER_PREFIX = 100, 40
@@ -68,6 +68,26 @@ def by_number(catalogue: DataFrame, digits: str, limit: int = 100) -> DataFrame:
     return catalogue.where(text.startswith(digits)).withColumn("exact", text == digits).orderBy(F.desc("exact"), F.desc("number")).limit(limit)
 
 
+def looked_up(queries: DataFrame, catalogue: DataFrame, series: DataFrame) -> DataFrame:
+    """(query, how, pos, number): the documents that each of ``queries(query)`` names.
+
+    A number in any spelling names that document alone (``document``), a series its members that the catalogue has,
+    in their order (``series``, of ``series(series, id, members)``). Anything else, a number that nothing has included,
+    is for a search (``words``): one row without a number.
+    """
+    asked = queries.distinct().withColumn("id", document_id(F.col("query")))
+    known = catalogue.select("number").distinct()
+    is_number = F.col("id.series") == "RFC"
+    met = asked.join(known, is_number & (F.col("id.number") == F.col("number")), "left")
+    held = series.select(F.col("series").alias("__series"), F.col("id").alias("__id"), "members")
+    met = met.join(held, (F.col("id.series") == F.col("__series")) & (F.col("id.number") == F.col("__id")), "left")
+    how = F.when(F.col("number").isNotNull(), "document").when(F.col("members").isNotNull(), "series").otherwise("words")
+    told = met.withColumn("how", how)
+    alone = told.where("how != 'series'").select("query", "how", F.lit(0).alias("pos"), "number")
+    members = told.where("how = 'series'").select("query", "how", F.posexplode("members").alias("pos", "member"))
+    return alone.unionByName(members.join(known, F.col("member") == F.col("number")).select("query", "how", "pos", "number"))
+
+
 def group_counts(catalogue: DataFrame, last: str | None = None) -> DataFrame:
     """Rows by group, most first, then by name; the group ``last`` comes at the end whatever its count."""
     counts = catalogue.where("`group` is not null").groupBy(fold(F.col("group")).alias("name")).agg(F.count(F.lit(1)).alias("n"))

@@ -748,6 +748,19 @@ def prose_report(spark, sf_dir) -> DataFrame:
     return reports.merged(reports.stored(spark, path))
 
 
+@query("""
+WITH q AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'RFC ' || 2 * p_partkey WHEN 1 THEN ' rfc00' || p_partkey WHEN 2 THEN 'bcp-' || p_size % 7 ELSE p_name END AS query, CASE p_size % 4 WHEN 0 THEN 2 * p_partkey WHEN 1 THEN p_partkey END AS n, CASE p_size % 4 WHEN 2 THEN p_size % 7 END AS s FROM part)
+SELECT query, CASE WHEN p_partkey IS NULL THEN 'words' ELSE 'document' END AS how, 0 AS pos, p_partkey AS number FROM q LEFT JOIN part ON p_partkey = n WHERE s IS NULL OR s NOT IN (SELECT r_regionkey FROM region)
+UNION ALL SELECT query, 'series', pos, n_nationkey FROM q JOIN (SELECT n_nationkey, n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos FROM nation) ON n_regionkey = s WHERE n_nationkey IN (SELECT p_partkey FROM part)
+""")
+def document_lookup(spark, sf_dir) -> DataFrame:
+    """Labels of parts as documents, series and words: what each names."""
+    p, kind = A.table(spark, sf_dir, "part"), F.col("p_size") % 4
+    label = F.when(kind == 0, F.concat(F.lit("RFC "), 2 * F.col("p_partkey"))).when(kind == 1, F.concat(F.lit(" rfc00"), "p_partkey")).when(kind == 2, F.concat(F.lit("bcp-"), F.col("p_size") % 7)).otherwise(F.col("p_name"))
+    series = A.series(spark, sf_dir).withColumn("series", F.lit("BCP"))
+    return search.looked_up(p.select(label.alias("query")), A.parts(spark, sf_dir), series)
+
+
 # --- sections and headers -----------------------------------------------------------------
 
 

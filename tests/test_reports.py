@@ -1,4 +1,4 @@
-"""Reports that merge, and defined terms, against plain versions and by hand."""
+"""Reports that merge, defined terms and lookups, against plain versions and by hand."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from folio.operators import lines, nesting, reports, terms
+from folio.operators import lines, nesting, reports, search, terms
 
 METRICS = "doc_id long, gap long, part long, n_lines long, chars long, letters long, capitals long, symbols long, bars long, stops int"
 
@@ -119,3 +119,12 @@ def test_defined_terms(spark):
         (1, "Red"): ("s", "three colours"), (1, "Blue"): ("s", "three colours"), (1, "Green"): ("s", "three colours"), (1, "Void"): ("o", "A void is it."),
         (1, "cache, private"): ("o", "Gap"), (1, "Deep"): ("d", "down"),
     }
+
+
+def test_lookup(spark):
+    catalogue = spark.createDataFrame([(7,), (12,), (9,), (14,)], "number long")
+    series = spark.createDataFrame([("BCP", 14, [12, 8, 7]), ("STD", 3, [1]), ("STD", 4, [])], "series string, id int, members array<int>")
+    queries = ["RFC 7", "rfc0012", "9", "BCP14", "std 3", "STD 4", "std 5", "RFC 8", "red widget", "", "7 widgets", None, "RFC 7", "99999999999999999999"]
+    got = search.looked_up(spark.createDataFrame([(q,) for q in queries], "query string"), catalogue, series).collect()
+    words = {(q, "words", 0, None) for q in ("std 5", "RFC 8", "red widget", "", "7 widgets", None, "99999999999999999999")}
+    assert set(map(tuple, got)) == {("RFC 7", "document", 0, 7), ("rfc0012", "document", 0, 12), ("9", "document", 0, 9), ("BCP14", "series", 0, 12), ("BCP14", "series", 2, 7)} | words and len(got) == 12
