@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, decided, row_key
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Columns of what raking reached.
+MET = tuple(f"{d}_{what}" for d in DIMENSIONS for what in ("target", "share"))
 #: Targets are the tokens' own shares raised to this power and scaled: below 1, small groups gain.
 TEMPERATURE = 0.7
 #: Expected part of all tokens that is kept.
@@ -76,7 +78,10 @@ def raked(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame], bud
 
     ``targets`` has each dimension's (key, target) in tokens. A step scales the cells of each value to
     its target by one window sum, and caps them at what they have; a capped value is scaled again by
-    the next round. Every few rounds the table is written and the residual looked at.
+    the next round. Every few rounds the table is written and the residual looked at; raking goes on
+    until it is small, or for ``rounds``. Each dimension's target and share of the kept tokens come with
+    the cells as ``<dimension>_target`` and ``<dimension>_share``, so what was not met can be seen; both
+    are null where nothing is kept.
     """
     live = cells.withColumn("weight", F.col("tokens") * budget)
     for dim in DIMENSIONS:
@@ -92,7 +97,11 @@ def raked(cells: DataFrame, scratch: Scratch, targets: dict[str, DataFrame], bud
         worst = reached(live).agg(F.max("residual").alias("r")).first()["r"]
         if worst is None or worst <= residual:
             break
-    return live.select(*DIMENSIONS, "tokens", "weight")
+    # one row of one number
+    live = live.join(F.broadcast(live.agg(F.sum("weight").alias("__whole"))))
+    part = lambda c: F.try_divide(c, F.col("__whole"))
+    met = [c for d in DIMENSIONS for c in (part(F.col(f"__{d}")).alias(f"{d}_target"), part(F.sum("weight").over(Window.partitionBy(d))).alias(f"{d}_share"))]
+    return live.select(*DIMENSIONS, "tokens", "weight", *met)
 
 
 def reached(live: DataFrame) -> DataFrame:
@@ -116,7 +125,9 @@ def mixed(
     text_col: str = "text",
     topic: Column | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, lang, topic, tokens, probability, sampled, row_key.
+    """One row per row of ``docs``: doc_id, source, lang, topic, tokens, probability, sampled, each dimension's
+    target and share of the kept tokens as raking left them (for the row's own source, language and
+    topic: ``source_target``, ``source_share`` and so on), row_key.
 
     ``targets`` may give a dimension's (key, target) shares. Nulls in source, language or text are
     groups of their own (an empty text has one token). A document is sampled if its hashed id and text
@@ -140,10 +151,10 @@ def mixed(
     cells = scratch.save(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     aims = {dim: scratch.save(feasible_targets(cells, dim, budget, scratch, temperature, (targets or {}).get(dim)), f"target-{dim}") for dim in DIMENSIONS}
     weights = raked(cells, scratch, aims, budget, rounds)
-    chances = weights.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("probability"))
+    chances = weights.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("probability"), *MET)
     same = [F.col(d).eqNullSafe(F.col(f"__{d}")) for d in DIMENSIONS]
     part = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
-    return rows.join(chances, same).select("doc_id", *DIMENSIONS, F.col("tokens").cast("long").alias("tokens"), "probability", (part < F.col("probability")).alias("sampled"), "row_key")
+    return rows.join(chances, same).select("doc_id", *DIMENSIONS, F.col("tokens").cast("long").alias("tokens"), "probability", (part < F.col("probability")).alias("sampled"), *MET, "row_key")
 
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -7,10 +7,14 @@ descent is one expression over it. The weights are a literal of fixed size in th
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS = 2048
+from .labelled_urls import LABELLED
+
+SLOTS = 8192
 #: Most labelled URLs; one row holds them all.
 MOST_LABELLED = 2_000
 STEPS, RATE, DECAY = 40, 80.0, 1e-5
@@ -25,35 +29,6 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: What invented URLs of the labelled table are about, to be allowed and to be blocked.
-ALLOWED = (
-    "news library manual encyclopedia museum travel weather physics history recipes garden council health forum review maps science school university journal archive gallery music theatre cinema "
-    "sports football cycling railway energy climate biology chemistry mathematics language grammar dictionary poetry novel software database compiler tutorial"
-).split()
-BLOCKED = (
-    "casino slots poker betting jackpot bingo roulette lottery pills viagra pharmacy-cheap steroids replica-watches fake-rolex xxx porn adult-chat escort hot-singles nude cams crack keygen warez torrent-full "
-    "serial-key payday-loan fast-cash free-bonus win-prize claim-reward miracle-diet weight-loss-fast buy-followers buy-links seo-links hacked-accounts spy-phone get-rich crypto-double"
-).split()
-#: How such URLs look; both kinds have all of them alike, so only the word tells them apart.
-SHAPES = ("https://www.{w}.{t}/{l}/{n}", "http://{w}-{n}.{t}/index.html", "https://blog.example.{t}/{w}/{n}", "https://my{w}.{t}/{l}/about", "http://{l}.example.{t}/p/{n}/{w}.html", "https://{w}.example.{t}/?id={n}")
-SUFFIXES = ("com", "net", "org", "info", "biz", "de", "fr", "es", "co.uk")
-LANGUAGES = ("en", "de", "fr", "es")
-#: URLs of each word.
-EACH = 8
-
-
-def _invented(words: list[str], blocked: int) -> list[tuple[str, int]]:
-    out = []
-    for i, w in enumerate(words):
-        for k in range(EACH):
-            n = i * EACH + k
-            out.append((SHAPES[(i + 2 * k) % len(SHAPES)].format(w=w, t=SUFFIXES[n % len(SUFFIXES)], l=LANGUAGES[(n + i) % len(LANGUAGES)], n=(37 * n + 11) % 900), blocked))
-    return out
-
-
-#: The labelled table by default: invented URLs (url, 1 to block).
-LABELLED = tuple(_invented(ALLOWED, 0) + _invented(BLOCKED, 1))
-
 
 def host_of(url: Column) -> Column:
     """What stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lowered; else empty."""
@@ -91,10 +66,10 @@ def trained(labelled: DataFrame, size: int = SLOTS, steps: int = STEPS, rate: fl
     row = F.struct(found.alias("found"), F.col(label_col).cast("double").alias("y"))
     table = rows.select(row.alias("row")).limit(MOST_LABELLED + 1).agg(F.sort_array(F.collect_list("row")).alias("rows"))
     each = table.select(F.posexplode("rows").alias("r", "row")).select("r", F.explode("row.found").alias("slot")).groupBy("slot").agg(F.sort_array(F.collect_list("r")).alias("of"))
-    held = each.agg(F.map_from_entries(F.collect_list(F.struct("slot", "of"))).alias("held"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(size)), lambda i: F.coalesce(F.col("held")[i], F.array().cast("array<int>")))
-    # both are one row
-    table = table.join(F.broadcast(held)).select("rows", every.alias("lists"))
+    every = labelled.sparkSession.range(size + 1).select(F.col("id").cast("int").alias("slot")).join(each, "slot", "left").select("slot", F.coalesce("of", F.array().cast("array<int>")).alias("of"))
+    lists = every.agg(F.sort_array(F.collect_list(F.struct("slot", "of"))).alias("held")).select(F.col("held.of").alias("lists"))
+    # both are one row; written out by the exchange, so that no step of the descent builds them again
+    table = table.join(F.broadcast(lists)).repartition(1)
     zero = F.array_repeat(F.lit(0.0), size + 1)
     scale = lambda r: F.lit(1.0) / F.sqrt(F.size(r["found"]))
 
@@ -131,7 +106,8 @@ def judged(pages: DataFrame, weights: list[float], rules=RULES, id_col: str = "p
     Other columns play no part.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    w = F.lit([float(x) for x in weights])
+    # one string that the planner makes an array of once
+    w = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     size = len(weights) - 1
     found = slots(F.col("host"), F.col("path"), size=size)
     # the sum over a text's slots, by looking each one up
@@ -143,7 +119,8 @@ def judged(pages: DataFrame, weights: list[float], rules=RULES, id_col: str = "p
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table as a DataFrame."""
-    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(b).alias("blocked")) for u, b in LABELLED])).alias("r")).select("r.url", "r.blocked")
+    rows = json.dumps([{"url": u, "blocked": b} for u, b in LABELLED])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<url:string,blocked:int>>")))
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
