@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +86,32 @@ def subtree(sections: DataFrame, number: str) -> DataFrame:
 
 
 def unique_anchors(sections: DataFrame) -> DataFrame:
-    """``anchor`` made unique in its document: the second gets ``-2``, and so on."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "anchor").orderBy("pos"))
-    return sections.withColumn("nth", nth).withColumn("anchor", F.when(F.col("nth") > 1, F.concat("anchor", F.lit("-"), "nth")).otherwise(F.col("anchor"))).drop("nth")
+    """``anchor`` made unique in its document, in the order of ``pos``: one that is taken gets the first free of ``-2``, ``-3`` ...
+
+    Names of one family (an anchor without its numbers at the end) can take each other's place, others
+    can't. Where a family has one spelling, its rows are counted by a window; where it has several
+    (``a``, ``a``, ``a-2``), they are walked in order, a document's family at a time. Null stays null.
+    """
+    columns = sections.columns
+    root = F.regexp_replace("anchor", r"(-[0-9]+)+$", "")
+    family = Window.partitionBy("doc_id", "__root")
+    rows = sections.withColumn("__root", root).withColumn("__mixed", F.min("anchor").over(family) != F.max("anchor").over(family))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__root").orderBy("pos"))
+    alone = rows.where("__mixed is null or not __mixed").withColumn("nth", nth)
+    alone = alone.withColumn("anchor", F.when(F.col("nth") > 1, F.concat("anchor", F.lit("-"), "nth")).otherwise(F.col("anchor"))).select(columns)
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, following, out = set(), {}, []
+        pdf = pdf.sort_values("pos")
+        for anchor in pdf["anchor"]:
+            name, n = anchor, following.get(anchor, 2)
+            while name in taken:
+                name, n = f"{anchor}-{n}", n + 1
+            # a name once taken stays so, thus the search of the next goes on from here
+            following[anchor] = n
+            taken.add(name)
+            out.append(name)
+        return pdf.assign(anchor=out)[columns]
+
+    mixed = rows.where("__mixed").groupBy("doc_id", "__root").applyInPandas(walked, sections.schema)
+    return alone.unionByName(mixed)

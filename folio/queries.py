@@ -669,6 +669,38 @@ def numbered_headings(spark, sf_dir) -> DataFrame:
     return lines.headings(A.lines(spark, sf_dir))
 
 
+@query(f"""
+WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)),
+h AS (SELECT doc_id, pos, regexp_extract(line, {_HEADING}, 1) AS number, regexp_extract(line, {_HEADING}, 2) AS title FROM l)
+SELECT doc_id, pos, number, title FROM h WHERE (number = '1' OR starts_with(number, '1.')) AND NOT regexp_matches(title, '[.]{{4}}')
+""")
+def section_subtree(spark, sf_dir) -> DataFrame:
+    return lines.subtree(lines.headings(A.lines(spark, sf_dir)), "1").select("doc_id", "pos", "number", "title")
+
+
+def line_anchors(spark, sf_dir) -> DataFrame:
+    """(doc_id, pos, anchor): each line's first letters as an anchor."""
+    return A.lines(spark, sf_dir).select("doc_id", "pos", F.lower(F.regexp_extract("line", "[A-Za-z]{1,3}", 0)).alias("anchor")).where("anchor != ''")
+
+
+@query("""
+WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, lower(regexp_extract(s[i], '[A-Za-z]{1,3}')) AS anchor FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY pos) AS nth FROM l WHERE anchor <> '')
+SELECT doc_id, pos, CASE WHEN nth > 1 THEN anchor || '-' || nth ELSE anchor END AS anchor FROM n
+""")
+def anchors_made_unique(spark, sf_dir) -> DataFrame:
+    return lines.unique_anchors(line_anchors(spark, sf_dir))
+
+
+@query("""
+WITH l AS (SELECT doc_id, lower(regexp_extract(s[i], '[A-Za-z]{1,3}')) AS anchor FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i))
+SELECT doc_id AS doc, anchor FROM l WHERE anchor <> '' UNION SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL UNION SELECT doc_id, source FROM documents WHERE source IS NOT NULL
+""")
+def anchors_of_documents(spark, sf_dir) -> DataFrame:
+    of = lambda c: A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col(c).alias("anchor"))
+    return outline.anchor_set(line_anchors(spark, sf_dir).withColumnRenamed("doc_id", "doc"), of("lang"), of("source"))
+
+
 @query(r"""
 WITH k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\b(e\.g|i\.e|Sec|cf|vs|Fig)\.', '\1' || chr(1), 'g'), '\s+', ' ', 'g')) AS t FROM documents),
 c AS (SELECT doc_id, regexp_replace(t, '([.!?]["'')\]]*) ([\p{Lu}\p{N}"''(\[])', '\1' || chr(10) || '\2', 'g') AS t FROM k)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import diff, extract, fulltext, graph, lists, outline, ranges, spans
+from folio.operators import diff, extract, fulltext, graph, lines, lists, outline, ranges, spans
 from folio.plans.filters import Filters
 from folio.sources import readers
 from folio.sources.tables import shared
@@ -242,3 +242,22 @@ def test_relocated_quotes(spark):
     docs = spark.createDataFrame([(1, "a.b a.b c"), (2, "x")], "doc_id int, text string")
     quotes = spark.createDataFrame([(1, 1, "a.b", 0), (2, 1, "a.b", 1), (3, 1, "c", 0), (4, 1, "zz", 0), (5, 9, "a", 0), (6, 1, "", 99)], "quote_id int, doc_id int, quote string, at int")
     assert {r["quote_id"]: r["state"] for r in extract.relocated(quotes, docs).collect()} == {1: "exact", 2: "ambiguous", 3: "moved", 4: "detached", 5: "detached", 6: "exact"}
+
+
+def test_unique_anchors_against_a_walk(spark):
+    """Renamed anchors that meet natural ones take the next free number; null stays null."""
+    rng = random.Random(5)
+    rows = [(d, p, rng.choice(["a", "a-2", "a-2-2", "a-3", "b", "b", "c-9", None])) for d in range(40) for p in range(rng.randrange(1, 14))]
+    want = []
+    for d in range(40):
+        taken = set()
+        for _, p, a in (r for r in rows if r[0] == d):
+            name, n = a, 2
+            while a is not None and name in taken:
+                name, n = f"{a}-{n}", n + 1
+            taken.add(name)
+            want.append((d, p, name))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id int, pos int, anchor string")
+    assert sorted(map(tuple, lines.unique_anchors(df).collect()), key=lambda r: r[:2]) == want
+    assert lines.unique_anchors(df.where("false")).count() == 0
