@@ -669,13 +669,14 @@ def numbered_headings(spark, sf_dir) -> DataFrame:
     return lines.headings(A.lines(spark, sf_dir))
 
 
-@query(f"""
-WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)),
-h AS (SELECT doc_id, pos, regexp_extract(line, {_HEADING}, 1) AS number, regexp_extract(line, {_HEADING}, 2) AS title FROM l)
-SELECT doc_id, pos, number, title FROM h WHERE (number = '1' OR starts_with(number, '1.')) AND NOT regexp_matches(title, '[.]{{4}}')
+@query("""
+WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, CAST(l_quantity AS INTEGER) || '.' || l_linenumber AS number FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) FROM lineitem)
+SELECT doc_id, pos, number FROM s WHERE number = '1' OR starts_with(number, '1.')
 """)
 def section_subtree(spark, sf_dir) -> DataFrame:
-    return lines.subtree(lines.headings(A.lines(spark, sf_dir)), "1").select("doc_id", "pos", "number", "title")
+    of = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").cast("int").cast("string").alias("own"))
+    numbers = F.array(F.concat("own", F.lit("."), "pos"), "own")
+    return lines.subtree(of.select("doc_id", "pos", F.explode(numbers).alias("number")), "1")
 
 
 def line_anchors(spark, sf_dir) -> DataFrame:
