@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
+from ..sources.tables import cut
 
 
 def parents(rows: DataFrame, id_col: str, pos_col: str, depth_col: str) -> DataFrame:
@@ -80,31 +81,36 @@ def nodes(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
 
     Of any depth, in the order of the document; ``kind`` is ``element`` or ``text``, or ``fault`` for a closing tag
     that closes nothing open. ``section`` and ``block`` are the pos of the nearest section and block that a node lies in
-    (itself included). Comments, instructions and the document type are no nodes; CDATA is text. Documents are
-    split into tags and texts by one expression; what is open is a stack over these rows.
+    (itself included). Comments, instructions and the document type are no nodes; CDATA is text. Documents are dealt
+    over the tasks whole and split into tags and texts by one expression, which leaves each document's in order; what
+    is open is a stack over these rows. Nodes are written once: whatever reads them would parse again.
+
+    Whatever joins nodes with each other must do so by a shuffle (``hint("merge")``): Spark takes them for as small as
+    the file that they are derived from, and would send them to the driver.
     """
+    dealt = docs.select(id_col, xml_col).repartition(id_col).withColumn("__doc", F.monotonically_increasing_id())
     token = F.posexplode(F.regexp_extract_all(F.col(xml_col), F.lit(_TOKEN), F.lit(0))).alias("pos", "token")
-    t = docs.select(id_col, token).where("not startswith(token, '<!--') and not startswith(token, '<?') and not (startswith(token, '<!') and not startswith(token, '<![CDATA['))")
+    t = dealt.select(id_col, "__doc", token).where("not startswith(token, '<!--') and not startswith(token, '<?') and not (startswith(token, '<!') and not startswith(token, '<![CDATA['))")
     cdata, closes, opens = F.startswith("token", F.lit("<![CDATA[")), F.startswith("token", F.lit("</")), F.col("token").rlike("^<[A-Za-z_]")
     names = F.regexp_extract_all("token", F.lit(_ATTRIBUTE), F.lit(1))
     values = F.transform(F.regexp_extract_all("token", F.lit(_ATTRIBUTE), F.lit(0)), lambda a: unescaped(F.regexp_replace(F.regexp_replace(a, r"(?s)^[^=]*=\s*", ""), r"(?s)^(['\"])(.*)\1$", "$2")))
-    text = F.when(cdata, F.expr("substring(token, 10, length(token) - 12)")).when(~closes & ~opens, unescaped(F.col("token")))
+    attributes = F.map_from_arrays(F.array_distinct(names), F.slice(values, F.lit(1), F.size(F.array_distinct(names))))
+    text = F.when(cdata, F.expr("substring(token, 10, length(token) - 12)")).when(~closes & ~opens, F.when(F.contains("token", F.lit("&")), unescaped(F.col("token"))).otherwise(F.col("token")))
     cut_up = t.select(
-        id_col, "pos", F.when(closes, "close").when(opens, F.when(F.endswith("token", F.lit("/>")), "empty").otherwise("open")).otherwise("text").alias("what"),
-        F.when(opens | closes, F.regexp_extract("token", r"^</?([\w.:-]+)", 1)).alias("tag"), text.alias("text"), F.when(opens, F.map_from_arrays(F.array_distinct(names), F.slice(values, F.lit(1), F.size(F.array_distinct(names))))).alias("attributes"),
+        id_col, "__doc", "pos", F.when(closes, "close").when(opens, F.when(F.endswith("token", F.lit("/>")), "empty").otherwise("open")).otherwise("text").alias("what"),
+        F.when(opens | closes, F.regexp_extract("token", r"^</?([\w.:-]+)", 1)).alias("tag"), text.alias("text"), F.when(opens & F.contains("token", F.lit("=")), attributes).when(opens, F.create_map().cast("map<string, string>")).alias("attributes"),
     )
-    ordered = cut_up.repartition(id_col).sortWithinPartitions(F.asc_nulls_first(id_col), "pos")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, pos int, kind string, tag string, depth int, parent int, section int, block int, attributes map<string, string>, text string"
     blocks = frozenset(BLOCKS)
 
     def run(batches):
-        doc, stack, first = None, [], True  # (tag, pos, section, block)
+        doc, stack = None, []  # (tag, pos, section, block)
         for batch in batches:
             take, kinds, places = [], [], []
-            for row, (i, pos, what, tag) in enumerate(zip(*(batch.column(c).to_pylist() for c in (id_col, "pos", "what", "tag")))):
-                if first or i != doc:
-                    doc, stack, first = i, [], False
+            for row, (i, pos, what, tag) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__doc", "pos", "what", "tag")))):
+                if i != doc:
+                    doc, stack = i, []
                 _, parent, section, block = stack[-1] if stack else (None, None, None, None)
                 if what == "close":
                     at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
@@ -129,19 +135,18 @@ def nodes(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
                 columns = [pa.array(c, pa.int32()) for c in zip(*places)]
                 yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("pos"), pa.array(kinds), part.column("tag"), *columns, part.column("attributes"), part.column("text")], names=[id_col, "pos", "kind", "tag", "depth", "parent", "section", "block", "attributes", "text"])
 
-    return ordered.mapInArrow(run, schema)
+    return cut(cut_up.mapInArrow(run, schema))
 
 
 def sections(found: DataFrame, id_col: str) -> DataFrame:
     """(id, pos, anchor, depth, parent, title) of the sections of ``nodes``, to any depth; depth counts sections."""
-    own = found.where("tag = 'section'").select(id_col, "pos", F.col("attributes")["anchor"].alias("anchor"), F.col("depth").alias("level"))
-    nested = parents(own, id_col, "pos", "level")
+    level = F.dense_rank().over(Window.partitionBy(id_col).orderBy("level"))
+    own = found.where("tag = 'section' and kind = 'element'").select(id_col, "pos", F.col("attributes")["anchor"].alias("anchor"), F.col("depth").alias("level"), F.col("attributes")["title"].alias("own_title"))
+    nested = parents(own, id_col, "pos", "level").withColumn("depth", level)
     # a section's title is the text of its name, or an attribute
     named = blocks(found, id_col).where("tag = 'name'").groupBy(id_col, F.col("section").alias("pos")).agg(F.min_by("text", "pos").alias("title"))
-    titled = found.where("tag = 'section'").select(id_col, "pos", F.col("attributes")["title"].alias("own_title"))
-    depth = own.groupBy(id_col).agg(F.array_sort(F.collect_set("level")).alias("levels"))
-    out = nested.join(named, [id_col, "pos"], "left").join(titled, [id_col, "pos"]).join(depth, id_col)
-    return out.select(id_col, "pos", "anchor", F.array_position("levels", F.col("level")).cast("int").alias("depth"), "parent", F.coalesce("title", F.trim(squeezed(F.col("own_title")))).alias("title"))
+    out = nested.join(named.hint("merge"), [id_col, "pos"], "left")
+    return out.select(id_col, "pos", "anchor", "depth", "parent", F.coalesce("title", F.trim(squeezed(F.col("own_title")))).alias("title"))
 
 
 def blocks(found: DataFrame, id_col: str) -> DataFrame:
@@ -149,9 +154,13 @@ def blocks(found: DataFrame, id_col: str) -> DataFrame:
 
     A block inside another one has its own text. Code and artwork keep their white space.
     """
-    texts = found.where("kind = 'text' and block is not null").select(id_col, F.col("block").alias("pos"), F.struct(F.col("pos").alias("at"), "text").alias("part"))
-    joined = texts.groupBy(id_col, "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "").alias("text"))
-    own = found.where(F.col("tag").isin(*BLOCKS) & (F.col("kind") == "element")).select(id_col, "pos", "tag", "section").join(joined, [id_col, "pos"], "left")
+    is_text = F.col("kind") == "text"
+    rows = found.where((is_text & F.col("block").isNotNull()) | (F.col("tag").isin(*BLOCKS) & (F.col("kind") == "element")))
+    # a block and the texts in it meet in one group
+    part = F.when(is_text, F.struct(F.col("pos").alias("at"), "text"))
+    met = rows.select(id_col, F.when(is_text, F.col("block")).otherwise(F.col("pos")).alias("pos"), "tag", F.when(~is_text, F.col("section")).alias("section"), part.alias("part")).groupBy(id_col, "pos")
+    texts = F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"])
+    own = met.agg(F.max("tag").alias("tag"), F.max("section").alias("section"), F.array_join(texts, "").alias("text"))
     plain = F.coalesce("text", F.lit(""))
     return own.withColumn("text", F.when(F.col("tag").isin("sourcecode", "artwork"), plain).otherwise(F.trim(squeezed(plain))))
 
@@ -171,7 +180,7 @@ def cells(found: DataFrame, id_col: str) -> DataFrame:
     both = rows.select(id_col, F.col("tr").alias("at"), "tr", F.lit(None).cast("int").alias("t")).unionByName(tables.select(id_col, F.col("table").alias("at"), F.lit(None).cast("int").alias("tr"), F.col("table").alias("t")))
     placed = both.withColumn("table", F.last("t", True).over(edge)).where("tr is not null").select(id_col, "tr", "table")
     own = found.where("tag in ('td', 'th') and kind = 'element'").select(id_col, "pos", F.col("parent").alias("tr"), (F.col("tag") == "th").alias("is_head"))
-    met = own.join(placed, [id_col, "tr"]).join(blocks(found, id_col).select(id_col, "pos", "text"), [id_col, "pos"])
+    met = own.join(placed.hint("merge"), [id_col, "tr"]).join(blocks(found, id_col).select(id_col, "pos", "text").hint("merge"), [id_col, "pos"])
     row = F.dense_rank().over(Window.partitionBy(id_col, "table").orderBy("tr"))
     col = F.row_number().over(Window.partitionBy(id_col, "tr").orderBy("pos"))
     return met.select(id_col, "table", row.alias("row"), col.alias("col"), "is_head", "text")
@@ -232,7 +241,8 @@ def depaginated(lines: DataFrame, share: float = 0.5) -> DataFrame:
     bare = lines.withColumn("edge", (feed | footer).cast("int")).withColumn("line", F.translate("line", "\f", "")).withColumn("footer", footer)
     # edges next to each other, with nothing but blank lines between, are one: a page has text
     told = bare.withColumn("blank", F.trim("line") == "").withColumn("content", ~F.col("blank") & ~F.col("footer"))
-    edge = told.withColumn("edges", F.sum("edge").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = by_pos.rowsBetween(Window.unboundedPreceding, 0)
+    edge = told.withColumn("edges", F.sum("edge").over(so_far)).withColumn("n_blank", F.sum(F.col("blank").cast("int")).over(so_far))
     # the line with the footer ends the page that it is on; a feed's line begins the next
     paged = edge.withColumn("page", F.col("edges") - F.when(F.col("footer"), 1).otherwise(0))
     content = paged.where("content")
@@ -242,15 +252,14 @@ def depaginated(lines: DataFrame, share: float = 0.5) -> DataFrame:
     key = F.regexp_replace(squeezed(F.col("line")), r"\d+", "#")
     side = F.when(F.col("first") & (F.col("p") > 1), "top").when(F.col("last") & (F.col("p") < F.col("n_pages")), "bottom")
     keyed = sided.withColumn("key", key).withColumn("side", side)
-    tally = keyed.where("side is not null").groupBy("doc_id", "side", "key").agg(F.count(F.lit(1)).alias("n"), F.max("n_pages").alias("of"))
-    running = tally.where((F.col("n") >= 2) & (F.col("n") >= share * (F.col("of") - 1))).select("doc_id", "side", "key")
-    kept = keyed.join(running, ["doc_id", "side", "key"], "left_anti").select("doc_id", "pos", "line", "p")
+    # told by windows over the same document: a join would send lines to the driver, since Spark takes them for as small as their source
+    tally = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "side", "key")))
+    running = F.col("side").isNotNull() & (F.col("n") >= 2) & (F.col("n") >= share * (F.col("n_pages") - 1))
+    kept = tally.where(~running).select("doc_id", "pos", "line", "p", "n_blank")
     # blank lines: those within a page stay; between the pages' last and first lines one stays, or none where the paragraph goes on
     before, page_before = F.lag("line").over(by_pos), F.lag("p").over(by_pos)
     gaps = kept.withColumn("before", before).withColumn("turned", F.coalesce(page_before != F.col("p"), F.lit(False))).withColumn("prev", F.lag("pos").over(by_pos))
-    blanks = told.where("blank").select("doc_id", F.col("pos").alias("b"))
-    counted = paged.withColumn("n_blank", F.sum(F.col("blank").cast("int")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))).select("doc_id", "pos", "n_blank")
-    with_blank = gaps.join(counted, ["doc_id", "pos"]).withColumn("had", F.col("n_blank") - F.lag("n_blank").over(by_pos))
+    with_blank = gaps.withColumn("had", F.col("n_blank") - F.lag("n_blank").over(by_pos))
     goes_on = ~F.rtrim("before").rlike(r"[.!?:]$") & F.ltrim("line").rlike(r"^\p{Ll}")
     gap = F.when(F.col("prev").isNull(), 0).when(F.col("turned"), F.when(goes_on, 0).otherwise(1)).otherwise(F.coalesce("had", F.lit(0)))
     both = with_blank.withColumn("out", F.concat(F.array_repeat(F.lit(""), gap.cast("int")), F.array("line")))

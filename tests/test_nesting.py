@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import xml.etree.ElementTree as ET
 
+import pytest
+
 from folio.operators import nesting
+from folio.queries import QUERIES
 
 
 def test_parents(spark):
@@ -102,3 +105,15 @@ def test_pages(spark):
     assert [x["line"] for x in got if x["doc_id"] == 0] == ["Title", "", "A paragraph that", "goes on here.", "", "Second.", "", "Third one.", "Fourth"]
     assert [x["line"] for x in got if x["doc_id"] == 1] == ["no pages", "", "", "at all"]
     assert [x["pos"] for x in got if x["doc_id"] == 0] == list(range(9))
+
+
+@pytest.mark.parametrize("name", ["xml_sections_any_depth", "xml_blocks_and_references", "defined_terms", "text_without_pages", "nested_headings"])
+def test_derived_rows_are_never_sent_to_the_driver(spark, data, name):
+    """Rows derived from a small file are many: joins of them are shuffles, whatever size Spark takes the file for."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_documents_that_share_an_id(spark):
+    found = nesting.nodes(spark.createDataFrame([(1, "<a><b>"), (1, "<c/>")], "id int, xml string"), "id", "xml").collect()
+    assert sorted((x["tag"], x["depth"]) for x in found) == [("a", 1), ("b", 2), ("c", 1)]
