@@ -48,9 +48,9 @@ def listed(found: DataFrame, id_col: str) -> DataFrame:
     back = Window.partitionBy(id_col, "parent").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
     terms = rows.withColumn("dd", F.last(F.when(F.col("tag") == "dd", F.col("pos")), True).over(back)).where("tag = 'dt'")
     texts = nesting.blocks(found, id_col).select(id_col, "pos", "text").where("text != ''")
-    inner = elements.select(id_col, "pos", F.col("parent").alias("dd")).join(texts, [id_col, "pos"]).groupBy(id_col, "dd").agg(F.min_by("text", "pos").alias("inner"))
+    inner = elements.select(id_col, "pos", F.col("parent").alias("dd")).join(texts.hint("merge"), [id_col, "pos"]).groupBy(id_col, "dd").agg(F.min_by("text", "pos").alias("inner"))
     own = texts.select(id_col, F.col("pos").alias("dd"), F.col("text").alias("own"))
-    met = terms.join(texts.withColumnRenamed("text", "term"), [id_col, "pos"]).join(own, [id_col, "dd"], "left").join(inner, [id_col, "dd"], "left")
+    met = terms.join(texts.withColumnRenamed("text", "term").hint("merge"), [id_col, "pos"]).join(own.hint("merge"), [id_col, "dd"], "left").join(inner.hint("merge"), [id_col, "dd"], "left")
     return met.select(id_col, "pos", "section", "term", F.coalesce("own", "inner", F.lit("")).alias("meaning"))
 
 
@@ -58,7 +58,7 @@ def indexed(found: DataFrame, id_col: str) -> DataFrame:
     """(id, pos, section, term, meaning) of primary index entries; the meaning is the block they stand in, none outside of one."""
     own = found.where("tag = 'iref' and attributes['primary'] = 'true'").select(id_col, "pos", "section", "block", F.trim(F.col("attributes")["item"]).alias("term"))
     texts = nesting.blocks(found, id_col).select(id_col, F.col("pos").alias("block"), F.col("text").alias("meaning"))
-    return own.where("term != ''").join(texts, [id_col, "block"], "left").select(id_col, "pos", "section", "term", F.coalesce("meaning", F.lit("")).alias("meaning"))
+    return own.where("term != ''").join(texts.hint("merge"), [id_col, "block"], "left").select(id_col, "pos", "section", "term", F.coalesce("meaning", F.lit("")).alias("meaning"))
 
 
 def defined_terms(found: DataFrame, id_col: str) -> DataFrame:
@@ -71,8 +71,8 @@ def defined_terms(found: DataFrame, id_col: str) -> DataFrame:
     sections = nesting.sections(found, id_col)
     read = term_sections(sections, id_col).select(id_col, F.col("pos").alias("section"))
     bare = F.regexp_replace("term", r"\s*[:\-–—]+\s*$", "")
-    lists = listed(found, id_col).join(read, [id_col, "section"], "left_semi").select(id_col, "section", "pos", F.lit(1).alias("source"), F.explode(term_spellings(bare)).alias("term"), "meaning")
+    lists = listed(found, id_col).join(read.hint("merge"), [id_col, "section"], "left_semi").select(id_col, "section", "pos", F.lit(1).alias("source"), F.explode(term_spellings(bare)).alias("term"), "meaning")
     entries = indexed(found, id_col).select(id_col, "section", "pos", F.lit(0).alias("source"), "term", "meaning")
     first = lists.unionByName(entries).where("meaning != ''").groupBy(id_col, "term").agg(F.min(F.struct("source", "pos", "section", "meaning")).alias("d"))
     anchors = sections.select(id_col, F.col("pos").alias("section"), "anchor")
-    return first.select(id_col, "term", "d.section", "d.meaning").join(anchors, [id_col, "section"], "left").select(id_col, "term", "anchor", "meaning")
+    return first.select(id_col, "term", "d.section", "d.meaning").join(anchors.hint("merge"), [id_col, "section"], "left").select(id_col, "term", "anchor", "meaning")
