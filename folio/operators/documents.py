@@ -95,10 +95,14 @@ def artwork_kind(declared: Column) -> Column:
 
 
 def due(checks: DataFrame, now: datetime, every: timedelta = timedelta(hours=24), forget: timedelta = timedelta(days=7)) -> DataFrame:
-    """``checks(key, checked_at, etag)`` with ``is_due``, and ``etag`` null where it is too old to be asked with."""
-    at = F.lit(now).cast("timestamp")
-    age = F.unix_seconds(at) - F.unix_seconds(F.col("checked_at").cast("timestamp"))
-    return checks.withColumn("is_due", F.coalesce(age >= int(every.total_seconds()), F.lit(True))).withColumn("etag", F.when(age < int(forget.total_seconds()), F.col("etag")))
+    """``checks(key, checked_at, etag)`` with ``is_due``, and ``etag`` null where it is too old to be asked with.
+
+    Ages count to the microsecond; ``now`` without a zone is of the session's.
+    """
+    at = F.lit(now.isoformat(sep=" ")).cast("timestamp")
+    age = F.unix_micros(at) - F.unix_micros(F.col("checked_at").cast("timestamp"))
+    micros = lambda d: F.lit(d // timedelta(microseconds=1)).cast("long")
+    return checks.withColumn("is_due", F.coalesce(age >= micros(every), F.lit(True))).withColumn("etag", F.when(age < micros(forget), F.col("etag")))
 
 
 def usage(files: DataFrame, tier: str = "tier") -> DataFrame:

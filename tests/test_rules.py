@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import align, citations, diff, extract, fulltext, graph, incremental, judge, lines, lists, ranges, search
 from folio.plans.filters import Filters
+from folio.queries import QUERIES
 from folio.sources import readers, sinks
 
 
@@ -162,3 +163,11 @@ def test_feed_and_registry(spark, tmp_path):
     reg = readers.registry(spark, str(tmp_path / "r.xml"))
     terms = spark.createDataFrame([("15",), ("21",), ("0x0F",), ("x",)], "term string")
     assert [(r["term"], r["name"]) for r in ranges.registry_lookup(terms, reg).collect()] == [("15", "ten")]
+
+
+def test_checks_due_to_the_microsecond(spark, tmp_path):
+    at = ["2024-01-19 00:00:00", "2024-01-19 00:00:00.4", "2024-01-13 00:00:00", "2024-01-13 00:00:00.000001"]
+    rows = [(i, ts, 1, "view", 0.0) for i, ts in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["key"]: (r["is_due"], r["etag"]) for r in QUERIES["checks_due"](spark, str(tmp_path)).collect()}
+    assert got == {0: (True, "view"), 1: (False, "view"), 2: (True, None), 3: (True, "view")}
