@@ -6,6 +6,7 @@ import math
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,18 @@ def test_kept_table_follows_its_files(spark, tmp_path):
     spark.range(4).write.mode("overwrite").parquet(source)
     kept()
     assert len(made) == 2
+
+
+def test_entries_hold_few_tokens_at_once():
+    """However many sections a batch has, rows leave by pieces, and the pieces are what the whole is."""
+    r = random.Random(4)
+    rows = [[r.choice("abcdef") * r.randrange(1, 4) for _ in range(r.choice([0, 3, 400, 3000]))] for _ in range(200)]
+    rows[7], rows[30] = None, ["x"] * (2 * fulltext.PIECE_TOKENS)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(rows, pa.list_(pa.string()))], names=["doc", "__body"])
+    out = list(fulltext._entries(("body",))([batch]))
+    assert [x for b in out for x in b.column("doc").to_pylist()] == list(range(200))
+    assert [x for b in out for x in b.column("len").to_pylist()] == [len(x or ()) for x in rows]
+    assert all(b.num_rows == 1 or sum(b.column("len").to_pylist()) <= fulltext.PIECE_TOKENS for b in out)
+    for entries, words in zip((x for b in out for x in b.column("entries").to_pylist()), rows):
+        assert {e["term"]: e["positions"] for e in entries} == {w: [i for i, x in enumerate(words) if x == w] for w in dict.fromkeys(words or ())}
+    assert list(fulltext._entries(("body",))([batch.slice(0, 0)])) == []
