@@ -192,3 +192,13 @@ def test_entries_hold_few_tokens_at_once():
     for entries, words in zip((x for b in out for x in b.column("entries").to_pylist()), rows):
         assert {e["term"]: e["positions"] for e in entries} == {w: [i for i, x in enumerate(words) if x == w] for w in dict.fromkeys(words or ())}
     assert list(fulltext._entries(("body",))([batch.slice(0, 0)])) == []
+
+
+def test_phrase_has_a_row_a_section_not_a_position(spark, tmp_path):
+    """Words at very many places of a section: what is shuffled is the section's rows."""
+    docs = spark.createDataFrame([(1, 0, "of the " * 500 + "of of the"), (2, 0, "the of"), (3, 0, "of the of the")], "doc int, ord int, body string")
+    index = fulltext.Index.write(docs, f"file://{tmp_path}/i")
+    found = index.phrase(["of", "the"])
+    assert {(x["doc"], x["n"]) for x in found.collect()} == {(1, 501), (3, 2)}
+    assert {(x["doc"], x["n"]) for x in index.phrase(["of", "the", "of"]).collect()} == {(1, 500), (3, 1)}
+    assert "explode(" not in found._jdf.queryExecution().optimizedPlan().toString()
