@@ -171,3 +171,14 @@ def test_checks_due_to_the_microsecond(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r["key"]: (r["is_due"], r["etag"]) for r in QUERIES["checks_due"](spark, str(tmp_path)).collect()}
     assert got == {0: (True, "view"), 1: (False, "view"), 2: (True, None), 3: (True, "view")}
+
+
+def test_ranges_meet_few_values_that_they_lack(spark):
+    """Narrow ranges go to narrow cells, however wide the cells that were asked for."""
+    values = spark.range(4000).select((F.col("id") / 2).alias("v"))
+    bands = spark.range(400).select(F.col("id").alias("band"), (F.col("id") * 5.0).alias("lo"), (F.col("id") * 5.0 + 3).alias("hi"))
+    points = spark.range(100).select((F.col("id") + 1000).alias("band"), (F.col("id") * 20.0).alias("lo"), (F.col("id") * 20.0).alias("hi"))
+    both = bands.unionByName(points)
+    found = ranges.in_range(values, both, "v", "lo", "hi", 50.0)
+    assert found.count() == values.join(both, (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).count() == 400 * 7 + 100
+    assert ranges.candidates(values, both, "v", "lo", "hi", 50.0).count() < 4 * found.count()
