@@ -182,3 +182,17 @@ def test_ranges_meet_few_values_that_they_lack(spark):
     found = ranges.in_range(values, both, "v", "lo", "hi", 50.0)
     assert found.count() == values.join(both, (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).count() == 400 * 7 + 100
     assert ranges.candidates(values, both, "v", "lo", "hi", 50.0).count() < 4 * found.count()
+
+
+def test_steps_of_a_path_read_the_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "a int, b int").mapInArrow(counted, "a int, b int")
+    found = graph.depths(edges, spark.createDataFrame([(1,)], "root int"))
+    assert sorted((x["node"], x["depth"]) for x in found.collect()) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    assert made.value == 4
