@@ -39,19 +39,24 @@ def words_of(text):
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"), F.lit(0))
 
 
+#: Terms up to which a dictionary is sent to the texts; beyond, places and terms are dealt by their first word.
+SENT_TERMS = 100_000
+
+
 def dictionary_hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, key, n_words): every place where a text has a term of ``terms(key, term)``, of any number of words.
 
     Places meet the terms by their first word; what follows is compared in the row, so no text is held against all
-    terms. A term without words is none.
+    terms. A dictionary of at most ``SENT_TERMS`` is sent to the texts, so that only hits leave their tasks. A term
+    without words is none.
     """
     known = terms.select("key", words_of(F.col("term")).alias("term")).where(F.size("term") > 0).distinct().withColumn("first", F.element_at("term", 1))
-    most = known.agg(F.max(F.size("term"))).first()[0]
+    most, n = known.agg(F.max(F.size("term")), F.count(F.lit(1))).first()
     if most is None:
         return texts.select(id_col, F.lit(0).alias("pos"), F.lit(None).cast(terms.schema["key"].dataType).alias("key"), F.lit(0).alias("n_words")).where("false")
     held = texts.select(id_col, words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     places = held.select(id_col, "w", F.posexplode("w").alias("pos", "first")).select(id_col, "pos", "first", F.slice("w", F.col("pos") + 1, most).alias("next"))
-    met = places.join(known, "first").where(F.slice("next", F.lit(1), F.size("term")) == F.col("term"))
+    met = places.join(F.broadcast(known) if n <= SENT_TERMS else known, "first").where(F.slice("next", F.lit(1), F.size("term")) == F.col("term"))
     return met.select(id_col, "pos", "key", F.size("term").alias("n_words"))
 
 

@@ -63,6 +63,17 @@ def test_glosses_that_overlap(spark):
     assert spans.glossed(chain, terms.where("false"), "id", "text").count() == 0
 
 
+def test_a_small_dictionary_goes_to_the_texts(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"the red fox and the fox {i}") for i in range(20)], "id int, text string")
+    terms = spark.createDataFrame([("rf", "Red fox"), ("f", "fox")], "key string, term string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sent = spans.dictionary_hits(texts, terms, "id", "text")
+    assert "BroadcastHashJoin" in plan(sent) and "SortMergeJoin" not in plan(sent)
+    monkeypatch.setattr(spans, "SENT_TERMS", 1)
+    dealt = spans.dictionary_hits(texts, terms, "id", "text")
+    assert "BroadcastHashJoin" not in plan(dealt) and sorted(sent.collect()) == sorted(dealt.collect()) and sent.count() == 60
+
+
 def test_links(spark):
     cases = {
         "RFCs 1, 2 and 3, or RFC 4": [("number", "1"), ("number", "2"), ("number", "3"), ("number", "RFC 4")],
