@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
+from ..sources.tables import cut, dealt
 
 _TOKEN = re.compile(r"\s+|\S+")
 #: Bits of one pass's table; longer pairs are halved first.
@@ -161,9 +161,11 @@ def longest_increasing(values: list[int]) -> list[int]:
 
 
 def _left_out(orders: pd.Series) -> pd.Series:
-    """For each document's places in the older order, by the newer one: which are outside its longest run in order."""
+    """For each document's places in the older order, by the newer one: which are outside its longest run in order; null stays null."""
 
-    def of(values) -> list[bool]:
+    def of(values) -> list[bool] | None:
+        if values is None:
+            return None
         kept = set(longest_increasing(list(values)))
         return [i not in kept for i in range(len(values))]
 
@@ -212,28 +214,35 @@ def paired(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) ->
     return out.unionByName(cut(left.select("doc", "a").join(right.select("doc", F.col("b"), F.col("b").alias("a")), ["doc", "a"]).select("doc", "a", "b")))
 
 
-def section_changes(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
+def section_changes(old: DataFrame, new: DataFrame, aligned: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """(doc, old_anchor, anchor, change, moved): added, removed, changed or same sections, and whether they moved.
 
-    ``(doc, anchor, pos, body)`` on both sides, title where there are titles; see paired for which meet. A
-    section is moved if it is outside the longest run of pairs that keeps the older order. Only documents
-    whose order changed at all go through Python, each with the places of its sections.
+    ``(doc, anchor, pos, body)`` on both sides, title where there are titles; see paired for which meet. Without
+    titles and ``aligned`` that is one full join by anchor, and each side is read once. A section is moved if it is
+    outside the longest run of pairs that keeps the older order. Python gets the places of a document's sections
+    only where its order changed. ``rows``: about how many sections a side has, if that is known.
     """
-    o, n = (df if "title" in df.columns else df.withColumn("title", F.lit(None).cast("string")) for df in (old, new))
-    pairs = paired(o, n, aligned)
-    o = o.select("doc", F.col("anchor").alias("a"), F.col("pos").alias("p1"), F.sha2("body", 256).alias("h1"))
-    n = n.select("doc", F.col("anchor").alias("b"), F.col("pos").alias("p2"), F.sha2("body", 256).alias("h2"))
-    met = pairs.join(o, ["doc", "a"]).join(n, ["doc", "b"])
-    r1 = F.row_number().over(Window.partitionBy("doc").orderBy("p1", "a"))
-    r2 = F.row_number().over(Window.partitionBy("doc").orderBy("p2", "b"))
-    ranked = met.withColumn("r1", r1).withColumn("r2", r2)
-    shuffled = ranked.where("r1 != r2").select("doc").distinct()
-    kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
-    listed = ranked.join(shuffled, "doc", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("p2", "b", "r1"))).alias("s"))
-    moved = F.pandas_udf(_left_out, "array<boolean>")(F.transform("s", lambda x: x["r1"]))
-    out_of_order = listed.withColumn("m", moved).select("doc", F.explode(F.arrays_zip("s", "m")).alias("z")).where("z.m").select("doc", F.col("z.s.b").alias("b"))
-    both = met.join(out_of_order.withColumn("moved", F.lit(True)), ["doc", "b"], "left")
-    both = both.select("doc", F.col("a").alias("old_anchor"), F.col("b").alias("anchor"), F.when(F.col("h1").eqNullSafe(F.col("h2")), "same").otherwise("changed").alias("change"), F.coalesce("moved", F.lit(False)).alias("moved"))
-    gone = o.join(pairs, ["doc", "a"], "left_anti").select("doc", F.col("a").alias("old_anchor"), F.lit(None).cast(kinds["b"]).alias("anchor"), F.lit("removed").alias("change"), F.lit(False).alias("moved"))
-    come = n.join(pairs, ["doc", "b"], "left_anti").select("doc", F.lit(None).cast(kinds["a"]).alias("old_anchor"), F.col("b").alias("anchor"), F.lit("added").alias("change"), F.lit(False).alias("moved"))
-    return both.unionByName(gone).unionByName(come)
+    deal = lambda df, *keys: df.repartition(*keys) if rows is None else dealt(df, rows, *keys)
+
+    def side(df, anchor, pos, body, own):
+        return df.select("doc", F.col("anchor").alias(anchor), F.col("pos").alias(pos), F.sha2("body", 256).alias(body), F.lit(True).alias(own))
+
+    if aligned is None and "title" not in old.columns and "title" not in new.columns:
+        left, right = (deal(df.withColumn("k", F.col(k)), "doc", "k") for df, k in ((side(old, "a", "p1", "h1", "o"), "a"), (side(new, "b", "p2", "h2", "n"), "b")))
+        every = left.join(right, ["doc", "k"], "full")
+    else:
+        # each side is written, as the steps of paired read it again and again
+        old, new = (cut(df if "title" in df.columns else df.withColumn("title", F.lit(None).cast("string"))) for df in (old, new))
+        every = side(old, "a", "p1", "h1", "o").join(paired(old, new, aligned), ["doc", "a"], "left").join(side(new, "b", "p2", "h2", "n"), ["doc", "b"], "full")
+    met = F.col("o") & F.col("n")
+    change = F.when(F.col("n").isNull(), "removed").when(F.col("o").isNull(), "added").when(F.col("h1").eqNullSafe(F.col("h2")), "same").otherwise("changed")
+    place = lambda *order: F.row_number().over(Window.partitionBy("doc", "met").orderBy(*order))
+    ranked = deal(every.withColumn("met", F.coalesce(met, F.lit(False))).withColumn("change", change), "doc").withColumn("r1", place("p1", "a")).withColumn("r2", place("p2", "b"))
+    # a section of no document stands by itself
+    alone = F.when(F.col("doc").isNull(), F.xxhash64("a", "b"))
+    listed = ranked.groupBy("doc", alone.alias("alone")).agg(F.collect_list(F.struct("a", "b", "change", "met", "r1", "r2")).alias("s"))
+    pairs = F.filter("s", lambda x: x["met"])
+    orders = F.when(F.exists(pairs, lambda x: x["r1"] != x["r2"]), F.transform(F.array_sort(F.transform(pairs, lambda x: F.struct(x["r2"].alias("r2"), x["r1"].alias("r1")))), lambda x: x["r1"]))
+    each = listed.withColumn("m", F.pandas_udf(_left_out, "array<boolean>")(orders)).select("doc", "m", F.explode("s").alias("s"))
+    moved = F.coalesce(F.col("s.met") & F.get("m", F.col("s.r2") - 1), F.lit(False))
+    return each.select("doc", F.col("s.a").alias("old_anchor"), F.col("s.b").alias("anchor"), "s.change", moved.alias("moved"))

@@ -60,6 +60,20 @@ def test_one_moved_section_is_one(spark):
     assert {(r["a"], r["b"]) for r in diff.paired(one, two, aligned).collect()} == {("a", "b")}
 
 
+def test_sections_without_titles_are_read_once(spark, monkeypatch):
+    old = spark.createDataFrame([(1, a, i, a) for i, a in enumerate("wxyz")] + [(2, "w", 0, None), (3, "q", 0, "q"), (None, "x", 0, "x")], "doc int, anchor string, pos int, body string")
+    new = spark.createDataFrame([(1, "x", 0, "x"), (1, "y", 1, "other"), (1, "w", 3, "w"), (1, "n", 4, ""), (2, "w", 5, None), (4, "q", 0, "q"), (None, "x", 0, "x")], old.schema)
+    want = [
+        (1, "w", "w", "same", True), (1, "x", "x", "same", False), (1, "y", "y", "changed", False), (1, "z", None, "removed", False), (1, None, "n", "added", False), (2, "w", "w", "same", False),
+        (3, "q", None, "removed", False), (4, None, "q", "added", False), (None, "x", None, "removed", False), (None, None, "x", "added", False),
+    ]
+    titled = diff.section_changes(*(df.withColumn("title", F.lit("")) for df in (old, new)))
+    monkeypatch.setattr(diff, "cut", lambda df: pytest.fail("a table was written"))
+    got = diff.section_changes(old, new)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) == sorted(map(repr, map(tuple, titled.collect())))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join FullOuter") == 1
+
+
 def brute_path(edges, root, most, assumed):
     depth, queue, listed, is_cut = {root: 0}, [root], set(), False
     for node in queue:
