@@ -16,11 +16,19 @@ def relative_position(sections: DataFrame) -> DataFrame:
 
 
 def runs(rows: DataFrame, value: str) -> DataFrame:
-    """(doc, run, value, first, n): neighbours of ``rows(doc, pos, value)`` with one value together, in order."""
-    w = Window.partitionBy("doc").orderBy("pos")
-    starts = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs_ = rows.withColumn("__s", starts).withColumn("run", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs_.groupBy("doc", "run", value).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+    """(doc, run, value, first, n): neighbours of ``rows(doc, pos, value)`` with one value together, in order.
+
+    A run ends where the next begins, so a task reads a document's rows in one order and keeps no table of runs.
+    """
+    every = Window.partitionBy("doc")
+    w = every.orderBy("pos")
+    starts = ~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)
+    told = rows.select("doc", "pos", value, starts.alias("__s"), F.row_number().over(w).alias("__nth"), F.count(F.lit(1)).over(every).alias("__all"), F.count("pos").over(every).alias("__placed"), F.min("pos").over(every).alias("__least"))
+    n = F.coalesce(F.lead("__nth").over(w), F.col("__all") + 1) - F.col("__nth")
+    runs_ = told.where("__s").withColumn("n", n).withColumn("run", F.row_number().over(w).cast("long"))
+    # rows without a place come first: their run has one if it goes on behind them
+    first = F.when(F.col("pos").isNotNull(), F.col("pos")).when(F.col("__nth") + F.col("n") - 1 > F.col("__all") - F.col("__placed"), F.col("__least"))
+    return runs_.select("doc", "run", value, first.alias("first"), "n")
 
 
 def lookup(sections: DataFrame, asked: str) -> DataFrame:
