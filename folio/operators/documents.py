@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords
+from ..sources.tables import dealt
 
 # --- fields of a text -----------------------------------------------------------------------
 
@@ -110,18 +111,24 @@ def usage(files: DataFrame, tier: str = "tier") -> DataFrame:
     return files.groupBy(tier).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def published(records: DataFrame) -> DataFrame:
+def published(records: DataFrame, rows: int | None = None) -> DataFrame:
     """(number, relation, draft, revision, ord): the view that others read of ``records(draft, revision, obsoletes, updates)``.
 
-    One row for each document that a draft would replace or update, by number, then relation, draft.
+    One row for each document that a draft would replace or update, by number, then relation, draft. ``rows``: about
+    how many there are, if that is known. Equal rows meet in the order that numbers them; no task keeps a table of them.
     """
     def named(column: str):
         numbers = F.coalesce(F.col(column), F.array().cast("array<long>"))
         return F.transform(numbers, lambda n: F.struct(n.alias("number"), F.lit(column).alias("relation")))
 
     each = [named("obsoletes"), named("updates")]
-    rows = records.select("draft", "revision", F.explode(F.concat(*each)).alias("e")).select("e.number", "e.relation", "draft", "revision").distinct()
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("number").orderBy("relation", "draft", "revision")))
+    named_ = records.select("draft", "revision", F.explode(F.concat(*each)).alias("e")).select("e.number", "e.relation", "draft", "revision")
+    if rows is not None:
+        named_ = dealt(named_, rows, "number")
+    w = Window.partitionBy("number").orderBy("relation", "draft", "revision")
+    own = F.struct("relation", "draft", "revision")
+    again = F.lag(own).over(w).eqNullSafe(own)
+    return named_.withColumn("ord", F.dense_rank().over(w)).withColumn("__again", again).where("not __again").drop("__again")
 
 
 def missing_keys(wanted: DataFrame, have: DataFrame) -> DataFrame:

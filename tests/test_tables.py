@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 from pyspark.sql import functions as F
 
 from folio.functions import tables
 from folio.functions import text as T
-from folio.operators import diff, extract, ranges
+from folio.operators import diff, documents, extract, outline, ranges
 from folio.plans.filters import Filters
+from folio.sources import tables as written
 
 
 def test_best_first_is_greedy(spark):
@@ -53,6 +55,14 @@ def test_table_functions(spark):
         assert sorted(x["nth"] for x in rows if x["key"] == k and x["kept"]) == diff.longest_increasing(vs)
 
 
+def test_rows_of_a_table_argument_are_no_batches(spark):
+    tables.register(spark)
+    spark.createDataFrame([(k, v, i) for k in (1, 2, None) for i, v in enumerate((3, 1, 2, None))], "k long, v long, i int").createOrReplaceTempView("run_rows")
+    found = spark.sql("SELECT * FROM longest_run(TABLE(SELECT k, v, i FROM run_rows) PARTITION BY k ORDER BY i)")
+    assert "ArrowEvalPythonUDTF" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["key"], r["nth"]) for r in found.where("kept").collect()} == {(k, i) for k in (1, 2, None) for i in (1, 2)}
+
+
 def test_rules_without_caps(spark):
     tabs = "".join(f"{'x' * (i % 11)}\t" for i in range(59)) + "end"
     got = spark.createDataFrame([(tabs,), (None,), ("",), ("no",), ("\t",)], "l string").select(T.expanded(F.col("l"))).collect()
@@ -62,3 +72,31 @@ def test_rules_without_caps(spark):
     df = spark.createDataFrame([("X-OWN", "mine")], "status string, stream string")
     assert Filters(status=("X-OWN",), stream=("MINE",)).unknown(df) == ()
     assert Filters(status=("F",), stream=("1-urgent",)).unknown(df) == ("F", "1-urgent")
+
+
+def test_tables_of_more_rows_go_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(written, "ROWS_A_TASK", 10)
+    df = spark.range(100).withColumn("k", F.col("id") % 7)
+    assert written.dealt(df, 100, "k").rdd.getNumPartitions() == 10 and written.dealt(df, 9, "k").rdd.getNumPartitions() == 4
+    records = spark.createDataFrame([(d, d % 3, [1, 2, d], [2]) for d in range(6)] * 2 + [(9, 9, None, None)], "draft long, revision int, obsoletes array<long>, updates array<long>")
+    view = documents.published(records, 100)
+    assert "Aggregate" not in view._jdf.queryExecution().optimizedPlan().toString() and view.rdd.getNumPartitions() == 10
+    rows = {(n, "obsoletes", d, d % 3) for d in range(6) for n in (1, 2, d)} | {(2, "updates", d, d % 3) for d in range(6)}
+    want = {(*r, 1 + sum(x < r for x in rows if x[0] == r[0])) for r in rows}
+    got = [tuple(r) for r in view.select("number", "relation", "draft", "revision", "ord").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_runs_without_a_table_of_them(spark):
+    r = random.Random(5)
+    docs = {d: [(None if r.random() < 0.3 else p, r.choice(["x", None])) for p in range(r.randrange(1, 9))] for d in [*range(60), None]}
+    docs = {d: [(p, v if p is not None else "x") for p, v in rows] for d, rows in docs.items()}  # rows without a place are alike
+    got = outline.runs(spark.createDataFrame([(d, p, v) for d, rows in docs.items() for p, v in rows], "doc int, pos int, value string"), "value")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for d, rows in docs.items():
+        rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
+        for nth, (_, run) in enumerate(itertools.groupby(enumerate(rows), key=lambda x: sum(a[1] != b[1] for a, b in zip(rows[: x[0]], rows[1 : x[0] + 1])))):
+            run = [x for _, x in run]
+            want.append((d, nth + 1, run[0][1], min((p for p, _ in run if p is not None), default=None), len(run)))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
