@@ -64,10 +64,10 @@ class LongestRun:
 
 
 def register(spark: SparkSession) -> None:
-    """Registers all of them; batches go to Python by Arrow."""
-    for name, cls, kind in (
-        ("word_runs", WordRuns, "pos int, kind string, text string"),
-        ("expansions", Expansions, "pos int, short string, long string"),
-        ("longest_run", LongestRun, "key long, nth int, kept boolean"),
+    """Registers all of them. Texts go to Python by Arrow; a table argument's rows don't, as each would be a batch of its own."""
+    for name, cls, kind, arrow in (
+        ("word_runs", WordRuns, "pos int, kind string, text string", True),
+        ("expansions", Expansions, "pos int, short string, long string", True),
+        ("longest_run", LongestRun, "key long, nth int, kept boolean", False),
     ):
-        spark.udtf.register(name, udtf(cls, returnType=kind, useArrow=True))
+        spark.udtf.register(name, udtf(cls, returnType=kind, useArrow=arrow))
