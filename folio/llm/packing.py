@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -85,30 +84,32 @@ class UnitIds(dict):
             return
         # the bytes' printable characters, for all units in one go
         shown = "\n".join(lead + u.removeprefix("\n") for u in units).encode().decode("latin-1").translate(self.letters)
-        tokenize, pack_ids = self.tokenizer.model.tokenize, struct.pack
-        for u, text in zip(units, shown.split(self.letters[10])):
-            ids = [t.id for t in tokenize(text)]
-            self[u] = feed + pack_ids(f"<{len(ids)}I", *ids)
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], []
+        for text in shown.split(self.letters[10]):
+            ids += [t.id for t in tokenize(text)]
+            ends.append(4 * len(ids))
+        code = np.asarray(ids, "<u4").tobytes()
+        self.update((u, feed + code[a:b]) for u, a, b in zip(units, [0, *ends], ends))
 
     def _missing(self, new: set[str]) -> None:
         """Adds units; those with punctuation behind a known word need no new encoding."""
-        split, learn = [], set()
-        for u in new:
+        words = set(filter(str.isalpha, new))  # most of them
+        split, rest = [], set()
+        for u in new - words:
             base = u.rstrip(".,;:!?$&%*#|")
             if base and base != u and base[-1].isalpha():
                 tail = "\n" + u[len(base) :]
                 split.append((u, base, tail))
                 if base not in self:
-                    learn.add(base)
+                    (words if base.isalpha() else rest).add(base)
                 if tail not in self:
-                    learn.add(tail)
+                    rest.add(tail)
             else:
-                learn.add(u)
-        words = [u for u in learn if u.isalpha()]
-        starts = [u for u in learn if u[0] == "\n" and u[1:].isalpha()]
-        self._words(words, " ", b"")
+                rest.add(u)
+        starts = [u for u in rest if u[0] == "\n" and u[1:].isalpha()]
+        self._words(list(words), " ", b"")
         self._words(starts, "", np.asarray(self.line_feed, "<u4").tobytes())
-        self._learn(list(learn.difference(words, starts)))
+        self._learn(list(rest.difference(starts)))
         for u, base, tail in split:
             self[u] = self[base] + self[tail][4:]
 
@@ -126,9 +127,10 @@ class UnitIds(dict):
                     units[i] = []
             every = set().union(*units)
         new = every - self.keys()
-        if len(self) + len(new) > self.most:
+        if len(self) + len(new) > self.most:  # what this text has stays: common words are in it
+            kept = {u: self[u] for u in every - new}
             self.clear()
-            new = every
+            self.update(kept)
         if new:
             self._missing(new)
         out = [b"".join(map(self.__getitem__, us))[4:] for us in units]

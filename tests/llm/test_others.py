@@ -326,6 +326,16 @@ def test_pseudonyms_table(spark):
 # --- packing ------------------------------------------------------------------------------
 
 
+def test_a_full_store_keeps_what_the_text_has():
+    known = packing.UnitIds(packing.load_tokenizer(packing.tokenizer_path()), most=6)
+    assert known.encode(["a red fox on ice"])
+    asked = []
+    known._missing = lambda new, learn=known._missing: (asked.extend(new), learn(new))
+    texts = ["red fox one two three", "red fox, four"]
+    assert known.encode(texts) == [known.whole(t) for t in texts] and "red" not in asked and "fox" not in asked
+
+
+
 def test_units_equal_whole_texts():
     tokenizer = packing.load_tokenizer(packing.tokenizer_path())
     texts = ["", " ", "a  b\n\n c", "  x", "x \n y\t\tz  ", "it's 'll  don’t\xa0x  y", "\x1c a \x1d", "a\x85b \x0bq", "<|endoftext|> hi", "٣x ½ ²½", "日本 語　x", "end.\nNext, line!!\nWORD!! $$$", "x1y2 3.14 a.b.c,", "naïve ÉTÉ, ß"]
