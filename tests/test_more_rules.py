@@ -121,6 +121,46 @@ def test_reading_path(spark):
             assert {x["node"] for x in mine if x["kind"] == "assumed"} == listed and any(x["kind"] == "cut" for x in mine) == is_cut
 
 
+def test_paths_over_many_pieces(spark, monkeypatch):
+    """Pieces of few nodes that a task reads again and again, names instead of numbers, a node with two rows of facts: the same paths."""
+    monkeypatch.setattr(graph, "PIECE_NODES", 5)
+    monkeypatch.setattr(graph, "MOST_PIECES", 40)
+    monkeypatch.setattr(graph, "ROOTS_A_TASK", 3)
+    r = random.Random(8)
+    pairs = [(f"d{r.randrange(60)}", f"d{r.randrange(60)}", k) for k in range(150)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    edges: dict[str, list[str]] = {}
+    for a, b, _ in pairs:
+        edges.setdefault(a, [])
+        if b not in edges[a]:
+            edges[a].append(b)
+    df = spark.createDataFrame(pairs, "a string, b string, pos int")
+    roots, assumed = [f"d{i}" for i in range(0, 60, 4)] + ["alone"], {"d3", "d8", "d31"}
+    asked, stop = spark.createDataFrame([(x,) for x in [*roots, roots[0]]], "root string"), spark.createDataFrame([(x,) for x in assumed], "node string")
+    known = spark.createDataFrame([("d1", "one"), ("d1", "uno"), ("d2", "two")], "node string, title string")
+    path = graph.reading_path(df, asked, 3, stop, known)
+    assert "CoGroup" not in path._jdf.queryExecution().optimizedPlan().toString()  # edges aren't dealt to every root
+    rows = sorted(path.collect(), key=lambda x: x["ord"])
+    for root in roots:
+        steps, listed, is_cut = brute_path(edges, root, 3, assumed)
+        mine = [x for x in rows if x["root"] == root]
+        assert [x["node"] for x in mine if x["kind"] == "step"] == [y for x in steps for y in [x] * (1 + (x == "d1"))]
+        assert {x["node"] for x in mine if x["kind"] == "assumed"} == listed and any(x["kind"] == "cut" for x in mine) == is_cut
+        assert sorted({x["ord"] for x in mine}) == list(range(len(steps) + len(listed) + is_cut))
+    assert {(x["node"], x["title"]) for x in rows if x["title"]} == {("d1", "one"), ("d1", "uno"), ("d2", "two")}
+    reach = {(x["root"], x["node"]): x["depth"] for x in graph.depths(df, asked, 3, stop).collect()}
+    want = {}
+    for root in roots:
+        front, depth = [root], 0
+        want[root, root] = 0
+        while front and depth < 3:
+            depth += 1
+            new = {b for a in front if depth == 1 or a not in assumed for b in edges.get(a, ())} - {n for x, n in want if x == root}
+            want |= {(root, b): depth for b in new}
+            front = list(new)
+    assert reach == want
+
+
 def test_components_of_any_graph(spark):
     r = random.Random(2)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(5, 5)]
