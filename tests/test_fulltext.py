@@ -202,3 +202,24 @@ def test_phrase_has_a_row_a_section_not_a_position(spark, tmp_path):
     assert {(x["doc"], x["n"]) for x in found.collect()} == {(1, 501), (3, 2)}
     assert {(x["doc"], x["n"]) for x in index.phrase(["of", "the", "of"]).collect()} == {(1, 500), (3, 1)}
     assert "explode(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_count_their_terms(monkeypatch):
+    """Frequencies come with the pieces, of sections that aren't refused; a document's sections of one piece count once."""
+    monkeypatch.setattr(fulltext, "PIECE_TOKENS", 6)
+    rows = [(1, None, ["a", "b", "a"]), (1, None, ["a"]), (None, "no document", ["a"]), (1, None, ["a", "c", "c", "c"]), (2, None, None)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["doc", "__refused", "__body"])
+    first, second = fulltext._entries(("body",))([batch])
+    told = lambda b: {(e["term"], e["df"], e["docs"], e["tf"]) for row in b.column("counts").to_pylist() for e in row}
+    assert told(first) == {("a", 2, 1, 3), ("b", 1, 1, 1)} and told(second) == {("a", 1, 1, 1), ("c", 1, 1, 3)}
+    assert set(first.column("unit").to_pylist()).isdisjoint(second.column("unit").to_pylist())
+
+
+def test_a_document_in_many_tasks_counts_once(spark, tmp_path, monkeypatch):
+    """Sections of a document that are read by several tasks; postings of a bucket go to as many files as they need."""
+    monkeypatch.setattr(fulltext, "FILE_POSTINGS", 20)
+    monkeypatch.setattr(fulltext, "BLOCK_SECTIONS", 8)
+    rows = spark.range(0, 200, 1, 8).selectExpr("cast(id % 5 as int) as doc", "cast(id as int) as ord", "concat('zone node', id % 3) as body")
+    index = fulltext.Index.write(rows, f"file://{tmp_path}/i")
+    assert {(r["term"], r["tf"], r["docs"]) for r in index.statistics().collect()} == {("zone", 200, 5), *((f"node{k}", len(range(k, 200, 3)), 5) for k in range(3))}
+    assert sum(f.endswith(".parquet") for _, _, names in os.walk(f"{tmp_path}/i/segments/0-0/postings") for f in names) > 8
